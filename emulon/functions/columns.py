@@ -1,8 +1,14 @@
-"""Column expressions used by several operators."""
+"""Column expressions used by several operators.
+
+Wide tables need hundreds of expressions at a time.  They are written as SQL text here and
+in the operators: Spark parses a long text far faster than Python builds the same tree call
+by call.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,53 +16,93 @@ from pyspark.sql.types import DoubleType, FloatType
 
 EPSILON = 1e-10  # fixed value: added to the signed truth in relative errors
 HASH_DIGITS = 13
-HASH_RANGE = float(16**HASH_DIGITS)
+HASH_RANGE = 16**HASH_DIGITS
+
+
+# ----------------------------------------------------------------------------- SQL text
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def number(x: float) -> str:
+    """A double literal."""
+    x = float(x)
+    return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
+
+
+def text(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def as_double(name: str) -> str:
+    return f"cast({quoted(name)} as double)"
 
 
-def unit_hash(key: str | Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the key and the seed only.
+def no_nan(sql: str) -> str:
+    """Null in place of NaN."""
+    return f"nanvl({sql}, cast(null as double))"
 
-    Unlike ``rand`` it does not move when the table is partitioned differently.
+
+def cells_to_rows(df: DataFrame, cells: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Explode an array of equally shaped structs, given as SQL text, into rows."""
+    return df.selectExpr(*map(quoted, keep), f"explode(array({', '.join(cells)})) as cell").select(*keep, "cell.*")
+
+
+# ----------------------------------------------------------------------------- expressions
+
+
+def unit_hash(key: str, seed: int, purpose: str = "") -> Column:
+    """A number in [0, 1) that depends on the key, the seed and the purpose only.
+
+    Unlike ``rand`` it does not move when the table is partitioned differently.  Each use has a
+    purpose of its own: rows that a split has chosen by hash must not look alike to a later draw.
     """
-    key = F.col(key) if isinstance(key, str) else key
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("double") / F.lit(HASH_RANGE)
+    digest = f"md5(concat('{purpose}{seed}:', cast({quoted(key)} as string)))"
+    return F.expr(f"cast(conv(substring({digest}, 1, {HASH_DIGITS}), 16, 10) as double) / {number(HASH_RANGE)}")
 
 
 def row_key(columns: Iterable[str]) -> Column:
     """Key of a table without one: digest of the given columns, nulls told apart from empty text."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]))
-
-
-def null_if_nan(column: Column) -> Column:
-    return F.when(F.isnan(column), F.lit(None)).otherwise(column)
+    cells = ", ".join(f"coalesce(cast({quoted(c)} as string), '\\\\N')" for c in columns)
+    return F.expr(f"md5(concat_ws('|', {cells}))")
 
 
 def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Missing values are nulls from here on: NaN compares above everything and spoils averages."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))}
     chosen = floats & set(columns if columns is not None else df.columns)
-    return df.select(*[null_if_nan(F.col(c)).alias(c) if c in chosen else F.col(c) for c in df.columns])
+    return df.selectExpr(*[
+        f"nanvl({quoted(c)}, null) as {quoted(c)}" if c in chosen else quoted(c) for c in df.columns
+    ])
+
+
+def replace_columns(df: DataFrame, new: Mapping[str, str]) -> DataFrame:
+    """One projection with some columns replaced or appended by SQL text, the order kept."""
+    kept = [f"{new[c]} as {quoted(c)}" if c in new else quoted(c) for c in df.columns]
+    return df.selectExpr(*kept, *[f"{e} as {quoted(c)}" for c, e in new.items() if c not in df.columns])
 
 
-def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
-    """One projection with some columns replaced or appended, the order kept."""
-    kept = [new[c].alias(c) if c in new else F.col(c) for c in df.columns]
-    return df.select(*kept, *[e.alias(c) for c, e in new.items() if c not in df.columns])
+def model_columns(prefix: str, columns: Sequence[str]) -> list[Column]:
+    """The columns as doubles under short positional names, ready for an Arrow block."""
+    return [F.expr(f"{as_double(c)} as {prefix}{i}") for i, c in enumerate(columns)]
 
 
 def narrow(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Cast model columns to single precision."""
-    return replace_columns(df, {c: F.col(c).cast("float") for c in columns})
+    return replace_columns(df, {c: f"cast({quoted(c)} as float)" for c in columns})
 
 
-def format_number(x: Column) -> Column:
+def format_number(sql: str) -> str:
     """Six decimals; scientific when below 1e-4 or above 1e4 in size and not zero."""
-    size = F.abs(x)
-    scientific = (size != 0) & ((size < 1e-4) | (size > 1e4))
-    return F.when(scientific, F.format_string("%.6e", x)).otherwise(F.format_string("%.6f", x))
+    size = f"abs({sql})"
+    return (
+        f"if({size} != 0 and ({size} < 1e-4D or {size} > 1e4D), "
+        f"format_string('%.6e', {sql}), format_string('%.6f', {sql}))"
+    )
 
 
-def percent_error(pred: Column, truth: Column) -> Column:
+def percent_error(pred: str, truth: str) -> str:
     """Signed error in percent of the truth; null where truth plus epsilon is zero."""
-    return F.try_divide(pred - truth, truth + F.lit(EPSILON)) * 100
+    return f"(try_divide({pred} - {truth}, {truth} + {number(EPSILON)}) * 100)"

@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emulon.functions.columns import as_double, number
+
 ACCURACY = 10_000
 MAX_INSIDE = 200_000  # values of one bracket that may be collected
 
@@ -23,89 +25,77 @@ MAX_INSIDE = 200_000  # values of one bracket that may be collected
 @dataclass
 class _Bracket:
     name: str
-    value: Column
     ranks: list[int]
     lo: float
     hi: float
     width: float  # estimated number of values strictly inside
-    found: dict[int, float] = field(default_factory=dict)
 
     @property
-    def inside(self) -> Column:
-        return F.when((self.value > self.lo) & (self.value < self.hi), self.value)
+    def value(self) -> str:
+        return as_double(self.name)
+
+    @property
+    def inside(self) -> str:
+        return f"if({self.value} > {number(self.lo)} and {self.value} < {number(self.hi)}, {self.value}, null)"
 
 
 def order_statistics(
     df: DataFrame,
-    ranks: Mapping[str, Sequence[float]],
-    resolve,
+    wanted: Mapping[str, Sequence[tuple[float, Sequence[int] | None]]],
     accuracy: int = ACCURACY,
     max_inside: int = MAX_INSIDE,
 ) -> dict[str, tuple[int, dict[int, float]]]:
-    """``{column: (n, {rank: value})}`` for the non-null values of each column.
+    """``{column: (n, {rank: value})}`` over the non-null values of each column.
 
-    ``resolve(n, wanted)`` turns one wanted item into the list of 0-based ranks that it needs.
+    A wanted item is a share of the rows with the 0-based ranks near it that are asked for;
+    without ranks, the two between which the quantile of that share lies.
     """
-    names = list(ranks)
-    values = {c: F.col(c).cast("double") for c in names}
     slack = 2.0 / accuracy
+    grids = {c: sorted({p for s, _ in items for p in (s - slack, s + slack) if 0 < p < 1})
+             for c, items in wanted.items()}
 
     # First scan: counts, extremes and sketches of every column together.
     first = []
-    for i, c in enumerate(names):
-        grid = _grid(ranks[c], slack)
-        first += [
-            F.count(values[c]).alias(f"n{i}"),
-            F.min(values[c]).alias(f"lo{i}"),
-            F.max(values[c]).alias(f"hi{i}"),
-        ]
+    for i, (c, grid) in enumerate(grids.items()):
+        x = as_double(c)
+        first += [f"count({x}) as n{i}", f"min({x}) as lo{i}", f"max({x}) as hi{i}"]
         if grid:
-            first.append(F.percentile_approx(values[c], grid, accuracy).alias(f"s{i}"))
-    row = df.agg(*first).head()
+            first.append(f"percentile_approx({x}, array({', '.join(map(number, grid))}), {accuracy}) as s{i}")
+    row = df.selectExpr(*first).head()
 
     out: dict[str, tuple[int, dict[int, float]]] = {}
     pending: list[_Bracket] = []
-    for i, c in enumerate(names):
+    extremes = {}
+    for i, (c, grid) in enumerate(grids.items()):
         n = row[f"n{i}"]
         out[c] = (n, {})
         if n == 0:
             continue
-        grid = _grid(ranks[c], slack)
+        extremes[c] = (row[f"lo{i}"], row[f"hi{i}"])
         sketch = dict(zip(grid, row[f"s{i}"])) if grid else {}
-        for wanted in ranks[c]:
-            share = _share(wanted)
-            below, above = share - slack, share + slack
-            lo = sketch[below] if below > 0 else row[f"lo{i}"]
-            hi = sketch[above] if above < 1 else row[f"hi{i}"]
-            pending.append(_Bracket(c, values[c], resolve(n, wanted), lo, hi, 4 * slack * n))
-
-    extremes = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(names)}
+        for share, ranks in wanted[c]:
+            lo = sketch.get(share - slack, extremes[c][0])
+            hi = sketch.get(share + slack, extremes[c][1])
+            ranks = list(ranks) if ranks is not None else neighbouring_ranks(n, share)
+            pending.append(_Bracket(c, ranks, lo, hi, 4 * slack * n))
     while pending:
         pending = _refine(df, pending, extremes, out, accuracy, max_inside)
     return out
 
 
-def _share(wanted) -> float:
-    return wanted[0] if isinstance(wanted, tuple) else wanted
-
-
-def _grid(wanted, slack) -> list[float]:
-    points = {p for w in wanted for p in (_share(w) - slack, _share(w) + slack)}
-    return sorted(p for p in points if 0 < p < 1)
-
-
 def _refine(df, brackets, extremes, out, accuracy, max_inside) -> list[_Bracket]:
     aggregates = []
     for i, b in enumerate(brackets):
+        lo, hi = number(b.lo), number(b.hi)
         aggregates += [
-            F.count_if(b.value < b.lo).alias(f"below{i}"),
-            F.count_if(b.value == b.lo).alias(f"low{i}"),
-            F.count_if(b.value == b.hi).alias(f"high{i}"),
-            F.count(b.inside).alias(f"mid{i}"),
+            f"count_if({b.value} < {lo}) as below{i}",
+            f"count_if({b.value} = {lo}) as low{i}",
+            f"count_if({b.value} = {hi}) as high{i}",
+            f"count({b.inside}) as mid{i}",
         ]
         if b.width <= max_inside:
-            aggregates.append(F.collect_list(b.inside).alias(f"values{i}"))
-    row = df.agg(*aggregates).head()
+            aggregates.append(f"collect_list({b.inside}) as values{i}")
+    row = df.selectExpr(*aggregates).head()
 
     again: list[_Bracket] = []
     wide: list[tuple[_Bracket, int]] = []
@@ -113,43 +103,42 @@ def _refine(df, brackets, extremes, out, accuracy, max_inside) -> list[_Bracket]
         below, low, high, mid = (row[f"{k}{i}"] for k in ("below", "low", "high", "mid"))
         if b.lo == b.hi:
             high = 0
-        first, last = min(b.ranks), max(b.ranks)
-        if first < below or last >= below + low + mid + high:  # sketch was off: take the whole range
-            lo, hi = extremes[b.name]
-            again.append(_Bracket(b.name, b.value, b.ranks, lo, hi, math.inf))
+        start = below + low  # rank of the first value strictly inside
+        if min(b.ranks) < below or max(b.ranks) >= start + mid + high:
+            again.append(_Bracket(b.name, b.ranks, *extremes[b.name], math.inf))  # the sketch was off
             continue
-        inner = [r for r in b.ranks if below + low <= r < below + low + mid]
-        found = {r: b.lo if r < below + low else b.hi for r in b.ranks if r not in inner}
-        out[b.name][1].update(found)
+        values = out[b.name][1]
+        inner = [r for r in b.ranks if start <= r < start + mid]
+        values.update({r: b.lo if r < start else b.hi for r in b.ranks if r not in inner})
         if inner and b.width <= max_inside:
             inside = sorted(row[f"values{i}"])
-            out[b.name][1].update({r: inside[r - below - low] for r in inner})
+            values.update({r: inside[r - start] for r in inner})
+        elif inner and mid <= max_inside:
+            again.append(_Bracket(b.name, inner, b.lo, b.hi, mid))
         elif inner:
-            b.ranks, b.width = inner, mid
-            wide.append((b, below + low))
+            wide.append((_Bracket(b.name, inner, b.lo, b.hi, mid), start))
 
     if wide:
         slack = 2.0 / accuracy
-        probes, sketches = [], []
-        for i, (b, skipped) in enumerate(wide):
+        shares, sketches = [], []
+        for i, (b, start) in enumerate(wide):
             last = max(b.width - 1, 1)
-            shares = [(min(b.ranks) - skipped) / last - slack, (max(b.ranks) - skipped) / last + slack]
-            probes.append([min(max(s, 0.0), 1.0) for s in shares])
+            ends = ((min(b.ranks) - start) / last - slack, (max(b.ranks) - start) / last + slack)
+            shares.append([min(max(e, 0.0), 1.0) for e in ends])
             sketches += [
-                F.percentile_approx(b.inside, probes[-1], accuracy).alias(f"s{i}"),
-                F.min(b.inside).alias(f"lo{i}"),
-                F.max(b.inside).alias(f"hi{i}"),
+                f"percentile_approx({b.inside}, array({', '.join(map(number, shares[-1]))}), {accuracy}) as s{i}",
+                f"min({b.inside}) as lo{i}",
+                f"max({b.inside}) as hi{i}",
             ]
-        row = df.agg(*sketches).head()
+        row = df.selectExpr(*sketches).head()
         for i, (b, _) in enumerate(wide):
-            lo, hi = row[f"s{i}"]
-            lo = row[f"lo{i}"] if probes[i][0] == 0.0 else lo
-            hi = row[f"hi{i}"] if probes[i][1] == 1.0 else hi
-            again.append(_Bracket(b.name, b.value, b.ranks, lo, hi, 0 if b.width <= max_inside else 4 * slack * b.width))
+            lo = row[f"lo{i}"] if shares[i][0] == 0.0 else row[f"s{i}"][0]
+            hi = row[f"hi{i}"] if shares[i][1] == 1.0 else row[f"s{i}"][1]
+            again.append(_Bracket(b.name, b.ranks, lo, hi, 4 * slack * b.width))
     return again
 
 
-def _neighbouring_ranks(n: int, share: float) -> list[int]:
+def neighbouring_ranks(n: int, share: float) -> list[int]:
     position = share * (n - 1)
     return sorted({math.floor(position), math.ceil(position)})
 
@@ -166,10 +155,11 @@ def column_quantiles(
     ``approximate`` returns the sketch's values after a single scan.
     """
     if approximate:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(shares), accuracy).alias(f"q{i}")
-                       for i, c in enumerate(columns)]).head()
+        points = ", ".join(map(number, shares))
+        row = df.selectExpr(*[f"percentile_approx({as_double(c)}, array({points}), {accuracy}) as q{i}"
+                              for i, c in enumerate(columns)]).head()
         return {c: row[f"q{i}"] or [None] * len(shares) for i, c in enumerate(columns)}
-    found = order_statistics(df, {c: list(shares) for c in columns}, _neighbouring_ranks, accuracy)
+    found = order_statistics(df, {c: [(s, None) for s in shares] for c in columns}, accuracy)
     out: dict[str, list[float | None]] = {}
     for c in columns:
         n, values = found[c]
@@ -186,5 +176,4 @@ def column_quantiles(
 
 def values_at_ranks(df: DataFrame, column: str, ranks: Sequence[int], n: int) -> dict[int, float]:
     """The values at the given 0-based ranks of a column that has ``n`` non-null values."""
-    wanted = [((r + 0.5) / n, r) for r in ranks]
-    return order_statistics(df, {column: wanted}, lambda _, w: [w[1]])[column][1]
+    return order_statistics(df, {column: [((r + 0.5) / n, [r]) for r in ranks]})[column][1]

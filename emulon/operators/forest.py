@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emulon.functions.columns import unit_hash
+from emulon.functions.columns import as_double, number, quoted, unit_hash
 
 TREES = 100
 TREE_ROWS = 256
@@ -32,20 +32,18 @@ def average_path(n) -> float:
 
 
 def grow_forest(
-    df: DataFrame, key: str, columns: Sequence[str], seed: int = 42, trees: int = TREES, rows: int = TREE_ROWS
+    df: DataFrame, key: str, columns: Sequence[str], n: int, seed: int = 42, trees: int = TREES, rows: int = TREE_ROWS
 ) -> DataFrame:
-    """Node table of the forest."""
-    n = df.count()
+    """Node table of the forest grown on a table of ``n`` rows, ``rows`` of them per tree."""
     rows = min(rows, n)
     pool = min(n, 8 * trees * rows)
     share = 1.0 if pool == n else pool / n
     per_tree = min(1.0, (4 * rows + 64) / max(pool, 1))
-    hashed = [F.pmod(F.xxhash64(F.col(key), F.lit(t), F.lit(seed)), F.lit(2**31)) / 2.0**31 for t in range(trees)]
-    draws = F.array(*[F.when(h < per_tree, F.struct(F.lit(t).alias("tree"), h.alias("draw")))
-                      for t, h in enumerate(hashed)])
-    picked = df.where(unit_hash(key, seed) < share).select(
-        F.array(*[F.col(c).cast("double") for c in columns]).alias("x"),
-        F.explode(F.filter(draws, lambda d: d.isNotNull())).alias("d"),
+    draw = f"pmod(xxhash64({quoted(key)}, t, {int(seed)}), 2147483648L) / 2147483648D"
+    draws = f"transform(sequence(0, {trees - 1}), t -> struct(t as tree, {draw} as draw))"
+    picked = df.where(unit_hash(key, seed, "forest") < share).selectExpr(
+        f"array({', '.join(map(as_double, columns))}) as x",
+        f"explode(filter({draws}, d -> d.draw < {number(per_tree)})) as d",
     ).select("d.tree", "d.draw", "x")
     width = len(columns)
 
@@ -110,4 +108,4 @@ def anomaly_score(nodes: DataFrame, columns: Sequence[str], rows: int) -> Column
             total += tree["path"][node]
         return pd.Series(2.0 ** (-(total / len(shared.value)) / norm))
 
-    return score(F.struct(*[F.col(c).cast("double") for c in columns]))
+    return score(F.expr(f"struct({', '.join(f'{as_double(c)} as {quoted(c)}' for c in columns)})"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emulon.functions.columns import null_if_nan
+from emulon.functions.columns import as_double, no_nan, number, quoted
 from emulon.runtime import cut_lineage
 
 BLOCK_ROWS = 4096  # locations aimed at per block
@@ -38,7 +38,7 @@ HOT_ROWS = 1000  # at most this many hot locations are broadcast
 
 def coordinates(columns: Sequence[str]) -> Column:
     """The columns as one array, missing values as NaN so that equal rows group together."""
-    return F.array(*[F.coalesce(null_if_nan(F.col(c).cast("double")), F.lit(float("nan"))) for c in columns])
+    return F.expr(f"array({', '.join(f'coalesce({as_double(c)}, {number(math.nan)})' for c in columns)})")
 
 
 def locations(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -152,8 +152,9 @@ def build_blocks(points: DataFrame, width: int, block_rows: int = BLOCK_ROWS) ->
 
     per_column = []
     for d in range(width):
-        v = null_if_nan(F.get("x", F.lit(d)))
-        per_column += [F.min(v).alias(f"lo{d}"), F.max(v).alias(f"hi{d}"), F.count(v).alias(f"n{d}")]
+        v = no_nan(f"get(x, {d})")
+        per_column += [F.expr(f"min({v})").alias(f"lo{d}"), F.expr(f"max({v})").alias(f"hi{d}"),
+                       F.expr(f"count({v})").alias(f"n{d}")]
     summary = placed.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), *per_column).orderBy("block").toPandas()
     present = np.stack([summary[f"n{d}"].to_numpy() for d in range(width)], axis=1)
     rows = summary["rows"].to_numpy()
@@ -225,7 +226,7 @@ def _route(queries: DataFrame, index: BlockIndex, targets: Sequence[int] | None,
 
 
 def _visit_blocks(
-    visits: DataFrame, placed: DataFrame, index: BlockIndex, targets: Sequence[int] | None, id_type: str
+    visits: DataFrame, placed: DataFrame, index: BlockIndex, targets: Sequence[int] | None
 ) -> DataFrame:
     """Candidates ``(id, need, target, other, dist, copies, value)`` found in the visited blocks."""
     spark = placed.sparkSession
@@ -279,7 +280,8 @@ def _visit_blocks(
         return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
 
     keys = ["block", "slice", "part"]
-    schema = f"id {id_type}, need int, target int, other {id_type}, dist double, copies bigint, value double"
+    id_type, other_type = (df.schema["id"].dataType.simpleString() for df in (visits, placed))
+    schema = f"id {id_type}, need int, target int, other {other_type}, dist double, copies bigint, value double"
     return queries.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(search, schema)
 
 
@@ -322,14 +324,13 @@ def nearest(
     ``x`` and ``copies``.  Without ``targets`` a query's own location is left out.  With targets
     (positions of x) each query looks for points that have the coordinate which it lacks.
     """
-    id_type = points.schema["id"].dataType.simpleString()
     placed, index = build_blocks(points, width, block_rows)
     slots = len(targets) if targets is not None else 1
     queries = queries.select("id", "x", F.col("need").cast("int").alias("need")).where("need > 0")
     unlimited = F.array_repeat(F.lit(float("inf")), slots)
     queries = cut_lineage(queries.withColumn("radius", unlimited))
 
-    near = _keep_nearest(_visit_blocks(_route(queries, index, targets, True), placed, index, targets, id_type))
+    near = _keep_nearest(_visit_blocks(_route(queries, index, targets, True), placed, index, targets))
     if len(index.rows) == 1:
         return near
     near = cut_lineage(near)
@@ -349,7 +350,7 @@ def nearest(
     ])
     again = queries.drop("radius").join(radii, "id", "left").withColumn("radius", radius)
     again = again.select("id", "x", "need", "radius")
-    far = _visit_blocks(_route(again, index, targets, False), placed, index, targets, id_type)
+    far = _visit_blocks(_route(again, index, targets, False), placed, index, targets)
     first_round = near.withColumn("copies", F.col("weight")).drop("weight")
     return _keep_nearest(first_round.select(*far.columns).unionByName(far))
 
@@ -358,7 +359,7 @@ def nearest(
 
 
 def impute_from_neighbours(
-    df: DataFrame, donors: DataFrame, columns: Sequence[str], means: dict[str, float], k: int = 5,
+    df: DataFrame, donors: DataFrame, key: str, columns: Sequence[str], means: dict[str, float], k: int = 5,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Fill a missing cell with the mean over the k nearest training rows that have the cell.
@@ -366,31 +367,27 @@ def impute_from_neighbours(
     Equal rows get equal values, so the search runs once per distinct incomplete row.
     """
     width = len(columns)
-    donors = donors.withColumn("_row", F.xxhash64(coordinates(columns)))
-    points = locations(donors, "_row", columns)
+    points = locations(donors, key, columns)
     rows = df.withColumn("_x", coordinates(columns))
     incomplete = F.exists("_x", lambda v: F.isnan(v))
     receivers = cut_lineage(
         rows.where(incomplete).groupBy(F.col("_x").alias("x")).agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("id", F.xxhash64("x"))
+        .withColumn("id", F.md5(F.col("x").cast("string")))
     )
     found = nearest(receivers.withColumn("need", F.lit(k)), points, width, range(width), block_rows)
     filled = found.groupBy("id").agg(*[
-        F.try_divide(
-            F.sum(F.when(F.col("target") == i, F.col("value") * F.col("weight"))),
-            F.sum(F.when(F.col("target") == i, F.col("weight"))),
-        ).alias(f"_fill{i}")
+        F.expr(f"try_divide(sum(if(target = {i}, value * weight, null)), sum(if(target = {i}, weight, null)))")
+        .alias(f"_fill{i}")
         for i in range(width)
     ])
     table = receivers.join(filled, "id", "left").drop("id").withColumnRenamed("x", "_x")
     total = receivers.agg(F.coalesce(F.sum("copies"), F.lit(0))).head()[0]
     done = attach_by_location(rows.where(incomplete), table, total, "_x")
-    cells = [F.coalesce(null_if_nan(F.col(c).cast("double")), F.col(f"_fill{i}"), F.lit(means[c]))
-             for i, c in enumerate(columns)]
-    new = dict(zip(columns, cells))
-    done = done.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
-    whole = rows.where(~incomplete).select(
-        *[F.col(c).cast("double").alias(c) if c in new else F.col(c) for c in df.columns])
+    new = {c: f"coalesce({no_nan(as_double(c))}, _fill{i}, {number(means[c])}) as {quoted(c)}"
+           for i, c in enumerate(columns)}
+    done = done.selectExpr(*[new.get(c, quoted(c)) for c in df.columns])
+    whole = rows.where(~incomplete).selectExpr(
+        *[f"{as_double(c)} as {quoted(c)}" if c in new else quoted(c) for c in df.columns])
     return done.unionByName(whole)
 
 

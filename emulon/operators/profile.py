@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from emulon.functions.columns import as_double, cells_to_rows, number, quoted, text
 from emulon.functions.quantiles import column_quantiles
 
 # Fixed value: fences lie this many quartile ranges outside the quartiles.
@@ -16,85 +16,70 @@ FENCE = 1.5
 def profile(df: DataFrame, columns: Sequence[str], exact_distinct: bool = False) -> DataFrame:
     """Long table ``(column, stat, value)`` of counts, moments, quartiles and extremes."""
     quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75])
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        distinct = F.count_distinct(x) if exact_distinct else F.approx_count_distinct(x, 0.02)
-        aggregates.append(F.struct(
-            F.count(x).cast("double").alias("count"),
-            F.count_if(x.isNull()).cast("double").alias("missing"),
-            distinct.cast("double").alias("distinct"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-            F.count_if(x == 0).cast("double").alias("zeros"),
-            F.count_if(x < 0).cast("double").alias("negatives"),
-        ).alias(f"c{i}"))
-    one = df.agg(*aggregates)
-    names = ["count", "missing", "distinct", "mean", "std", "min", "max", "zeros", "negatives"]
+    distinct = "count(distinct {})" if exact_distinct else "approx_count_distinct({}, 0.02)"
+    stats = {
+        "count": "count({})",
+        "missing": "count_if({} is null)",
+        "distinct": distinct,
+        "mean": "avg({})",
+        "std": "stddev_samp({})",
+        "min": "min({})",
+        "max": "max({})",
+        "zeros": "count_if({} = 0)",
+        "negatives": "count_if({} < 0)",
+    }
+    one = df.selectExpr(*[
+        f"cast({sql.format(as_double(c))} as double) as {s}{i}" for i, c in enumerate(columns) for s, sql in stats.items()
+    ])
     cells = []
     for i, c in enumerate(columns):
-        cells += [_cell(c, s, F.col(f"c{i}.{s}")) for s in names]
-        cells += [_cell(c, s, F.lit(v)) for s, v in zip(("q25", "q50", "q75"), quartiles[c])]
-    return one.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
-
-
-def _cell(column, stat, value):
-    return F.struct(F.lit(column).alias("column"), F.lit(stat).alias("stat"), value.cast("double").alias("value"))
+        values = {s: f"{s}{i}" for s in stats}
+        values.update({q: "cast(null as double)" if v is None else number(v)
+                       for q, v in zip(("q25", "q50", "q75"), quartiles[c])})
+        cells += [f"struct({text(c)} as column, {text(s)} as stat, {v} as value)" for s, v in values.items()]
+    return cells_to_rows(one, cells)
 
 
 def boxplot_summary(df: DataFrame, columns: Sequence[str], factor: float = FENCE) -> DataFrame:
     """One row per column: quartiles, whiskers (last values inside the fences) and outlier count."""
-    quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75])
-    aggregates = []
-    for i, c in enumerate(columns):
-        q1, q2, q3 = quartiles[c]
-        x = F.col(c).cast("double")
-        inside = x.between(q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
-        aggregates.append(F.struct(
-            F.lit(c).alias("column"),
-            F.lit(q1).alias("q25"),
-            F.lit(q2).alias("median"),
-            F.lit(q3).alias("q75"),
-            F.min(F.when(inside, x)).alias("whisker_low"),
-            F.max(F.when(inside, x)).alias("whisker_high"),
-            F.count_if(~inside).alias("outliers"),
-        ).alias(f"c{i}"))
-    one = df.agg(*aggregates)
-    return one.select(F.explode(F.array(*[f"c{i}" for i in range(len(columns))])).alias("c")).select("c.*")
+    quartiles = {c: q for c, q in column_quantiles(df, columns, [0.25, 0.5, 0.75]).items() if q[0] is not None}
+    parts = []
+    for c, (q1, q2, q3) in quartiles.items():
+        x = as_double(c)
+        inside = f"{x} between {number(q1 - factor * (q3 - q1))} and {number(q3 + factor * (q3 - q1))}"
+        parts.append(
+            f"struct({text(c)} as column, {number(q1)} as q25, {number(q2)} as median, {number(q3)} as q75, "
+            f"min(if({inside}, {x}, null)) as whisker_low, max(if({inside}, {x}, null)) as whisker_high, "
+            f"count_if(not ({inside})) as outliers) as c{len(parts)}"
+        )
+    return cells_to_rows(df.selectExpr(*parts), [f"c{i}" for i in range(len(parts))])
 
 
 def outlier_points(df: DataFrame, key: str, columns: Sequence[str], factor: float = FENCE) -> DataFrame:
     """The points beyond the fences as ``(key, column, value)`` rows."""
-    quartiles = column_quantiles(df, columns, [0.25, 0.75])
     cells = []
-    for c in columns:
-        q1, q3 = quartiles[c]
-        x = F.col(c).cast("double")
-        beyond = ~x.between(q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
-        cells.append(F.when(beyond, F.struct(F.lit(c).alias("column"), x.alias("value"))))
-    found = F.filter(F.array(*cells), lambda cell: cell.isNotNull())
-    return df.select(key, F.explode(found).alias("p")).select(key, "p.*")
+    for c, (q1, q3) in column_quantiles(df, columns, [0.25, 0.75]).items():
+        if q1 is None:
+            continue
+        x = as_double(c)
+        inside = f"{x} between {number(q1 - factor * (q3 - q1))} and {number(q3 + factor * (q3 - q1))}"
+        cells.append(f"if({inside}, null, if({x} is null, null, struct({text(c)} as column, {x} as value)))")
+    return df.selectExpr(
+        quoted(key), f"explode(filter(array({', '.join(cells)}), p -> p is not null)) as p").select(key, "p.*")
 
 
 def target_variance(df: DataFrame, outputs: Sequence[str]) -> DataFrame:
-    """Sample variance per output and population variance over all output values pooled."""
-    aggregates = [F.var_samp(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(outputs)]
-    # Pooled variance from per-column moments (within plus between), so nothing is exploded.
-    aggregates += [e for i, c in enumerate(outputs) for e in (
-        F.count(F.col(c)).cast("double").alias(f"n{i}"),
-        F.avg(F.col(c).cast("double")).alias(f"m{i}"),
-        F.var_pop(F.col(c).cast("double")).alias(f"p{i}"),
-    )]
-    one = df.agg(*aggregates)
+    """Sample variance per output and population variance over all output values pooled.
+
+    The pooled variance is put together from per-column moments, so nothing is exploded.
+    """
     spans = range(len(outputs))
-    total = sum((F.col(f"n{i}") for i in spans), F.lit(0.0))
-    mean = sum((F.col(f"n{i}") * F.col(f"m{i}") for i in spans), F.lit(0.0)) / total
-    pooled = sum(
-        (F.col(f"n{i}") * (F.col(f"p{i}") + F.pow(F.col(f"m{i}") - F.col("mean"), 2)) for i in spans), F.lit(0.0)
-    ) / F.col("total")
-    one = one.withColumns({"total": total, "mean": mean})
-    cells = [F.struct(F.lit(c).alias("output"), F.col(f"v{i}").alias("variance")) for i, c in enumerate(outputs)]
-    cells.append(F.struct(F.lit("all").alias("output"), pooled.alias("variance")))
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    one = df.selectExpr(*[
+        sql.format(as_double(c), i) for i, c in enumerate(outputs)
+        for sql in ("var_samp({0}) as v{1}", "count({0}) as n{1}", "avg({0}) as m{1}", "var_pop({0}) as p{1}")
+    ])
+    one = one.selectExpr("*", " + ".join(f"n{i}" for i in spans) + " as total")
+    one = one.selectExpr("*", "(" + " + ".join(f"n{i} * m{i}" for i in spans) + ") / total as mean")
+    pooled = "(" + " + ".join(f"n{i} * (p{i} + pow(m{i} - mean, 2))" for i in spans) + ") / total"
+    cells = [f"struct({text(c)} as output, v{i} as variance)" for i, c in enumerate(outputs)]
+    return cells_to_rows(one, [*cells, f"struct('all' as output, {pooled} as variance)"])

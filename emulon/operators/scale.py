@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulon.functions.columns import replace_columns
+from emulon.functions.columns import as_double, number, replace_columns
 from emulon.functions.quantiles import column_quantiles
 from emulon.roles import SCALERS, Roles
 
@@ -41,11 +41,11 @@ class ColumnScale:
     center: float
     scale: float
 
-    def apply(self, x: Column) -> Column:
-        return (x - F.lit(self.center)) / F.lit(self.scale)
+    def apply(self, name: str) -> str:
+        return f"(({as_double(name)} - {number(self.center)}) / {number(self.scale)})"
 
-    def undo(self, x: Column) -> Column:
-        return x * F.lit(self.scale) + F.lit(self.center)
+    def undo(self, name: str) -> str:
+        return f"({as_double(name)} * {number(self.scale)} + {number(self.center)})"
 
 
 @dataclass(frozen=True)
@@ -56,12 +56,12 @@ class Scalers:
 
     def transform(self, df: DataFrame) -> DataFrame:
         present = [c for c in self.by_column if c in df.columns]
-        return replace_columns(df, {c: self.by_column[c].apply(F.col(c)) for c in present})
+        return replace_columns(df, {c: self.by_column[c].apply(c) for c in present})
 
     def inverse(self, df: DataFrame, prefixes: Sequence[str] = ("", "pred_")) -> DataFrame:
         """Back to original units, for the columns themselves and their predictions."""
         new = {
-            p + c: s.undo(F.col(p + c))
+            p + c: s.undo(p + c)
             for c, s in self.by_column.items()
             for p in prefixes
             if p + c in df.columns
@@ -85,10 +85,9 @@ def fit_scalers(
     if plain:
         aggregates = []
         for i, c in enumerate(plain):
-            x = F.col(c).cast("double")
-            first, second = (F.min, F.max) if types[c] == "minmax" else (F.avg, F.stddev_pop)
-            aggregates += [first(x).alias(f"a{i}"), second(x).alias(f"b{i}")]
-        row = train.agg(*aggregates).head()
+            first, second = ("min", "max") if types[c] == "minmax" else ("avg", "stddev_pop")
+            aggregates += [f"{first}({as_double(c)}) as a{i}", f"{second}({as_double(c)}) as b{i}"]
+        row = train.selectExpr(*aggregates).head()
         for i, c in enumerate(plain):
             a, b = row[f"a{i}"], row[f"b{i}"]
             if a is None:
@@ -138,10 +137,8 @@ class ArrayScaler:
         return self._zip(df, column, lambda x, p: x * p["s"] + p["c"])
 
     def _zip(self, df, column, step):
-        params = F.array(*[
-            F.struct(F.lit(float(c)).alias("c"), F.lit(float(s)).alias("s"))
-            for c, s in zip(self.centers, self.scales)
-        ])
+        pairs = [f"struct({number(c)} as c, {number(s)} as s)" for c, s in zip(self.centers, self.scales)]
+        params = F.expr(f"array({', '.join(pairs)})")
         return df.withColumn(column, F.zip_with(F.col(column).cast("array<double>"), params, step))
 
 

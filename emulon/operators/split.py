@@ -45,7 +45,7 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, exact: bool = Fal
     """Add a ``fold`` column with 0 .. k-1; exact folds differ by one row at most."""
     if k < 2:
         raise ValueError("at least two folds are needed")
-    u = unit_hash(key, seed)
+    u = unit_hash(key, seed, "fold")
     if not exact:
         return df.withColumn("fold", F.floor(u * k).cast("int"))
     n = df.count()

@@ -35,5 +35,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_ROWS = 5_000_000
+
+
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Deal a small table to all workers before heavy computation; it may sit in a single file.
+
+    A large table has partitions enough of its own and is left alone: no shuffle.  Rows are
+    dealt by key and kept in key order, so that a repeated run adds up in the same order.
+    """
+    if rows > SMALL_ROWS:
+        return df
+    return df.repartition(worker_count(df.sparkSession), key).sortWithinPartitions(key)
+
+
 def worker_count(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
