@@ -73,6 +73,8 @@ def _grow_tree(x: np.ndarray, tree: int, rng: np.random.Generator, rows: int) ->
             continue
         feature = int(rng.choice(splittable))
         cut = float(rng.uniform(low[feature], high[feature]))
+        if cut >= high[feature]:  # neighbouring floats: keep a row on the right
+            cut = float(low[feature])
         nodes.append({"tree": tree, "node": number, "feature": feature, "cut": cut, "left": -1, "right": -1,
                       "path": 0.0})
         goes_left = members[:, feature] <= cut

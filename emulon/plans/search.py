@@ -82,37 +82,53 @@ def fold_losses(
         return _svr_losses(df, roles, candidates, fold)
     if cls is Network:
         return _network_losses(df, roles, candidates, fold)
-    return _gram_losses(cls, df, roles, candidates, fold)
+    search = _GramSearch(cls, df, roles, candidates, fold)
+    return [search.losses(i) for i in range(len(candidates))]
 
 
 def _fold_numbers(df: DataFrame, fold: str) -> list[int]:
     return sorted(r[0] for r in df.select(F.col(fold).cast("int")).distinct().collect())
 
 
-def _gram_losses(cls, df, roles, candidates, fold) -> list[dict[int, float]]:
-    # A Gaussian process with lists among its parameters picks by likelihood inside each fold.
-    groups = [cls.grid(p) if cls is GaussianProcess else [p] for p in candidates]
-    members = [p for g in groups for p in g]
-    keys = [str(cls.map_key(p)) for p in members]
-    first = {k: p for k, p in reversed(list(zip(keys, members)))}
-    maps = dict(zip(first, cls.prepare_maps(df, roles, list(first.values()))))
-    stats: dict[str, dict] = {}
-    for batch in _by_size(maps, len(roles.outputs)):
-        stats.update(moments(df, {k: maps[k] for k in batch}, roles.inputs, roles.outputs, fold))
-    out, at = [], 0
-    for group in groups:
-        part = list(zip(group, keys[at : at + len(group)]))
-        at += len(group)
-        losses = {}
-        for f in sorted(stats[part[0][1]]):
-            trained = {k: total(stats[k]) - stats[k][f] for _, k in part}
-            params, key = part[0] if len(part) == 1 else max(
-                part, key=lambda pk: log_marginal_likelihood(trained[pk[1]], float(pk[0]["alpha"])))
-            weights, intercept = cls.solve(trained[key], params)
-            held = stats[key][f]
-            losses[f] = float(held.squared_error(weights, intercept).sum() / (held.rows * len(roles.outputs)))
-        out.append(losses)
-    return out
+class _GramSearch:
+    """Statistics by fold of every candidate of a kind that is solved from them."""
+
+    def __init__(self, cls, df: DataFrame, roles: Roles, candidates: Sequence[Mapping[str, object]], fold: str):
+        self.cls, self.roles = cls, roles
+        # A Gaussian process with lists among its parameters picks by likelihood.
+        self.groups = [cls.grid(p) if cls is GaussianProcess else [p] for p in candidates]
+        firsts = {self._key(p): p for g in reversed(self.groups) for p in reversed(g)}
+        self.maps = dict(zip(firsts, cls.prepare_maps(df, roles, list(firsts.values()))))
+        self.stats: dict[str, dict] = {}
+        for batch in _by_size(self.maps, len(roles.outputs)):
+            self.stats.update(moments(df, {k: self.maps[k] for k in batch}, roles.inputs, roles.outputs, fold))
+
+    def _key(self, params) -> str:
+        return str(self.cls.map_key(params))
+
+    def _pick(self, group, sums) -> Mapping[str, object]:
+        if len(group) == 1:
+            return group[0]
+        return max(group, key=lambda p: log_marginal_likelihood(sums[self._key(p)], float(p["alpha"])))
+
+    def losses(self, candidate: int) -> dict[int, float]:
+        """Each fold is predicted from the statistics of all others."""
+        group, out = self.groups[candidate], {}
+        for f in sorted(self.stats[self._key(group[0])]):
+            sums = {self._key(p): total(self.stats[self._key(p)]) - self.stats[self._key(p)][f] for p in group}
+            params = self._pick(group, sums)
+            held = self.stats[self._key(params)][f]
+            error = held.squared_error(*self.cls.solve(sums[self._key(params)], params))
+            out[f] = float(error.sum() / (held.rows * len(self.roles.outputs)))
+        return out
+
+    def model(self, candidate: int) -> Model:
+        """Fit on all rows, without another scan."""
+        group = self.groups[candidate]
+        sums = {self._key(p): total(self.stats[self._key(p)]) for p in group}
+        params = self._pick(group, sums)
+        key = self._key(params)
+        return self.cls.from_moments(self.roles, params, sums[key], self.maps[key])
 
 
 def _by_size(maps: Mapping[str, object], n_out: int, folds_guess: int = 10):
@@ -176,11 +192,19 @@ def cross_validate(
 ) -> CrossValidation:
     """Mean over folds of the validation loss; then, always, a fit on all rows."""
     roles.check(df)
-    chosen = model_class(kind).complete(params)
+    cls = model_class(kind)
+    chosen = cls.complete(params)
     parted = folds(df.select(*roles.columns), roles.key, k, seed, exact)
-    found = fold_losses(kind, parted, roles, [chosen])[0]
+    model = None
+    if cls in (SupportVector, Network):
+        found = fold_losses(kind, parted, roles, [chosen])[0]
+        model = fit(kind, df, roles, **params) if refit else None
+    else:
+        search = _GramSearch(cls, parted, roles, [chosen], "fold")
+        found = search.losses(0)
+        model = search.model(0) if refit else None
     table = df.sparkSession.createDataFrame(sorted(found.items()), "fold int, loss double")
-    return CrossValidation(table, float(np.mean(list(found.values()))), fit(kind, df, roles, **params) if refit else None)
+    return CrossValidation(table, float(np.mean(list(found.values()))), model)
 
 
 def hold_out(

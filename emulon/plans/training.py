@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from emulon.functions.columns import nan_to_null
-from emulon.models import Model, fit
+from emulon.models import Model
 from emulon.models.network import Network
 from emulon.operators.evaluate import mean_errors, metrics_both_scales, primary_metric
 from emulon.operators.impute import fit_imputer
 from emulon.operators.outliers import drop_outliers
-from emulon.operators.scale import TCP_MINMAX, Scalers, fit_input_scalers, fit_output_scalers
+from emulon.operators.scale import TCP_MINMAX, Scalers, fit_scalers, scaler_types
 from emulon.operators.split import TEST, TRAIN, VAL, part, split
 from emulon.plans.scoring import Scorer
 from emulon.plans.search import cross_validate, hold_out
@@ -37,7 +37,9 @@ class Prepared:
 def prepare(df: DataFrame, roles: Roles, spec: PipelineSpec = PipelineSpec()) -> Prepared:
     """Everything is fitted on the training rows; only they are filtered; all splits are scaled."""
     roles.check(df)
+    # Keys are hashed once: the scans that follow read the written columns of the split they need.
     rows = split(nan_to_null(df.select(*roles.columns)), roles.key, spec.test, spec.val, spec.seed)
+    rows = cut_lineage(rows, partition_by="split")
     imputer = fit_imputer(part(rows, TRAIN), roles.inputs, spec.imputer, key=roles.key)
     filled = imputer.transform(rows)
     if spec.imputer == "knn":
@@ -45,8 +47,10 @@ def prepare(df: DataFrame, roles: Roles, spec: PipelineSpec = PipelineSpec()) ->
     kept = drop_outliers(part(filled, TRAIN), roles.key, [*roles.inputs, *roles.outputs], spec.filter, spec.seed)
     if spec.filter != "iqr":
         kept = cut_lineage(kept)  # forest scores and neighbour factors are not worth computing twice
-    inputs = fit_input_scalers(kept, roles, spec.scaler)
-    outputs = fit_output_scalers(kept, roles, spec.scaler, spec.output_scalers, [TCP_MINMAX])
+    types = {**dict.fromkeys(roles.continuous, spec.scaler),
+             **scaler_types(roles.outputs, spec.scaler, [TCP_MINMAX]), **(spec.output_scalers or {})}
+    fitted = fit_scalers(kept, types)  # inputs and outputs in the same scan
+    inputs, outputs = fitted.only(roles.continuous), fitted.only(roles.outputs)
     whole = kept.unionByName(filled.where(filled["split"] != TRAIN))
     return Prepared(outputs.transform(inputs.transform(whole)), roles, imputer, inputs, outputs)
 
@@ -69,16 +73,15 @@ def train_and_evaluate(df: DataFrame, roles: Roles, spec: PipelineSpec = Pipelin
     """The whole run.  With ``validation='single'`` and a validation share the losses come from the
     validation rows, otherwise from cross-validation."""
     prepared = prepare(df, roles, spec)
-    train = cut_lineage(prepared.part(TRAIN))
+    train = prepared.part(TRAIN)
     single = spec.validation == "single" and spec.val > 0
     losses = validation_loss = None
     if single:
         model, losses = hold_out(spec.kind, train, prepared.part(VAL), roles, **spec.params)
         validation_loss = losses.where("split = 'val'").orderBy("epoch", ascending=False).head()["loss"]
     else:
-        run = cross_validate(spec.kind, train, roles, spec.folds, spec.seed, refit=False, **spec.params)
-        validation_loss = run.mean_loss
-        model = fit(spec.kind, train, roles, **spec.params)
+        run = cross_validate(spec.kind, train, roles, spec.folds, spec.seed, **spec.params)
+        validation_loss, model = run.mean_loss, run.model
         if isinstance(model, Network):
             losses = model.losses(df.sparkSession)
     predictions = model.transform(prepared.part(TEST))

@@ -29,10 +29,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/emulon/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    Later scans read only the columns and partitions they need, nothing is computed twice, and
+    a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    return written.select(*df.columns)
 
 
 SMALL_ROWS = 5_000_000
@@ -49,5 +57,15 @@ def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.repartition(worker_count(df.sparkSession), key).sortWithinPartitions(key)
 
 
+def open_table(spark: SparkSession, path: str, deal_by: tuple[str, ...] = ()) -> DataFrame:
+    """A Parquet table.  A small one in a few files would be read by a few tasks only: its rows are
+    dealt over all workers.  A table with partitions enough is left as it is."""
+    df = spark.read.parquet(path)
+    workers = worker_count(spark)
+    if df.rdd.getNumPartitions() >= workers:  # a bare scan: this plans, it does not run
+        return df
+    return df.repartition(workers, *deal_by) if deal_by else df.repartition(workers)
+
+
 def worker_count(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
