@@ -33,7 +33,8 @@ MAX_PATTERNS = 16  # blocks per leaf, by which coordinates are missing
 SAMPLE_ROWS = 100_000
 PART_ROWS = 16_384  # points or queries of one block in one task
 CELLS = 4_000_000  # distances held at a time inside a task
-HOT_ROWS = 1000  # at most this many hot locations are broadcast
+HOT_LOCATIONS = 1000  # at most this many locations are broadcast
+HOT_COPIES = 1000  # a location with fewer rows is never hot
 
 
 def coordinates(columns: Sequence[str]) -> Column:
@@ -50,7 +51,7 @@ def locations(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 def attach_by_location(rows: DataFrame, table: DataFrame, total: int, on: str = "x") -> DataFrame:
     """Join rows to their location.  Hot locations (a bounded number, since each holds at
     least 1/1000 of the rows) are broadcast, all others are joined by shuffle."""
-    hot_copies = max(total // HOT_ROWS, 1000)
+    hot_copies = max(total // HOT_LOCATIONS, HOT_COPIES)
     hot = F.broadcast(table.where(F.col("copies") >= hot_copies).drop("copies"))
     rest = table.where(F.col("copies") < hot_copies).drop("copies")
     if total < hot_copies:
