@@ -197,6 +197,11 @@ def family_summary(df: DataFrame, outputs: Sequence[str], families: Sequence[str
     return cells_to_rows(df.selectExpr(*parts), [f"c{i}" for i in range(len(parts))])
 
 
+def _correlation(a: str, b: str) -> str:
+    """Null where one side does not vary; ``corr`` itself would divide by zero."""
+    return f"try_divide(covar_pop({a}, {b}), stddev_pop({a}) * stddev_pop({b}))"
+
+
 def diagnostics(df: DataFrame, outputs: Sequence[str]) -> DataFrame:
     """What the residual charts are read for, as numbers per output: bias, spread, skewness,
     share over and under, dependence of the error on the prediction, and outlier count."""
@@ -209,13 +214,12 @@ def diagnostics(df: DataFrame, outputs: Sequence[str]) -> DataFrame:
     for i, (c, e) in enumerate(zip(outputs, errors)):
         q1, q3 = fences[e] if fences[e][0] is not None else (0.0, 0.0)
         reach = 1.5 * (q3 - q1)
-        pred, varied = f"_pred{i}", f"var_pop({e}) > 0 and var_pop(_pred{i}) > 0"
+        pred = f"_pred{i}"
         parts.append(
             f"struct({text(c)} as output, count({e}) as rows, avg({e}) as bias, stddev_samp({e}) as spread, "
             f"if(var_pop({e}) > 0, skewness({e}), null) as skewness, "
             f"avg(cast({e} > 0 as double)) as share_over, avg(cast({e} < 0 as double)) as share_under, "
-            f"if({varied}, corr({e}, {pred}), null) as error_vs_pred, "
-            f"if({varied} and var_pop(abs({e})) > 0, corr(abs({e}), {pred}), null) as abs_error_vs_pred, "
+            f"{_correlation(e, pred)} as error_vs_pred, {_correlation(f'abs({e})', pred)} as abs_error_vs_pred, "
             f"count_if({e} < {number(q1 - reach)} or {e} > {number(q3 + reach)}) as outliers) as c{i}")
     return cells_to_rows(table.selectExpr(*parts), [f"c{i}" for i in range(len(parts))])
 

@@ -36,7 +36,7 @@ def grow_forest(
 ) -> DataFrame:
     """Node table of the forest grown on a table of ``n`` rows, ``rows`` of them per tree."""
     rows = min(rows, n)
-    pool = min(n, 8 * trees * rows)
+    pool = min(n, 2 * trees * rows)
     share = 1.0 if pool == n else pool / n
     per_tree = min(1.0, (4 * rows + 64) / max(pool, 1))
     draw = f"pmod(xxhash64({quoted(key)}, t, {int(seed)}), 2147483648L) / 2147483648D"
@@ -85,7 +85,7 @@ def _grow_tree(x: np.ndarray, tree: int, rng: np.random.Generator, rows: int) ->
 
 def anomaly_score(nodes: DataFrame, columns: Sequence[str], rows: int) -> Column:
     """Score in (0, 1], larger for rows that are easier to isolate."""
-    table = nodes.orderBy("tree", "node").toPandas()  # bounded: trees x (2 x rows - 1)
+    table = nodes.toPandas().sort_values(["tree", "node"])  # bounded: trees x (2 x rows - 1)
     forest = [
         {name: part[name].to_numpy() for name in ("feature", "cut", "left", "right", "path")}
         for _, part in table.groupby("tree")

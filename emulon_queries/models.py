@@ -9,13 +9,13 @@ from emulon.models import load_model
 from emulon.operators.evaluate import metrics
 from emulon.operators.features import expand_polynomial
 from emulon.operators.scale import fit_scalers
-from emulon.operators.split import TEST, TRAIN, VAL, part, split
+from emulon.operators.split import TEST, TRAIN, VAL, part
 from emulon.plans.search import cross_validate, grid_search, grid_table, hold_out
 from emulon.runtime import scratch_path
 from emulon.streaming.scoring import monitor_errors, write_scores
 from emulon_queries import query
 from emulon_queries.tables import (
-    CONTINUOUS, EXPERIMENT_SQL, OUTPUTS, ROLES, experiment, read, rounded, split_sql, unit_sql)
+    CONTINUOUS, EXPERIMENT_SQL, OUTPUTS, ROLES, experiment, parted, read, rounded, split_sql, unit_sql)
 
 SURFACE_INPUTS = ("l_extendedprice", "l_discount", "l_tax")
 SURFACE = Roles("key", SURFACE_INPUTS, ("charge",))
@@ -223,7 +223,7 @@ SELECT split, round(avg(pow(charge - a - b * l_extendedprice, 2)) / 1000, 4) AS
 FROM parted, line WHERE split IN ('train', 'val') GROUP BY split""")
 def hold_out_losses(spark, sf):
     """Training and validation loss after an explicit fit (in thousands)."""
-    rows = split(experiment(spark, sf), "key")
+    rows = parted(spark, sf)
     _, losses = hold_out("response_surface", part(rows, TRAIN), part(rows, VAL), LINE, degree=1)
     return losses.selectExpr("split", "round(loss / 1000, 4) as loss")
 
@@ -296,7 +296,7 @@ def _line_scorer(spark, rows):
 SELECT key, round((a + b * l_extendedprice) / 1000, 6) AS pred_charge FROM parted, line WHERE split = 'test'""")
 def batch_prediction(spark, sf):
     """The test rows predicted with a model that was stored and loaded again (in thousands)."""
-    rows = split(experiment(spark, sf), "key")
+    rows = parted(spark, sf)
     model = fit("response_surface", part(rows, TRAIN), LINE, degree=1)
     path = scratch_path(spark, "model")
     model.save(spark, path)

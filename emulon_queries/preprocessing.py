@@ -10,9 +10,10 @@ from emulon.operators.profile import boxplot_summary, outlier_points, profile, t
 from emulon.operators.scale import (
     fit_array_scaler, fit_input_scalers, fit_output_scalers, fit_scalers, TCP_ROBUST)
 from emulon.operators.split import TRAIN, folds, part, split
+from emulon.runtime import cut_lineage
 from emulon_queries import query
 from emulon_queries.tables import (
-    CONTINUOUS, EXPERIMENT_SQL, GAPS_SQL, INPUTS, OUTPUTS, ROLES, experiment, read, rounded, split_sql, unit_sql,
+    CONTINUOUS, EXPERIMENT_SQL, GAPS_SQL, INPUTS, OUTPUTS, ROLES, experiment, parted, read, rounded, split_sql, unit_sql,
     with_gaps)
 
 TRAIN_SQL = f"{EXPERIMENT_SQL}, {split_sql()}, train AS (SELECT * FROM parted WHERE split = 'train')"
@@ -65,7 +66,7 @@ m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in INPUTS)} FROM t)
 SELECT key, split, {', '.join(f'round(coalesce({c}, m_{c}), 6) AS {c}' for c in INPUTS)} FROM parted, m""")
 def mean_imputation(spark, sf):
     """Means of the training rows fill the gaps of all splits."""
-    rows = split(with_gaps(experiment(spark, sf)), "key")
+    rows = cut_lineage(split(with_gaps(experiment(spark, sf)), "key"), partition_by="split")
     return rounded(fit_imputer(part(rows, TRAIN), INPUTS).transform(rows).select("key", "split", *INPUTS), 6)
 
 
@@ -154,7 +155,7 @@ SELECT key, round(charge, 6) AS charge FROM train, f
 WHERE NOT ({' OR '.join(_outside_sql(c) for c in INPUTS + OUTPUTS)})""")
 def quartile_filter_inputs_outputs(spark, sf):
     """All inputs and outputs of the training rows at once."""
-    train = part(split(experiment(spark, sf), "key"), TRAIN)
+    train = part(parted(spark, sf), TRAIN)
     kept = fit_fences(train, [*INPUTS, *OUTPUTS]).transform(train)
     return rounded(kept.select("key", "charge"), 6)
 
@@ -171,7 +172,7 @@ def quartile_filter_inputs_only(spark, sf):
 @query("O3")
 def isolation_forest_filter(spark, sf):
     """The five percent of the rows that are easiest to isolate are dropped."""
-    rows = experiment(spark, sf)
+    rows = cut_lineage(experiment(spark, sf))
     return rounded(drop_isolated(rows, "key", [*INPUTS, *OUTPUTS]).select("key", "charge"), 6)
 
 
@@ -245,7 +246,7 @@ SELECT key, split, l_linenumber, {', '.join(f'round(({c} - a_{c}) / b_{c}, 6) AS
 FROM parted, s""")
 def selective_input_scaling(spark, sf):
     """Continuous inputs scaled with training statistics in all splits; the discrete one passes through."""
-    rows = split(experiment(spark, sf), "key")
+    rows = parted(spark, sf)
     scaled = fit_input_scalers(part(rows, TRAIN), ROLES).transform(rows)
     return rounded(scaled.select("key", "split", *INPUTS), 6)
 
@@ -260,7 +261,7 @@ def _robust(c):
 SELECT key, split, {', '.join(f'round(({c} - a_{c}) / b_{c}, 6) AS {c}' for c in OUTPUTS)} FROM parted, s""")
 def output_scaling(spark, sf):
     """Every output with a scaler of its own: standard by default, robust for the family."""
-    rows = split(experiment(spark, sf), "key")
+    rows = parted(spark, sf)
     fitted = fit_output_scalers(part(rows, TRAIN), ROLES, "standard", rules=[TCP_ROBUST])
     return rounded(fitted.transform(rows).select("key", "split", *OUTPUTS), 6)
 
@@ -317,7 +318,7 @@ PROFILED = ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "char
 @query("A1", f"WITH {TRAIN_SQL} " + " UNION ALL ".join(_profile_sql(c) for c in PROFILED))
 def table_profile(spark, sf):
     """Counts, moments, quartiles and extremes of the training table."""
-    train = part(split(experiment(spark, sf), "key"), TRAIN)
+    train = part(parted(spark, sf), TRAIN)
     return rounded(profile(train, PROFILED, exact_distinct=True), 4)
 
 

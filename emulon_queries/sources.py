@@ -10,7 +10,7 @@ from emulon.operators.features import expand_lists, family_values
 from emulon.operators.impute import fit_imputer
 from emulon.operators.scale import TCP_MINMAX, fit_scalers, scaler_types
 from emulon.operators.split import TRAIN, part, split
-from emulon.runtime import scratch_path
+from emulon.runtime import cut_lineage, scratch_path
 from emulon.sources import store, tables
 from emulon_queries import query
 from emulon_queries.tables import (
@@ -132,7 +132,7 @@ UNION ALL
 SELECT 'charge', 'output', 'standard', round(avg(charge), 6), round(stddev_pop(charge), 6), NULL FROM t""")
 def parameter_store(spark, sf):
     """Fitted means and scalers written as a table and read back."""
-    train = part(split(with_gaps(experiment(spark, sf)), "key"), TRAIN)
+    train = part(cut_lineage(split(with_gaps(experiment(spark, sf)), "key"), partition_by="split"), TRAIN)
     columns = ("l_quantity", "l_extendedprice")
     imputer = fit_imputer(train, columns)
     clean = train.selectExpr(*[f"nanvl({c}, null) as {c}" for c in columns], "charge")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emulon import Roles
 from emulon.functions.columns import row_key
-from emulon.runtime import open_table
+from emulon.operators.split import split
+from emulon.runtime import cut_lineage, open_table
 
 LINE_COLUMNS = (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -35,6 +36,11 @@ def experiment(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def parted(spark: SparkSession, sf: str) -> DataFrame:
+    """The experiment table with its split, written once: fits scan the training part several times."""
+    return cut_lineage(split(experiment(spark, sf), "key"), partition_by="split")
+
+
 EXPERIMENT_SQL = f"""exp AS (
   SELECT md5(concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in LINE_COLUMNS)})) AS key,
          l_orderkey, {', '.join(INPUTS)},
