@@ -28,9 +28,9 @@ from emulon.functions.columns import as_double, no_nan, number, quoted
 from emulon.runtime import cut_lineage
 
 BLOCK_ROWS = 4096  # locations aimed at per block
-MAX_LEAVES = 4096
+MAX_LEAVES = 16_384
 MAX_PATTERNS = 16  # blocks per leaf, by which coordinates are missing
-SAMPLE_ROWS = 100_000
+SAMPLE_PER_LEAF = 24  # sampled locations that place the cuts
 PART_ROWS = 16_384  # points or queries of one block in one task
 CELLS = 4_000_000  # distances held at a time inside a task
 HOT_LOCATIONS = 1000  # at most this many locations are broadcast
@@ -134,7 +134,7 @@ def build_blocks(points: DataFrame, width: int, block_rows: int = BLOCK_ROWS) ->
     """Deal locations (``id``, ``x``, ``copies``) to blocks and summarise the blocks."""
     n = points.count()
     depth = min(max(math.ceil(math.log2(max(n / block_rows, 1))), 0), int(math.log2(MAX_LEAVES)))
-    share = min(1.0, SAMPLE_ROWS / max(n, 1))
+    share = min(1.0, SAMPLE_PER_LEAF * 2**depth / max(n, 1))
     picked = points.select("x")
     if share < 1:
         picked = picked.where(F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < int(share * 1_000_000))

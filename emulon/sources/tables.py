@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from emulon.functions.columns import nan_to_null
+from emulon.runtime import cut_lineage
 
-INFER_SHARE = 0.1  # share of a file read to infer its types when no schema is given
+BROADCAST_SPLITS = 100_000  # file splits whose starting numbers are broadcast
 
 
 def read_table(spark: SparkSession, path: str, schema: str | StructType | None = None, sep: str = ",") -> DataFrame:
@@ -84,10 +86,24 @@ def align(x: DataFrame, y: DataFrame, key: str, orphans: str = "error") -> DataF
 
 
 def number_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Row positions 0, 1, 2, ... in file order.  ``zipWithIndex`` is the one primitive that knows
-    the order of a file; it counts the partitions once and moves no rows."""
-    schema = StructType([StructField(name, LongType(), False), *df.schema.fields])
-    return df.rdd.zipWithIndex().map(lambda pair: (pair[1], *pair[0])).toDF(schema)
+    """Row positions 0, 1, 2, ... in file order, without moving rows or leaving the JVM.
+
+    A first scan counts the rows of every file split.  The splits, in order of file and offset,
+    give each its starting number; inside a split Spark's own row ids are consecutive.
+    """
+    try:
+        marked = df.selectExpr("*", "_metadata.file_path as _file", "_metadata.file_block_start as _start",
+                               "monotonically_increasing_id() as _at")
+    except AnalysisException:  # not read from files: the partitions are the splits
+        marked = df.selectExpr("*", "'' as _file", "cast(spark_partition_id() as bigint) as _start",
+                               "monotonically_increasing_id() as _at")
+    splits = marked.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut_lineage(splits.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows"))
+    if starts.count() <= BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
+    place = (F.col("_before") + F.col("_at") - F.col("_first")).alias(name)
+    return marked.join(starts, ["_file", "_start"]).select(place, *df.columns)
 
 
 def pair_by_position(x: DataFrame, y: DataFrame, name: str = "row_id") -> DataFrame:
