@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """Folder of a local session; it goes away with the process."""
+    return tempfile.TemporaryDirectory(prefix="emulon-", ignore_cleanup_errors=True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
@@ -19,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="emulon-")
+            folder = _local_folder().name
         sc.setCheckpointDir(folder)
     return folder or sc.getCheckpointDir()
 
