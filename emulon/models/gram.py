@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from emulon.functions.columns import model_columns
 from emulon.models.sums import sum_over_partitions
+from emulon.runtime import opened, share
 
 MAX_WIDTH = 2500  # features plus outputs; the statistics are this number squared
 
@@ -84,10 +85,11 @@ def moments(
     )
     # The mapped features of a batch take rows x width doubles; keep a block to 32 MB.
     step = max(256, 4_000_000 // max(widths))
-    shared = df.sparkSession.sparkContext.broadcast([maps[m] for m in names])
+    shared = share(df.sparkSession, [maps[m] for m in names])
 
     def work(batches: Iterator[pd.DataFrame], part: int) -> dict[int, np.ndarray]:
         found: dict[int, np.ndarray] = {}
+        feature_maps = opened(shared)
         for batch in batches:
             block, number = batch.iloc[:, :-1].to_numpy(dtype=float), batch["fold"].to_numpy()
             if np.isnan(block).any():
@@ -96,7 +98,7 @@ def moments(
                 rows = block[number == f]
                 for start in range(0, len(rows), step):
                     x, y = rows[start : start + step, :n_in], rows[start : start + step, n_in:]
-                    for i, m in enumerate(shared.value):
+                    for i, m in enumerate(feature_maps):
                         z = np.hstack([np.ones((len(x), 1)), m(x), y])
                         slot = int(f) * len(names) + i
                         product = (z.T @ z).ravel()

@@ -22,7 +22,7 @@ from emulon.functions.columns import model_columns, unit_hash
 from emulon.models.base import Model
 from emulon.models.sums import sum_over_partitions
 from emulon.roles import Roles
-from emulon.runtime import worker_count
+from emulon.runtime import opened, share, worker_count
 
 VALIDATION = -1  # fold number of explicit validation rows
 
@@ -210,20 +210,21 @@ def _is_adam(params: Mapping[str, object]) -> bool:
 
 
 def _round(rows, jobs, active, n_in, epoch, partitions, seed) -> None:
-    shared = rows.sparkSession.sparkContext.broadcast([
+    shared = share(rows.sparkSession, [
         (i, jobs[i].layout, jobs[i].state, jobs[i].rate, _is_adam(jobs[i].params), int(jobs[i].params["batch_size"]),
          jobs[i].fold)
         for i in active
     ])
 
     def work(batches: Iterator[pd.DataFrame], part: int) -> dict[int, np.ndarray]:
-        states = {i: state.copy() for i, _, state, *_ in shared.value}
+        networks = opened(shared)
+        states = {i: state.copy() for i, _, state, *_ in networks}
         counts, losses = dict.fromkeys(states, 0), dict.fromkeys(states, 0.0)
         for number, batch in enumerate(batches):
             block, fold = batch.iloc[:, :-1].to_numpy(dtype=float), batch["fold"].to_numpy()
             if np.isnan(block).any():
                 raise ValueError("inputs and outputs of a fit must not be missing; impute or drop them first")
-            for i, layout, _, rate, adam, size, left_out in shared.value:
+            for i, layout, _, rate, adam, size, left_out in networks:
                 kept = block[(fold != VALIDATION) & ((left_out is None) | (fold != left_out))]
                 if not len(kept):
                     continue
@@ -243,14 +244,15 @@ def _round(rows, jobs, active, n_in, epoch, partitions, seed) -> None:
 
 
 def _validate(rows, jobs, active, n_in, n_out, partitions) -> dict[int, float]:
-    shared = rows.sparkSession.sparkContext.broadcast(
-        [(i, jobs[i].layout, jobs[i].theta, VALIDATION if jobs[i].fold is None else jobs[i].fold) for i in active])
+    shared = share(
+        rows.sparkSession, [(i, jobs[i].layout, jobs[i].theta, VALIDATION if jobs[i].fold is None else jobs[i].fold) for i in active])
 
     def work(batches: Iterator[pd.DataFrame], part: int) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
+        networks = opened(shared)
         for batch in batches:
             block, fold = batch.iloc[:, :-1].to_numpy(dtype=float), batch["fold"].to_numpy()
-            for i, layout, theta, own in shared.value:
+            for i, layout, theta, own in networks:
                 kept = block[fold == own]
                 if len(kept):
                     gap = layout.forward(theta, kept[:, :n_in]) - kept[:, n_in:]

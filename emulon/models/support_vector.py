@@ -24,7 +24,7 @@ from emulon.models.base import Model
 from emulon.models.landmarks import Kernel, LandmarkMap, pick_landmarks
 from emulon.models.sums import sum_over_partitions
 from emulon.roles import Roles
-from emulon.runtime import worker_count
+from emulon.runtime import opened, share, worker_count
 
 DAMPING = (1e-7, 1e-3, 1e-2, 1e-1, 1.0)
 # Widths of the rounding, each with the relative decrease of the loss that counts as settled.
@@ -237,16 +237,17 @@ def _block_rows(jobs) -> int:
 
 def _inner_products(table, jobs, n_in, outputs, partitions) -> list[tuple[np.ndarray, np.ndarray]]:
     """Inner products of the features, with themselves and with the outputs, for each fit."""
-    shared = table.sparkSession.sparkContext.broadcast([(j, job.map, job.fold) for j, job in enumerate(jobs)])
+    shared = share(table.sparkSession, [(j, job.map, job.fold) for j, job in enumerate(jobs)])
     step = _block_rows(jobs)
     y_at = [n_in + o for o in outputs]
 
     def work(batches: Iterator[pd.DataFrame], part: int) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
+        fits = opened(shared)
         for batch in batches:
             block, fold = _rows(batch)
             for start in range(0, len(block), step):
-                for j, feature_map, left_out in shared.value:
+                for j, feature_map, left_out in fits:
                     kept = block[start : start + step]
                     if left_out is not None:
                         kept = kept[fold[start : start + step] != left_out]
@@ -265,19 +266,20 @@ def _inner_products(table, jobs, n_in, outputs, partitions) -> list[tuple[np.nda
 
 def _scan(table, jobs, trials, n_in, outputs, width, partitions):
     """Losses at all trial points, and derivatives at the first, for every active job."""
-    shared = table.sparkSession.sparkContext.broadcast(
-        [(j, jobs[j].map, jobs[j].fold, float(jobs[j].params["epsilon"]), points) for j, points in trials.items()])
+    shared = share(
+        table.sparkSession, [(j, jobs[j].map, jobs[j].fold, float(jobs[j].params["epsilon"]), points) for j, points in trials.items()])
     y_at = [n_in + o for o in outputs]
     q = len(outputs)
     step = _block_rows([jobs[j] for j in trials])
 
     def work(batches: Iterator[pd.DataFrame], part: int) -> dict[int, np.ndarray]:
         sums: dict[int, list[np.ndarray]] = {}
+        fits = opened(shared)
         for batch in batches:
             block, number = _rows(batch)
             for start in range(0, len(block), step):
                 rows, fold = block[start : start + step], number[start : start + step]
-                for j, feature_map, left_out, epsilon, points in shared.value:
+                for j, feature_map, left_out, epsilon, points in fits:
                     kept = rows if left_out is None else rows[fold != left_out]
                     z = _design(feature_map, kept, n_in)
                     gaps = [z @ p - kept[:, y_at] for p in points]

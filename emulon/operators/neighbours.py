@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emulon.functions.columns import as_double, no_nan, number, quoted
-from emulon.runtime import cut_lineage
+from emulon.runtime import cut_lineage, opened, share
 
 BLOCK_ROWS = 4096  # locations aimed at per block
 MAX_LEAVES = 16_384
@@ -194,11 +194,11 @@ def _home_blocks(bound: np.ndarray, usable: np.ndarray, need: np.ndarray) -> np.
 def _route(queries: DataFrame, index: BlockIndex, targets: Sequence[int] | None, first: bool) -> DataFrame:
     """Queries with the blocks that they visit, one row per visit."""
     width = index.low.shape[1]
-    shared = queries.sparkSession.sparkContext.broadcast(index)
+    shared = share(queries.sparkSession, index)
     scaled = targets is not None
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
+        index = opened(shared)
         step = max(1, CELLS // max(len(index.rows), 1))
         for batch in batches:
             for start in range(0, len(batch), step):

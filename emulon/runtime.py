@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import functools
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,6 +53,17 @@ def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return written.select(*df.columns)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of this package.  A plain broadcast names its classes by module, which
+    executors need not have; here they travel along, as they do with functions."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast) -> object:
+    """The object behind ``share``, inside a task; open it once per task."""
+    return pickle.loads(shared.value)
+
+
 SMALL_ROWS = 5_000_000
 
 
