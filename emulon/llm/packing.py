@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -113,9 +114,7 @@ def pack(step: DataFrame, capacity: int = 2048) -> DataFrame:
     ranked = step.join(first, ["length", "part"]).withColumn("rank", F.col("first_rank") + F.col("rank_in_part"))
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(lengths, ranks):
-        import pandas as pd
-
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
         p = opened(shared)
         wide = int(max(p.first_rank.max(initial=0), ranks.max())) + 1
         i = np.searchsorted(p.length * wide + p.first_rank, lengths.to_numpy() * wide + ranks.to_numpy(), "right") - 1

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emulon.llm import bpe, packing, repair
+from emulon.llm import bpe, langid, packing, repair, simhash
+from emulon.llm.common import crc_fold
 from emulon.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +44,17 @@ def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, max_bits=4)
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    fold = crc_fold(F.col("doc_id"), 3)
+    model = langid.train(docs, fold != 1)
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
