@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulon.llm import bpe, langid, packing, repair, simhash
+from emulon.llm import bpe, langid, lm, packing, repair, simhash
 from emulon.llm.common import crc_fold
 from emulon.runtime import scratch_path
 
@@ -58,3 +58,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs, fold != 1)
     return langid.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = crc_fold(F.col("doc_id"), 5) == 1
+    model, tries, rare = lm.train(docs.where(~held_out))
+    return lm.score(docs, model, tries, rare).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
