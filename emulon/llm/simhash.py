@@ -7,7 +7,7 @@ over the l-th block of 16 bits, and each distance is a branch.  By the triangle
 points to a vantage point differ by no more than the points do, and as the blocks are disjoint these
 differences add up: branches whose distances differ by more than ``max_bits`` in total hold no links.  A
 leaf of these levels is a shard.  Each point goes to its own shard, and as a query to those smaller shards that the
-bound leaves: the boundary-overlapping ones.  The levels used, at most four, follow from the measured
+bound leaves: the boundary-overlapping ones.  The levels used, two to four, follow from the measured
 sizes of the shards; a shard that is still large is dealt in parts.
 
 Inside a shard a binary tree goes on: a vantage point from the shard, the median distance, and each half is searched by
@@ -37,7 +37,7 @@ BLOCK = 16
 LEVELS = 64 // BLOCK
 #: Vantage points of the shared levels: any constant serves.
 VANTAGE = 0x5BD1E995A3C59AC3
-SHARD = 20_000  # points of a shard aimed at
+SHARD = 200_000  # points of a shard aimed at
 LEAF = 1 << 21  # pairs compared in full
 
 
@@ -95,7 +95,7 @@ class Shards:
     """The levels used, the non-empty shards and the parts of large ones: at most 17**4 numbers."""
 
     def __init__(self, sizes: dict[tuple[int, ...], int], max_bits: int, target: int):
-        for used in range(1, LEVELS + 1):
+        for used in range(2, LEVELS + 1):
             shards: dict[tuple[int, ...], int] = {}
             for branch, n in sizes.items():
                 shards[branch[:used]] = shards.get(branch[:used], 0) + n
