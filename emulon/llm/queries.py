@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulon.llm import bpe, langid, lm, packing, repair, simhash
+from emulon.llm import bpe, itq, langid, lines, lm, packing, postings, repair, simhash, surrogates
 from emulon.llm.common import crc_fold
 from emulon.runtime import scratch_path
 
+#: The key of surrogates; a real run takes a secret of its own.
+KEY = b"surrogates of the registered query"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -46,11 +50,62 @@ def op3_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op4_line_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_gone"), "text")
+
+
+#: Sets share a word among the rarest ``size - ceil(0.8 size) + 1``, so pairs are looked for there and then compared in full.
+SQL["op4_line_set_join"] = r"""
+WITH cut AS (
+  SELECT doc_id, text, len(string_split(text, chr(10))) AS n_lines,
+         unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+  FROM documents),
+lines AS (
+  SELECT doc_id, line, content, n_lines,
+         list_sort(list_filter(list_distinct(string_split_regex(lower(content), '\s+')), lambda w: w <> '')) AS words
+  FROM cut),
+firsts AS (SELECT words, min((doc_id, line)) AS first, len(words) AS size FROM lines WHERE len(words) > 0 GROUP BY words),
+each_word AS (SELECT first, size, words, unnest(words) AS word FROM firsts),
+rarity AS (SELECT word, count(*) AS n FROM each_word GROUP BY word),
+ranked AS (SELECT first, size, words, word, row_number() OVER (PARTITION BY first ORDER BY n, word) AS place FROM each_word JOIN rarity USING (word)),
+prefix AS (SELECT * FROM ranked WHERE place <= size - ceil(0.8 * size - 1e-9) + 1),
+near AS (
+  SELECT DISTINCT b.first FROM prefix a JOIN prefix b ON a.word = b.word AND a.first < b.first
+  WHERE least(a.size, b.size) >= 0.8 * greatest(a.size, b.size) - 1e-9
+    AND len(list_intersect(a.words, b.words)) >= 0.8 * (a.size + b.size - len(list_intersect(a.words, b.words))) - 1e-9),
+judged AS (
+  SELECT l.doc_id, l.line, l.content, l.n_lines,
+         f.first IS NOT NULL AND (f.first <> (l.doc_id, l.line) OR s.first IS NOT NULL) AS gone
+  FROM lines l LEFT JOIN firsts f ON f.words = l.words LEFT JOIN near s ON s.first = f.first)
+SELECT doc_id, any_value(n_lines)::INT AS n_lines, sum(gone::INT)::INT AS n_gone,
+       coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS text
+FROM judged GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, NULL FROM documents WHERE text IS NULL""".replace("\\\\", "\\")
+
+
+@_query
+def op5_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(embeddings(spark, sf_dir), threshold=0.93)
+
+
 @_query
 def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, max_bits=4)
 
 
+@_query
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(documents(spark, sf_dir).select("doc_id", "text"), KEY, count="n_entities").select(
+        "doc_id", "n_entities", "text")
+
+
+@_query
+def op8_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.search(embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0, k=10)
+
+
 @_query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -67,3 +122,8 @@ def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, tries, rare = lm.train(docs.where(~held_out))
     return lm.score(docs, model, tries, rare).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -25,11 +25,12 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emulon.llm.common import column, texts
+from emulon.llm.common import column, whole
 from emulon.llm.components import components
 from emulon.runtime import cut_lineage, opened, share
 
@@ -64,17 +65,15 @@ def fingerprint(texts: list[str], shingle: int) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a long) of each row."""
+def fingerprints(text: Column, shingle: int) -> Column:
+    """The 64 bits, as a long, of each whole text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                bits = fingerprint(column(piece, "text").to_pylist(), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), pa.array(bits)], names=["doc_id", "bits"])
+    @F.pandas_udf("long")
+    def bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(fingerprint(texts.to_list(), shingle).view(np.int64))
 
-    return texts(docs).mapInArrow(run, "doc_id long, bits long")
+    return bits(whole(text))
 
 
 def distances(bits: np.ndarray) -> np.ndarray:
@@ -214,7 +213,8 @@ def link_points(points: DataFrame, max_bits: int = 4, shard: int = SHARD) -> Dat
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of each row."""
-    return group_rows(cut_lineage(with_fingerprint(docs, shingle)), max_bits).select(
+    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), fingerprints(F.col("`text`"), shingle).alias("bits"))
+    return group_rows(cut_lineage(rows), max_bits).select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -226,3 +226,17 @@ def group_rows(rows: DataFrame, max_bits: int) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(least, "root").select("bits", "component_id")
     return rows.join(known, "bits")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows and columns of ``docs``, of each group of near copies only the row of the smallest key (null: last).
+
+    Of rows that share it, the one read first stays."""
+    rows = docs.withColumns({"__bits": fingerprints(F.col(f"`{text}`"), shingle), "__row": F.monotonically_increasing_id()})
+    rows = cut_lineage(rows)
+    order = F.struct(F.col(f"`{key}`").isNull().alias("last"), F.col(f"`{key}`").alias("key"), F.col("__row").alias("row"))
+    points = cut_lineage(rows.groupBy(F.col("__bits").alias("bits")).agg(F.min(order).alias("least")))
+    linked = link_points(points, max_bits)
+    rooted = points.join(linked, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

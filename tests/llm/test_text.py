@@ -1,0 +1,164 @@
+"""Language identification, surrogates and the language model."""
+
+import collections
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from emulon.llm import langid, lm, surrogates
+from emulon.llm.common import crc_fold
+
+KEY = b"test"
+
+
+def test_language(spark, small_docs, odd_docs, no_docs):
+    fold = crc_fold(F.col("doc_id"), 3)
+    model = langid.train(small_docs, fold != 1)
+    rows = langid.predict(small_docs, model).where(fold == 1).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    odd = langid.predict(odd_docs, model)
+    assert odd.columns == [*odd_docs.columns, "lang_pred", "score"]
+    for r in odd.collect():
+        assert (r["lang_pred"] == "und") == (r["text"] is None or not any(map(str.isalpha, r["text"])))
+    assert langid.predict(no_docs, model).count() == 0
+    assert langid.train(odd_docs) is None and langid.train(no_docs) is None
+    assert {r["lang_pred"] for r in langid.predict(odd_docs, None).collect()} == {"und"}
+
+
+def test_features_cover_the_whole_text():
+    short = "der und die " * 10
+    long = short * 20_000
+    assert langid.counts(long).sum() > 4_000_000
+    a, b = langid._features(np.stack([langid.counts(short), langid.counts(long)]))
+    assert np.linalg.norm(a - b) < 0.2
+
+
+def test_found_entities():
+    text = ("Mr. John Smith met Mrs. Smith and Dr. O'Neil; JOHN.S@Ex.COM, john.s@ex.com, +1 (017) 555-7713, (212) 555-1234, "
+            "GB82 WEST 1234 5698 7654 32, 4111 1111 1111 1111, 9807915762804490, 123-45-6789, 10.0.0.1, password: 'hunter22x', "
+            "token = \"9233a8ecf7c5b09fe5949719b6b82bc439e9329b\", господин Иванов")
+    kinds = collections.Counter(e[0].split("-")[0] for _, _, e in surrogates.find(text))
+    assert kinds == {"given": 1, "surname": 4, "email": 2, "phone": 2, "iban": 1, "card": 2, "ssn": 1, "ip": 1, "secret": 2}
+    new = surrogates.replace(text, KEY, {}, {})
+    for _, _, (kind, value) in surrogates.find(text):
+        assert value not in new.lower() or kind.startswith("given")
+    assert re.search(r"Mr\. [A-Z][a-z]+ [A-Z][a-z]+ met Mrs\. [A-Z][a-z]+ and Dr\. [A-Z]", new)
+    assert re.findall(r"Mr\. \w+ (\w+)", new) == re.findall(r"Mrs\. (\w+)", new)
+    mails = re.findall(r"\S+@[\w.]+", new)
+    assert mails[0].endswith(".COM") and mails[0].lower() == mails[1] and mails[1].endswith(".com")
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new) and re.search(r"господин [А-Я][а-я]+", new)
+    iban, card = re.search(r"GB[\dA-Z ]{20,}", new)[0].replace(" ", ""), re.search(r"\d{4} \d{4} \d{4} \d{4}(?=, \d{16})", new)[0].replace(" ", "")
+    assert surrogates._mod97(iban.strip()) == 1 and surrogates._luhn(card[:-1]) == int(card[-1])
+    for clean in ("Version 1.2.3.4.5 of 2020-10-10, 3.14159 and 12,345.", "Frau sagt nein. mr smith a@b", "", "1 2 3 4 5 6 7 8 9"):
+        assert surrogates.replace(clean, KEY, {}, {}) == clean
+
+
+def test_permutations_are_one_to_one():
+    for label, size in (("a", 10), ("b", 1000), ("c", 4097)):
+        assert sorted(surrogates._permute(KEY, label, i, size) for i in range(size)) == list(range(size))
+    values = [f"a{i}@b{i % 3}.de" for i in range(1000)]
+    assert len({surrogates.surrogate(KEY, ("email", v)) for v in values}) == 1000
+    assert surrogates.surrogate(KEY, ("email", "a@b.de")) != surrogates.surrogate(b"other", ("email", "a@b.de"))
+
+
+def test_surrogates_stay_distinct(spark, odd_docs, no_docs):
+    # all IP values of a small form cannot be had; single-letter mails are a form of 676 values, half of them true here
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.de" for a in letters for b in letters[:13]]
+    names = [f"Mr. {c}{d}xo" for c in "ABCDEFGHIJKLMNOP" for d in "aeiou"]
+    docs = spark.createDataFrame([(i, f"write to {m} or {m.upper()} and {n}") for i, (m, n) in enumerate(zip(mails, names * 5))]
+                                 + [(1000, None), (1001, "")], "doc_id long, text string")
+    rows = surrogates.replace_entities(docs, KEY, count="n").collect()
+    given = {r["doc_id"]: r["text"] for r in docs.collect()}
+    of_mail, of_name = collections.defaultdict(set), collections.defaultdict(set)
+    for r in rows:
+        if not r["text"]:
+            assert r["text"] == given[r["doc_id"]] and r["n"] == 0
+            continue
+        low, high, name = re.fullmatch(r"write to (\S+) or (\S+) and Mr\. (\S+)", r["text"]).groups()
+        assert high.lower() == low and r["n"] == 3
+        of_mail[given[r["doc_id"]].split()[2]].add(low)
+        of_name[given[r["doc_id"]].split()[-1]].add(name)
+    for found, true in ((of_mail, set(mails)), (of_name, {n.split()[1] for n in names})):
+        assert all(len(v) == 1 for v in found.values())
+        new = [next(iter(v)) for v in found.values()]
+        assert len(set(new)) == len(new) and not set(new) & true
+    odd = surrogates.replace_entities(odd_docs, KEY)
+    assert odd.columns == odd_docs.columns
+    assert sorted(map(str, odd.collect())) == sorted(map(str, odd_docs.collect()))
+    assert surrogates.replace_entities(no_docs, KEY).count() == 0
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(9)
+    for n, top in ((0, 5), (1, 0), (1, 9), (10, 1000), (10_000, 100), (5000, 10**12)):
+        values = np.sort(rng.integers(0, top + 1, n))
+        raw = b"head" + lm.EliasFano.encode(values) + b"tail"
+        got, end = lm.EliasFano.decode(raw, 4)
+        assert (got == values).all() and raw[end:] == b"tail"
+
+
+def brute_model(texts, learn, share):
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for t in texts]
+    words = [[w for w in re.split(r"[\x20\x09-\x0D]+", t) if w] + [None] for t in words]
+    count = collections.Counter(w for ws, ok in zip(words, learn) if ok for w in ws)
+    n, v, docs = sum(count.values()), len(count), count[None]
+    limit = max(1.0, share * (n - docs))
+    frequent = {w for w, c in count.items() if w is not None and c >= limit}
+    rare = [c for w, c in count.items() if w is not None and w not in frequent]
+    tokens, types = sum(rare), max(1, len(rare))
+    weight = {None: docs + 0.5, "": tokens + types} | {w: count[w] for w in frequent}
+    total = {None: docs, "": tokens} | {w: count[w] for w in frequent}
+
+    def name(w):
+        return w if w is None or w in frequent else ""
+
+    pairs = collections.Counter()
+    for ws, ok in zip(words, learn):
+        if ok:
+            pairs.update(zip([None, *map(name, ws)], map(name, ws)))
+    different = collections.Counter(a for a, _ in pairs)
+    out = []
+    for ws in words:
+        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        score = 0.0
+        for a, w in zip([None, *map(name, ws)], ws):
+            b = name(w)
+            unigram = weight[b] / sum(weight.values())
+            score += math.log10((pairs[a, b] + different[a] * unigram) / (total[a] + different[a]) if different[a] else unigram)
+            score += math.log10((count[w] or types) / (tokens + types)) if b == "" else 0
+        out.append((len(ws), sum(count[w] > 0 for w in ws), n, base, score))
+    return out
+
+
+@pytest.mark.parametrize("which", ["small_docs", "odd_docs", "no_docs"])
+def test_language_model(request, which):
+    docs = request.getfixturevalue(which).select("doc_id", "text")
+    share = 1e-3
+    rows = docs.collect()
+    held_out = [zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 1 for r in rows]
+    want = brute_model([r["text"] for r in rows], [not h for h in held_out], share)
+    model, tries, rare = lm.train(docs.where(crc_fold(F.col("doc_id"), 5) != 1), share_of=share, words_per_shard=500)
+    got = lm.score(docs, model, tries, rare).collect()
+    order = lambda r: (str(r[0]), r[1], r[4])
+    want = sorted([(r["doc_id"], *w) for r, w in zip(rows, want)], key=order)
+    got = sorted(map(tuple, got), key=order)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:4] == w[:4]
+        assert g[4] == pytest.approx(w[4], abs=1e-6)
+        assert abs(g[5] - w[5]) <= w[1] / 8000
+    if which == "small_docs":
+        assert sum(r[5] for r in got) > sum(r[4] for r in got)
+
+
+def test_language_model_without_training(odd_docs):
+    model, tries, rare = lm.train(odd_docs.limit(0))
+    rows = lm.score(odd_docs, model, tries, rare).collect()
+    assert len(rows) == odd_docs.count()
+    assert all(abs(r["base_score"]) < 1e-9 and r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in rows)
