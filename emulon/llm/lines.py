@@ -10,7 +10,7 @@ their sizes allow (length filter), enough words are left after the shared one (p
 of their word bitmaps differ (each differing bit is a differing word).  What remains is verified on the words.
 
 Rarity need only be roughly known, as any order is exact: words are counted in buckets by hash, and the logarithms of the
-counts, one byte a bucket, travel with the plan.  There are 2**20 to 2**26 buckets, after the number of words,
+counts, one byte a bucket, travel with the plan.  There are 2**12 to 2**26 buckets, after the size of the text,
 so this is bounded by 64 MB at any input.  The same kind of table tells which lines verification must fetch; a line
 wrongly fetched is dropped by the join.
 
@@ -31,21 +31,32 @@ from emulon.runtime import cut_lineage
 LAST = 2**63 - 1
 
 
-def _byte_table(counts: DataFrame, bits: int) -> Column:
-    """A constant of ``2**bits`` bytes from rows of ``bucket`` and ``level`` (0 to 255, two hex digits); the rest is 0."""
-    row = 10
-    pieces = counts.groupBy(F.shiftright("bucket", row).alias("piece")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("bucket").bitwiseAND((1 << row) - 1).cast("int"), "level"))).alias("levels"))
-    every = F.transform(F.sequence(F.lit(0), F.lit((1 << row) - 1)), lambda i: F.coalesce(F.col("levels")[i], F.lit("00")))
-    table = bytearray(1 << bits)
-    for r in pieces.select("piece", F.unhex(F.array_join(every, "")).alias("raw")).toLocalIterator():
-        table[r["piece"] << row : (r["piece"] + 1) << row] = r["raw"]
-    return F.lit(table)
+def _byte_table(buckets: DataFrame, bits: int, level: Column) -> Column:
+    """``2**bits`` bytes, one a bucket: the ``level`` (two hex digits) of the number ``n`` of rows in it.
 
+    A written table of one row, read by a scalar subquery, so that the plan does not hold the bytes."""
+    every = buckets.select("bucket").unionAll(buckets.sparkSession.range(1 << bits).toDF("bucket"))
+    counted = every.groupBy("bucket").agg((F.count("*") - 1).alias("n")).select(
+        F.shiftright("bucket", PIECE).alias("piece"), F.struct("bucket", level.alias("hex")).alias("item"))
 
-def _level(n: str) -> Column:
-    """A quarter of a power of two per step, as two hex digits; 0 is for what does not occur."""
-    return F.lpad(F.hex(F.least(F.lit(255), 1 + F.floor(4 * F.log2(F.col(n)))).cast("int")), 2, "0")
+    def joined(items: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda i: i["hex"]), "")
+
+    pieces = counted.groupBy("piece").agg(joined("item").alias("hex")).select(F.struct("piece", "hex").alias("item"))
+    return cut_lineage(pieces.agg(F.unhex(joined("item")).alias("bytes"))).scalar()
+
+
+PIECE = 12  # bits of the buckets joined in the first step
+
+
+def _rarity() -> Column:
+    """A quarter of a power of two per step; 0 is for what does not occur."""
+    level = F.when(F.col("n") > 0, F.least(F.lit(255), 1 + F.floor(4 * F.log2("n")))).otherwise(0)
+    return F.lpad(F.hex(level.cast("int")), 2, "0")
+
+
+def _presence() -> Column:
+    return F.when(F.col("n") > 0, "01").otherwise("00")
 
 
 def _bucket(hashed: Column, bits: int) -> Column:
@@ -66,30 +77,34 @@ def _lines(docs: DataFrame, key: str, text: str, only: Column | None = None) ->
     return exploded.select("doc", "whole", "line", _words(F.col("content")).alias("words")).where(F.size("words") > 0)
 
 
-def _flags(places: DataFrame, keys: list[str], bits: int = 22) -> Column:
+def _table_bits(docs: DataFrame, text: str) -> int:
+    total = docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
+    return min(26, max(12, (total // 400).bit_length()))
+
+
+def _flags(places: DataFrame, keys: list[str], bits: int) -> Column:
     """Whether the place of the current row may be among ``places``; wrong only in that it may be true too often."""
     bucket = _bucket(F.xxhash64(*keys), bits)
-    table = _byte_table(places.select(bucket.alias("bucket")).distinct().withColumn("level", F.lit("01")), bits)
+    table = _byte_table(places.select(bucket.alias("bucket")), bits, _presence())
     return F.substring(table, (bucket + 1).cast("int"), 1) != F.lit(bytearray(1))
 
 
 def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """doc, whole, lines: per document the numbers of the lines that go (written)."""
     words = _lines(docs, key, text).select(F.explode("words").alias("word"))
-    total = docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
-    bits = min(26, max(20, (total // 200).bit_length()))
-    counted = words.select(_bucket(F.xxhash64("word"), bits).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    rarity = _byte_table(counted.select("bucket", _level("n").alias("level")), bits)
+    bits = _table_bits(docs, text)
+    rarity = _byte_table(words.select(_bucket(F.xxhash64("word"), bits).alias("bucket")), bits, _rarity())
 
     # each line with its set's name, size, bitmap and prefix; words by their hashes, from rare to frequent
     least = F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
     ranked = F.array_sort(F.transform("words", lambda w: F.struct(
-        F.substring(rarity, (_bucket(F.xxhash64(w), bits) + 1).cast("int"), 1).alias("level"), F.xxhash64(w).alias("word"))))
+        F.substring("rarity", (_bucket(F.xxhash64(w), bits) + 1).cast("int"), 1).alias("level"), F.xxhash64(w).alias("word"))))
     bitmap = F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 58).bitwiseAND(63).cast("int"))))
     head = F.slice("hashes", F.lit(1), (F.col("size") - least + 1).cast("int"))
-    lines = _lines(docs, key, text).select("doc", "whole", "line", F.size("words").alias("size"), ranked["word"].alias("hashes"))
-    places = cut_lineage(lines.select(
+    # words and table are used once, so Spark puts the subquery into the expression and no row holds the table
+    lines = _lines(docs, key, text).withColumn("rarity", rarity).select("doc", "whole", "line", ranked["word"].alias("hashes"))
+    places = cut_lineage(lines.withColumn("size", F.size("hashes")).select(
         "doc", "whole", "line", F.xxhash64("hashes").alias("set_a"), F.xxhash64(F.reverse("hashes")).alias("set_b"), "size",
         bitmap.alias("bitmap"), F.transform(head, lambda h: F.shiftright(h, 32).cast("int")).alias("prefix")))
     name = ["set_a", "set_b"]
@@ -113,7 +128,7 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
 
     # the words of candidates are fetched again from the documents
     wanted = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).union(pairs.select("doc_b", "line_b"))
-    fetched = _lines(docs, key, text, _flags(wanted, ["doc", "line"])).groupBy("doc", "line").agg(F.collect_set("words").alias("sets"))
+    fetched = _lines(docs, key, text, _flags(wanted, ["doc", "line"], bits)).groupBy("doc", "line").agg(F.collect_set("words").alias("sets"))
     one, other = (fetched.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.explode("sets").alias(f"words_{x}"))
                   for x in "ab")
     shared = F.size(F.array_intersect("words_a", "words_b"))
@@ -134,7 +149,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     going = later_matches(docs, key, text, similarity)
     body = F.col(f"`{text}`")
     named = docs.withColumns({"__doc": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)), "__whole": F.xxhash64(body)})
-    flagged = _flags(going.select(F.col("doc").alias("__doc"), F.col("whole").alias("__whole")), ["__doc", "__whole"])
+    flagged = _flags(going.select(F.col("doc").alias("__doc"), F.col("whole").alias("__whole")), ["__doc", "__whole"], _table_bits(docs, text))
     losing = named.where(flagged).join(
         going.select(F.col("doc").alias("__doc"), F.col("whole").alias("__whole"), F.col("lines").alias("__list")), ["__doc", "__whole"], "left")
     every = F.split(body, "\n")
