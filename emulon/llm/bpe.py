@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from emulon.llm.common import column, texts
-from emulon.llm.tokens import MEMORY, Encoder, split_before_words
+from emulon.llm.tokens import MEMORY, Encoder, before_words
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -84,7 +84,7 @@ class RankEncoder(Encoder):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
+        self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
         vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
@@ -101,8 +101,7 @@ class RankEncoder(Encoder):
         for token, i in {**vocabulary, **self.special}.items():
             plain = token in self.special or any(c not in alphabet for c in token)
             self.bytes_of[i] = token.encode() if plain else bytes(alphabet[c] for c in token)
-        self.split, self.memory, self.known, self.word_ends = split_before_words, memory, {}, False
-        self.words: dict[bytes, bytes] = {}
+        self.cut, self.memory, self.name = before_words, memory, (type(self).__name__, path)
         self.pattern = regex.compile(PATTERN)
 
     def _library_ids(self, texts: list[str]) -> list[bytes]:
@@ -110,7 +109,7 @@ class RankEncoder(Encoder):
         out = []
         for text in texts:
             ids = []
-            for segment in self.cut.split(text):
+            for segment in self.at_special.split(text):
                 if segment in self.special:
                     ids.append(np.array([self.special[segment]], dtype="<u4").tobytes())
                 elif segment:
@@ -118,19 +117,19 @@ class RankEncoder(Encoder):
             out.append(b"".join(ids))
         return out
 
-    def _ask_library(self, chunks: list[str]) -> None:
+    def _new_ids(self, chunks: list[str]) -> list[bytes]:
         find = self.pattern.findall
-        cut = [[w.encode() for w in find(c)] if not c.removeprefix(" ").isalpha() else [c.encode()] for c in chunks]
-        if len(self.words) > self.memory:
-            self.words = {}
-        new = list(set().union(*cut).difference(self.words)) if cut else []
+        plain = [c.removeprefix(" ").isalpha() for c in chunks]  # one match of the pattern
+        words = [[c.encode()] if p else [w.encode() for w in find(c)] for c, p in zip(chunks, plain)]
+        new = list(set().union(*words)) if words else []
+        known: dict[bytes, bytes] = {}
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             short = [w for w in part if len(w) <= SHORT]
-            self.words.update(zip(short, self.merge_words(short)))
-            self.words.update((w, self.merge_long(w)) for w in part if len(w) > SHORT)
-        get = self.words.__getitem__
-        self.known.update((c, b"".join(map(get, words))) for c, words in zip(chunks, cut))
+            known.update(zip(short, self.merge_words(short)))
+            known.update([(w, self.merge_long(w)) for w in part if len(w) > SHORT])
+        get = known.__getitem__
+        return [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in words]
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word; every step deletes one boundary in each word that has a merge left."""
@@ -210,8 +209,8 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = RankEncoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
                 ids = encoder.encode(column(piece, "text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [column(piece, "doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -238,8 +237,8 @@ def round_trip_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = RankEncoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
                 ids = encoder.encode(column(piece, "text").to_pylist())
                 decoded = [hashlib.sha256(encoder.decode(i).encode()).hexdigest() for i in ids]
                 yield pa.RecordBatch.from_arrays([

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emulon.llm.common import column, texts
-from emulon.llm.tokens import Encoder, split_at_white_space
+from emulon.llm.tokens import Encoder, at_white_space
 from emulon.runtime import cut_lineage, opened, share
 
 
@@ -74,12 +74,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 204
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, split_at_white_space)
+        encoder = Encoder(tokenizer, at_white_space)
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
                 rows = []
                 for key, ids in zip(column(piece, "doc_id").to_pylist(), encoder.encode(column(piece, "text").to_pylist())):
                     ids += tail

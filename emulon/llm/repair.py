@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emulon.llm.common import column, ranges, texts
-from emulon.llm.tokens import Encoder, split_before_words
+from emulon.llm.tokens import Encoder, before_words
 
 BLOCKS = "shard int, block int, doc_ids array<long>, n_tokens long, payload binary"
 MAGIC = b"RPG1"
@@ -192,7 +192,7 @@ def encode_to_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, first_rul
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, split_before_words)
+        encoder = Encoder(tokenizer, before_words)
         shard = TaskContext.get().partitionId()
         keys: list[int | None] = []
         parts: list[bytes] = []
@@ -211,8 +211,8 @@ def encode_to_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, first_rul
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
                 for key, ids in zip(column(piece, "doc_id").to_pylist(), encoder.encode(column(piece, "text").to_pylist())):
                     keys.append(key)
                     parts.append(ids + tail)
