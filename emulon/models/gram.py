@@ -20,10 +20,10 @@ from emulon.functions.columns import model_columns
 from emulon.models.sums import sum_over_partitions
 from emulon.runtime import opened, share
 
-MAX_WIDTH = 2500  # features plus outputs; the statistics are this number squared
-
-
 class FeatureMap(Protocol):
+    """Maps a block of rows to ``width`` features.  A map may have ``centre(means)``: numbers near the
+    means of its features, which are taken off before products are formed."""
+
     width: int
 
     def __call__(self, x: np.ndarray) -> np.ndarray: ...
@@ -31,39 +31,81 @@ class FeatureMap(Protocol):
 
 @dataclass
 class Moments:
-    """Inner products of ``[1, features, outputs]`` over some rows."""
+    """Inner products over some rows of features and outputs, all less their shifts.
+
+    ``inner`` has rows ``[1, features]`` and columns ``[1, features, outputs]``; of the outputs among themselves only
+    the squares are needed.  Shifts keep columns of large mean and small spread from losing their digits.
+    """
 
-    matrix: np.ndarray
-    features: int
+    inner: np.ndarray
+    output_squares: np.ndarray
+    shift: np.ndarray
+    output_shift: np.ndarray
 
     def __add__(self, other: "Moments") -> "Moments":
-        return Moments(self.matrix + other.matrix, self.features)
+        return Moments(self.inner + other.inner, self.output_squares + other.output_squares, self.shift, self.output_shift)
 
     def __sub__(self, other: "Moments") -> "Moments":
-        return Moments(self.matrix - other.matrix, self.features)
+        return Moments(self.inner - other.inner, self.output_squares - other.output_squares, self.shift, self.output_shift)
+
+    @property
+    def features(self) -> int:
+        return len(self.inner) - 1
 
     @property
     def rows(self) -> float:
-        return self.matrix[0, 0]
+        return self.inner[0, 0]
+
+    @property
+    def feature_sums(self) -> np.ndarray:
+        return self.inner[0, 1 : self.features + 1]
+
+    @property
+    def output_sums(self) -> np.ndarray:
+        return self.inner[0, self.features + 1 :]
+
+    @property
+    def shifted_gram(self) -> np.ndarray:
+        return self.inner[1:, 1 : self.features + 1]
+
+    @property
+    def shifted_cross(self) -> np.ndarray:
+        return self.inner[1:, self.features + 1 :]
 
     @property
     def gram(self) -> np.ndarray:
-        return self.matrix[1 : self.features + 1, 1 : self.features + 1]
+        s, t = self.shift, self.feature_sums
+        return self.shifted_gram + np.outer(s, t) + np.outer(t, s) + self.rows * np.outer(s, s)
 
     @property
     def cross(self) -> np.ndarray:
-        return self.matrix[1 : self.features + 1, self.features + 1 :]
+        s, u = self.shift, self.output_shift
+        return self.shifted_cross + np.outer(s, self.output_sums) + np.outer(self.feature_sums, u) + self.rows * np.outer(s, u)
 
     @property
     def squares(self) -> np.ndarray:
         """Sum of squares of each output."""
-        return np.diag(self.matrix)[self.features + 1 :]
+        u = self.output_shift
+        return self.output_squares + 2 * u * self.output_sums + self.rows * u * u
 
     def squared_error(self, weights: np.ndarray, intercept: np.ndarray) -> np.ndarray:
         """Sum of squared errors per output of a linear model on these rows."""
-        q = weights.shape[1]
-        v = np.vstack([intercept[None, :], weights, -np.eye(q)])
-        return np.maximum(np.einsum("ij,ik,kj->j", v, self.matrix, v), 0.0)
+        c = intercept + self.shift @ weights - self.output_shift  # the intercept between shifted columns
+        error = (self.output_squares - 2 * (weights * self.shifted_cross).sum(axis=0) - 2 * c * self.output_sums
+                 + (weights * (self.shifted_gram @ weights)).sum(axis=0) + 2 * c * (self.feature_sums @ weights) + self.rows * c * c)
+        return np.maximum(error, 0.0)
+
+
+def _shifts(df: DataFrame, maps: Sequence[FeatureMap], inputs: Sequence[str], outputs: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per map the shifts of its features and of the outputs; nought for maps without a centre."""
+    none = [(np.zeros(m.width), np.zeros(len(outputs))) for m in maps]
+    if not any(hasattr(m, "centre") for m in maps):
+        return none
+    columns = [*model_columns("x", inputs), *model_columns("y", outputs)]
+    row = df.select(*columns).agg(*[F.avg(f"x{i}") for i in range(len(inputs))], *[F.avg(f"y{i}") for i in range(len(outputs))]).head()
+    means = np.nan_to_num(np.array([0.0 if v is None else v for v in row]))
+    x, y = means[: len(inputs)], means[len(inputs) :]
+    return [(m.centre(x), y) if hasattr(m, "centre") else zero for m, zero in zip(maps, none)]
 
 
 def moments(
@@ -75,21 +117,20 @@ def moments(
 ) -> dict[str, dict[int, Moments]]:
     """``{map name: {fold: Moments}}`` in one scan; without ``fold`` all rows are fold 0."""
     names, n_in, n_out = list(maps), len(inputs), len(outputs)
-    widths = [maps[m].width + n_out + 1 for m in names]
-    if max(widths) > MAX_WIDTH:
-        raise ValueError(f"{max(widths)} features and outputs; the statistics hold at most {MAX_WIDTH}")
+    widths = [maps[m].width + 1 for m in names]
     table = df.select(
         *model_columns("x", inputs),
         *model_columns("y", outputs),
         (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"),
     )
     # The mapped features of a batch take rows x width doubles; keep a block to 32 MB.
-    step = max(256, 4_000_000 // max(widths))
-    shared = share(df.sparkSession, [maps[m] for m in names])
+    step = max(256, 4_000_000 // (max(widths) + n_out))
+    shifts = _shifts(df, [maps[m] for m in names], inputs, outputs)
+    shared = share(df.sparkSession, ([maps[m] for m in names], shifts))
 
     def work(batches: Iterator[pd.DataFrame], part: int) -> dict[int, np.ndarray]:
         found: dict[int, np.ndarray] = {}
-        feature_maps = opened(shared)
+        feature_maps, offsets = opened(shared)
         for batch in batches:
             block, number = batch.iloc[:, :-1].to_numpy(dtype=float), batch["fold"].to_numpy()
             if np.isnan(block).any():
@@ -99,18 +140,19 @@ def moments(
                 for start in range(0, len(rows), step):
                     x, y = rows[start : start + step, :n_in], rows[start : start + step, n_in:]
                     for i, m in enumerate(feature_maps):
-                        z = np.hstack([np.ones((len(x), 1)), m(x), y])
+                        z = np.hstack([np.ones((len(x), 1)), m(x) - offsets[i][0]])
+                        off = y - offsets[i][1]
                         slot = int(f) * len(names) + i
-                        product = (z.T @ z).ravel()
+                        product = np.concatenate([(z.T @ np.hstack([z, off])).ravel(), (off * off).sum(axis=0)])
                         found[slot] = found[slot] + product if slot in found else product
         return found
 
-    folds = 8  # a guess that only decides where partial sums are added up
-    totals = sum_over_partitions(table, work, folds * sum(w * w for w in widths))
+    totals = sum_over_partitions(table, work)
     out: dict[str, dict[int, Moments]] = {m: {} for m in names}
     for slot, numbers in sorted(totals.items()):
         i = slot % len(names)
-        out[names[i]][slot // len(names)] = Moments(numbers.reshape(widths[i], widths[i]), maps[names[i]].width)
+        inner = numbers[: len(numbers) - n_out].reshape(widths[i], widths[i] + n_out)
+        out[names[i]][slot // len(names)] = Moments(inner, numbers[len(numbers) - n_out :], *shifts[i])
     if not totals:
         raise ValueError("no rows to fit on")
     return out
@@ -131,19 +173,24 @@ def total(parts: Mapping[int, Moments]) -> Moments:
 def least_squares(m: Moments, fit_intercept: bool = True, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Weights and intercept; directions without variance get weight zero."""
     n = m.rows
-    mean = m.matrix[0, 1:] / n
-    p = m.features
-    centered = m.matrix[1:, 1:] - n * np.outer(mean, mean) if fit_intercept else m.matrix[1:, 1:]
-    gram, cross = centered[:p, :p], centered[:p, p:]
-    # Judge variance against the raw size of a feature: a constant one is left with rounding noise.
-    raw = np.maximum(np.diag(m.matrix)[1 : p + 1], 1e-300)
-    alive = np.diag(gram) > 1e-12 * raw
+    mean, output_mean = m.feature_sums / n, m.output_sums / n
+    if fit_intercept:
+        gram, cross = m.shifted_gram - n * np.outer(mean, mean), m.shifted_cross - n * np.outer(mean, output_mean)
+        raw = np.diag(m.shifted_gram)
+    else:
+        gram, cross = m.gram, m.cross
+        raw = np.diag(gram)
+    # A constant feature is left with the rounding noise of its products and of its values.
+    noise = np.maximum(1e-12 * raw, n * (4e-16 * m.shift) ** 2)
+    alive = np.diag(gram) > np.maximum(noise, 1e-300)
     size = np.where(alive, np.sqrt(np.where(alive, np.diag(gram), 1.0)), 1.0)
     a = np.where(np.outer(alive, alive), gram / np.outer(size, size), 0.0)
     b = np.where(alive[:, None], cross / size[:, None], 0.0)
     scaled = _non_negative(a, b) if positive else _symmetric_solve(a, b)
     weights = scaled / size[:, None]
-    intercept = mean[p:] - mean[:p] @ weights if fit_intercept else np.zeros(weights.shape[1])
+    intercept = np.zeros(weights.shape[1])
+    if fit_intercept:
+        intercept = output_mean + m.output_shift - (mean + m.shift) @ weights
     return weights, intercept
 
 

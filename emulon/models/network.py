@@ -18,12 +18,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulon.functions.columns import model_columns, unit_hash
+from emulon.functions.columns import model_columns, quoted, unit_hash
 from emulon.models.base import Model
 from emulon.models.sums import sum_over_partitions
 from emulon.roles import Roles
-from emulon.runtime import opened, share, worker_count
+from emulon.runtime import opened, share
 
+PARTITIONS = 8  # workers of a round unless asked for otherwise; results depend on it, not on the cluster
+BLOCK_ROWS = 8192  # rows shuffled together
 VALIDATION = -1  # fold number of explicit validation rows
 
 # The optimiser's constants.
@@ -164,7 +166,7 @@ def train(
     n_in, n_out = len(roles.inputs), len(roles.outputs)
     for job in jobs:
         _start(job, n_in, n_out)
-    partitions = partitions or worker_count(table.sparkSession)
+    partitions = partitions or PARTITIONS
     seed = int(jobs[0].params["seed"])
     rows = table.select(
         unit_hash(roles.key, seed, "batch").alias("u"),
@@ -209,6 +211,24 @@ def _is_adam(params: Mapping[str, object]) -> bool:
     return str(params["optimizer"]).lower() != "sgd"
 
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and folds in blocks of ``BLOCK_ROWS``, whatever the size of Arrow batches."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for batch in batches:
+        while len(batch):
+            part, batch = batch.iloc[: BLOCK_ROWS - n], batch.iloc[BLOCK_ROWS - n :]
+            held.append(part)
+            n += len(part)
+            if n == BLOCK_ROWS:
+                block = pd.concat(held)
+                yield block.iloc[:, :-1].to_numpy(dtype=float), block["fold"].to_numpy()
+                held, n = [], 0
+    if held:
+        block = pd.concat(held)
+        yield block.iloc[:, :-1].to_numpy(dtype=float), block["fold"].to_numpy()
+
+
 def _round(rows, jobs, active, n_in, epoch, partitions, seed) -> None:
     shared = share(rows.sparkSession, [
         (i, jobs[i].layout, jobs[i].state, jobs[i].rate, _is_adam(jobs[i].params), int(jobs[i].params["batch_size"]),
@@ -220,8 +240,7 @@ def _round(rows, jobs, active, n_in, epoch, partitions, seed) -> None:
         networks = opened(shared)
         states = {i: state.copy() for i, _, state, *_ in networks}
         counts, losses = dict.fromkeys(states, 0), dict.fromkeys(states, 0.0)
-        for number, batch in enumerate(batches):
-            block, fold = batch.iloc[:, :-1].to_numpy(dtype=float), batch["fold"].to_numpy()
+        for number, (block, fold) in enumerate(_blocks(batches)):
             if np.isnan(block).any():
                 raise ValueError("inputs and outputs of a fit must not be missing; impute or drop them first")
             for i, layout, _, rate, adam, size, left_out in networks:
@@ -324,8 +343,8 @@ class Network(Model):
         job = NetworkJob(params)
         fold = None
         if validation is not None:
-            df = df.select(*roles.columns, F.lit(0).alias("_fold")).unionByName(
-                validation.select(*roles.columns, F.lit(VALIDATION).alias("_fold")))
+            df = df.select(*map(quoted, roles.columns), F.lit(0).alias("_fold")).unionByName(
+                validation.select(*map(quoted, roles.columns), F.lit(VALIDATION).alias("_fold")))
             fold = "_fold"
         train(df, roles, [job], fold, params["partitions"])
         return cls.from_job(roles, job)

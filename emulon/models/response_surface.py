@@ -32,6 +32,10 @@ class PolynomialMap:
                 out[:, j] *= x[:, i]
         return out
 
+    def centre(self, means: np.ndarray) -> np.ndarray:
+        """The terms of the mean row."""
+        return self(means[None, :])[0]
+
 
 class ResponseSurface(Model):
     kind = "response_surface"
@@ -85,7 +89,7 @@ class ResponseSurface(Model):
         return spark.createDataFrame(rows, "output string, term string, coefficient double")
 
     def predict_block(self, x: np.ndarray) -> np.ndarray:
-        return self.map(x) @ self.weights + self.intercept
+        return np.where(np.isnan(x).any(axis=1, keepdims=True), np.nan, self.map(x) @ self.weights + self.intercept)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """A plain column expression, so prediction stays in generated JVM code."""
@@ -93,9 +97,9 @@ class ResponseSurface(Model):
             return super().transform(df)
         new = {}
         for j, out in enumerate(self.outputs):
+            # a term of weight nought stays, so that a missing input gives a missing prediction as in Arrow blocks
             parts = [number(self.intercept[j])] + [
-                f"{number(self.weights[i, j])} * {term_sql(t)}"
-                for i, t in enumerate(self.map.terms) if self.weights[i, j] != 0.0
+                f"{number(self.weights[i, j])} * {term_sql(t)}" for i, t in enumerate(self.map.terms)
             ]
             new[f"pred_{out}"] = "(" + " + ".join(parts) + ")"
         return replace_columns(df, new)

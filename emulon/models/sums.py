@@ -1,13 +1,13 @@
 """Sums over partitions of small arrays computed inside the tasks.
 
-Each task folds its Arrow batches into a few arrays.  The arrays are added up in Spark,
-sliced so that every slice has its own group, and in partition order so that a repeated
-run gives the same bits.  Only the totals reach the driver.
+Each task folds its Arrow batches into a few arrays.  The scan keeps its own partitions.  The arrays
+are added up in a tree of fixed shape, keyed by partition number: 256 neighbours first, then all of these.
+Few small arrays are added on the driver, others in Spark, sliced, so that every slice has its own group; the shape of the
+tree, and so every bit of the totals, is the same.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,25 +16,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulon.runtime import worker_count
-
 SLICE = 4096  # numbers per row of the partial table
 GROUP = 256  # partials added up in one group
-DRIVER_NUMBERS = 8_000_000  # partial sums of up to this many numbers are added on the driver
+DRIVER_NUMBERS = 8_000_000  # partial arrays of up to this many numbers are added on the driver
 PARTIALS = "slot int, slice int, part int, numbers binary"
 
 Work = Callable[[Iterator[pd.DataFrame], int], dict[int, np.ndarray]]
 
 
-def sum_over_partitions(df: DataFrame, work: Work, size: int, partitions: int | None = None) -> dict[int, np.ndarray]:
+def sum_over_partitions(df: DataFrame, work: Work, size: int = 0, partitions: int | None = None) -> dict[int, np.ndarray]:
     """Element-wise totals of the arrays that ``work`` returns for each partition, by slot.
 
-    ``size`` is the largest amount of numbers one task returns.
+    With ``partitions``, their number, and ``size``, the most numbers a task returns, known to be small, totals are formed on the driver.
     """
-    if partitions is None:
-        partitions = 4 * worker_count(df.sparkSession)
-        df = df.coalesce(partitions)  # no shuffle; bounds the number of partial sums
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         for slot, numbers in work(batches, part).items():
@@ -46,23 +40,29 @@ def sum_over_partitions(df: DataFrame, work: Work, size: int, partitions: int |
                 "numbers": [numbers[c : c + SLICE].tobytes() for c in cuts],
             })
 
+    def summed(arrays: list[np.ndarray]) -> np.ndarray:
+        total = arrays[0].copy()
+        for a in arrays[1:]:
+            total += a
+        return total
+
     def add(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("part")
         first = group.iloc[0]
         return pd.DataFrame({
             "slot": [first["slot"]], "slice": [first["slice"]], "part": [first["part"]],
-            "numbers": [np.sum([np.frombuffer(b) for b in group["numbers"]], axis=0).tobytes()],
+            "numbers": [summed([np.frombuffer(b) for b in group["numbers"]]).tobytes()],
         })
 
     partials = df.mapInPandas(run, PARTIALS)
-    if partitions * size > DRIVER_NUMBERS:
-        for _ in range(math.ceil(math.log(max(partitions, 2), GROUP))):
-            bundle = F.floor(F.col("part") / GROUP)
-            partials = partials.groupBy("slot", "slice", bundle).applyInPandas(add, PARTIALS)
-            partials = partials.withColumn("part", F.floor(F.col("part") / GROUP).cast("int"))
-    totals: dict[int, dict[int, np.ndarray]] = {}
+    few = partitions is not None and partitions * size <= DRIVER_NUMBERS
+    if not few:
+        partials = partials.groupBy("slot", "slice", F.floor(F.col("part") / GROUP)).applyInPandas(add, PARTIALS)
+        partials = partials.groupBy("slot", "slice").applyInPandas(add, PARTIALS)
+    tree: dict[tuple[int, int], dict[int, list[np.ndarray]]] = {}
     for row in sorted(partials.collect(), key=lambda r: (r["slot"], r["slice"], r["part"])):
-        slices = totals.setdefault(row["slot"], {})
-        numbers = np.frombuffer(row["numbers"])
-        slices[row["slice"]] = slices[row["slice"]] + numbers if row["slice"] in slices else numbers
-    return {slot: np.concatenate([s[i] for i in sorted(s)]) for slot, s in totals.items()}
+        tree.setdefault((row["slot"], row["slice"]), {}).setdefault(row["part"] // GROUP, []).append(np.frombuffer(row["numbers"]))
+    totals: dict[int, list[np.ndarray]] = {}
+    for slot, piece in sorted(tree):
+        totals.setdefault(slot, []).append(summed([summed(a) for a in tree[slot, piece].values()]))
+    return {slot: np.concatenate(pieces) for slot, pieces in totals.items()}

@@ -24,7 +24,7 @@ from emulon.models.base import Model
 from emulon.models.landmarks import Kernel, LandmarkMap, pick_landmarks
 from emulon.models.sums import sum_over_partitions
 from emulon.roles import Roles
-from emulon.runtime import opened, share, worker_count
+from emulon.runtime import opened, share
 
 DAMPING = (1e-7, 1e-3, 1e-2, 1e-1, 1.0)
 # Widths of the rounding, each with the relative decrease of the loss that counts as settled.
@@ -127,14 +127,13 @@ def train(df: DataFrame, roles: Roles, jobs: list[FitJob], fold: str | None = No
         gamma = gammas[job.fold] if p["gamma"] in ("scale", None) else float(p["gamma"])
         job.map = LandmarkMap(Kernel(p["kernel"], gamma=gamma, degree=int(p["degree"])), picks[wanted])
 
-    partitions = 4 * worker_count(df.sparkSession)
     table = df.select(
         *model_columns("x", roles.inputs),
         *model_columns("y", roles.outputs),
         (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"),
-    ).coalesce(partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     table.count()
-    partitions = min(partitions, table.rdd.getNumPartitions())  # small tables have few partial sums
+    partitions = table.rdd.getNumPartitions()
     try:
         widest = max(job.map.width for job in jobs) + 1
         together = max(1, CURVATURE_NUMBERS // (widest * widest * len(jobs)))

@@ -3,6 +3,9 @@
 Sampling is the method itself: trees are grown from the rows with the lowest hash.
 All rows are scored, inside Arrow batches, against the broadcast trees (at most
 trees x 511 nodes).
+
+A row with a missing cell takes both branches of a split on it, each with the share of the tree's rows that went
+there.  While a tree grows, such rows follow the larger branch.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from emulon.functions.columns import as_double, number, quoted, unit_hash
 
 TREES = 100
 TREE_ROWS = 256
-NODES = "tree int, node int, feature int, cut double, left int, right int, path double"
+NODES = "tree int, node int, feature int, cut double, left int, right int, path double, goes_left double"
 
 
 def average_path(n) -> float:
@@ -51,7 +54,7 @@ def grow_forest(
         group = group.sort_values("draw").head(rows)
         x = np.array(group["x"].tolist(), dtype=float).reshape(len(group), width)
         tree = int(group["tree"].iloc[0])
-        return _grow_tree(np.nan_to_num(x), tree, np.random.default_rng([seed, tree]), rows)
+        return _grow_tree(x, tree, np.random.default_rng([seed, tree]), rows)
 
     return picked.groupBy("tree").applyInPandas(grow, NODES)
 
@@ -64,30 +67,50 @@ def _grow_tree(x: np.ndarray, tree: int, rng: np.random.Generator, rows: int) ->
         number = len(nodes)
         if parent is not None:
             nodes[parent][side] = number
-        low, high = members.min(axis=0), members.max(axis=0)
+        low = np.where(np.isnan(members), np.inf, members).min(axis=0)
+        high = np.where(np.isnan(members), -np.inf, members).max(axis=0)
         splittable = np.flatnonzero(high > low)
         if depth >= depth_cap or len(members) <= 1 or not len(splittable):
             path = depth + average_path(len(members))
             nodes.append({"tree": tree, "node": number, "feature": -1, "cut": 0.0, "left": -1, "right": -1,
-                          "path": path})
+                          "path": path, "goes_left": 0.0})
             continue
         feature = int(rng.choice(splittable))
         cut = float(rng.uniform(low[feature], high[feature]))
         if cut >= high[feature]:  # neighbouring floats: keep a row on the right
             cut = float(low[feature])
-        nodes.append({"tree": tree, "node": number, "feature": feature, "cut": cut, "left": -1, "right": -1,
-                      "path": 0.0})
+        known = ~np.isnan(members[:, feature])
         goes_left = members[:, feature] <= cut
+        share = float(goes_left[known].mean())
+        nodes.append({"tree": tree, "node": number, "feature": feature, "cut": cut, "left": -1, "right": -1,
+                      "path": 0.0, "goes_left": share})
+        goes_left |= ~known & (share >= 0.5)
         waiting.append((members[~goes_left], depth + 1, number, "right"))
         waiting.append((members[goes_left], depth + 1, number, "left"))
     return pd.DataFrame(nodes)
 
 
+def _expected_path(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Mean path of rows with missing cells; children have larger numbers than their parent."""
+    weight = np.zeros((len(tree["feature"]), len(x)))
+    weight[0] = 1.0
+    total = np.zeros(len(x))
+    for node, feature in enumerate(tree["feature"]):
+        if feature < 0:
+            total += weight[node] * tree["path"][node]
+            continue
+        cell = x[:, feature]
+        left = np.where(np.isnan(cell), tree["goes_left"][node], cell <= tree["cut"][node])
+        weight[tree["left"][node]] = weight[node] * left
+        weight[tree["right"][node]] = weight[node] * (1.0 - left)
+    return total
+
+
 def anomaly_score(nodes: DataFrame, columns: Sequence[str], rows: int) -> Column:
     """Score in (0, 1], larger for rows that are easier to isolate."""
     table = nodes.toPandas().sort_values(["tree", "node"])  # bounded: trees x (2 x rows - 1)
     forest = [
-        {name: part[name].to_numpy() for name in ("feature", "cut", "left", "right", "path")}
+        {name: part[name].to_numpy() for name in ("feature", "cut", "left", "right", "path", "goes_left")}
         for _, part in table.groupby("tree")
     ]
     shared = nodes.sparkSession.sparkContext.broadcast(forest)
@@ -95,10 +118,15 @@ def anomaly_score(nodes: DataFrame, columns: Sequence[str], rows: int) -> Column
 
     @F.pandas_udf("double")
     def score(x: pd.DataFrame) -> pd.Series:
-        values = np.nan_to_num(x.to_numpy(dtype=float))
+        every = x.to_numpy(dtype=float)
+        gaps = np.isnan(every).any(axis=1)
+        paths = np.zeros(len(every))
+        if gaps.any():
+            paths[gaps] = sum(_expected_path(tree, every[gaps]) for tree in shared.value)
+        values = every[~gaps]
         total = np.zeros(len(values))
         line = np.arange(len(values))
-        for tree in shared.value:
+        for tree in shared.value if len(values) else ():
             node = np.zeros(len(values), dtype=np.int64)
             while True:
                 feature = tree["feature"][node]
@@ -108,6 +136,7 @@ def anomaly_score(nodes: DataFrame, columns: Sequence[str], rows: int) -> Column
                 left = values[line, np.maximum(feature, 0)] <= tree["cut"][node]
                 node = np.where(inner, np.where(left, tree["left"][node], tree["right"][node]), node)
             total += tree["path"][node]
-        return pd.Series(2.0 ** (-(total / len(shared.value)) / norm))
+        paths[~gaps] = total
+        return pd.Series(2.0 ** (-(paths / len(shared.value)) / norm))
 
     return score(F.expr(f"struct({', '.join(f'{as_double(c)} as {quoted(c)}' for c in columns)})"))

@@ -395,7 +395,7 @@ def impute_from_neighbours(
 def local_outlier_factor(
     df: DataFrame, key: str, columns: Sequence[str], neighbours: int = 20, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Local outlier factor per location, as ``(x, copies, lof)``.
+    """Local outlier factor per location, as ``(x, copies, lof)``; null for a location without neighbours.
 
     k neighbours without the row itself, ties by the smallest key of a location.
     """
@@ -414,4 +414,4 @@ def local_outlier_factor(
     others = links.join(density.select(F.col("id").alias("other"), F.col("density").alias("near")), "other")
     mean = others.groupBy("id").agg((F.sum(F.col("weight") * F.col("near")) / F.sum("weight")).alias("mean_near"))
     factors = mean.join(density, "id").select("id", (F.col("mean_near") / F.col("density")).alias("lof"))
-    return points.join(factors, "id").select("x", "copies", "lof")
+    return points.join(factors, "id", "left").select("x", "copies", "lof")

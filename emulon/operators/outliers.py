@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulon.functions.columns import as_double, no_nan, number
+from emulon.functions.columns import as_double, no_nan, number, quoted
 from emulon.functions.quantiles import column_quantiles
 from emulon.operators.forest import TREE_ROWS, TREES, anomaly_score, grow_forest
 from emulon.operators.neighbours import attach_by_location, coordinates, local_outlier_factor
@@ -82,10 +82,17 @@ def drop_isolated(
 def lof_scores(
     train: DataFrame, key: str, columns: Sequence[str], neighbours: int = LOF_NEIGHBOURS, **options
 ) -> DataFrame:
-    """The rows with their local outlier factor in column ``lof``."""
-    factors = local_outlier_factor(train, key, columns, neighbours, **options)
+    """The rows with their local outlier factor in column ``lof``.
+
+    A row with a missing cell has no place among the others, and a row alone has no neighbours: their factor is null.
+    """
     rows = train.withColumn("x", coordinates(columns))
-    return attach_by_location(rows, factors, train.count()).select(*train.columns, "lof")
+    missing = F.exists("x", lambda v: F.isnan(v))
+    whole = train.where(" and ".join(f"{no_nan(as_double(c))} is not null" for c in columns))
+    factors = local_outlier_factor(whole, key, columns, neighbours, **options)
+    names = [quoted(c) for c in train.columns]
+    placed = attach_by_location(rows.where(~missing), factors, train.count()).select(*names, "lof")
+    return placed.unionByName(rows.where(missing).select(*names, F.lit(None).cast("double").alias("lof")))
 
 
 def drop_outliers(
@@ -97,7 +104,7 @@ def drop_outliers(
         return drop_isolated(train, key, columns, seed=seed, **options)
     if method == "lof":
         scored = lof_scores(train, key, columns, **options)
-        return scored.where(F.col("lof") <= LOF_LIMIT).drop("lof")
+        return scored.where(F.col("lof").isNull() | (F.col("lof") <= LOF_LIMIT)).drop("lof")
     if method == "iqr":
         return fit_fences(train, columns, **options).transform(train)
     raise ValueError(f"unknown filter {method!r}")

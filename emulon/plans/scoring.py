@@ -11,9 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emulon.functions.columns import quoted
 from emulon.models.base import Model
+from emulon.operators.impute import MeanImputer
 from emulon.operators.scale import Scalers
-from emulon.sources.store import read_scalers, write_scalers
+from emulon.sources.store import read_imputer, read_scalers, write_scalers
 
 
 @dataclass(frozen=True)
@@ -21,29 +23,36 @@ class Scorer:
     model: Model
     input_scalers: Scalers
     output_scalers: Scalers
+    imputer: MeanImputer | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """The rows as they came, with ``pred_<output>`` columns in original units."""
+        """The rows as they came, with ``pred_<output>`` columns in original units.
+
+        With an imputer, missing inputs count as their fill values; without one, they give a missing prediction.
+        """
         inputs = self.model.inputs
         missing = [c for c in inputs if c not in df.columns]
         if missing:
             raise ValueError(f"input columns not in the table: {missing}")
-        kept = df.withColumn("_given", F.struct(*inputs))
+        kept = df.withColumn("_given", F.struct(*[F.col(quoted(c)).alias(c) for c in inputs]))
+        filled = self.imputer.transform(kept) if self.imputer is not None else kept
         predicted = self.output_scalers.inverse(
-            self.model.transform(self.input_scalers.transform(kept)), prefixes=("pred_",))
+            self.model.transform(self.input_scalers.transform(filled)), prefixes=("pred_",))
         return predicted.select(
-            *[F.col(f"_given.{c}").alias(c) if c in inputs else F.col(c) for c in predicted.columns if c != "_given"])
+            *[F.col("_given").getField(c).alias(c) if c in inputs else F.col(quoted(c)) for c in predicted.columns if c != "_given"])
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.save(spark, f"{path}/model")
-        write_scalers(spark, f"{path}/scalers", {"input": self.input_scalers, "output": self.output_scalers})
+        write_scalers(spark, f"{path}/scalers", {"input": self.input_scalers, "output": self.output_scalers},
+                      self.imputer)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Scorer":
         from emulon.models import load_model
 
         scalers = read_scalers(spark, f"{path}/scalers")
-        return cls(load_model(spark, f"{path}/model"), scalers["input"], scalers["output"])
+        imputer = read_imputer(spark, f"{path}/scalers")
+        return cls(load_model(spark, f"{path}/model"), scalers["input"], scalers["output"], imputer if imputer.means else None)
 
 
 def score(df: DataFrame, scorer: Scorer) -> DataFrame:
@@ -56,6 +65,6 @@ def score_row(spark: SparkSession, scorer: Scorer, values: Mapping[str, float])
     if set(values) != wanted:
         raise ValueError(f"inputs must be exactly {sorted(wanted)}; got {sorted(values)}")
     ordered = [(float(values[c]),) for c in scorer.model.inputs]
-    schema = ", ".join(f"`{c}` double" for c in scorer.model.inputs)
+    schema = ", ".join(f"{quoted(c)} double" for c in scorer.model.inputs)
     row = scorer.transform(spark.createDataFrame([tuple(v for (v,) in ordered)], schema)).head()
     return {c: row[f"pred_{c}"] for c in scorer.model.outputs}

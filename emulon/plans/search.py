@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emulon.functions.columns import quoted
 from emulon.models import fit, model_class
 from emulon.models import network, support_vector
 from emulon.models.base import Model
@@ -170,7 +171,11 @@ def _svr_losses(df, roles, candidates, fold) -> list[dict[int, float]]:
 def _network_losses(df, roles, candidates, fold) -> list[dict[int, float]]:
     numbers = _fold_numbers(df, fold)
     jobs = [NetworkJob(p, f) for p in candidates for f in numbers]
-    network.train(df, roles, jobs, fold, candidates[0]["partitions"])
+    together: dict[tuple, list] = {}  # fits that share their partitions and their shuffling share the scans
+    for job in jobs:
+        together.setdefault((job.params["partitions"], job.params["seed"]), []).append(job)
+    for (partitions, _), some in together.items():
+        network.train(df, roles, some, fold, partitions)
     out: list[dict[int, float]] = [{} for _ in candidates]
     for i, job in enumerate(jobs):
         out[i // len(numbers)][job.fold] = job.best
@@ -194,7 +199,7 @@ def cross_validate(
     roles.check(df)
     cls = model_class(kind)
     chosen = cls.complete(params)
-    parted = folds(df.select(*roles.columns), roles.key, k, seed, exact)
+    parted = folds(df.select(*map(quoted, roles.columns)), roles.key, k, seed, exact)
     model = None
     if cls in (SupportVector, Network):
         found = fold_losses(kind, parted, roles, [chosen])[0]
@@ -245,7 +250,7 @@ def grid_search(
     roles.check(df)
     cls = model_class(kind)
     choices = expand_grid(grid)
-    parted = folds(df.select(*roles.columns), roles.key, k, seed, exact)
+    parted = folds(df.select(*map(quoted, roles.columns)), roles.key, k, seed, exact)
     found = fold_losses(kind, parted, roles, [cls.complete({**params, **c}) for c in choices])
     rows = [(i, candidate_id(c), f, loss) for i, (c, losses) in enumerate(zip(choices, found))
             for f, loss in sorted(losses.items())]

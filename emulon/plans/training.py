@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from emulon.functions.columns import nan_to_null
+from emulon.functions.columns import nan_to_null, quoted
 from emulon.models import Model
 from emulon.models.network import Network
 from emulon.operators.evaluate import mean_errors, metrics_both_scales, primary_metric
-from emulon.operators.impute import fit_imputer
+from emulon.operators.impute import MeanImputer, fit_imputer
 from emulon.operators.outliers import drop_outliers
 from emulon.operators.scale import TCP_MINMAX, Scalers, fit_scalers, scaler_types
 from emulon.operators.split import TEST, TRAIN, VAL, part, split
@@ -33,12 +33,18 @@ class Prepared:
     def part(self, name: str) -> DataFrame:
         return part(self.table, name)
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """A new table through what was fitted on the training rows: filled, then scaled.  Outputs may be absent."""
+        filled = self.imputer.transform(nan_to_null(df))
+        present = [c for c in self.roles.outputs if c in df.columns]
+        return self.output_scalers.only(present).transform(self.input_scalers.transform(filled))
+
 
 def prepare(df: DataFrame, roles: Roles, spec: PipelineSpec = PipelineSpec()) -> Prepared:
     """Everything is fitted on the training rows; only they are filtered; all splits are scaled."""
     roles.check(df)
     # Keys are hashed once: the scans that follow read the written columns of the split they need.
-    rows = split(nan_to_null(df.select(*roles.columns)), roles.key, spec.test, spec.val, spec.seed)
+    rows = split(nan_to_null(df.select(*map(quoted, roles.columns))), roles.key, spec.test, spec.val, spec.seed)
     rows = cut_lineage(rows, partition_by="split")
     imputer = fit_imputer(part(rows, TRAIN), roles.inputs, spec.imputer, key=roles.key)
     filled = imputer.transform(rows)
@@ -87,7 +93,8 @@ def train_and_evaluate(df: DataFrame, roles: Roles, spec: PipelineSpec = Pipelin
     predictions = model.transform(prepared.part(TEST))
     table = metrics_both_scales(predictions, roles.outputs, prepared.output_scalers, [spec.metric])
     original = prepared.output_scalers.inverse(predictions)
-    scorer = Scorer(model, prepared.input_scalers, prepared.output_scalers)
+    imputer = prepared.imputer if isinstance(prepared.imputer, MeanImputer) and not prepared.imputer.flagged else None
+    scorer = Scorer(model, prepared.input_scalers, prepared.output_scalers, imputer)
     return TrainingRun(
         prepared, model, scorer, predictions, original, table, mean_errors(original, roles.outputs), losses,
         validation_loss, primary_metric(table, spec.metric),

@@ -50,7 +50,7 @@ def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
-    return written.select(*df.columns)
+    return written.select(*["`" + c.replace("`", "``") + "`" for c in df.columns])
 
 
 def share(spark: SparkSession, value: object) -> Broadcast:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from emulon.functions.columns import nan_to_null
+from emulon.functions.columns import nan_to_null, quoted
 from emulon.runtime import cut_lineage
 
 BROADCAST_SPLITS = 100_000  # file splits whose starting numbers are broadcast
@@ -48,32 +48,40 @@ class PairReport:
     duplicate_outputs: int
     orphan_inputs: int
     orphan_outputs: int
+    null_inputs: int = 0
+    null_outputs: int = 0
 
     @property
     def clean(self) -> bool:
-        return not any((self.duplicate_inputs, self.duplicate_outputs, self.orphan_inputs, self.orphan_outputs))
+        return not any((self.duplicate_inputs, self.duplicate_outputs, self.orphan_inputs, self.orphan_outputs,
+                        self.null_inputs, self.null_outputs))
 
 
 def pair_report(x: DataFrame, y: DataFrame, key: str) -> PairReport:
-    """Keys held twice and keys without a partner, from one grouped count of both key columns.
+    """Keys held twice, keys without a partner and rows without a key, from one grouped count of both key columns.
+
+    A null key pairs with nothing, so it is neither a duplicate nor an orphan but a fault of its own.
 
     Grouping combines on the map side, so a key that fills a third of a table is one partial row.
     """
     keys = x.select(key, F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(
         y.select(key, F.lit(0).alias("i"), F.lit(1).alias("o")))
     counts = keys.groupBy(key).agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    there = F.col(f"`{key}`").isNotNull()
     row = counts.agg(
-        F.count_if(F.col("i") > 1).alias("di"), F.count_if(F.col("o") > 1).alias("do"),
-        F.count_if((F.col("i") > 0) & (F.col("o") == 0)).alias("oi"),
-        F.count_if((F.col("o") > 0) & (F.col("i") == 0)).alias("oo"),
+        F.count_if(there & (F.col("i") > 1)).alias("di"), F.count_if(there & (F.col("o") > 1)).alias("do"),
+        F.count_if(there & (F.col("i") > 0) & (F.col("o") == 0)).alias("oi"),
+        F.count_if(there & (F.col("o") > 0) & (F.col("i") == 0)).alias("oo"),
+        F.coalesce(F.sum(F.when(~there, F.col("i"))), F.lit(0)).alias("ni"),
+        F.coalesce(F.sum(F.when(~there, F.col("o"))), F.lit(0)).alias("no"),
     ).head()
-    return PairReport(row["di"], row["do"], row["oi"], row["oo"])
+    return PairReport(row["di"], row["do"], row["oi"], row["oo"], row["ni"], row["no"])
 
 
 def align(x: DataFrame, y: DataFrame, key: str, orphans: str = "error") -> DataFrame:
     """Inputs and outputs joined by a key that is unique on both sides.
 
-    Duplicate keys are always an error; orphans are an error too unless ``orphans='drop'``.
+    Duplicate keys are always an error; orphans and null keys are errors too unless ``orphans='drop'``.
     """
     if orphans not in ("error", "drop"):
         raise ValueError("orphans is 'error' or 'drop'")
@@ -89,17 +97,24 @@ def number_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Row positions 0, 1, 2, ... in file order, without moving rows or leaving the JVM.
 
     A first scan counts the rows of every file split.  The splits, in order of file and offset,
-    give each its starting number; inside a split Spark's own row ids are consecutive.
+    give each its starting number; inside a split Spark's own row ids are consecutive, which is checked.
+    A table that was shuffled has no positions any more and is refused.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        raise ValueError("the rows were shuffled, so their positions are lost; number them where they are read")
     try:
         marked = df.selectExpr("*", "_metadata.file_path as _file", "_metadata.file_block_start as _start",
                                "monotonically_increasing_id() as _at")
     except AnalysisException:  # not read from files: the partitions are the splits
         marked = df.selectExpr("*", "'' as _file", "cast(spark_partition_id() as bigint) as _start",
                                "monotonically_increasing_id() as _at")
-    splits = marked.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    splits = marked.groupBy("_file", "_start").agg(
+        F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut_lineage(splits.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows"))
+    starts = cut_lineage(splits.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))))
+    if starts.where(F.col("_last") - F.col("_first") + 1 != F.col("_rows")).limit(1).count():
+        raise ValueError("the rows of a file split are not consecutive; number them where they are read")
+    starts = starts.select("_file", "_start", "_first", "_before")
     if starts.count() <= BROADCAST_SPLITS:
         starts = F.broadcast(starts)
     place = (F.col("_before") + F.col("_at") - F.col("_first")).alias(name)
@@ -112,7 +127,7 @@ def pair_by_position(x: DataFrame, y: DataFrame, name: str = "row_id") -> DataFr
 
 
 def decimal_comma(column: str) -> Column:
-    return F.expr(f"try_cast(regexp_replace(`{column}`, ',', '.') AS double)")
+    return F.expr(f"try_cast(regexp_replace({quoted(column)}, ',', '.') AS double)")
 
 
 def read_decimal_comma(

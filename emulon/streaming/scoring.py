@@ -48,9 +48,9 @@ def monitor_errors(
     renamed = truths.withColumnsRenamed({c: f"true_{c}" for c in outputs}).withColumnRenamed(key, f"true_{key}")
     right = renamed.withWatermark(observed_at, delay).alias("t")
     condition = (
-        (F.col(f"p.{key}") == F.col(f"t.true_{key}"))
-        & (F.col(f"t.{observed_at}") >= F.col(f"p.{predicted_at}"))
-        & (F.col(f"t.{observed_at}") <= F.col(f"p.{predicted_at}") + F.expr(f"INTERVAL {delay}"))
+        (F.col(f"p.{quoted(key)}") == F.col(f"t.{quoted('true_' + key)}"))
+        & (F.col(f"t.{quoted(observed_at)}") >= F.col(f"p.{quoted(predicted_at)}"))
+        & (F.col(f"t.{quoted(observed_at)}") <= F.col(f"p.{quoted(predicted_at)}") + F.expr(f"INTERVAL {delay}"))
     )
     joined = left.join(right, condition, "inner")
     cells = []
@@ -61,6 +61,6 @@ def monitor_errors(
             F.expr(f"avg(abs({pred} - {y}))").alias(f"mae_{c}"),
             F.expr(f"avg(abs({percent_error(pred, y)}))").alias(f"mape_{c}"),
         ]
-    grouped = joined.groupBy(F.window(F.col(f"p.{predicted_at}"), window)).agg(F.count(F.lit(1)).alias("rows"), *cells)
+    grouped = joined.groupBy(F.window(F.col(f"p.{quoted(predicted_at)}"), window)).agg(F.count(F.lit(1)).alias("rows"), *cells)
     return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                           "rows", *[f"{m}_{c}" for c in outputs for m in ("mse", "mae", "mape")])

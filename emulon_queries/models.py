@@ -10,7 +10,7 @@ from emulon.operators.evaluate import metrics
 from emulon.operators.features import expand_polynomial
 from emulon.operators.scale import fit_scalers
 from emulon.operators.split import TEST, TRAIN, VAL, part
-from emulon.plans.search import cross_validate, grid_search, grid_table, hold_out
+from emulon.plans.search import cross_validate, grid_search, hold_out
 from emulon.runtime import scratch_path
 from emulon.streaming.scoring import monitor_errors, write_scores
 from emulon_queries import query
@@ -342,15 +342,15 @@ def streaming_error_windows(spark, sf):
     return rounded(done.drop("window_end"), {"mse_value": 5, "mae_value": 9})
 
 
-@query("M16", """SELECT md5('learning_rate=' || lr || '|optimizer=' || o || '|lines=' || n) AS candidate,
-       lr AS learning_rate, o AS optimizer, n AS lines
-FROM (SELECT unnest(['0.1', '0.01', '0.001']) AS lr), (SELECT unnest(['Adam', 'SGD']) AS o),
-     (SELECT DISTINCT CAST(l_linenumber AS VARCHAR) AS n FROM lineitem)""")
-def candidate_grid(spark, sf):
-    """Textual options expanded to all combinations; one option list comes from the data."""
-    found = read(spark, sf, "lineitem").select("l_linenumber").distinct().orderBy("l_linenumber").collect()
-    options = "|".join(str(r[0]) for r in found)
-    return grid_table(spark, {"learning_rate": "0.1|0.01|0.001", "optimizer": "Adam|SGD", "lines": options})
+@query("M2", """SELECT round(regr_slope(y, p), 6) AS slope, round(regr_intercept(y, p), 2) AS at_offset
+FROM (SELECT l_extendedprice AS p, 2 * l_extendedprice + 0.5 * l_quantity AS y FROM lineitem)""")
+def offset_line_fit(spark, sf):
+    """A line on a column whose mean is far larger than its spread; the line's value at the offset, too."""
+    rows = read(spark, sf, "lineitem").selectExpr("l_orderkey AS key", "l_extendedprice + 1e7D AS x", "2 * l_extendedprice + 0.5 * l_quantity AS y")
+    model = fit("response_surface", rows, Roles(key="key", inputs=("x",), outputs=("y",)), degree=1, include_bias=False)
+    slope = float(model.weights[0, 0])
+    return rounded(spark.createDataFrame([(slope, float(model.intercept[0]) + slope * 1e7)], "slope double, at_offset double"),
+                   {"slope": 6, "at_offset": 2})
 
 
 # ----------------------------------------------------------------------------- the whole run

@@ -51,6 +51,34 @@ def test_sums_in_spark_and_on_the_driver(spark, monkeypatch, limit):
     assert np.array_equal(got[0], np.full(8, 4950.0)) and got[3][0] == 7
 
 
+@pytest.mark.parametrize("mean", [0.0, 1e3, 1e6, 1e9])
+def test_surface_on_columns_of_large_mean(spark, mean):
+    x = np.random.default_rng(1).random(500)
+    df = spark.createDataFrame([(i, float(mean + v), float(2 * (mean + v) + 1), 7.5) for i, v in enumerate(x)], "key int, a double, y double, c double")
+    model = fit("response_surface", df, Roles(key="key", inputs=("a", "c"), outputs=("y",)), degree=1, include_bias=False)
+    assert model.weights[:, 0] == pytest.approx([2.0, 0.0], abs=1e-5)
+    got = np.array([r["pred_y"] - r["y"] for r in model.transform(df).collect()])
+    assert np.abs(got).max() < 1e-6 * max(1.0, mean / 1e3)
+
+
+def test_surface_of_many_terms(spark):
+    rng = np.random.default_rng(2)
+    names = [f"x{i}" for i in range(24)]
+    x = rng.standard_normal((60, 24))
+    df = spark.createDataFrame([(i, *map(float, r), float(r[0] * r[1] * r[2])) for i, r in enumerate(x)],
+                               "key int, " + ", ".join(f"{n} double" for n in names) + ", y double")
+    model = fit("response_surface", df, Roles(key="key", inputs=tuple(names), outputs=("y",)), degree=3)
+    assert model.weights.shape == (2925, 1)
+
+
+def test_missing_input_gives_missing_prediction(spark, rows):
+    model = fit("response_surface", rows, ROLES, degree=1)
+    model.weights[0, :] = 0.0
+    gap = spark.createDataFrame([(1, None, 2.0)], "key int, a double, b double")
+    assert model.transform(gap).head()["pred_y"] is None
+    assert np.isnan(model.predict_block(np.array([[np.nan, 2.0]]))).all()
+
+
 # ---- response surface
 
 

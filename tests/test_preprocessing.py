@@ -235,3 +235,21 @@ def test_roles_and_spec_are_checked(spark):
     df, _ = table(spark, 5)
     with pytest.raises(ValueError, match="nope"):
         Roles("key", ("nope",), ("y",)).check(df)
+
+
+def test_rows_with_missing_cells_are_not_lost_as_outliers(spark):
+    import numpy as np
+
+    from emulon.operators.outliers import drop_outliers, lof_scores
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(1000 + v), None if i % 10 == 0 else float(1000 + w)) for i, (v, w) in enumerate(rng.standard_normal((300, 2)))]
+    rows.append((300, 1500.0, 1500.0))
+    df = spark.createDataFrame(rows, "k int, a double, y double").cache()
+    kept = {r["k"] for r in drop_outliers(df, "k", ["a", "y"], "isolation forest").collect()}
+    assert 300 not in kept and len([k for k in kept if k % 10 == 0]) >= 24
+    scored = {r["k"]: r["lof"] for r in lof_scores(df, "k", ["a", "y"]).collect()}
+    assert len(scored) == 301 and all((scored[k] is None) == (k % 10 == 0 and k < 300) for k in scored)
+    assert {r["k"] for r in drop_outliers(df, "k", ["a", "y"], "lof").collect()} >= set(range(0, 300, 10))
+    one = lof_scores(df.where("k = 5"), "k", ["a", "y"]).collect()
+    assert [(r["k"], r["lof"]) for r in one] == [(5, None)]

@@ -231,3 +231,44 @@ def test_single_mode_without_validation_share_falls_back(spark):
                              PipelineSpec(validation="single", val=0.0, filter="iqr", kind="neural_network",
                                           params={"epochs": 2, "partitions": 1}, folds=2))
     assert run.validation_loss is not None and run.losses.count() == 2
+
+
+def test_null_keys_are_faults(spark):
+    from emulon.sources.tables import align, pair_report
+
+    x = spark.createDataFrame([(1, 1.0), (None, 2.0)], "k int, a double")
+    y = spark.createDataFrame([(1, 1.0), (None, 2.0), (None, 3.0)], "k int, b double")
+    report = pair_report(x, y, "k")
+    assert (report.null_inputs, report.null_outputs, report.clean) == (1, 2, False)
+    with pytest.raises(ValueError):
+        align(x, y, "k")
+    assert align(x, y, "k", orphans="drop").count() == 1
+
+
+def test_positions_of_shuffled_rows_are_refused(spark, tmp_path):
+    from emulon.sources.tables import number_rows
+
+    spark.range(0, 100, 1, 4).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(r["row_id"] for r in number_rows(df).collect()) == list(range(100))
+    with pytest.raises(ValueError):
+        number_rows(df.repartition(3))
+
+
+def test_scoring_with_gaps_and_dotted_names(spark):
+    import numpy as np
+
+    from emulon import PipelineSpec, Roles, Scorer, prepare, train_and_evaluate
+
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 7 == 0 else float(v), float(w), float(v + 2 * w)) for i, (v, w) in enumerate(rng.random((400, 2)))]
+    df = spark.createDataFrame(rows, ["k", "x.1", "b", "y"])
+    roles = Roles(key="k", inputs=("x.1", "b"), outputs=("y",))
+    spec = PipelineSpec(kind="response_surface", params={"degree": 1}, filter="iqr")
+    run = train_and_evaluate(df, roles, spec)
+    new = spark.createDataFrame([(0.5, 0.5), (None, 0.5)], "`x.1` double, b double")
+    got = run.scorer.transform(new).collect()
+    assert got[0]["pred_y"] == pytest.approx(1.5, abs=0.2) and got[1]["pred_y"] is not None and got[1]["x.1"] is None
+    prepared = prepare(df, roles, spec)
+    again = prepared.transform(new.selectExpr("`x.1`", "b", "0.0D as y"))
+    assert again.where("`x.1` is null").count() == 0
