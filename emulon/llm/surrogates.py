@@ -1,7 +1,7 @@
 """Personal data and secrets replaced by surrogates: keyed, of the same type and form, distinct, and the same everywhere.
 
-Found are e-mail and IP addresses, phone, payment-card, social-security and IBAN numbers, secrets (a quoted value after a word such as
-token or password, and long hexadecimal strings), and names after a title.  A surrogate keeps the form: letters
+Found are e-mail and IP addresses, phone, payment-card, social-security and IBAN numbers, secrets (a value after a word such as
+token or password, keys of known prefixes, and long hexadecimal strings), and names after a title.  A surrogate keeps the form: letters
 become letters, digits digits, capitals capitals, separators stay, card and IBAN check digits are right where they were, an address
 keeps its top-level domain and a phone number its country code.  Names keep script, capitals and, by title, gender;
 given name and surname are replaced for themselves, so "Mr. A. Smith" and "Mr. Smith" go on sharing a surname.
@@ -46,6 +46,8 @@ SCRIPTS = {
 }
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 SECRET = re.compile(r"""(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)["']?\s*[:=]\s*["']([^"'\s]{6,})["']""")
+BARE_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)\s*[:=]\s*(?=[^\s\"']*\d)(?=[^\s\"']*[a-z])([\w+/=.-]{8,})")
+ISSUED = re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk|ghp|gho|ghs|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,})(?!\w)")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])")
@@ -78,7 +80,12 @@ def find(text: str) -> list[tuple[int, int, Entity]]:
     if '"' in text or "'" in text:
         for m in SECRET.finditer(text):
             add(*m.span(1), "secret", m[1].lower())
+    if "=" in text or ":" in text:
+        for m in BARE_SECRET.finditer(text):
+            add(*m.span(1), "secret", m[1].lower())
     if _DIGIT.search(text):
+        for m in ISSUED.finditer(text):
+            add(*m.span(), "secret", m[0].lower())
         for m in HEX.finditer(text):
             add(*m.span(), "secret", m[0].lower())
         for m in IBAN.finditer(text):

@@ -91,6 +91,14 @@ def test_line_dedup(spark):
     assert not re.search("Python|Pandas|Arrow", plans)
 
 
+def test_no_row_holds_the_table_of_rarities(spark, monkeypatch):
+    plans, write = [], lines.cut_lineage
+    monkeypatch.setattr(lines, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    lines.later_matches(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    with_table = [p for p in plans if "scalar-subquery" in p and "prefix" in p]
+    assert with_table and not any("rarity#" in p for p in with_table)
+
+
 def test_line_dedup_of_odd_documents(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     got = lines.dedup_lines(odd_docs)
