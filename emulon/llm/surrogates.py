@@ -47,7 +47,9 @@ SCRIPTS = {
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 SECRET = re.compile(r"""(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)["']?\s*[:=]\s*["']([^"'\s]{6,})["']""")
 BARE_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)\s*[:=]\s*(?=[^\s\"']*\d)(?=[^\s\"']*[a-z])([\w+/=.-]{8,})")
-ISSUED = re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk|ghp|gho|ghs|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,})(?!\w)")
+#: How some issuers begin their keys.
+ISSUERS = ("AKIA", "ASIA", "sk-", "sk_", "pk_", "rk_", "ghp_", "gho_", "ghs_", "xoxb-", "xoxp-")
+ISSUED = re.compile(rf"(?<!\w)(?:{'|'.join(ISSUERS)})[A-Za-z0-9_-]{{16,}}(?!\w)")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])")
@@ -83,9 +85,10 @@ def find(text: str) -> list[tuple[int, int, Entity]]:
     if "=" in text or ":" in text:
         for m in BARE_SECRET.finditer(text):
             add(*m.span(1), "secret", m[1].lower())
-    if _DIGIT.search(text):
+    if any(p in text for p in ISSUERS):
         for m in ISSUED.finditer(text):
             add(*m.span(), "secret", m[0].lower())
+    if _DIGIT.search(text):
         for m in HEX.finditer(text):
             add(*m.span(), "secret", m[0].lower())
         for m in IBAN.finditer(text):
