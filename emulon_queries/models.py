@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from emulon import PipelineSpec, Roles, Scorer, fit, prepare, train_and_evaluate
 from emulon.models import load_model
+from emulon.models.network import Layout, Network
 from emulon.operators.evaluate import metrics
 from emulon.operators.features import expand_polynomial
 from emulon.operators.scale import fit_scalers
@@ -353,6 +355,76 @@ def offset_line_fit(spark, sf):
                    {"slope": 6, "at_offset": 2})
 
 
+# ----------------------------------------------------------------------------- networks with a closed form
+
+STORED = Layout((2, 3, 1), "tanh")
+STORED_WEIGHTS = [round(-1.2 + 0.2 * i, 1) for i in range(STORED.length)]
+START = Layout((1, 1)).initial(42).tolist()
+STEP = 0.1
+
+
+def _stored_sql() -> str:
+    (w, b), (v, c) = ([layer.tolist() for layer in pair] for pair in STORED.layers(np.array(STORED_WEIGHTS)))
+    hidden = [f"tanh({w[0][j]!r}::DOUBLE * price + {w[1][j]!r}::DOUBLE * customer + {b[j]!r}::DOUBLE)" for j in range(3)]
+    return " + ".join(f"{v[j][0]!r}::DOUBLE * {h}" for j, h in enumerate(hidden)) + f" + {c[0]!r}::DOUBLE"
+
+
+@query("M11", f"""SELECT o_orderkey, round({_stored_sql()}, 9) AS pred_y
+FROM (SELECT o_orderkey, o_totalprice / 1e5 AS price, o_custkey / 1e3 AS customer FROM orders)""")
+def stored_network_prediction(spark, sf):
+    """A network with fixed weights, stored, loaded again and applied to all orders."""
+    path = scratch_path(spark, "network")
+    Network(("price", "customer"), ("y",), Network.defaults, STORED, np.array(STORED_WEIGHTS)).save(spark, path)
+    rows = read(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice / 1e5D AS price", "o_custkey / 1e3D AS customer")
+    return rounded(load_model(spark, path).transform(rows).select("o_orderkey", "pred_y"), 9)
+
+
+@query("M7", f"""WITH x AS (SELECT s_suppkey, s_acctbal / 1e4 AS x, 3 * s_acctbal / 1e4 + 1 AS y FROM supplier),
+step AS (SELECT {START[0]!r}::DOUBLE - {STEP} * 2 * avg(({START[0]!r}::DOUBLE * x + {START[1]!r}::DOUBLE - y) * x) AS w,
+                {START[1]!r}::DOUBLE - {STEP} * 2 * avg({START[0]!r}::DOUBLE * x + {START[1]!r}::DOUBLE - y) AS b FROM x)
+SELECT s_suppkey, round(w * x + b, 9) AS pred_y FROM x, step""")
+def network_gradient_step(spark, sf):
+    """One step of steepest descent over all suppliers, from the seed's weights (one block holds up to 8192 rows)."""
+    rows = read(spark, sf, "supplier").selectExpr("s_suppkey", "s_acctbal / 1e4D AS x", "3 * s_acctbal / 1e4D + 1 AS y")
+    model = fit("neural_network", rows, Roles(key="s_suppkey", inputs=("x",), outputs=("y",)), n_layers=0, optimizer="SGD",
+                learning_rate=STEP, epochs=1, batch_size=8192, partitions=1, seed=42)
+    return rounded(model.transform(rows).select("s_suppkey", "pred_y"), 9)
+
+
+# ----------------------------------------------------------------------------- kernel models with a closed form
+
+
+def _two_landmarks_sql(kernel: str, alpha: float) -> str:
+    """Kernel regression on the two orders of lowest hash: k(x)' (K'K + alpha M)^-1 K'y, a solve of two by two.
+
+    ``kernel`` is SQL with {a} and {b} for its two points."""
+    k1, k2 = kernel.format(a="x", b="z1"), kernel.format(a="x", b="z2")
+    m11, m12, m22 = kernel.format(a="z1", b="z1"), kernel.format(a="z1", b="z2"), kernel.format(a="z2", b="z2")
+    return f"""WITH rows AS (SELECT o_orderkey, o_totalprice / 1e5 AS x, o_custkey / 1e3 + o_totalprice / 1e5 AS y FROM orders),
+marks AS (SELECT x, row_number() OVER (ORDER BY {unit_sql('o_orderkey', 42, 'landmark')}) AS i FROM rows),
+z AS (SELECT max(x) FILTER (WHERE i = 1) AS z1, max(x) FILTER (WHERE i = 2) AS z2 FROM marks WHERE i <= 2),
+k AS (SELECT o_orderkey, y, {k1} AS k1, {k2} AS k2 FROM rows, z),
+s AS (SELECT sum(k1 * k1) AS a, sum(k1 * k2) AS b, sum(k2 * k2) AS d, sum(k1 * y) AS p, sum(k2 * y) AS q FROM k),
+m AS (SELECT a + {alpha} * {m11} AS a, b + {alpha} * {m12} AS b, d + {alpha} * {m22} AS d, p, q FROM s, z)
+SELECT o_orderkey, round((k1 * (d * p - b * q) + k2 * (a * q - b * p)) / (a * d - b * b), 6) AS pred_y FROM k, m"""
+
+
+def _two_landmarks(spark, sf, kind: str, **params):
+    rows = read(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice / 1e5D AS x", "o_custkey / 1e3D + o_totalprice / 1e5D AS y")
+    model = fit(kind, rows, Roles(key="o_orderkey", inputs=("x",), outputs=("y",)), landmarks=2, seed=42, **params)
+    return rounded(model.transform(rows).select("o_orderkey", "pred_y"), 6)
+
+
+@query("M4", _two_landmarks_sql("exp(-0.5::DOUBLE * ({a} - {b}) * ({a} - {b}))", 0.25))
+def kernel_ridge_of_two_landmarks(spark, sf):
+    return _two_landmarks(spark, sf, "rbf", gamma=0.5, alpha=0.25)
+
+
+@query("M5", _two_landmarks_sql("(exp(-({a} - {b}) * ({a} - {b}) / 4.5::DOUBLE) + 0.5::DOUBLE)", 0.25))
+def gaussian_process_of_two_landmarks(spark, sf):
+    return _two_landmarks(spark, sf, "gaussian_process", kernel="RBF", length_scale=1.5, constant=0.5, alpha=0.25)
+
+
 # ----------------------------------------------------------------------------- the whole run
 
 
