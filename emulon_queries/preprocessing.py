@@ -312,7 +312,7 @@ def _profile_sql(c):
         for s, e in stats.items())
 
 
-PROFILED = ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "charge")
+PROFILED = (*INPUTS, *OUTPUTS)
 
 
 @query("A1", f"WITH {TRAIN_SQL} " + " UNION ALL ".join(_profile_sql(c) for c in PROFILED))

@@ -20,7 +20,7 @@ from emulon_queries.tables import (
 
 @query("S1", f"""WITH {EXPERIMENT_SQL}
 SELECT key, l_quantity, l_extendedprice, l_discount, l_tax, CAST(l_linenumber AS BIGINT) AS l_linenumber,
-       round(charge, 6) AS charge FROM exp""")
+       {', '.join(f'round({c}, 6) AS {c}' for c in OUTPUTS)} FROM exp""")
 def csv_table_pair(spark, sf):
     """Inputs and outputs as two CSV files, read with pinned schemas and paired by key."""
     exp = experiment(spark, sf)
@@ -32,7 +32,7 @@ def csv_table_pair(spark, sf):
         inputs_schema="key string, " + ", ".join(f"{c} double" for c in CONTINUOUS) + ", l_linenumber bigint",
         outputs_schema="key string, " + ", ".join(f"{c} double" for c in OUTPUTS),
     )
-    return rounded(pair.select("key", *INPUTS, "charge"), {"charge": 6}, keep=CONTINUOUS)
+    return rounded(pair.select("key", *INPUTS, *OUTPUTS), 6, keep=CONTINUOUS)
 
 
 @query("S2", """
@@ -231,12 +231,10 @@ def list_expansion(spark, sf):
     return long.selectExpr("l_orderkey", "cast(substring(name, 3) as int) as position", "value")
 
 
-@query("P3", """SELECT vec_id, embedding[1]::DOUBLE AS embedding_0, embedding[32]::DOUBLE AS embedding_31,
-       embedding[64]::DOUBLE AS embedding_63 FROM embeddings""")
+@query("P3", f"""SELECT vec_id, {', '.join(f'embedding[{i + 1}]::DOUBLE AS embedding_{i}' for i in range(64))} FROM embeddings""")
 def array_expansion(spark, sf):
     """An array column widened to one column per position."""
-    wide = expand_lists(read(spark, sf, "embeddings").select("vec_id", "embedding"))
-    return wide.select("vec_id", "embedding_0", "embedding_31", "embedding_63")
+    return expand_lists(read(spark, sf, "embeddings").select("vec_id", "embedding"))
 
 
 @query("P4", f"""WITH {EXPERIMENT_SQL}
