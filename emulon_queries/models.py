@@ -17,7 +17,7 @@ from emulon.runtime import scratch_path
 from emulon.streaming.scoring import monitor_errors, write_scores
 from emulon_queries import query
 from emulon_queries.tables import (
-    CONTINUOUS, EXPERIMENT_SQL, OUTPUTS, ROLES, experiment, parted, read, rounded, split_sql, unit_sql)
+    CONTINUOUS, EXPERIMENT_SQL, GAPS_SQL, OUTPUTS, ROLES, experiment, parted, read, rounded, split_sql, unit_sql, with_gaps)
 
 SURFACE_INPUTS = ("l_extendedprice", "l_discount", "l_tax")
 SURFACE = Roles("key", SURFACE_INPUTS, ("charge",))
@@ -436,3 +436,21 @@ def surface_training_run(spark, sf):
     run = train_and_evaluate(experiment(spark, sf), ROLES, PipelineSpec(
         kind="response_surface", params={"degree": 3}, filter="iqr", validation="cross"))
     return rounded(run.mean_errors.select("output", "mean_error"), 5)
+
+
+@query("entry on a line: D1, I1, O1, N2, M2, U2, N6, E6", f"""WITH {GAPS_SQL}, {split_sql('gaps', val=0.0)},
+train AS (SELECT l_extendedprice AS x, charge AS y FROM parted WHERE split = 'train'),
+mean AS (SELECT avg(x) AS m FROM train),
+filled AS (SELECT coalesce(x, m) AS x, y FROM train, mean),
+q AS (SELECT quantile_cont(x, 0.25) AS x1, quantile_cont(x, 0.75) AS x3, quantile_cont(y, 0.25) AS y1, quantile_cont(y, 0.75) AS y3 FROM filled),
+kept AS (SELECT x, y FROM filled, q WHERE x BETWEEN x1 - 1.5 * (x3 - x1) AND x3 + 1.5 * (x3 - x1)
+         AND y BETWEEN y1 - 1.5 * (y3 - y1) AND y3 + 1.5 * (y3 - y1)),
+line AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM kept)
+SELECT 'charge' AS output, round(avg(abs(a + b * coalesce(l_extendedprice, m) - charge)), 4) AS mean_error
+FROM parted, mean, line WHERE split = 'test'""")
+def line_training_run(spark, sf):
+    """The same run with a line on a column with gaps: split, fill values, fences and scalers all show in its errors."""
+    roles = Roles("key", ("l_extendedprice",), ("charge",))
+    run = train_and_evaluate(with_gaps(experiment(spark, sf)), roles, PipelineSpec(
+        kind="response_surface", params={"degree": 1}, filter="iqr", validation="cross"))
+    return rounded(run.mean_errors.select("output", "mean_error"), 4)
