@@ -75,15 +75,15 @@ def candidate_id(params: Mapping[str, object]) -> str:
 
 
 def fold_losses(
-    kind: str, df: DataFrame, roles: Roles, candidates: Sequence[Mapping[str, object]], fold: str = "fold"
+    kind: str, df: DataFrame, roles: Roles, candidates: Sequence[Mapping[str, object]], fold: str = "fold", k: int = 10
 ) -> list[dict[int, float]]:
-    """Validation mean squared error by fold for every candidate (complete parameter sets)."""
+    """Validation mean squared error by fold for every candidate (complete parameter sets); ``k`` is the number of folds."""
     cls = model_class(kind)
     if cls is SupportVector:
         return _svr_losses(df, roles, candidates, fold)
     if cls is Network:
         return _network_losses(df, roles, candidates, fold)
-    search = _GramSearch(cls, df, roles, candidates, fold)
+    search = _GramSearch(cls, df, roles, candidates, fold, k)
     return [search.losses(i) for i in range(len(candidates))]
 
 
@@ -94,14 +94,14 @@ def _fold_numbers(df: DataFrame, fold: str) -> list[int]:
 class _GramSearch:
     """Statistics by fold of every candidate of a kind that is solved from them."""
 
-    def __init__(self, cls, df: DataFrame, roles: Roles, candidates: Sequence[Mapping[str, object]], fold: str):
+    def __init__(self, cls, df: DataFrame, roles: Roles, candidates: Sequence[Mapping[str, object]], fold: str, k: int):
         self.cls, self.roles = cls, roles
         # A Gaussian process with lists among its parameters picks by likelihood.
         self.groups = [cls.grid(p) if cls is GaussianProcess else [p] for p in candidates]
         firsts = {self._key(p): p for g in reversed(self.groups) for p in reversed(g)}
         self.maps = dict(zip(firsts, cls.prepare_maps(df, roles, list(firsts.values()))))
         self.stats: dict[str, dict] = {}
-        for batch in _by_size(self.maps, len(roles.outputs)):
+        for batch in _by_size(self.maps, len(roles.outputs), k):
             self.stats.update(moments(df, {k: self.maps[k] for k in batch}, roles.inputs, roles.outputs, fold))
 
     def _key(self, params) -> str:
@@ -132,10 +132,10 @@ class _GramSearch:
         return self.cls.from_moments(self.roles, params, sums[key], self.maps[key])
 
 
-def _by_size(maps: Mapping[str, object], n_out: int, folds_guess: int = 10):
+def _by_size(maps: Mapping[str, object], n_out: int, k: int):
     batch, size = [], 0
     for key, m in maps.items():
-        numbers = folds_guess * (m.width + n_out + 1) ** 2
+        numbers = k * (m.width + n_out + 1) ** 2
         if batch and size + numbers > TASK_NUMBERS:
             yield batch
             batch, size = [], 0
@@ -205,7 +205,7 @@ def cross_validate(
         found = fold_losses(kind, parted, roles, [chosen])[0]
         model = fit(kind, df, roles, **params) if refit else None
     else:
-        search = _GramSearch(cls, parted, roles, [chosen], "fold")
+        search = _GramSearch(cls, parted, roles, [chosen], "fold", k)
         found = search.losses(0)
         model = search.model(0) if refit else None
     table = df.sparkSession.createDataFrame(sorted(found.items()), "fold int, loss double")
@@ -251,7 +251,7 @@ def grid_search(
     cls = model_class(kind)
     choices = expand_grid(grid)
     parted = folds(df.select(*map(quoted, roles.columns)), roles.key, k, seed, exact)
-    found = fold_losses(kind, parted, roles, [cls.complete({**params, **c}) for c in choices])
+    found = fold_losses(kind, parted, roles, [cls.complete({**params, **c}) for c in choices], k=k)
     rows = [(i, candidate_id(c), f, loss) for i, (c, losses) in enumerate(zip(choices, found))
             for f, loss in sorted(losses.items())]
     table = df.sparkSession.createDataFrame(rows, "candidate int, params string, fold int, loss double")
