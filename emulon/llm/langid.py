@@ -190,6 +190,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", prediction
                     langs[i] = name
             yield pd.DataFrame({"lang": langs, "score": scores})
 
+    # a filter on the result must not make Spark predict twice
+    language = language.asNondeterministic()
     found = F.col("__language")
     return docs.withColumn("__language", language(F.col(f"`{text}`").cast("string"))).withColumns(
         {prediction: found["lang"], score: found["score"]}).drop("__language")

@@ -298,6 +298,7 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str
                 known = {}
             yield pd.DataFrame(rows, columns=["text", "n"])
 
+    clean = clean.asNondeterministic()  # never evaluated twice
     done = named.withColumn("__done", clean(body, F.col("__fixes")))
     kept = [F.col("__done.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return done.select(*kept, *([F.col("__done.n").alias(count)] if count else []))
