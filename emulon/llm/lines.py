@@ -23,6 +23,8 @@ repeated rows are treated alike; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,49 +34,45 @@ LAST = 2**63 - 1
 
 
 def _byte_table(buckets: DataFrame, bits: int, level: Column) -> Column:
-    """``2**bits`` bytes, one a bucket: the ``level`` (two hex digits) of the number ``n`` of rows in it.
+    """An array of ``2**bits`` bytes, one a bucket: the ``level`` (up to 127) of the number ``n`` of rows in it.
 
     A written table of one row, read by a scalar subquery, so that the plan does not hold the bytes."""
     every = buckets.select("bucket").unionAll(buckets.sparkSession.range(1 << bits).toDF("bucket"))
     counted = every.groupBy("bucket").agg((F.count("*") - 1).alias("n")).select(
-        F.shiftright("bucket", PIECE).alias("piece"), F.struct("bucket", level.alias("hex")).alias("item"))
-
-    def joined(items: str) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda i: i["hex"]), "")
-
-    pieces = counted.groupBy("piece").agg(joined("item").alias("hex")).select(F.struct("piece", "hex").alias("item"))
-    return cut_lineage(pieces.agg(F.unhex(joined("item")).alias("bytes"))).scalar()
+        F.shiftright("bucket", PIECE).alias("piece"), F.struct("bucket", level.cast("tinyint").alias("level")).alias("item"))
+    pieces = counted.groupBy("piece").agg(
+        F.transform(F.array_sort(F.collect_list("item")), lambda i: i["level"]).alias("levels")).select(F.struct("piece", "levels").alias("item"))
+    return cut_lineage(pieces.agg(F.flatten(F.transform(F.array_sort(F.collect_list("item")), lambda i: i["levels"])).alias("bytes"))).scalar()
 
 
 PIECE = 12  # bits of the buckets joined in the first step
 
 
 def _rarity() -> Column:
-    """A quarter of a power of two per step; 0 is for what does not occur."""
-    level = F.when(F.col("n") > 0, F.least(F.lit(255), 1 + F.floor(4 * F.log2("n")))).otherwise(0)
-    return F.lpad(F.hex(level.cast("int")), 2, "0")
+    """A quarter of a power of two per step, 124 at most; 0 is for what does not occur."""
+    return F.when(F.col("n") > 0, F.least(F.lit(124), 1 + F.floor(4 * F.log2("n")))).otherwise(0)
 
 
 def _presence() -> Column:
-    return F.when(F.col("n") > 0, "01").otherwise("00")
+    return F.when(F.col("n") > 0, 1).otherwise(0)
 
 
 def _bucket(hashed: Column, bits: int) -> Column:
     return hashed.bitwiseAND((1 << bits) - 1)
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), r"\s+")), "")
+def _split(text: Column) -> Column:
+    """Words and, where white space is doubled, empty strings.  The pattern is only for what holds other white space than blanks."""
+    low = F.lower(text)
+    other = [F.contains(text, F.lit(c)) for c in "\n\t\r\f\v"]
+    return F.when(reduce(lambda x, y: x | y, other), F.split(low, r"\s+")).otherwise(F.split(low, " "))
 
 
-def _lines(docs: DataFrame, key: str, text: str, only: Column | None = None) -> DataFrame:
-    """doc (null key: last), whole (hash of the text), line, words; only lines that have words."""
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc (null key: last), whole (hash of the text), line, content."""
     base = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("doc"),
                        F.xxhash64(F.col(f"`{text}`")).alias("whole"), F.col(f"`{text}`").alias("text"))
-    exploded = base.select("doc", "whole", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    if only is not None:
-        exploded = exploded.where(only)
-    return exploded.select("doc", "whole", "line", _words(F.col("content")).alias("words")).where(F.size("words") > 0)
+    return base.select("doc", "whole", F.posexplode(F.split("text", "\n")).alias("line", "content"))
 
 
 def _table_bits(docs: DataFrame, text: str) -> int:
@@ -86,62 +84,82 @@ def _flags(places: DataFrame, keys: list[str], bits: int) -> Column:
     """Whether the place of the current row may be among ``places``; wrong only in that it may be true too often."""
     bucket = _bucket(F.xxhash64(*keys), bits)
     table = _byte_table(places.select(bucket.alias("bucket")), bits, _presence())
-    return F.substring(table, (bucket + 1).cast("int"), 1) != F.lit(bytearray(1))
+    return F.get(table, bucket.cast("int")) == 1
 
 
 def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """doc, whole, lines: per document the numbers of the lines that go (written)."""
-    words = _lines(docs, key, text).select(F.explode("words").alias("word"))
     bits = _table_bits(docs, text)
+    words = docs.select(F.explode(_split(F.col(f"`{text}`"))).alias("word"))
     rarity = _byte_table(words.select(_bucket(F.xxhash64("word"), bits).alias("bucket")), bits, _rarity())
 
-    # each line with its set's name, size, bitmap and prefix; words by their hashes, from rare to frequent
+    def rank(h: Column) -> Column:
+        """A word's number: its rarity, then its hash.  Equal words have equal numbers."""
+        level = F.get("rarity", _bucket(h, bits).cast("int"))
+        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    # each line with its set's name, size, bitmap and prefix, from rare words to frequent ones
+    hashes = F.array_remove(F.transform(_split(F.col("content")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    numbers = F.sort_array(F.array_distinct(F.transform(hashes, rank)))
+    # content and table are used once, so Spark puts the subquery into the expression and no row holds the table
+    lines = _lines(docs, key, text).withColumn("rarity", rarity).select("doc", "whole", "line", numbers.alias("numbers"))
+    lines = lines.withColumn("size", F.size("numbers")).where("size > 0")
     least = F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
-    ranked = F.array_sort(F.transform("words", lambda w: F.struct(
-        F.substring("rarity", (_bucket(F.xxhash64(w), bits) + 1).cast("int"), 1).alias("level"), F.xxhash64(w).alias("word"))))
-    bitmap = F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 58).bitwiseAND(63).cast("int"))))
-    head = F.slice("hashes", F.lit(1), (F.col("size") - least + 1).cast("int"))
-    # words and table are used once, so Spark puts the subquery into the expression and no row holds the table
-    lines = _lines(docs, key, text).withColumn("rarity", rarity).select("doc", "whole", "line", ranked["word"].alias("hashes"))
-    places = cut_lineage(lines.withColumn("size", F.size("hashes")).select(
-        "doc", "whole", "line", F.xxhash64("hashes").alias("set_a"), F.xxhash64(F.reverse("hashes")).alias("set_b"), "size",
-        bitmap.alias("bitmap"), F.transform(head, lambda h: F.shiftright(h, 32).cast("int")).alias("prefix")))
-    name = ["set_a", "set_b"]
-    firsts = places.groupBy(*name).agg(F.min(F.struct("doc", "line", "size", "bitmap", "prefix")).alias("first"))
-    firsts = cut_lineage(firsts.select(*name, "first.*"))
+    bitmap = F.aggregate("numbers", F.lit(0).cast("long"), lambda a, n: a.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(63).cast("int"))))
+    head = F.slice("numbers", F.lit(1), (F.col("size") - least + 1).cast("int"))
+    places = cut_lineage(lines.select(
+        "doc", "whole", "line", F.xxhash64("numbers").alias("name"), F.hash("numbers").alias("check"), "size",
+        bitmap.alias("bitmap"), F.transform(head, lambda n: n.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix")))
+    firsts = places.groupBy("name", "check").agg(F.min(F.struct("doc", "line", "whole", "size", "bitmap", "prefix")).alias("first"))
+    firsts = cut_lineage(firsts.select("name", "check", "first.*"))
 
     # a set too small to be similar to a larger one only matches itself
     meeting = firsts.where(F.floor(F.col("size") / similarity + 1e-9) > F.col("size")).select(
-        "doc", "line", "size", "bitmap", F.posexplode("prefix").alias("place", "word"))
+        "name", "size", "bitmap", F.posexplode("prefix").alias("place", "word"))
     a, b = meeting.alias("a"), meeting.alias("b")
     together = F.col("a.size") + F.col("b.size")
     overlap = F.ceil(similarity / (1 + similarity) * together - 1e-9)
     shorter, longer = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    candidates = a.join(b, (F.col("a.word") == F.col("b.word"))
-                        & ((F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") < F.col("b.line"))))
+    candidates = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.name") < F.col("b.name"))
                         & (shorter >= F.ceil(F.lit(similarity) * longer - 1e-9))
                         & (F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= overlap)
                         & (F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))) <= together - 2 * overlap))
-    pairs = cut_lineage(candidates.select(
-        F.col("a.doc").alias("doc_a"), F.col("a.line").alias("line_a"), F.col("b.doc").alias("doc_b"), F.col("b.line").alias("line_b")).distinct())
-
-    # the words of candidates are fetched again from the documents
-    wanted = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).union(pairs.select("doc_b", "line_b"))
-    fetched = _lines(docs, key, text, _flags(wanted, ["doc", "line"], bits)).groupBy("doc", "line").agg(F.collect_set("words").alias("sets"))
-    one, other = (fetched.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.explode("sets").alias(f"words_{x}"))
-                  for x in "ab")
-    shared = F.size(F.array_intersect("words_a", "words_b"))
-    similar = pairs.join(one, ["doc_a", "line_a"]).join(other, ["doc_b", "line_b"]).where(
-        shared >= similarity * (F.size("words_a") + F.size("words_b") - shared) - 1e-9)
-    gone = similar.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct().withColumn("gone", F.lit(True))
-    known = firsts.select(*name, "doc", "line").join(gone, ["doc", "line"], "left").select(
-        *name, F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
-    going = places.select("doc", "whole", "line", *name).join(known, name).where(
+    differ = F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))).alias("differ")
+    candidates = candidates.select(F.col("a.name").alias("x"), F.col("b.name").alias("y"), differ).distinct()
+    at = {c: firsts.select(F.col("name").alias(c), F.struct("doc", "line").alias(f"at_{c}")) for c in "xy"}
+    pairs = candidates.join(at["x"], "x").join(at["y"], "y").where("at_x <> at_y")
+    pairs = cut_lineage(pairs.select(
+        F.when(F.col("at_x") < F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("earlier"),
+        F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("later"), "differ"))
+
+    # a line goes by one match: the likeliest is verified first, others only where that fails
+    best = pairs.groupBy("later").agg(F.min(F.struct("differ", "earlier")).alias("best")).select("later", "best.earlier")
+    first_round = cut_lineage(_verified(docs, key, text, best, firsts, similarity, bits))
+    rest = pairs.join(best, ["later", "earlier"], "left_anti").join(first_round, "later", "left_anti")
+    second_round = _verified(docs, key, text, cut_lineage(rest.select("later", "earlier")), firsts, similarity, bits)
+    gone = first_round.union(second_round).select(F.col("later").alias("name")).distinct().withColumn("gone", F.lit(True))
+    known = firsts.select("name", "check", "doc", "line").join(gone, "name", "left").select(
+        "name", "check", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
+    going = places.select("doc", "whole", "line", "name", "check").join(known, ["name", "check"]).where(
         F.col("gone").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
     return cut_lineage(going.groupBy("doc", "whole").agg(F.collect_set("line").alias("lines")))
 
 
+def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, firsts: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """``later`` of the pairs of sets (later, earlier) that are similar: their texts are fetched from the documents and compared."""
+    asked = pairs.select(F.col("later").alias("name")).union(pairs.select("earlier")).distinct()
+    asked = cut_lineage(asked.join(firsts.select("name", "doc", "line", "whole", "size"), "name"))
+    at = ["doc", "line", "whole"]
+    found = _lines(docs, key, text).where(_flags(asked, at, bits)).join(asked, at).select("name", "size", "content")
+    one, other = (found.select(F.col("name").alias(c), F.col("size").alias(f"{c}_size"), F.col("content").alias(f"{c}_content"))
+                  for c in ("later", "earlier"))
+    # sizes are known and each text is used once, so each is split once
+    shared = F.size(F.array_intersect(F.array_remove(_split(F.col("later_content")), ""), _split(F.col("earlier_content"))))
+    enough = shared * (1 + similarity) >= similarity * (F.col("later_size") + F.col("earlier_size")) - 1e-9
+    return pairs.join(one, "later").join(other, "earlier").where(enough).select("later").distinct()
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """All rows and columns, ``text`` without the lines that go; and the numbers of lines before (``__lines``) and removed (``__gone``).
 
