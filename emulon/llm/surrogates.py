@@ -1,15 +1,20 @@
 """Personal data and secrets replaced by surrogates: keyed, of the same type and form, distinct, and the same everywhere.
 
 Found are e-mail and IP addresses, phone, payment-card, social-security and IBAN numbers, secrets (a value after a word such as
-token or password, keys of known prefixes, and long hexadecimal strings), and names after a title.  A surrogate keeps the form: letters
+token or password, keys of known prefixes, and long hexadecimal strings), and names after a title.  A quoted value after such a word
+that has no letter or digit (asterisks, dots) is a mask, not a secret, and stays.  A surrogate keeps the form: letters
 become letters, digits digits, capitals capitals, separators stay, card and IBAN check digits are right where they were, an address
 keeps its top-level domain and a phone number its country code.  Names keep script, capitals and, by title, gender;
-given name and surname are replaced for themselves, so "Mr. A. Smith" and "Mr. Smith" go on sharing a surname.
+given name and surname are replaced for themselves, so "Mr. A. Smith" and "Mr. Smith" go on sharing a surname, and a given name
+has one surrogate whatever its titles: of the gender that they tell in all documents, neutral if they tell none or both.
 
 The surrogate is a keyed permutation of the values of the same form, so one entity gets one surrogate in all documents
-and different entities get different ones.  Names, and forms with few values, may meet; and a surrogate may be another's true
+and different entities get different ones.  Secrets with letters or digits beyond a-z and 0-9 get drawn ones of these instead.
+Names, drawn values, and forms with few values, may meet; and a surrogate may be another's true
 value.  So the entities of all documents are gathered, each once; an entity whose surrogate is a true value, or that
-of a smaller entity, takes its next one, until none is left.  The few that did so meet their documents in a join.
+of a smaller entity, takes its next one, until none is left.  From the eighth on, e-mails, phone numbers, secrets and names grow
+longer every eight, so no form is too small; the others have at least a thousand million values, of which the true ones
+must be less than half.  The few that did so meet their documents in a join.
 
 Nulls and oddities: a null text stays null; a text without entities is unchanged; repeated rows and null keys are treated like any; an empty
 table gives an empty result; other columns are kept.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,8 +68,28 @@ GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 Entity = tuple[str, str]  # type, canonical form
 
 
+_LETTERS: dict[str, str] = {}
+
+
+def letters_of(script: str) -> str:
+    """The plain small or caseless letters whose Unicode names begin with the script; unified ideographs are those of the first block."""
+    if script not in _LETTERS:
+        start = {"cjk": "CJK UNIFIED IDEOGRAPH-", "hangul": "HANGUL SYLLABLE "}.get(script, f"{script.upper()} ")
+        plain = (c for c in map(chr, range(0x4E00, 0xA000) if script == "cjk" else range(0x370, 0x20000)) if unicodedata.name(c, "").startswith(start))
+        found = [c for c in plain if unicodedata.category(c) in ("Ll", "Lo") and unicodedata.normalize("NFKC", c) == c]
+        _LETTERS[script] = "".join(c for c in found if c.lower() == c and "LIGATURE" not in unicodedata.name(c))
+    return _LETTERS[script]
+
+
 def script_of(word: str) -> str:
-    return "cyrillic" if re.search("[а-яё]", word, re.I) else "greek" if re.search("[α-ωά-ώ]", word, re.I) else "latin"
+    """The script of the first letter that is not Latin; one of too few letters counts as Latin."""
+    if re.search("[а-яё]", word, re.I):
+        return "cyrillic"
+    for c in word if not word.isascii() else "":
+        script = unicodedata.name(c, "latin").split(" ")[0].lower()
+        if c.isalpha() and script != "latin" and (script in SCRIPTS or len(letters_of(script)) >= 16):
+            return script
+    return "latin"
 
 
 def find(text: str) -> list[tuple[int, int, Entity]]:
@@ -81,7 +107,8 @@ def find(text: str) -> list[tuple[int, int, Entity]]:
             add(*m.span(), "email", m[0].lower())
     if '"' in text or "'" in text:
         for m in SECRET.finditer(text):
-            add(*m.span(1), "secret", m[1].lower())
+            if any(map(_is_letter_or_digit, m[1])):  # else a mask
+                add(*m.span(1), "secret", m[1].lower())
     if "=" in text or ":" in text:
         for m in BARE_SECRET.finditer(text):
             add(*m.span(1), "secret", m[1].lower())
@@ -118,6 +145,10 @@ def find(text: str) -> list[tuple[int, int, Entity]]:
 _DIGIT = re.compile(r"\d[^a-z]{0,4}\d")
 
 
+def _is_letter_or_digit(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LN"
+
+
 def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -164,6 +195,17 @@ def _scramble(key: bytes, label: str, text: str, hexadecimal: bool = False) -> s
     return "".join(reversed(out))
 
 
+def _draw(key: bytes, label: str, text: str, more: int) -> str:
+    """Letters for letters and marks, digits for digits, by a hash of the whole text, and ``more`` letters; anything else stays."""
+    seed = hashlib.blake2b(f"{label}|{text}".encode(), key=key).digest()
+    raw = hashlib.shake_256(seed).digest(2 * (len(text) + more))
+    out = []
+    for i, c in enumerate(text + "x" * more):
+        n, sort = int.from_bytes(raw[2 * i : 2 * i + 2], "big"), unicodedata.category(c)[0]
+        out.append("0123456789"[n % 10] if sort == "N" else "abcdefghijklmnopqrstuvwxyz"[n % 26] if sort in "LM" else c)
+    return "".join(out)
+
+
 def surrogate(key: bytes, entity: Entity, attempt: int = 0) -> str:
     """The canonical form of the entity's surrogate; attempts after the first give others."""
     kind, value = entity
@@ -180,6 +222,8 @@ def surrogate(key: bytes, entity: Entity, attempt: int = 0) -> str:
         return ".".join(str(new >> s & 255) for s in (24, 16, 8, 0))
     if kind == "phone":
         code, rest = value.split("+")
+        if attempt >= 8:
+            rest += "0" * (attempt // 8)
         return f"{code}+{_scramble(key, f'{label}|{code}', rest)}"
     if kind == "card" and _luhn(value[:-1]) == int(value[-1]):
         new = _scramble(key, f"{label}|valid", value[:-1])
@@ -188,15 +232,17 @@ def surrogate(key: bytes, entity: Entity, attempt: int = 0) -> str:
         new = _scramble(key, f"{label}|{value[:2]}", value[4:].lower()).upper()
         return f"{value[:2]}{98 - _mod97(value[:2] + '00' + new):02d}{new}"
     if kind.startswith(("given", "surname")):
-        parts = kind.split("-")
-        syllables, endings = SCRIPTS[parts[-1]]
-        ends = endings[parts[1]] if parts[0] == "given" else endings["n"]
+        gender, script = kind.split("-", 2)[1:] if kind.startswith("given") else ("n", kind.split("-", 1)[1])
+        syllables, endings = SCRIPTS.get(script) or (letters_of(script), dict.fromkeys("mfn", letters_of(script)))
+        ends = endings[gender]
         h = int.from_bytes(hashlib.blake2b(f"{label}|{value}".encode(), key=key, digest_size=16).digest(), "big")
         name = ""
         for _ in range(2 + attempt // 8):
             h, i = divmod(h, len(syllables))
             name += syllables[i]
         return name + ends[h % len(ends)]
+    if kind == "secret" and (attempt >= 8 or any(not c.isascii() and unicodedata.category(c)[0] in "LMN" for c in value)):
+        return _draw(key, label, value, attempt // 8)
     return _scramble(key, label, value, kind == "secret" and all(c in "0123456789abcdef" for c in value))
 
 
@@ -206,7 +252,7 @@ def _dress(new: str, kind: str, old: str) -> str:
         return new
     if kind in ("phone", "card", "ssn", "iban"):
         plain = iter(new.replace("+", ""))
-        return "".join(next(plain) if c.isalnum() else c for c in old)
+        return "".join(next(plain) if c.isalnum() else c for c in old) + "".join(plain)
     if old.isupper() and len(old) > 1:
         return new.upper()
     if kind.startswith(("given", "surname")):
@@ -216,53 +262,78 @@ def _dress(new: str, kind: str, old: str) -> str:
     return new
 
 
-def replace(text: str, key: bytes, attempts: dict[Entity, int], known: dict[Entity, str]) -> str:
+def replace(text: str, key: bytes, fixes: dict[Entity, tuple[str, int]], known: dict[tuple[str, str, int], str]) -> str:
+    """``fixes`` holds the settled type and the attempt of entities that do not keep their first surrogate."""
     out, at = [], 0
     for start, end, entity in find(text):
-        attempt = attempts.get(entity, 0)
-        if (new := known.get((*entity, attempt))) is None:
-            new = known[(*entity, attempt)] = surrogate(key, entity, attempt)
+        kind, attempt = fixes.get(entity, (entity[0], 0))
+        if (new := known.get((kind, entity[1], attempt))) is None:
+            new = known[kind, entity[1], attempt] = surrogate(key, (kind, entity[1]), attempt)
         out += [text[at:start], _dress(new, entity[0], text[start:end])]
         at = end
     return "".join(out) + text[at:] if out else text
 
 
+def _split_kind(kind: str) -> tuple[str, str | None]:
+    """The type without the title's gender, and that gender."""
+    if not kind.startswith("given-"):
+        return kind, None
+    _, gender, script = kind.split("-", 2)
+    return f"given-{script}", gender
+
+
+def _titled(kind: str, gender: str | None) -> str:
+    return kind if gender is None else f"given-{gender}{kind[len('given'):]}"
+
+
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``kind, value`` of every entity of the whole texts, once (written)."""
+    """``kind, value, gender, said`` of every entity of the whole texts, once (written).
+
+    Given names have one row whatever their titles: ``said`` holds the genders of these, ``gender`` the one they come to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {e for t in column(batch, "text").to_pylist() if t for _, _, e in find(t)}
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.string()), pa.array([e[1] for e in found], pa.string())],
-                                             names=["kind", "value"])
+            rows = [(*_split_kind(kind), value) for kind, value in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "gender", "value"])
 
-    return cut_lineage(docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "kind string, value string").distinct())
+    said = F.concat_ws("", *[F.max(F.when(F.col("gender") == g, g)) for g in "mfn"])
+    once = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "kind string, gender string, value string").groupBy("kind", "value").agg(
+        said.alias("said"))
+    told = F.regexp_replace("said", "n", "")
+    gender = F.when(F.col("said") == "", None).when(F.length(told) == 1, told).otherwise("n")
+    return cut_lineage(once.select("kind", "value", gender.alias("gender"), "said"))
 
 
-def exceptions(found: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
-    """``kind, value, attempt`` of the entities that cannot keep their first surrogate (written).
+def exceptions(found: DataFrame, key: bytes) -> DataFrame:
+    """``kind, value, settled, attempt`` of the entities, as ``find`` gives them, that cannot keep their first surrogate (written).
 
     In each round a surrogate belongs to the smallest entity that has it, unless it is a true value; the others try again.
+    Given names whose titles tell different genders take the settled type of all.
     """
 
     @F.pandas_udf("string")
-    def propose(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, (k, v), a) for k, v, a in zip(kind, value, attempt)], dtype=object)
+    def propose(kind: pd.Series, gender: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, (_titled(k, g), v), a) for k, g, v, a in zip(kind, gender, value, attempt)], dtype=object)
 
+    names = ["kind", "value", "gender", "said"]
+    new = propose("kind", "gender", "value", "attempt")
     all_values = found.select("kind", F.col("value").alias("new")).withColumn("true", F.lit(True))
-    assigned = cut_lineage(found.withColumn("attempt", F.lit(0)).withColumn("new", propose("kind", "value", "attempt")))
-    for _ in range(rounds):
+    assigned = cut_lineage(found.select(*names).withColumn("attempt", F.lit(0)).withColumn("new", new))
+    while True:
         owner = assigned.groupBy("kind", "new").agg(F.min(F.struct("attempt", "value")).alias("owner"), F.count("*").alias("n"))
         checked = assigned.join(owner, ["kind", "new"]).join(all_values, ["kind", "new"], "left")
         bad = F.col("true").isNotNull() | ((F.col("n") > 1) & (F.col("owner.value") != F.col("value")))
-        checked = checked.select("kind", "value", "attempt", "new", bad.alias("bad"))
+        checked = checked.select(*names, "attempt", "new", bad.alias("bad"))
         if not checked.where("bad").limit(1).count():
             break
-        again = checked.where("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
-        assigned = cut_lineage(checked.where("not bad").drop("bad").unionByName(again.withColumn("new", propose("kind", "value", "attempt"))))
-    else:
-        raise RuntimeError("some forms have too few values for distinct surrogates")
-    return assigned.where("attempt > 0").select("kind", "value", "attempt")
+        again = checked.where("bad").select(*names, (F.col("attempt") + 1).alias("attempt"))
+        assigned = cut_lineage(checked.where("not bad").drop("bad").unionByName(again.withColumn("new", new)))
+    as_found = F.expr("explode(if(gender is null, array(kind), transform(filter(split(said, ''), g -> g <> ''), g -> concat('given-', g, substr(kind, 6)))))")
+    settled = F.expr("if(gender is null, kind, concat('given-', gender, substr(kind, 6)))")
+    each = assigned.where("attempt > 0 or length(said) > 1").select(as_found.alias("found"), "value", settled.alias("settled"), "attempt")
+    return cut_lineage(each.where("attempt > 0 or found <> settled").withColumnRenamed("found", "kind"))
 
 
 def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
@@ -281,10 +352,10 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str
     if others.limit(1).count():  # else no document needs to know of any
         where = docs.select(F.xxhash64(body).alias("hash"), body.alias("text")).mapInArrow(mentions, "hash long, kind string, value string")
         fixes = cut_lineage(where.join(others, ["kind", "value"]).groupBy("hash").agg(
-            F.collect_set(F.struct("kind", "value", "attempt")).alias("fixes")))
+            F.collect_set(F.struct("kind", "value", "settled", "attempt")).alias("fixes")))
         named = named.join(fixes.select(F.col("hash").alias("__hash"), F.col("fixes").alias("__fixes")), "__hash", "left")
     else:
-        named = named.withColumn("__fixes", F.expr("cast(null as array<struct<kind:string,value:string,attempt:int>>)"))
+        named = named.withColumn("__fixes", F.expr("cast(null as array<struct<kind:string,value:string,settled:string,attempt:int>>)"))
 
     @F.pandas_udf("text string, n int")
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -292,8 +363,8 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str
         for texts, fixes in batches:
             rows = []
             for t, f in zip(texts, fixes):
-                attempts = {(e["kind"], e["value"]): e["attempt"] for e in f} if f is not None else {}
-                rows.append((None, 0) if t is None else (replace(t, key, attempts, known), len(find(t)) if count else 0))
+                others = {(e["kind"], e["value"]): (e["settled"], e["attempt"]) for e in f} if f is not None else {}
+                rows.append((None, 0) if t is None else (replace(t, key, others, known), len(find(t)) if count else 0))
             if len(known) > 200_000:
                 known = {}
             yield pd.DataFrame(rows, columns=["text", "n"])

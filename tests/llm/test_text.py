@@ -96,6 +96,41 @@ def test_surrogates_stay_distinct(spark, odd_docs, no_docs):
     assert surrogates.replace_entities(no_docs, KEY).count() == 0
 
 
+def test_surrogates_of_small_forms(spark):
+    """Masks stay; values whose form has one or few values are replaced, distinctly, in any script."""
+    masks = ["******", "••••••", "--------"]
+    secrets = ["пароль", "секрет", "密码密码密码", "암호암호암호", "*****я", "****-7"] + [f"••••{d}•" for d in range(10)]
+    phones = [f"+999 1 2{i // 10} {i % 10}{j}" for i in range(10) for j in range(10)]
+    docs = spark.createDataFrame([(i, f'password="{v}"') for i, v in enumerate(masks + secrets)] +
+                                 [(100 + i, f"call {p}!") for i, p in enumerate(phones)], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["text"], r["n"]) for r in surrogates.replace_entities(docs, KEY, count="n").collect()}
+    for i, v in enumerate(masks):
+        assert rows[i] == (f'password="{v}"', 0)
+    new = [rows[len(masks) + i][0].split('"')[1] for i in range(len(secrets))]
+    assert all(rows[len(masks) + i][1] == 1 for i in range(len(secrets)))
+    assert len(set(new)) == len(new) and not set(new) & set(secrets)
+    assert all(a.isascii() for a, b in zip(new, secrets) if b.isalpha()) and len(new[0]) == 6
+    called = {rows[100 + i][0] for i in range(len(phones))}
+    assert len(called) == 100 and not called & {f"call {p}!" for p in phones} and all(c.startswith("call +999 ") for c in called)
+    full = [f"1+{i}" for i in range(10)]  # all values of the form are true: longer ones
+    assert {len(surrogates.surrogate(KEY, ("phone", v), 8)) for v in full} == {4}
+
+
+def test_given_names_have_one_surrogate(spark):
+    texts = ["Dr. John Smith", "Mr. John Smith", "Prof. John Miller", "Mx Kim Lee", "Mr. Kim Lee", "Ms. Kim Lee", "Dr. 伟明 Smith", "Dr. Maria Smith"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [r["text"].split() for r in surrogates.replace_entities(docs, KEY).orderBy("doc_id").collect()]
+    given, surname = [r[1] for r in rows], [r[2] for r in rows]
+    assert given[0] == given[1] == given[2] and given[3] == given[4] == given[5]
+    assert len(set(given)) == 4 and len({surname[i] for i in (0, 1, 6, 7)}) == 1
+    assert given[0].lower() == surrogates.surrogate(KEY, ("given-m-latin", "john"))
+    assert given[3].lower() == surrogates.surrogate(KEY, ("given-n-latin", "kim"))
+    assert surrogates.script_of("伟明") == "cjk" == surrogates.script_of(given[6]) and given[6] != "伟明"
+    for word, script in (("דוד", "hebrew"), ("محمد", "arabic"), ("민준", "hangul"), ("Անի", "armenian"), ("Ἀνδρέας", "greek"), ("Éva", "latin")):
+        assert surrogates.script_of(word) == script
+        assert surrogates.script_of(surrogates.surrogate(KEY, (f"surname-{script}", word.lower()))) == script
+
+
 def test_elias_fano():
     rng = np.random.default_rng(9)
     for n, top in ((0, 5), (1, 0), (1, 9), (10, 1000), (10_000, 100), (5000, 10**12)):
