@@ -5,7 +5,8 @@ each centroid knows its nearest ones and a few far ones, and a best-first search
 vector is listed at its nearest centroid, and, if it lies near a boundary, at others: those at most ``(1 + border)`` times as far, unless
 a centroid already chosen is nearer to them than the vector is.  Lists longer than ``part`` rows are dealt in parts, so none
 is read whole by one task.  A query reads the lists whose centroids are at most ``ratio`` times as far as the nearest;
-the ratio is the smallest that finds ``recall`` of the true neighbours within the sample.
+the ratio is the smallest that finds ``recall`` of the true neighbours within the sample.  A query that so gets fewer neighbours than
+asked for reads its next lists, four times as many in each turn, until it has them or has read all lists.
 
 Distances are Euclidean, in double precision, on the original vectors.
 
@@ -93,11 +94,19 @@ class Index(NamedTuple):
             chosen.append(np.where(ok, names[:, j], -1))
         return np.concatenate(rows), np.concatenate(where)
 
-    def probes(self, vectors: np.ndarray, ratio: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, vectors: np.ndarray, ratio: float | None = None, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Vector and list of each visit: those within the ratio, or, in a further turn, only those not read in the turns before."""
         names, distance = self.near(vectors, len(self.centroids))
-        rows, places = np.nonzero(distance <= (ratio or self.ratio) * distance[:, :1])
+        first = (distance <= (ratio or self.ratio) * distance[:, :1]).sum(axis=1, keepdims=True)  # they are sorted
+        place = np.arange(names.shape[1])
+        start, end = (np.maximum(4, first) * 4**t if t else first for t in (max(0, turn - 1), turn))
+        rows, places = np.nonzero((place >= (start if turn else 0)) & (place < end) & (names >= 0))
         return rows, names[rows, places]
 
+    def unread(self, turn: int) -> bool:
+        """Whether some list may be left for this turn."""
+        return (4**turn if turn > 1 else 1) < len(self.centroids)
+
 
 def balanced_means(vectors: np.ndarray, k: int, turns: int = 12, seed: int = 5) -> np.ndarray:
     """k-means whose clusters pay for being larger than the mean."""
@@ -156,13 +165,13 @@ def search(table: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
     index = build(sample(rows, "v", fit_on), sizes[0]["count"], list_rows, k, recall, border, copies, links)
     shared = share(table.sparkSession, index)
 
-    def route(method: str):
+    def route(method: str, **how: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: Index = opened(shared)
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     piece = batch.slice(at, 1024)
-                    who, where = getattr(own, method)(matrix(column(piece, "v")))
+                    who, where = getattr(own, method)(matrix(column(piece, "v")), **how)
                     take = pa.array(who)
                     yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), column(piece, "vec_id").take(take), column(piece, "v").take(take)],
                                                      names=["list", "vec_id", "v"])
@@ -170,30 +179,47 @@ def search(table: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
 
     listing = "list int, vec_id long, v array<double>"
     postings = cut_lineage(rows.select("vec_id", "v").mapInArrow(route("lists"), listing))
-    asked = rows.where("asks").select("vec_id", "v").mapInArrow(route("probes"), listing)
+    asking = rows.where("asks").select("vec_id", "v")
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     dealt = postings.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
-    visits = asked.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def nearest(listed: pa.Table, visiting: pa.Table) -> pa.Table:
         """The k nearest keys of this part of a list for each visiting query."""
         ids, queries_ = listed.column("vec_id").to_numpy(), visiting.column("vec_id").to_numpy()
         x, q = matrix(listed.column("v")), matrix(visiting.column("v"))
+        by_key = np.argsort(ids, kind="stable")
+        keys, starts = np.unique(ids[by_key], return_index=True)  # rows that share a key are one candidate
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(len(q) if len(ids) else 0):
-            d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-            d[ids == queries_[i]] = np.inf
+            d = np.minimum.reduceat(np.sqrt(((x - q[i]) ** 2).sum(axis=1))[by_key], starts)
+            d[keys == queries_[i]] = np.inf
             best = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
             best = best[np.isfinite(d[best])]
-            best = best[np.lexsort((ids[best], d[best]))]
-            _, first = np.unique(ids[best], return_index=True)
-            best = best[np.sort(first)][:k]
-            out.append((np.full(len(best), queries_[i]), ids[best], d[best]))
+            best = best[np.lexsort((keys[best], d[best]))][:k]
+            out.append((np.full(len(best), queries_[i]), keys[best], d[best]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
-    near = dealt.select("list", "part", "vec_id", "v").groupBy("list", "part").cogroup(
-        visits.select("list", "part", "vec_id", "v").groupBy("list", "part")).applyInArrow(nearest, "query_id long, vec_id long, score double")
-    once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # a vector may stand in several lists
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    homes = dealt.select("list", "part", "vec_id", "v").groupBy("list", "part")
+
+    def read(who: DataFrame, turn: int) -> DataFrame:
+        """query_id, vec_id, score: the neighbours in the lists of a turn."""
+        visits = who.mapInArrow(route("probes", turn=turn), listing).join(parts, "list").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return homes.cogroup(visits.select("list", "part", "vec_id", "v").groupBy("list", "part")).applyInArrow(
+            nearest, "query_id long, vec_id long, score double")
+
+    def best(near: DataFrame) -> DataFrame:
+        once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # a vector may stand in several lists
+        order = W.partitionBy("query_id").orderBy("score", "vec_id")
+        return cut_lineage(once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+    have, turn = best(read(asking, 0)), 1
+    while index.unread(turn):
+        full = have.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+        short = asking.join(full, "vec_id", "left_anti")
+        if not short.limit(1).count():
+            break
+        have = best(have.drop("rank").unionByName(read(short, turn)))
+        turn += 1
+    return have

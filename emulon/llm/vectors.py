@@ -35,7 +35,7 @@ def by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def sample(vectors: DataFrame, column: str, size: int) -> np.ndarray:
     """About ``size`` vectors, at most, by the hash of their components: equal vectors are taken all or none, once."""
-    n = vectors.count()
+    n = vectors.select(F.count_distinct(F.xxhash64(F.col(column)))).first()[0]  # copies do not make the sample smaller
     share = min(1.0, size / max(1, n))
     unit = F.pmod(F.xxhash64(F.col(column), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     rows = vectors.where(unit < share).select(column).distinct().orderBy(F.xxhash64(F.col(column))).limit(size).collect()

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from emulon.llm import itq, lines, postings, simhash
+from emulon.llm import itq, lines, postings, simhash, vectors
 from emulon.llm.components import components
 
 
@@ -221,3 +221,25 @@ def test_nearest_neighbours(spark):
     assert postings.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = postings.search(table.where("vec_id < 5"), F.col("vec_id") % 2 == 0).collect()
     assert sorted((r["query_id"], r["rank"]) for r in few) == [(q, r) for q in (0, 2, 4) for r in (1, 2, 3, 4)]
+
+
+def test_neighbours_behind_copies_and_in_small_lists(spark):
+    rng = np.random.default_rng(3)
+    cloud = rng.standard_normal((1200, 8))
+    far = np.concatenate([500 * rng.standard_normal(8) + 0.01 * rng.standard_normal((4, 8)) for _ in range(8)])
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([cloud, far]))]
+    rows += [(1, (cloud[0] + 1e-4).tolist())] * 30  # the nearest key of row 0, over and over
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in postings.search(table, (F.col("vec_id") == 0) | (F.col("vec_id") >= 1200), k=10, list_rows=40, part=64).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(found) == {0, *range(1200, 1232)} and 1 in found[0]
+    assert all(len(v) == len(set(v)) == 10 for v in found.values())
+    for q in range(1200, 1232):
+        group = 1200 + (q - 1200) // 4 * 4
+        assert set(range(group, group + 4)) - {q} <= set(found[q])
+
+
+def test_sample_counts_distinct_vectors(spark):
+    table = spark.createDataFrame([([float(i % 50 + 1), 1.0],) for i in range(5000)], "v array<double>")
+    assert len(vectors.sample(table, "v", 50)) == 50
