@@ -25,8 +25,12 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go; the others get the language predicted."""
+    """Documents without a language (no text, no letter) go; the others get the language predicted.
+
+    With no document to learn languages from, the others stay as they are."""
     model = langid.train(docs)
+    if model is None:
+        return docs.where(langid.lettered(F.col("text")))
     predicted = langid.predict(docs, model, prediction="__lang", score="__score")
     return predicted.where("__lang <> 'und'").withColumn("lang", F.col("__lang")).select(*docs.columns)
 

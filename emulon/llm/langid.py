@@ -4,9 +4,9 @@ Linear support vector machines first tell the language families apart, one again
 family found, machines of one language against one other vote.  Features are the roots of the shares of hashed
 byte 3-grams and 4-grams of the lower-cased text.
 
-The machines are fitted on the driver on a bounded sample: about ``per_language`` documents of each of the
-``languages`` most frequent languages, chosen by a hash of the text.  That bound is the one limit here: languages are counted over all
-documents and every whole text is predicted.
+The machines are fitted on the driver on a bounded sample: about ``per_language`` distinct texts, or all if there are no more, of each
+of the ``languages`` languages with the most, chosen by a hash of the text.  That bound is the one limit here: distinct texts
+are counted over all documents and every whole text is predicted.
 
 Nulls and oddities: a null text, or one without a letter, is ``und`` with score 0, as is everything if there is nothing to learn
 from; documents of null language are not learned from; empty tables give empty results; repeated rows are predicted alike.
@@ -68,6 +68,11 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def lettered(text: Column) -> Column:
+    """``has_letter`` of a column; null where it is."""
+    return text.cast("string").rlike(r"\p{L}")
+
+
 class Model(NamedTuple):
     languages: list[str]
     families: list[str]
@@ -152,8 +157,10 @@ def train(docs: DataFrame, learn: Column | None = None, text: str = "text", lang
     """Fits the machines on a sample of the rows where ``learn`` holds."""
     known = docs.where(learn) if learn is not None else docs
     known = known.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where(
-        "lang is not null and text is not null")
-    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+        F.col("lang").isNotNull() & lettered(F.col("text")))
+    # copies and texts that are not learned from must not make the others' chance smaller
+    texts = known.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    frequent = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not frequent:
         return None
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)

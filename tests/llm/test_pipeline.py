@@ -63,3 +63,9 @@ def test_odd_documents_pass_through(spark, odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SMALL)
         docs.collect()
+
+
+def test_without_languages_texts_with_a_letter_stay(spark, odd_docs):
+    kept = corpus_pipeline.language(spark, odd_docs, SMALL).collect()
+    want = [r for r in odd_docs.collect() if r["text"] and any(map(str.isalpha, r["text"]))]
+    assert want and sorted(map(str, kept)) == sorted(map(str, want))

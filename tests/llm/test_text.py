@@ -30,6 +30,18 @@ def test_language(spark, small_docs, odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.predict(odd_docs, None).collect()} == {"und"}
 
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    """All distinct texts of a small language are learned from, however often one of them is repeated."""
+    words = {"de": "der hund und die katze", "fr": "le chien et le chat", "fi": "koira ja kissa ovat", "pl": "pies i kot na dachu",
+             "tr": "kedi ve köpek evde", "hu": "a kutya és a macska"}
+    rows = [(lang, f"{w} {'!' * n}") for lang, w in words.items() for n in range(3)]
+    copies = spark.range(3000).selectExpr("cast(id as string) as n").crossJoin(
+        spark.createDataFrame([r for r in rows if r[1].endswith(" ")], "lang string, text string")).select("lang", "text")
+    numbers = spark.range(2000).selectExpr("'de' as lang", "cast(id as string) as text")  # not learned from
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string").unionByName(copies).unionByName(numbers))
+    assert model is not None and model.languages == sorted(words)
+
+
 def test_features_cover_the_whole_text():
     short = "der und die " * 10
     long = short * 20_000
