@@ -39,3 +39,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Left join with a table that has each key once.
+
+    Keys that hold a thousandth of ``rows`` (those of ``left``, at least) are a thousand at most: their right rows are broadcast, so no task
+    receives all left rows of such a key.  The others meet by shuffle."""
+    counts = left.groupBy(key).count().where(F.col("count") * 1000 >= max(rows, 1000)).select(key)
+    hot = right.join(F.broadcast(counts), key, "left_semi")
+    marked = left.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
+    cold = marked.where("is_hot is null").select(*left.columns).join(right, key, "left")
+    return marked.where("is_hot").drop("is_hot").unionByName(cold)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulon.llm import bpe, itq, langid, lines, lm, packing, postings, repair, simhash, surrogates
+from emulon.llm import bpe, itq, langid, lines, lm, negatives, packing, postings, repair, simhash, spelling, surrogates, warc
 from emulon.llm.common import crc_fold
 from emulon.runtime import scratch_path
 
@@ -124,6 +124,114 @@ def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@_query
+def op11_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(documents(spark, sf_dir), least_letters=6, least_count=5, every=199)
+    return spelling.variants(words, ratio=5).select("word", "n", "form", "root", "n_near", "form_n")
+
+
+#: The hash of a text is the exclusive sum of what each byte adds, given how many bytes follow it.  Words one edit apart
+#: are equal without one letter.
+SQL["op11_frequency_trie"] = """
+WITH RECURSIVE
+step AS (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) AS t FROM range(256) r(b)),
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents),
+spelt AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 6 GROUP BY doc_id, run),
+named AS (SELECT row_number() OVER () AS i, run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM spelt),
+longest AS (SELECT coalesce(max(length(h)) // 2, 0) AS top FROM named),
+after AS (
+  SELECT 0 AS k, b, t FROM step
+  UNION ALL SELECT k + 1, a.b, xor(a.t >> 8, s.t) FROM after a JOIN step s ON s.b = a.t & 255, longest WHERE k + 1 < top),
+start AS (
+  SELECT 0 AS k, 4294967295 AS z
+  UNION ALL SELECT k + 1, xor(z >> 8, s.t) FROM start JOIN step s ON s.b = z & 255, longest WHERE k < top),
+bytes AS (SELECT i, length(h) // 2 AS len, h, unnest(range(length(h) // 2)) AS pos FROM named),
+parts AS (
+  SELECT i, len, len - 1 - pos AS k,
+         (instr('0123456789ABCDEF', h[2 * pos + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * pos + 2]) - 1 AS b
+  FROM bytes),
+crc AS (SELECT i, any_value(len) AS len, bit_xor(t) AS x FROM parts JOIN after USING (k, b) GROUP BY i),
+hashed AS (SELECT run, n, xor(xor(x, z), 4294967295) AS crc FROM named JOIN crc USING (i) JOIN start ON start.k = crc.len),
+results AS (
+  SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (
+  SELECT word, n, pos, substr(word, 1, pos) || substr(word, pos + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS pos FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+ranked AS (
+  SELECT word, n, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near),
+best AS (
+  SELECT word, n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM ranked WHERE place = 1),
+path AS (
+  SELECT word, form AS root, 1 AS steps FROM best WHERE form IS NOT NULL
+  UNION ALL SELECT path.word, best.form, steps + 1 FROM path JOIN best ON best.word = path.root WHERE best.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, steps) AS root FROM path GROUP BY word)
+SELECT word, n, form, coalesce(root, word) AS root, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM words LEFT JOIN best USING (word) LEFT JOIN last USING (word)"""
+
+
+@_query
+def op12_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is found again by its URL key, and read at the place that the index tells."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    archive, index = scratch_path(spark, "warc"), scratch_path(spark, "captures")
+    warc.write_archive(pages, archive)
+    warc.build_index(spark, archive, index)
+    captures = warc.lookup(spark, index, pages.select(warc.url_key_of("url").alias("key")))
+    return warc.resolve(warc.fetch(spark, archive, captures))
+
+
+SQL["op12_capture_index"] = """
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+numbers AS (
+  SELECT page_id, payload, list_transform(range(8), lambda i: list_reduce(list_transform(range(5), lambda j:
+           instr('0123456789abcdef', h[5 * i + j + 1]) - 1), lambda a, b: a * 16 + b)) AS v
+  FROM hashed),
+spelt AS (
+  SELECT page_id, payload, list_reduce(list_transform(range(32), lambda i:
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1]), lambda a, b: a || b) AS digest
+  FROM numbers),
+firsts AS (SELECT payload, min(page_id) AS first FROM spelt GROUP BY payload)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM spelt JOIN firsts USING (payload)"""
+
+
+@_query
+def op13_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = negatives.whole_vectors(embeddings(spark, sf_dir), F.col("vec_id"), moved, F.col("embedding"), scale=256)
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+SQL["op13_threshold_negatives"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
