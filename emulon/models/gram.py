@@ -7,6 +7,7 @@ and a whole grid of ridge weights are then small solves on the driver.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -17,8 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emulon.functions.columns import model_columns
-from emulon.models.sums import sum_over_partitions
-from emulon.runtime import opened, share
+from emulon.models.sums import LEAST_FROM, sum_over_partitions
+from emulon.runtime import opened, plan_partitions, share
+
+FOLDS_AT_MOST = 32  # folds assumed where their number is not known; more only make the driver's share larger
+
 
 class FeatureMap(Protocol):
     """Maps a block of rows to ``width`` features.  A map may have ``centre(means)``: numbers near the
@@ -96,16 +100,32 @@ class Moments:
         return np.maximum(error, 0.0)
 
 
+LOOK = 1024  # first rows that tell where columns lie
+
+
+def first_look(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and spreads of the first rows; 0 and 1 where they have none.  Results do not depend on them beyond rounding."""
+    head = df.select(*model_columns("x", columns)).limit(LOOK).toPandas().to_numpy(dtype=float)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # columns without any value
+        mean, spread = (np.nan_to_num(f(head, axis=0), posinf=0.0, neginf=0.0) if len(head) else np.zeros(len(columns)) for f in (np.nanmean, np.nanstd))
+    return mean, np.where(spread > 1e-12 * np.abs(mean), spread, 1.0)
+
+
 def _shifts(df: DataFrame, maps: Sequence[FeatureMap], inputs: Sequence[str], outputs: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per map the shifts of its features and of the outputs; nought for maps without a centre."""
+    """Per map the shifts of its features and of the outputs; nought for maps without a centre.
+
+    A map that has looked at the rows already knows both."""
     none = [(np.zeros(m.width), np.zeros(len(outputs))) for m in maps]
-    if not any(hasattr(m, "centre") for m in maps):
-        return none
-    columns = [*model_columns("x", inputs), *model_columns("y", outputs)]
-    row = df.select(*columns).agg(*[F.avg(f"x{i}") for i in range(len(inputs))], *[F.avg(f"y{i}") for i in range(len(outputs))]).head()
-    means = np.nan_to_num(np.array([0.0 if v is None else v for v in row]))
-    x, y = means[: len(inputs)], means[len(inputs) :]
-    return [(m.centre(x), y) if hasattr(m, "centre") else zero for m, zero in zip(maps, none)]
+    unseen = [m for m in maps if hasattr(m, "centre") and getattr(m, "output_shift", None) is None]
+    means = first_look(df, [*inputs, *outputs])[0] if unseen else None
+    found = []
+    for m, zero in zip(maps, none):
+        if m in unseen:
+            found.append((m.centre(means[: len(inputs)]), means[len(inputs) :]))
+        else:
+            found.append((m.centre(m.shift), m.output_shift) if hasattr(m, "centre") else zero)
+    return found
 
 
 def moments(
@@ -114,8 +134,12 @@ def moments(
     inputs: Sequence[str],
     outputs: Sequence[str],
     fold: str | None = None,
+    extremes: dict[int, tuple[np.ndarray, np.ndarray]] | None = None,
 ) -> dict[str, dict[int, Moments]]:
-    """``{map name: {fold: Moments}}`` in one scan; without ``fold`` all rows are fold 0."""
+    """``{map name: {fold: Moments}}`` in one scan; without ``fold`` all rows are fold 0.
+
+    ``extremes``, if given, receives the least and largest value of each input by fold.  Inputs may be missing only where
+    all maps have ``gaps``."""
     names, n_in, n_out = list(maps), len(inputs), len(outputs)
     widths = [maps[m].width + 1 for m in names]
     table = df.select(
@@ -127,16 +151,23 @@ def moments(
     step = max(256, 4_000_000 // (max(widths) + n_out))
     shifts = _shifts(df, [maps[m] for m in names], inputs, outputs)
     shared = share(df.sparkSession, ([maps[m] for m in names], shifts))
+    gaps = all(getattr(m, "gaps", False) for m in maps.values())
+    bounded = extremes is not None
 
     def work(batches: Iterator[pd.DataFrame], part: int) -> dict[int, np.ndarray]:
         found: dict[int, np.ndarray] = {}
         feature_maps, offsets = opened(shared)
         for batch in batches:
             block, number = batch.iloc[:, :-1].to_numpy(dtype=float), batch["fold"].to_numpy()
-            if np.isnan(block).any():
+            if np.isnan(block[:, n_in:] if gaps else block).any():
                 raise ValueError("inputs and outputs of a fit must not be missing; impute or drop them first")
             for f in np.unique(number):
                 rows = block[number == f]
+                if bounded:
+                    x = rows[:, :n_in]
+                    ends = np.concatenate([np.where(np.isnan(x), np.inf, x).min(axis=0), np.where(np.isnan(x), np.inf, -x).min(axis=0)])
+                    slot = LEAST_FROM + int(f)
+                    found[slot] = np.minimum(found[slot], ends) if slot in found else ends
                 for start in range(0, len(rows), step):
                     x, y = rows[start : start + step, :n_in], rows[start : start + step, n_in:]
                     for i, m in enumerate(feature_maps):
@@ -147,7 +178,11 @@ def moments(
                         found[slot] = found[slot] + product if slot in found else product
         return found
 
-    totals = sum_over_partitions(table, work)
+    size = sum(w * (w + n_out) + n_out for w in widths) * (FOLDS_AT_MOST if fold else 1)
+    totals = sum_over_partitions(table, work, size, plan_partitions(table))
+    if bounded:
+        extremes.update({slot - LEAST_FROM: (totals[slot][:n_in], -totals[slot][n_in:]) for slot in totals if slot >= LEAST_FROM})
+        totals = {slot: numbers for slot, numbers in totals.items() if slot < LEAST_FROM}
     out: dict[str, dict[int, Moments]] = {m: {} for m in names}
     for slot, numbers in sorted(totals.items()):
         i = slot % len(names)

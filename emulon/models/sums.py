@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 SLICE = 4096  # numbers per row of the partial table
 GROUP = 256  # partials added up in one group
 DRIVER_NUMBERS = 8_000_000  # partial arrays of up to this many numbers are added on the driver
+LEAST_FROM = 1 << 28  # slots from here on hold the element-wise least, not the sum
 PARTIALS = "slot int, slice int, part int, numbers binary"
 
 Work = Callable[[Iterator[pd.DataFrame], int], dict[int, np.ndarray]]
 
 
 def sum_over_partitions(df: DataFrame, work: Work, size: int = 0, partitions: int | None = None) -> dict[int, np.ndarray]:
-    """Element-wise totals of the arrays that ``work`` returns for each partition, by slot.
+    """Element-wise totals of the arrays that ``work`` returns for each partition, by slot; the least in slots from ``LEAST_FROM`` on.
 
     With ``partitions``, their number, and ``size``, the most numbers a task returns, known to be small, totals are formed on the driver.
     """
@@ -40,10 +41,13 @@ def sum_over_partitions(df: DataFrame, work: Work, size: int = 0, partitions: in
                 "numbers": [numbers[c : c + SLICE].tobytes() for c in cuts],
             })
 
-    def summed(arrays: list[np.ndarray]) -> np.ndarray:
+    def combined(slot: int, arrays: list[np.ndarray]) -> np.ndarray:
         total = arrays[0].copy()
         for a in arrays[1:]:
-            total += a
+            if slot >= LEAST_FROM:
+                np.minimum(total, a, out=total)
+            else:
+                total += a
         return total
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -51,7 +55,7 @@ def sum_over_partitions(df: DataFrame, work: Work, size: int = 0, partitions: in
         first = group.iloc[0]
         return pd.DataFrame({
             "slot": [first["slot"]], "slice": [first["slice"]], "part": [first["part"]],
-            "numbers": [summed([np.frombuffer(b) for b in group["numbers"]]).tobytes()],
+            "numbers": [combined(first["slot"], [np.frombuffer(b) for b in group["numbers"]]).tobytes()],
         })
 
     partials = df.mapInPandas(run, PARTIALS)
@@ -64,5 +68,5 @@ def sum_over_partitions(df: DataFrame, work: Work, size: int = 0, partitions: in
         tree.setdefault((row["slot"], row["slice"]), {}).setdefault(row["part"] // GROUP, []).append(np.frombuffer(row["numbers"]))
     totals: dict[int, list[np.ndarray]] = {}
     for slot, piece in sorted(tree):
-        totals.setdefault(slot, []).append(summed([summed(a) for a in tree[slot, piece].values()]))
+        totals.setdefault(slot, []).append(combined(slot, [combined(slot, a) for a in tree[slot, piece].values()]))
     return {slot: np.concatenate(pieces) for slot, pieces in totals.items()}

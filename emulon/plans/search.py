@@ -75,16 +75,18 @@ def candidate_id(params: Mapping[str, object]) -> str:
 
 
 def fold_losses(
-    kind: str, df: DataFrame, roles: Roles, candidates: Sequence[Mapping[str, object]], fold: str = "fold", k: int = 10
+    kind: str, df: DataFrame, roles: Roles, candidates: Sequence[Mapping[str, object]], fold: str = "fold", k: int = 10,
+    only: Sequence[int] | None = None,
 ) -> list[dict[int, float]]:
-    """Validation mean squared error by fold for every candidate (complete parameter sets); ``k`` is the number of folds."""
+    """Validation mean squared error by fold for every candidate (complete parameter sets); ``k`` is the number of folds.
+
+    With ``only``, of these folds."""
     cls = model_class(kind)
-    if cls is SupportVector:
-        return _svr_losses(df, roles, candidates, fold)
-    if cls is Network:
-        return _network_losses(df, roles, candidates, fold)
+    if cls in (SupportVector, Network):
+        numbers = _fold_numbers(df, fold) if only is None else list(only)
+        return (_svr_losses if cls is SupportVector else _network_losses)(df, roles, candidates, fold, numbers)
     search = _GramSearch(cls, df, roles, candidates, fold, k)
-    return [search.losses(i) for i in range(len(candidates))]
+    return [search.losses(i, only) for i in range(len(candidates))]
 
 
 def _fold_numbers(df: DataFrame, fold: str) -> list[int]:
@@ -112,10 +114,10 @@ class _GramSearch:
             return group[0]
         return max(group, key=lambda p: log_marginal_likelihood(sums[self._key(p)], float(p["alpha"])))
 
-    def losses(self, candidate: int) -> dict[int, float]:
+    def losses(self, candidate: int, only: Sequence[int] | None = None) -> dict[int, float]:
         """Each fold is predicted from the statistics of all others."""
         group, out = self.groups[candidate], {}
-        for f in sorted(self.stats[self._key(group[0])]):
+        for f in sorted(self.stats[self._key(group[0])] if only is None else only):
             sums = {self._key(p): total(self.stats[self._key(p)]) - self.stats[self._key(p)][f] for p in group}
             params = self._pick(group, sums)
             held = self.stats[self._key(params)][f]
@@ -144,8 +146,7 @@ def _by_size(maps: Mapping[str, object], n_out: int, k: int):
     yield batch
 
 
-def _svr_losses(df, roles, candidates, fold) -> list[dict[int, float]]:
-    numbers = _fold_numbers(df, fold)
+def _svr_losses(df, roles, candidates, fold, numbers) -> list[dict[int, float]]:
     jobs = [FitJob(p, f) for p in candidates for f in numbers]
     support_vector.train(df, roles, jobs, fold)
     models = [SupportVector(roles.inputs, [f"{i}_{c}" for c in roles.outputs], j.params, j.map, j.weights)
@@ -168,8 +169,7 @@ def _svr_losses(df, roles, candidates, fold) -> list[dict[int, float]]:
     return out
 
 
-def _network_losses(df, roles, candidates, fold) -> list[dict[int, float]]:
-    numbers = _fold_numbers(df, fold)
+def _network_losses(df, roles, candidates, fold, numbers) -> list[dict[int, float]]:
     jobs = [NetworkJob(p, f) for p in candidates for f in numbers]
     together: dict[tuple, list] = {}  # fits that share their partitions and their shuffling share the scans
     for job in jobs:

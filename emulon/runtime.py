@@ -88,5 +88,14 @@ def open_table(spark: SparkSession, path: str, deal_by: tuple[str, ...] = ()) ->
     return df.repartition(workers, *deal_by) if deal_by else df.repartition(workers)
 
 
+def plan_partitions(df: DataFrame) -> int | None:
+    """How many partitions the rows will have at most; None if the plan does not tell before it runs."""
+    execution = df._jdf.queryExecution()
+    plan = execution.executedPlan()
+    if "AdaptiveSparkPlan" not in plan.getClass().getSimpleName():
+        return execution.toRdd().getNumPartitions()  # a scan: this plans, it does not run
+    return plan.outputPartitioning().numPartitions() or None
+
+
 def worker_count(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)

@@ -12,6 +12,7 @@ from emulon.operators.evaluate import metrics
 from emulon.operators.features import expand_polynomial
 from emulon.operators.scale import fit_scalers
 from emulon.operators.split import TEST, TRAIN, VAL, part
+from emulon.plans.pipeline_search import pipeline_search
 from emulon.plans.search import cross_validate, grid_search, hold_out
 from emulon.runtime import scratch_path
 from emulon.streaming.scoring import monitor_errors, write_scores
@@ -255,6 +256,58 @@ def surface_grid_search(spark, sf):
     return table.select("p.*", "fold", "loss").where("not (degree = 2 and fit_intercept)")
 
 
+_PREPARED_FOLDS_SQL = f"""{GAPS_SQL}, f AS (
+  SELECT CAST(floor({unit_sql(purpose='fold')} * 3) AS INTEGER) AS fold, l_extendedprice AS x, l_quantity AS q, charge / 1000 AS y FROM gaps
+), k AS (SELECT DISTINCT fold FROM f), p AS (
+  SELECT k.fold, avg(x) AS mx, min(x) AS ax, max(x) - min(x) AS sx, avg(q) AS mq, min(q) AS aq, max(q) - min(q) AS sq
+  FROM k JOIN f ON f.fold <> k.fold GROUP BY k.fold
+), z AS (
+  SELECT p.fold, f.fold = p.fold AS held, y, (coalesce(x, mx) - ax) / sx AS u, (coalesce(q, mq) - aq) / sq AS v FROM p, f
+)"""
+
+
+@query("M17", f"""WITH {_PREPARED_FOLDS_SQL}, s AS (
+  SELECT fold, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * y) AS uy, sum(v * y) AS vy,
+         covar_pop(u, u) AS cuu, covar_pop(u, v) AS cuv, covar_pop(v, v) AS cvv, covar_pop(u, y) AS cuy, covar_pop(v, y) AS cvy,
+         avg(u) AS mu, avg(v) AS mv, avg(y) AS my FROM z WHERE NOT held GROUP BY fold
+), w AS (
+  SELECT fold, TRUE AS fit_intercept, (cuy * cvv - cvy * cuv) / (cuu * cvv - cuv * cuv) AS b, (cvy * cuu - cuy * cuv) / (cuu * cvv - cuv * cuv) AS c, my, mu, mv FROM s
+  UNION ALL SELECT fold, FALSE, (uy * vv - vy * uv) / (uu * vv - uv * uv), (vy * uu - uy * uv) / (uu * vv - uv * uv), 0, 0, 0 FROM s
+)
+SELECT fit_intercept, fold, round(avg(pow(y - my - b * (u - mu) - c * (v - mv), 2)), 5) AS loss FROM z JOIN w USING (fold) WHERE held GROUP BY ALL""")
+def pipeline_search_losses(spark, sf):
+    """Planes on two inputs with gaps; fill values and scales belong to the folds, and all losses come from one scan."""
+    run = _pipeline_search(spark, sf, refit=False)
+    return run.table.selectExpr("from_json(params, 'fit_intercept boolean').fit_intercept as fit_intercept", "fold", "round(loss, 5) as loss")
+
+
+@query("M17", f"""WITH {_PREPARED_FOLDS_SQL}
+SELECT fold, 'l_extendedprice' AS "column", round(mx, 5) AS fill, ax AS centre, sx AS scale FROM p
+UNION ALL SELECT fold, 'l_quantity', round(mq, 8), aq, sq FROM p""")
+def pipeline_search_preparations(spark, sf):
+    """Fill value, centre and scale of each input by the rows outside each fold."""
+    table = _pipeline_search(spark, sf, refit=False).preparations
+    return table.selectExpr("fold", "column", "if(column = 'l_quantity', round(fill, 8), round(fill, 5)) as fill", "centre", "scale")
+
+
+def _pipeline_search(spark, sf, **options):
+    rows = with_gaps(experiment(spark, sf)).selectExpr("key", "l_extendedprice", "l_quantity", "charge / 1000 as y")
+    return pipeline_search("response_surface", rows, Roles("key", ("l_extendedprice", "l_quantity"), ("y",)),
+                           {"fit_intercept": [True, False]}, k=3, degree=1, include_bias=False, **options)
+
+
+@query("M17, U1", f"""WITH {GAPS_SQL}, m AS (SELECT avg(l_extendedprice) AS m FROM gaps),
+filled AS (SELECT key, coalesce(l_extendedprice, m) / 1000 AS x, charge / 1000 AS y FROM gaps, m),
+line AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM filled)
+SELECT key, round(a + b * x, 6) AS pred_y FROM filled, line""")
+def pipeline_search_scores(spark, sf):
+    """The winner of a search on rows with gaps, fitted on all of them, scores raw rows."""
+    rows = with_gaps(experiment(spark, sf)).selectExpr("key", "l_extendedprice as x", "charge / 1000 as y")
+    run = pipeline_search("response_surface", rows, Roles("key", ("x",), ("y",)), {"fit_intercept": [True, False]},
+                          k=3, degree=1, include_bias=False)
+    return run.scorer.transform(rows.select("key", "x")).selectExpr("key", "round(pred_y, 6) as pred_y")
+
+
 @query("M17, S12")
 def kernel_ridge_grid_search(spark, sf):
     """Ridge weights and kernel widths scored in shared scans; mean loss per candidate."""
@@ -355,6 +408,16 @@ def offset_line_fit(spark, sf):
                    {"slope": 6, "at_offset": 2})
 
 
+@query("M2", """SELECT o_orderkey, round(power(o_totalprice / 1e5, 2) - 0.5 * (o_custkey / 1e3) * (o_totalprice / 1e5) + 3 * o_custkey / 1e3, 4) AS pred_y
+FROM orders""")
+def far_surface_prediction(spark, sf):
+    """A surface of degree two on inputs that lie a hundred thousand times their spread from nought."""
+    rows = read(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice / 1e5D + 1e5D AS a", "o_custkey / 1e3D - 1e5D AS b",
+                                                "power(o_totalprice / 1e5D, 2) - 0.5D * (o_custkey / 1e3D) * (o_totalprice / 1e5D) + 3 * o_custkey / 1e3D AS y")
+    model = fit("response_surface", rows, Roles("o_orderkey", ("a", "b"), ("y",)), degree=2)
+    return rounded(model.transform(rows).select("o_orderkey", "pred_y"), 4)
+
+
 # ----------------------------------------------------------------------------- networks with a closed form
 
 STORED = Layout((2, 3, 1), "tanh")
