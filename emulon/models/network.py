@@ -1,9 +1,14 @@
 """Feed-forward network fitted by data-parallel rounds.
 
-A round broadcasts the weights, every partition runs its mini-batches once in a random
+With ``method="rounds"`` a round broadcasts the weights, every partition runs its mini-batches once in a random
 order, and the results are averaged with the row counts as weights (local SGD).  With one
-partition this is the sequential algorithm.  Several networks (folds of a
-cross-validation, candidates of a search) are trained in the same rounds.
+partition this is the sequential algorithm.
+
+With ``method="gradient"`` an epoch is one step along the gradient over all rows: a sum over the partitions of the scan as they are, so the
+result does not depend on them but for rounding.  ``method="lbfgs"`` takes that gradient for limited-memory BFGS steps; the lengths that a step
+tries are judged in one further scan.
+
+Several networks (folds of a cross-validation, candidates of a search) are trained in the same scans.
 """
 
 from __future__ import annotations
@@ -22,9 +27,13 @@ from emulon.functions.columns import model_columns, quoted, unit_hash
 from emulon.models.base import Model
 from emulon.models.sums import sum_over_partitions
 from emulon.roles import Roles
-from emulon.runtime import opened, share
+from emulon.runtime import opened, plan_partitions, share
 
-PARTITIONS = 8  # workers of a round unless asked for otherwise; results depend on it, not on the cluster
+PARTITIONS = 8  # fewest workers of a round unless asked for otherwise
+WORKER_ROWS = 500_000  # a worker of a round has so many rows on average, at most; results depend on the rows, not on the cluster
+METHODS = ("rounds", "gradient", "lbfgs")
+MEMORY = 10  # steps that limited-memory BFGS remembers
+LENGTHS = (4.0, 2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3)  # of a step of it, judged together
 BLOCK_ROWS = 8192  # rows shuffled together
 VALIDATION = -1  # fold number of explicit validation rows
 
@@ -131,6 +140,8 @@ class NetworkJob:
     plateau_stale: int = 0
     history: list[tuple[int, str, float]] = field(default_factory=list)
     done: bool = False
+    steps: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # of weights and of gradients, for lbfgs
+    last: tuple[np.ndarray, np.ndarray] | None = None  # weights and gradient before the latest step
 
     @property
     def theta(self) -> np.ndarray:
@@ -166,7 +177,10 @@ def train(
     n_in, n_out = len(roles.inputs), len(roles.outputs)
     for job in jobs:
         _start(job, n_in, n_out)
-    partitions = partitions or PARTITIONS
+    methods = {str(j.params["method"]) for j in jobs}
+    if len(methods) > 1 or not methods <= set(METHODS):
+        raise ValueError(f"the jobs of one training share one method out of {METHODS}; got {sorted(methods)}")
+    whole = methods != {"rounds"}
     seed = int(jobs[0].params["seed"])
     rows = table.select(
         unit_hash(roles.key, seed, "batch").alias("u"),
@@ -174,8 +188,14 @@ def train(
         *model_columns("y", roles.outputs),
         (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"),
     )
-    # Pinned partitions in a fixed order: the result depends on their number, on nothing else.
-    rows = rows.repartition(partitions, "u").sortWithinPartitions("u").drop("u").persist(StorageLevel.MEMORY_AND_DISK)
+    if whole:
+        rows = rows.drop("u")
+        partitions = plan_partitions(rows)
+    else:
+        partitions = partitions or max(PARTITIONS, -(-table.count() // WORKER_ROWS))
+        # Pinned partitions in a fixed order: the result depends on their number, on nothing else.
+        rows = rows.repartition(partitions, "u").sortWithinPartitions("u").drop("u")
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         validated = fold is not None
         epoch = 0
@@ -185,10 +205,16 @@ def train(
                 j.done = j.done or i not in active
             if not active:
                 break
-            _round(rows, jobs, active, n_in, epoch, partitions, seed)
+            if whole:
+                _whole_step(rows, jobs, active, n_in, epoch, partitions, seed)
+            else:
+                _round(rows, jobs, active, n_in, epoch, partitions, seed)
             losses = _validate(rows, jobs, active, n_in, n_out, partitions) if validated else {}
             for i in active:
-                _after_epoch(jobs[i], epoch, losses.get(i))
+                if not jobs[i].done:
+                    _after_epoch(jobs[i], epoch, losses.get(i))
+                elif i in losses:
+                    jobs[i].best = min(jobs[i].best, losses[i])
             epoch += 1
     finally:
         rows.unpersist()
@@ -203,7 +229,9 @@ def _start(job: NetworkJob, n_in: int, n_out: int) -> None:
     job.layout = Layout((n_in, *hidden, n_out), p["activation"], p["output_activation"], float(p["dropout_rate"]))
     theta = job.layout.initial(int(p["seed"]))
     job.rate = float(p["learning_rate"])
-    job.state = np.concatenate([theta, np.zeros(2 * len(theta) + 1)]) if _is_adam(p) else theta
+    job.state = np.concatenate([theta, np.zeros(2 * len(theta) + 1)]) if _is_adam(p) and p["method"] != "lbfgs" else theta
+    if p["method"] == "lbfgs" and job.layout.dropout:
+        raise ValueError("lbfgs compares losses along a line; it takes no dropout")
 
 
 def _is_adam(params: Mapping[str, object]) -> bool:
@@ -262,6 +290,105 @@ def _round(rows, jobs, active, n_in, epoch, partitions, seed) -> None:
         jobs[i].history.append((epoch + 1, "train", float(totals[i][-2] / totals[i][-1])))
 
 
+def _whole_step(rows, jobs, active, n_in, epoch, partitions, seed) -> None:
+    """One step of every job along what the gradient over all its rows tells."""
+    shared = share(rows.sparkSession, [(i, jobs[i].layout, jobs[i].theta, jobs[i].fold) for i in active])
+
+    def work(batches: Iterator[pd.DataFrame], part: int) -> dict[int, np.ndarray]:
+        networks = opened(shared)
+        sums: dict[int, np.ndarray] = {}
+        for number, (block, fold) in enumerate(_blocks(batches)):
+            if np.isnan(block).any():
+                raise ValueError("inputs and outputs of a fit must not be missing; impute or drop them first")
+            for i, layout, theta, left_out in networks:
+                kept = block[(fold != VALIDATION) & ((left_out is None) | (fold != left_out))]
+                if len(kept):
+                    rng = np.random.default_rng([seed, epoch, part, number])
+                    loss, g = layout.gradient(theta, kept[:, :n_in], kept[:, n_in:], rng)
+                    found = np.concatenate([g * len(kept), [loss * len(kept), len(kept)]])
+                    sums[i] = sums[i] + found if i in sums else found
+        return sums
+
+    totals = sum_over_partitions(rows, work, sum(jobs[i].layout.length + 2 for i in active), partitions)
+    shared.unpersist()
+    directions: dict[int, np.ndarray] = {}
+    for i in active:
+        if i not in totals:
+            raise ValueError("no rows to train on")
+        job, g, loss = jobs[i], totals[i][:-2] / totals[i][-1], float(totals[i][-2] / totals[i][-1])
+        job.history.append((epoch + 1, "train", loss))
+        if job.params["method"] == "gradient":
+            _move(job, g)
+        else:
+            directions[i] = _remembered_direction(job, g)
+    if directions:
+        _try_lengths(rows, jobs, directions, n_in, partitions)
+
+
+def _move(job: NetworkJob, g: np.ndarray) -> None:
+    """A step of the job's optimiser."""
+    if not _is_adam(job.params):
+        job.state = job.state - job.rate * g
+        return
+    size = job.layout.length
+    theta, m, v, t = job.theta, job.state[size : 2 * size], job.state[2 * size : 3 * size], job.state[-1] + 1
+    m, v = m + (1 - BETA1) * (g - m), v + (1 - BETA2) * (g * g - v)
+    theta = theta - job.rate * (m / (1 - BETA1**t)) / (np.sqrt(v / (1 - BETA2**t)) + ADAM_EPSILON)
+    job.state = np.concatenate([theta, m, v, [t]])
+
+
+def _remembered_direction(job: NetworkJob, g: np.ndarray) -> np.ndarray:
+    """Limited-memory BFGS: the gradient through the curvature of the latest steps."""
+    if job.last is not None:
+        s, y = job.theta - job.last[0], g - job.last[1]
+        if s @ y > 1e-12 * np.sqrt((s @ s) * (y @ y)):
+            job.steps = [*job.steps, (s, y)][-MEMORY:]
+    job.last = (job.theta.copy(), g)
+    d, kept = -g, []
+    for s, y in reversed(job.steps):
+        a = (s @ d) / (s @ y)
+        d = d - a * y
+        kept.append(a)
+    if job.steps:
+        s, y = job.steps[-1]
+        d = d * ((s @ y) / (y @ y))
+    else:
+        d = d / max(1.0, float(np.sqrt(g @ g)))
+    for (s, y), a in zip(job.steps, reversed(kept)):
+        d = d + (a - (y @ d) / (s @ y)) * s
+    if d @ g >= 0:  # no way down: forget
+        job.steps = []
+        d = -g / max(1.0, float(np.sqrt(g @ g)))
+    return d
+
+
+def _try_lengths(rows, jobs, directions, n_in, partitions) -> None:
+    """The length of least loss; a job that no length brings down is done."""
+    tried = (0.0, *LENGTHS)
+    shared = share(rows.sparkSession, [(i, jobs[i].layout, jobs[i].theta, d, jobs[i].fold) for i, d in directions.items()])
+
+    def work(batches: Iterator[pd.DataFrame], part: int) -> dict[int, np.ndarray]:
+        networks = opened(shared)
+        sums: dict[int, np.ndarray] = {}
+        for block, fold in _blocks(batches):
+            for i, layout, theta, d, left_out in networks:
+                kept = block[(fold != VALIDATION) & ((left_out is None) | (fold != left_out))]
+                if len(kept):
+                    found = np.array([float(((layout.forward(theta + a * d, kept[:, :n_in]) - kept[:, n_in:]) ** 2).sum()) for a in tried])
+                    sums[i] = sums[i] + found if i in sums else found
+        return sums
+
+    totals = sum_over_partitions(rows, work, len(tried) * len(directions), partitions)
+    shared.unpersist()
+    for i, d in directions.items():
+        losses = np.where(np.isfinite(totals[i]), totals[i], np.inf)
+        best = int(losses.argmin())
+        if losses[best] < losses[0]:
+            jobs[i].state = jobs[i].theta + tried[best] * d
+        else:
+            jobs[i].done = True
+
+
 def _validate(rows, jobs, active, n_in, n_out, partitions) -> dict[int, float]:
     shared = share(
         rows.sparkSession, [(i, jobs[i].layout, jobs[i].theta, VALIDATION if jobs[i].fold is None else jobs[i].fold) for i in active])
@@ -316,6 +443,7 @@ class Network(Model):
         "activation": "Tanh",
         "output_activation": None,
         "dropout_rate": 0.0,
+        "method": "rounds",
         "optimizer": "Adam",
         "learning_rate": 0.001,
         "schedule": "step",

@@ -171,10 +171,10 @@ def _svr_losses(df, roles, candidates, fold, numbers) -> list[dict[int, float]]:
 
 def _network_losses(df, roles, candidates, fold, numbers) -> list[dict[int, float]]:
     jobs = [NetworkJob(p, f) for p in candidates for f in numbers]
-    together: dict[tuple, list] = {}  # fits that share their partitions and their shuffling share the scans
+    together: dict[tuple, list] = {}  # fits that share their method, their partitions and their shuffling share the scans
     for job in jobs:
-        together.setdefault((job.params["partitions"], job.params["seed"]), []).append(job)
-    for (partitions, _), some in together.items():
+        together.setdefault((job.params["partitions"], job.params["seed"], job.params["method"]), []).append(job)
+    for (partitions, *_), some in together.items():
         network.train(df, roles, some, fold, partitions)
     out: list[dict[int, float]] = [{} for _ in candidates]
     for i, job in enumerate(jobs):

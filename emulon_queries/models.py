@@ -447,13 +447,40 @@ step AS (SELECT {START[0]!r}::DOUBLE - {STEP} * 2 * avg(({START[0]!r}::DOUBLE *
                 {START[1]!r}::DOUBLE - {STEP} * 2 * avg({START[0]!r}::DOUBLE * x + {START[1]!r}::DOUBLE - y) AS b FROM x)
 SELECT s_suppkey, round(w * x + b, 9) AS pred_y FROM x, step""")
 def network_gradient_step(spark, sf):
-    """One step of steepest descent over all suppliers, from the seed's weights (one block holds up to 8192 rows)."""
+    """One step of steepest descent over all suppliers, from the seed's weights."""
     rows = read(spark, sf, "supplier").selectExpr("s_suppkey", "s_acctbal / 1e4D AS x", "3 * s_acctbal / 1e4D + 1 AS y")
     model = fit("neural_network", rows, Roles(key="s_suppkey", inputs=("x",), outputs=("y",)), n_layers=0, optimizer="SGD",
-                learning_rate=STEP, epochs=1, batch_size=8192, partitions=1, seed=42)
+                method="gradient", learning_rate=STEP, epochs=1, seed=42)
     return rounded(model.transform(rows).select("s_suppkey", "pred_y"), 9)
 
 
+@query("M7", f"""WITH RECURSIVE x AS (SELECT o_orderkey, o_totalprice / 1e5 AS x, 2 * o_totalprice / 1e5 - 1 AS y FROM orders),
+s AS (SELECT avg(x) AS x, avg(y) AS y, avg(x * x) AS xx, avg(x * y) AS xy FROM x),
+step AS (SELECT 0 AS n, {START[0]!r}::DOUBLE AS w, {START[1]!r}::DOUBLE AS b
+         UNION ALL SELECT n + 1, w - {STEP} * 2 * (w * xx + b * x - xy), b - {STEP} * 2 * (w * x + b - y) FROM step, s WHERE n < 3)
+SELECT o_orderkey, round(w * x + b, 8) AS pred_y FROM x, step WHERE n = 3""")
+def network_gradient_steps(spark, sf):
+    """Three steps along the gradient over all orders, which is a sum over the scan's own partitions."""
+    rows = read(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice / 1e5D AS x", "2 * o_totalprice / 1e5D - 1 AS y")
+    model = fit("neural_network", rows, Roles(key="o_orderkey", inputs=("x",), outputs=("y",)), n_layers=0, optimizer="SGD",
+                method="gradient", learning_rate=STEP, epochs=3, seed=42)
+    return rounded(model.transform(rows).select("o_orderkey", "pred_y"), 8)
+
+
+@query("M7", """WITH x AS (SELECT o_orderkey, o_totalprice / 1e5 AS a, o_custkey / 1e3 AS b, sin(o_totalprice / 1e5) AS y, cos(o_custkey / 1e3) AS z FROM orders),
+m AS (SELECT avg(a) AS a, avg(b) AS b, avg(y) AS y, avg(z) AS z, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb,
+             covar_pop(a, y) AS ay, covar_pop(b, y) AS bY, covar_pop(a, z) AS az, covar_pop(b, z) AS bz FROM x)
+SELECT o_orderkey, round(m.y + (m.ay * m.bb - m.bY * m.ab) / (m.aa * m.bb - m.ab * m.ab) * (x.a - m.a) + (m.bY * m.aa - m.ay * m.ab) / (m.aa * m.bb - m.ab * m.ab) * (x.b - m.b), 4) AS pred_y,
+       round(m.z + (m.az * m.bb - m.bz * m.ab) / (m.aa * m.bb - m.ab * m.ab) * (x.a - m.a) + (m.bz * m.aa - m.az * m.ab) / (m.aa * m.bb - m.ab * m.ab) * (x.b - m.b), 4) AS pred_z
+FROM x, m""")
+def network_lbfgs_plane(spark, sf):
+    """A network without hidden layers, taken by limited-memory BFGS to its lowest loss: the least-squares planes."""
+    rows = read(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice / 1e5D AS a", "o_custkey / 1e3D AS b",
+                                                "sin(o_totalprice / 1e5D) AS y", "cos(o_custkey / 1e3D) AS z")
+    model = fit("neural_network", rows, Roles(key="o_orderkey", inputs=("a", "b"), outputs=("y", "z")), n_layers=0, method="lbfgs", epochs=60, seed=42)
+    return rounded(model.transform(rows).select("o_orderkey", "pred_y", "pred_z"), 4)
+
+
 # ----------------------------------------------------------------------------- kernel models with a closed form
 
 
