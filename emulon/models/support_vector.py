@@ -1,22 +1,26 @@
 """Support-vector regression, one model per output, all outputs and fits in the same scans.
 
 The epsilon-insensitive loss is minimised in the primal on landmark features (Chapelle
-2007): its corners are rounded over a width that shrinks in two steps, and each step
-takes Newton directions whose gradient and curvature are sums over the rows.  The curvature
-is damped with a share of its upper bound; the full bound always gives descent.  One scan
-tries several dampings and takes the derivatives at the one that served best before.  The
-descent starts from the ridge solution, which costs one scan.
+2007): its corners are rounded over a width that shrinks by turns, and Newton directions
+come from a gradient and a curvature that are sums over the rows.  One scan tries several
+dampings and lengths of the direction and takes the derivatives where the one that served best
+before leads.  The descent starts from the ridge solution, which costs one scan.
+
+The slopes of the rounded loss, row by row, are a point of the dual problem; made to add up to nought, they give a lower bound of the
+objective.  Every scan so tells a duality gap.  An output is done when its gap is at most ``tol`` of its objective; fits tell
+objective, bound and whether they got there, and one that did not gives a warning.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulon.functions.columns import as_double, model_columns
@@ -26,10 +30,13 @@ from emulon.models.sums import sum_over_partitions
 from emulon.roles import Roles
 from emulon.runtime import opened, share
 
-DAMPING = (1e-7, 1e-3, 1e-2, 1e-1, 1.0)
-# Widths of the rounding, each with the relative decrease of the loss that counts as settled.
-ROUNDING = ((0.03, 1e-2), (0.003, 1e-4))
-MAX_SCANS = 60  # per width; a fit stops earlier when its loss settles
+# Shares of the curvature's upper bound, and lengths, that are tried of each direction.
+TRIALS = tuple((d, t) for t in (1.0, 0.5, 0.2, 0.05) for d in (1e-9, 1e-5, 1e-3, 1e-1))
+FIRST_WIDTH = 0.03  # of the rounding, in spreads of the output
+NARROWER = 3.0  # each width is so many times smaller than the one before
+MAX_WIDTHS = 18
+SETTLED = 1e-6  # relative decrease of the rounded objective that ends the work at a width
+MAX_STEPS = 12  # at a width; a fit stops earlier when it settles
 CURVATURE_NUMBERS = 4_000_000
 
 
@@ -51,29 +58,44 @@ class FitJob:
     fold: int | None = None
     map: object = None
     weights: np.ndarray = None  # intercept first, one column per output
-    objective: float = np.nan
+    objective: np.ndarray = None  # by output
+    bound: np.ndarray = None  # what no weights can go below, by output
+
+    @property
+    def converged(self) -> np.ndarray:
+        return self.objective - self.bound <= float(self.params["tol"]) * np.maximum(np.abs(self.objective), 1e-12)
 
 
 class SupportVector(Model):
     kind = "svr"
-    defaults = {"C": 1.0, "epsilon": 0.1, "kernel": "rbf", "gamma": "scale", "degree": 3, "landmarks": 256, "seed": 42}
+    defaults = {"C": 1.0, "epsilon": 0.1, "kernel": "rbf", "gamma": "scale", "degree": 3, "landmarks": 256, "seed": 42, "tol": 1e-2}
 
-    def __init__(self, inputs, outputs, params, feature_map, weights: np.ndarray):
+    def __init__(self, inputs, outputs, params, feature_map, weights: np.ndarray, objective=None, bound=None):
         super().__init__(inputs, outputs, params)
         self.map, self.weights = feature_map, weights
+        unknown = np.full(len(self.outputs), np.nan)
+        self.objective, self.bound = (unknown if v is None else np.asarray(v).ravel() for v in (objective, bound))
 
     @classmethod
     def fit(cls, df: DataFrame, roles: Roles, params: Mapping[str, object]) -> "SupportVector":
         job = train(df, roles, [FitJob(params)])[0]
-        return cls(roles.inputs, roles.outputs, {**params, "gamma": gamma_of(job.map)}, job.map, job.weights)
+        if not job.converged.all():
+            far = [c for c, ok in zip(roles.outputs, job.converged) if not ok]
+            warnings.warn(f"support vectors of {far} are not within tol of the lowest objective; see certificate()", stacklevel=2)
+        return cls(roles.inputs, roles.outputs, {**params, "gamma": gamma_of(job.map)}, job.map, job.weights, job.objective, job.bound)
+
+    def certificate(self, spark: SparkSession) -> DataFrame:
+        """Table ``(output, objective, bound, gap, converged)``: the lowest objective lies between bound and objective."""
+        done = self.objective - self.bound <= float(self.params["tol"]) * np.maximum(np.abs(self.objective), 1e-12)
+        rows = [(c, float(o), float(b), float(o - b), bool(d)) for c, o, b, d in zip(self.outputs, self.objective, self.bound, done)]
+        return spark.createDataFrame(rows, "output string, objective double, bound double, gap double, converged boolean")
 
     def predict_block(self, x: np.ndarray) -> np.ndarray:
         return self.map(x) @ self.weights[1:] + self.weights[0]
 
     def arrays(self):
-        if isinstance(self.map, IdentityMap):
-            return {"weights": self.weights}
-        return {"weights": self.weights, "landmarks": self.map.landmarks, "root": self.map.root}
+        own = {"weights": self.weights, "objective": self.objective, "bound": self.bound}
+        return own if isinstance(self.map, IdentityMap) else {**own, "landmarks": self.map.landmarks, "root": self.map.root}
 
     @classmethod
     def restore(cls, config, arrays):
@@ -83,7 +105,8 @@ class SupportVector(Model):
             feature_map = LandmarkMap(kernel, arrays["landmarks"], arrays["root"])
         else:
             feature_map = IdentityMap(len(config["inputs"]))
-        return cls(config["inputs"], config["outputs"], params, feature_map, arrays["weights"])
+        return cls(config["inputs"], config["outputs"], {**cls.defaults, **params}, feature_map, arrays["weights"],
+                   arrays.get("objective"), arrays.get("bound"))
 
 
 def gamma_of(feature_map) -> float | None:
@@ -93,14 +116,16 @@ def gamma_of(feature_map) -> float | None:
 def _scale_gammas(df: DataFrame, inputs: Sequence[str], fold: str | None) -> dict[int | None, float]:
     """``1 / (inputs x variance of all input values)``, without each fold and without none."""
     cells = [as_double(c) for c in inputs]
-    once, squared = " + ".join(cells), " + ".join(f"{c} * {c}" for c in cells)
-    rows = df.groupBy((F.col(fold) if fold else F.lit(0)).alias("fold")).agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"sum({once})").alias("s"), F.expr(f"sum({squared})").alias("ss")).collect()
+    sums = [F.expr(f"{f}({c})").alias(f"{name}{i}") for i, c in enumerate(cells) for f, name in (("count", "n"), ("avg", "m"), ("var_pop", "v"))]
+    rows = df.groupBy((F.col(fold) if fold else F.lit(0)).alias("fold")).agg(*sums).collect()
 
     def gamma(kept):
-        n = sum(r["n"] for r in kept) * len(inputs)
-        mean = sum(r["s"] for r in kept) / n
-        variance = sum(r["ss"] for r in kept) / n - mean**2
+        parts = [(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]) for r in kept for i in range(len(inputs)) if r[f"n{i}"]]
+        n = sum(p[0] for p in parts)
+        if not n:
+            return 1.0
+        mean = sum(p[0] * p[1] for p in parts) / n
+        variance = sum(p[0] * (p[2] + (p[1] - mean) ** 2) for p in parts) / n
         return 1.0 / (len(inputs) * variance) if variance > 0 else 1.0
 
     out: dict[int | None, float] = {None: gamma(rows)}
@@ -132,91 +157,121 @@ def train(df: DataFrame, roles: Roles, jobs: list[FitJob], fold: str | None = No
         *model_columns("y", roles.outputs),
         (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    table.count()
+    n_out = len(roles.outputs)
+    spreads = table.agg(*[F.stddev_pop(f"y{i}") for i in range(n_out)]).head()
+    spreads = np.array([v if v and np.isfinite(v) else 1.0 for v in spreads])
     partitions = table.rdd.getNumPartitions()
     try:
         widest = max(job.map.width for job in jobs) + 1
         together = max(1, CURVATURE_NUMBERS // (widest * widest * len(jobs)))
         for job in jobs:
-            job.weights = np.zeros((job.map.width + 1, len(roles.outputs)))
+            job.weights = np.zeros((job.map.width + 1, n_out))
+            job.objective, job.bound = np.full(n_out, np.nan), np.full(n_out, np.nan)
         for start in range(0, len(roles.outputs), together):
             outputs = list(range(start, min(start + together, len(roles.outputs))))
-            _minimise(table, jobs, len(roles.inputs), outputs, partitions)
+            _minimise(table, jobs, len(roles.inputs), outputs, partitions, spreads[outputs])
     finally:
         table.unpersist()
     return jobs
 
 
-def _minimise(table: DataFrame, jobs: list[FitJob], n_in: int, outputs: list[int], partitions: int) -> None:
-    q = len(outputs)
-    bounds, points = [], []
+def _minimise(table: DataFrame, jobs: list[FitJob], n_in: int, outputs: list[int], partitions: int, spreads: np.ndarray) -> None:
+    state = []
     for job, (gram, cross) in zip(jobs, _inner_products(table, jobs, n_in, outputs, partitions)):
-        bounds.append(gram)
         penalty = np.eye(len(gram)) / max(float(job.params["C"]), 1e-12)
         penalty[0, 0] = 1e-9
-        points.append(np.linalg.solve(gram + penalty, cross))
-    for width, settled in ROUNDING:
-        state = [_Descent(points[j], bounds[j] / width, float(job.params["C"]), settled) for j, job in enumerate(jobs)]
-        for _ in range(MAX_SCANS):
-            active = [j for j, s in enumerate(state) if not s.done.all()]
-            if not active:
-                break
-            trials = {j: state[j].trials() for j in active}
-            found = _scan(table, jobs, trials, n_in, outputs, width, partitions)
-            for j in active:
-                state[j].take(trials[j], *found[j])
-        points = [s.point for s in state]
-    for j, job in enumerate(jobs):
-        job.weights[:, outputs] = points[j]
+        state.append(_Descent(np.linalg.solve(gram + penalty, cross), gram, FIRST_WIDTH * spreads, job.params))
+    while any(not s.done.all() for s in state):
+        trials = {j: s.trials() for j, s in enumerate(state) if not s.done.all()}
+        found = _scan(table, jobs, trials, {j: state[j].width for j in trials}, n_in, outputs, partitions)
+        for j in trials:
+            state[j].take(trials[j], found[j])
+    for job, s in zip(jobs, state):
+        job.weights[:, outputs], job.objective[outputs], job.bound[outputs] = s.best, s.objective, s.bound
 
 
 class _Descent:
-    """Damped Newton descent of one fit; its outputs are separate problems."""
+    """Damped Newton descent of one fit; its outputs are separate problems, each with its own width."""
 
-    def __init__(self, point: np.ndarray, bound: np.ndarray, c: float, settled: float):
-        self.point, self.bound, self.c, self.settled = point, bound, c, settled
-        q = point.shape[1]
+    def __init__(self, point: np.ndarray, gram: np.ndarray, width: np.ndarray, params: Mapping[str, object]):
+        self.point, self.gram, self.width, self.params = point, gram, width.copy(), params
+        self.c, self.tol = float(params["C"]), float(params["tol"])
+        size, q = point.shape
+        self.best, self.objective, self.bound = point.copy(), np.full(q, np.inf), np.zeros(q)
         self.value = np.full(q, np.inf)
-        self.slope = self.curvature = None
-        self.fresh = np.zeros(q, dtype=bool)  # derivatives belong to the current point
+        self.slope, self.curvature = np.zeros((size, q)), np.zeros((q, size, size))
+        self.fresh = np.zeros(q, dtype=bool)  # value and derivatives belong to the point and the width
         self.favourite = np.zeros(q, dtype=int)
+        self.turn, self.step = np.zeros(q, dtype=int), np.zeros(q, dtype=int)
         self.done = np.zeros(q, dtype=bool)
-        self.ridge = np.eye(len(point))
+        self.ridge = np.eye(size)
         self.ridge[0, 0] = 1e-9  # the intercept is not penalised
 
     def trials(self) -> np.ndarray:
         """Points to evaluate; the first one is where derivatives are taken."""
-        out = np.repeat(self.point[None], len(DAMPING), axis=0)
+        out = np.repeat(self.point[None], len(TRIALS), axis=0)
         for k in np.flatnonzero(self.fresh & ~self.done):
             g = self.c * self.slope[:, k] + self.ridge @ self.point[:, k]
-            order = np.roll(np.arange(len(DAMPING)), -self.favourite[k])
-            for i, d in enumerate(order):
-                h = self.c * (self.curvature[k] + DAMPING[d] * self.bound) + self.ridge
-                out[i, :, k] -= np.linalg.solve(h, g)
+            ways = {d: np.linalg.solve(self.c * (self.curvature[k] + d * self.gram / self.width[k]) + self.ridge, g) for d in {d for d, _ in TRIALS}}
+            for i, at in enumerate(np.roll(np.arange(len(TRIALS)), -self.favourite[k])):
+                damping, length = TRIALS[at]
+                out[i, :, k] -= length * ways[damping]
         return out
 
-    def take(self, trials: np.ndarray, losses: np.ndarray, slope: np.ndarray, curvature: np.ndarray) -> None:
-        values = 0.5 * (trials[:, 1:] ** 2).sum(axis=1) + self.c * losses
-        if self.slope is None:
-            self.slope, self.curvature = np.zeros_like(slope), np.zeros_like(curvature)
+    def take(self, trials: np.ndarray, found: "_Found") -> None:
+        values = 0.5 * (trials[:, 1:] ** 2).sum(axis=1) + self.c * found.losses
+        objective, bound = found.gap(trials[0], self.c, float(self.params["epsilon"]))
         for k in np.flatnonzero(~self.done):
-            if not self.fresh[k]:
-                pick = 0
-            else:
-                best = int(np.argmin(values[:, k]))
-                gain = self.value[k] - values[best, k]
-                if gain <= self.settled * max(abs(self.value[k]), 1e-12):
-                    self.done[k] = True
-                    if gain <= 0:
-                        continue
-                # A first trial that does half as well as the best saves a scan for the derivatives.
-                pick = 0 if self.value[k] - values[0, k] >= 0.5 * gain else best
-                self.favourite[k] = (self.favourite[k] + best) % len(DAMPING)
-            self.point[:, k] = trials[pick, :, k]
-            self.value[k] = values[pick, k]
-            self.fresh[k] = pick == 0
-            if pick == 0:
-                self.slope[:, k], self.curvature[k] = slope[:, k], curvature[k]
+            self.bound[k] = max(self.bound[k], bound[k])  # a bound holds, whichever point gave it
+            if objective[k] < self.objective[k]:
+                self.objective[k], self.best[:, k] = objective[k], trials[0, :, k]
+            if self.objective[k] - self.bound[k] <= self.tol * max(abs(self.objective[k]), 1e-12):
+                self.done[k] = True
+                continue
+            settled = False
+            pick = 0
+            if self.fresh[k]:
+                low = int(np.argmin(values[:, k]))
+                gain = self.value[k] - values[low, k]
+                self.step[k] += 1
+                settled = not gain > SETTLED * abs(self.value[k]) or self.step[k] >= MAX_STEPS
+                if gain > 0:
+                    # A first trial that does half as well as the best saves a scan for the derivatives.
+                    pick = 0 if self.value[k] - values[0, k] >= 0.5 * gain else low
+                    self.favourite[k] = (self.favourite[k] + low) % len(TRIALS)
+                else:
+                    pick = None
+            if pick is not None:
+                self.point[:, k], self.value[k] = trials[pick, :, k], values[pick, k]
+                self.fresh[k] = pick == 0
+                if pick == 0:
+                    self.slope[:, k], self.curvature[k] = found.slope[:, k], found.curvature[k]
+            if settled:
+                self.turn[k], self.step[k], self.fresh[k] = self.turn[k] + 1, 0, False
+                self.width[k] /= NARROWER
+                self.done[k] = self.turn[k] >= MAX_WIDTHS
+
+
+@dataclass
+class _Found:
+    """What a scan tells of one fit: rounded losses at the trial points, and more at the first of them."""
+
+    losses: np.ndarray  # (trials, outputs)
+    slope: np.ndarray  # (weights, outputs)
+    curvature: np.ndarray  # (outputs, weights, weights)
+    loss: np.ndarray  # not rounded
+    pulled: np.ndarray  # sums of outputs pulled up, pulled down
+    pulls: np.ndarray  # sums of features pulled up, pulled down
+
+    def gap(self, point: np.ndarray, c: float, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+        """Objective at the point, and a bound below all objectives."""
+        up, down = self.pulls
+        # the intercept takes no part in the penalty: pulls must balance, so the stronger side is weakened
+        level = np.minimum(up[0], down[0])
+        u, d = (level / np.where(side[0] > 0, side[0], 1.0) for side in (up, down))
+        w = c * (u * up[1:] - d * down[1:])
+        bound = c * (u * self.pulled[0] - d * self.pulled[1]) - c * epsilon * (u * up[0] + d * down[0]) - 0.5 * (w**2).sum(axis=0)
+        return 0.5 * (point[1:] ** 2).sum(axis=0) + c * self.loss, bound
 
 
 def _rows(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -263,46 +318,46 @@ def _inner_products(table, jobs, n_in, outputs, partitions) -> list[tuple[np.nda
     return [(p[:, : len(p)], p[:, len(p) :]) for p in products]
 
 
-def _scan(table, jobs, trials, n_in, outputs, width, partitions):
-    """Losses at all trial points, and derivatives at the first, for every active job."""
+def _scan(table, jobs, trials, widths, n_in, outputs, partitions) -> dict[int, _Found]:
+    """Losses at all trial points, derivatives and pulls at the first, for every active job."""
     shared = share(
-        table.sparkSession, [(j, jobs[j].map, jobs[j].fold, float(jobs[j].params["epsilon"]), points) for j, points in trials.items()])
+        table.sparkSession, [(j, jobs[j].map, jobs[j].fold, float(jobs[j].params["epsilon"]), widths[j], points) for j, points in trials.items()])
     y_at = [n_in + o for o in outputs]
     q = len(outputs)
     step = _block_rows([jobs[j] for j in trials])
 
     def work(batches: Iterator[pd.DataFrame], part: int) -> dict[int, np.ndarray]:
-        sums: dict[int, list[np.ndarray]] = {}
+        sums: dict[int, np.ndarray] = {}
         fits = opened(shared)
         for batch in batches:
             block, number = _rows(batch)
             for start in range(0, len(block), step):
                 rows, fold = block[start : start + step], number[start : start + step]
-                for j, feature_map, left_out, epsilon, points in fits:
+                for j, feature_map, left_out, epsilon, width, points in fits:
                     kept = rows if left_out is None else rows[fold != left_out]
-                    z = _design(feature_map, kept, n_in)
-                    gaps = [z @ p - kept[:, y_at] for p in points]
-                    over = np.abs(gaps[0]) - epsilon
+                    z, y = _design(feature_map, kept, n_in), kept[:, y_at]
+                    gaps = (z @ np.concatenate(points, axis=1)).reshape(len(z), -1, q) - y[:, None, :]
+                    losses, gap = _loss(gaps, epsilon, width), gaps[:, 0]
+                    over = np.abs(gap) - epsilon
+                    pull = -np.sign(gap) * np.clip(over / width, 0.0, 1.0)
+                    up, down = np.maximum(pull, 0.0), np.maximum(-pull, 0.0)
                     bends = (over > 0) & (over < width)
-                    new = [
-                        np.stack([_loss(g, epsilon, width) for g in gaps]),
-                        z.T @ (np.sign(gaps[0]) * np.clip(over / width, 0.0, 1.0)),
-                        np.stack([z[bends[:, k]].T @ z[bends[:, k]] / width for k in range(q)]),
-                    ]
-                    sums[j] = [a + b for a, b in zip(sums[j], new)] if j in sums else new
-        return {j: np.concatenate([a.ravel() for a in s]) for j, s in sums.items()}
-
-    size = sum(len(p) * q + p[0].size + q * p.shape[1] ** 2 for p in trials.values())
-    totals = sum_over_partitions(table, work, size, partitions)
+                    curved = [z[bends[:, k]].T @ z[bends[:, k]] / width[k] for k in range(q)]
+                    new = np.concatenate([np.ravel(a) for a in (
+                        losses, -(z.T @ pull), curved, np.maximum(over, 0.0).sum(axis=0), (up * y).sum(axis=0), (down * y).sum(axis=0), z.T @ up, z.T @ down)])
+                    sums[j] = sums[j] + new if j in sums else new
+        return sums
+
+    def cut(numbers: np.ndarray, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
+        return [part.reshape(s) for part, s in zip(np.split(numbers, ends[:-1]), shapes)]
+
+    shapes = {j: [(len(p), q), (p.shape[1], q), (q, p.shape[1], p.shape[1]), (q,), (2, q), (2, p.shape[1], q)] for j, p in trials.items()}
+    totals = sum_over_partitions(table, work, sum(int(np.prod(s)) for some in shapes.values() for s in some), partitions)
     shared.unpersist()
-    out = {}
-    for j, numbers in totals.items():
-        count, p, _ = trials[j].shape
-        a, b = count * q, count * q + p * q
-        out[j] = (numbers[:a].reshape(count, q), numbers[a:b].reshape(p, q), numbers[b:].reshape(q, p, p))
-    return out
+    return {j: _Found(*cut(numbers, shapes[j])) for j, numbers in totals.items()}
 
 
-def _loss(gap: np.ndarray, epsilon: float, width: float) -> np.ndarray:
+def _loss(gap: np.ndarray, epsilon: float, width: np.ndarray) -> np.ndarray:
     over = np.maximum(np.abs(gap) - epsilon, 0.0)
     return np.where(over < width, over**2 / (2 * width), over - width / 2).sum(axis=0)

@@ -158,6 +158,28 @@ def linear_support_vector_errors(spark, sf):
     return _test_errors(prepared, fit("svr", prepared.part(TRAIN), ROLES, epsilon=0.02, kernel="linear"))
 
 
+@query("M6", """WITH x AS (SELECT min(o_totalprice) / 1e5 AS low, max(o_totalprice) / 1e5 AS high FROM orders),
+w AS (SELECT 2 - 0.2 / (high - low) AS slope, 2 * low + 1.1 AS at_low, low FROM x)
+SELECT 'y' AS output, round(slope, 3) AS slope, round(at_low - slope * low, 3) AS intercept, round(0.5 * slope * slope, 3) AS objective,
+       round(0.5 * slope * slope, 3) AS bound, TRUE AS converged FROM w""")
+def support_vector_certificate(spark, sf):
+    """Orders on a line: the flattest line in the tube touches it at both ends, so the lowest objective is known.
+
+    Objective and lower bound must both meet it."""
+    rows = read(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice / 1e5D AS x", "2 * o_totalprice / 1e5D + 1 AS y")
+    model = fit("svr", rows, Roles("o_orderkey", ("x",), ("y",)), kernel="linear", epsilon=0.1, tol=1e-5)
+    table = model.certificate(spark).withColumn("slope", F.lit(float(model.weights[1, 0]))).withColumn("intercept", F.lit(float(model.weights[0, 0])))
+    return rounded(table.select("output", "slope", "intercept", "objective", "bound", "converged"), 3)
+
+
+@query("M6")
+def support_vector_gaps(spark, sf):
+    """Objective, lower bound and gap of each output of a radial fit."""
+    prepared = _prepared(spark, sf)
+    model = fit("svr", prepared.part(TRAIN), ROLES, epsilon=0.02, landmarks=64)
+    return rounded(model.certificate(spark), 6)
+
+
 @query("M7, M8, M10, M12")
 def network_losses(spark, sf):
     """Loss per epoch of a small network with dropout and a step schedule."""
