@@ -16,10 +16,22 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulon.functions.columns import as_double, number
+from emulon.functions.columns import as_double, number, quoted
 
 ACCURACY = 10_000
 MAX_INSIDE = 200_000  # values of one bracket that may be collected
+MAX_TOTAL = 4_000_000  # values of all brackets of a scan that may be collected
+SKETCHES = 2_000_000  # samples that the sketches of a scan may keep in all; many columns get coarser sketches and narrower brackets
+FEWEST = 500  # accuracy of a sketch, at least
+
+
+def _accuracy(columns: int, accuracy: int) -> int:
+    return min(accuracy, max(FEWEST, SKETCHES // max(1, columns)))
+
+
+def _share_of_total(brackets: int, max_inside: int) -> int:
+    """Values that each of so many brackets may collect; at least two, so that narrowing ends."""
+    return max(2, min(max_inside, MAX_TOTAL // max(1, brackets)))
 
 
 @dataclass
@@ -50,6 +62,7 @@ def order_statistics(
     A wanted item is a share of the rows with the 0-based ranks near it that are asked for;
     without ranks, the two between which the quantile of that share lies.
     """
+    accuracy = _accuracy(len(wanted), accuracy)
     slack = 2.0 / accuracy
     grids = {c: sorted({p for s, _ in items for p in (s - slack, s + slack) if 0 < p < 1})
              for c, items in wanted.items()}
@@ -79,7 +92,7 @@ def order_statistics(
             ranks = list(ranks) if ranks is not None else neighbouring_ranks(n, share)
             pending.append(_Bracket(c, ranks, lo, hi, 4 * slack * n))
     while pending:
-        pending = _refine(df, pending, extremes, out, accuracy, max_inside)
+        pending = _refine(df, pending, extremes, out, accuracy, _share_of_total(len(pending), max_inside))
     return out
 
 
@@ -138,6 +151,83 @@ def _refine(df, brackets, extremes, out, accuracy, max_inside) -> list[_Bracket]
     return again
 
 
+def array_quantiles(df: DataFrame, column: str, shares: Sequence[float], accuracy: int = ACCURACY, max_inside: int = MAX_INSIDE) -> list[list[float | None]]:
+    """Quantiles, with linear interpolation, of every position of an array column; missing cells left out.
+
+    All positions are groups of the same scans: a sketch, then counts below each bracket and the few values inside it, which are narrowed again
+    until those of all positions together are few.  Cells combine on the map side."""
+    cells = df.select(F.posexplode(F.col(quoted(column)).cast("array<double>")).alias("pos", "x")).where("x is not null and not isnan(x)")
+    size = df.agg(F.max(F.size(F.col(quoted(column))))).head()[0] or 0
+    accuracy = _accuracy(size, accuracy)
+    slack = 2.0 / accuracy
+    grid = sorted({p for s in shares for p in (s - slack, s + slack) if 0 < p < 1})
+    sketch = f"percentile_approx(x, array({', '.join(map(number, grid))}), {accuracy})" if grid else "array()"
+    first = cells.groupBy("pos").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.expr(f"{sketch} as s")).collect()
+    found: dict[int, tuple[int, dict[int, float]]] = {r["pos"]: (r["n"], {}) for r in first}
+    extremes = {r["pos"]: (r["lo"], r["hi"]) for r in first}
+    pending: list[_Bracket] = []
+    for r in first:
+        at = dict(zip(grid, r["s"]))
+        pending += [_Bracket(r["pos"], neighbouring_ranks(r["n"], s), at.get(s - slack, r["lo"]), at.get(s + slack, r["hi"]), 4 * slack * r["n"]) for s in shares]
+    while pending:
+        pending = _refine_cells(cells, pending, extremes, found, accuracy, _share_of_total(len(pending), max_inside))
+    out: list[list[float | None]] = []
+    for pos in range(size):
+        n, values = found.get(pos, (0, {}))
+        out.append([_between(values, s * (n - 1)) if n else None for s in shares])
+    return out
+
+
+def _between(values: Mapping[int, float], position: float) -> float:
+    low, high = values[math.floor(position)], values[math.ceil(position)]
+    return low + (high - low) * (position - math.floor(position))
+
+
+def _refine_cells(cells: DataFrame, brackets: list[_Bracket], extremes, found, accuracy: int, limit: int) -> list[_Bracket]:
+    """The step of ``_refine`` for brackets that are rows: at most a few for each position of an array."""
+    spark = cells.sparkSession
+    rows = [(i, int(b.name), float(b.lo), float(b.hi), b.width <= limit) for i, b in enumerate(brackets)]
+    table = F.broadcast(spark.createDataFrame(rows, "i int, pos int, lo double, hi double, take boolean"))
+    joined = cells.join(table, "pos")
+    inside = F.expr("if(x > lo and x < hi, x, null)")
+    counted = joined.groupBy("i").agg(
+        F.expr("count_if(x < lo)").alias("below"), F.expr("count_if(x = lo)").alias("low"), F.expr("count_if(x = hi)").alias("high"),
+        F.count(inside).alias("mid"), F.collect_list(F.when(F.col("take"), inside)).alias("values")).collect()
+    again, wide = [], []
+    for r in counted:
+        b = brackets[r["i"]]
+        values, start = found[b.name][1], r["below"] + r["low"]
+        high = 0 if b.lo == b.hi else r["high"]
+        if min(b.ranks) < r["below"] or max(b.ranks) >= start + r["mid"] + high:
+            again.append(_Bracket(b.name, b.ranks, *extremes[b.name], math.inf))  # the sketch was off
+            continue
+        inner = [k for k in b.ranks if start <= k < start + r["mid"]]
+        values.update({k: b.lo if k < start else b.hi for k in b.ranks if k not in inner})
+        if inner and b.width <= limit:
+            ordered = sorted(r["values"])
+            values.update({k: ordered[k - start] for k in inner})
+        elif inner and r["mid"] <= limit:
+            again.append(_Bracket(b.name, inner, b.lo, b.hi, r["mid"]))
+        elif inner:
+            wide.append((r["i"], _Bracket(b.name, inner, b.lo, b.hi, r["mid"]), start))
+    if wide:
+        slack = 2.0 / accuracy
+        # the sketch inside each bracket, at the ends of a narrower one
+        ends = {i: tuple(min(max(e, 0.0), 1.0) for e in ((min(b.ranks) - start) / max(b.width - 1, 1) - slack, (max(b.ranks) - start) / max(b.width - 1, 1) + slack))
+                for i, b, start in wide}
+        shares = sorted({e for pair in ends.values() for e in pair})
+        sketched = joined.where(F.col("i").isin(list(ends)) & inside.isNotNull()).groupBy("i").agg(
+            F.min("x").alias("lo"), F.max("x").alias("hi"),
+            F.expr(f"percentile_approx(x, array({', '.join(map(number, shares))}), {accuracy})").alias("s")).collect()
+        by = {r["i"]: r for r in sketched}
+        for i, b, _ in wide:
+            at = dict(zip(shares, by[i]["s"]))
+            lo = by[i]["lo"] if ends[i][0] == 0.0 else at[ends[i][0]]
+            hi = by[i]["hi"] if ends[i][1] == 1.0 else at[ends[i][1]]
+            again.append(_Bracket(b.name, b.ranks, lo, hi, 4 * slack * b.width))
+    return again
+
+
 def neighbouring_ranks(n: int, share: float) -> list[int]:
     position = share * (n - 1)
     return sorted({math.floor(position), math.ceil(position)})

@@ -236,23 +236,39 @@ def _symmetric_solve(a: np.ndarray, b: np.ndarray, cutoff: float = 1e-13) -> np.
     return vectors @ (inner[:, None] * (vectors.T @ b))
 
 
-def _non_negative(a: np.ndarray, b: np.ndarray, sweeps: int = 20_000, tolerance: float = 1e-13) -> np.ndarray:
-    """Coordinate descent for least squares with weights of at least zero."""
-    w = np.zeros_like(b)
-    slope = -b.copy()
-    for _ in range(sweeps):
-        change = 0.0
-        for j in range(len(a)):
-            if a[j, j] <= 0:
-                continue
-            new = np.maximum(w[j] - slope[j] / a[j, j], 0.0)
-            delta = new - w[j]
-            slope += np.outer(a[:, j], delta)
-            w[j] = new
-            change = max(change, float(np.abs(delta).max()))
-        if change < tolerance:
-            break
-    return w
+def _non_negative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least squares with weights of at least zero, by active sets (Lawson & Hanson 1974) on the inner products."""
+    return np.stack([_active_set(a, b[:, k]) for k in range(b.shape[1])], axis=1) if b.shape[1] else np.zeros_like(b)
+
+
+def _active_set(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    w, free = np.zeros(len(a)), np.zeros(len(a), dtype=bool)
+    usable = np.diag(a) > 0
+    enough = 1e-12 * max(1.0, float(np.abs(b).max(initial=0.0)))
+    last = np.inf
+    for _ in range(30 * len(a) + 30):
+        slope = np.where(free | ~usable, -np.inf, b - a @ w)
+        j = int(slope.argmax()) if len(a) else 0
+        if not len(a) or slope[j] <= enough:
+            return w
+        free[j] = True
+        while free.any():
+            best = np.zeros(len(a))
+            best[free] = _symmetric_solve(a[np.ix_(free, free)], b[free, None])[:, 0]
+            wrong = free & (best <= 0)
+            if not wrong.any():
+                break
+            # as far towards the best point as no weight falls below nought
+            share = np.min(w[wrong] / np.maximum(w[wrong] - best[wrong], 1e-300))
+            w = w + share * (best - w)
+            free &= ~(wrong & (w <= 1e-15 * np.abs(w).max(initial=0.0)))
+            w[~free] = 0.0
+        w = np.where(free, best, 0.0) if free.any() else np.zeros(len(a))
+        value = float(0.5 * w @ a @ w - b @ w)
+        if value >= last:  # no further gain within rounding
+            return w
+        last = value
+    raise RuntimeError("the active set of a non-negative fit did not settle")
 
 
 def ridge(m: Moments, alpha: float) -> np.ndarray:

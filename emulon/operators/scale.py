@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulon.functions.columns import as_double, number, replace_columns
-from emulon.functions.quantiles import column_quantiles
+from emulon.functions.columns import as_double, number, quoted, replace_columns
+from emulon.functions.quantiles import array_quantiles, column_quantiles
 from emulon.roles import SCALERS, Roles
 
 TINY = 10 * 2.220446049250313e-16  # a scale below this counts as zero
@@ -144,9 +144,15 @@ class ArrayScaler:
 
 def fit_array_scaler(train: DataFrame, column: str, kind: str = "minmax") -> ArrayScaler:
     """Fit all positions of an array column: map-side combined, one group per position."""
-    if kind not in ("minmax", "standard"):
-        raise ValueError("array columns take the minmax or standard scaler; widen them for robust")
-    cells = train.select(F.posexplode(F.col(column).cast("array<double>")).alias("pos", "x"))
+    if kind not in SCALERS:
+        raise ValueError(f"unknown scaler {kind!r}; one of {SCALERS}")
+    if kind == "robust":
+        quarters = array_quantiles(train, column, [0.25, 0.5, 0.75])
+        empty = [i for i, (q1, *_) in enumerate(quarters) if q1 is None]
+        if empty:
+            raise ValueError(f"positions {empty[:5]} of {column!r} have no values to fit a scaler on")
+        return ArrayScaler(kind, [q2 for _, q2, _ in quarters], [_usable(q3 - q1) for q1, _, q3 in quarters])
+    cells = train.select(F.posexplode(F.col(quoted(column)).cast("array<double>")).alias("pos", "x"))
     first, second = (F.min, F.max) if kind == "minmax" else (F.avg, F.stddev_pop)
     rows = cells.groupBy("pos").agg(first("x").alias("a"), second("x").alias("b")).orderBy("pos").collect()
     scales = [_usable(r["b"] - r["a"] if kind == "minmax" else r["b"]) for r in rows]

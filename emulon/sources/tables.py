@@ -93,6 +93,17 @@ def align(x: DataFrame, y: DataFrame, key: str, orphans: str = "error") -> DataF
     return x.join(y, key, "inner")
 
 
+# Plan nodes that leave rows in the order and the partitions in which they were read.
+KEEP_ORDER = {"Project", "Filter", "SubqueryAlias", "View", "Generate", "Union", "LogicalRelation", "RelationV2", "DataSourceV2Relation", "LocalRelation",
+              "LogicalRDD", "ExternalRDD", "Range", "OneRowRelation", "UnresolvedHint", "ResolvedHint", "CollectMetrics"}
+
+
+def _plan_nodes(plan) -> list[str]:
+    """Class names of all nodes of a logical plan."""
+    children = plan.children()
+    return [plan.getClass().getSimpleName(), *(n for i in range(children.size()) for n in _plan_nodes(children.apply(i)))]
+
+
 def number_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Row positions 0, 1, 2, ... in file order, without moving rows or leaving the JVM.
 
@@ -100,8 +111,9 @@ def number_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
     give each its starting number; inside a split Spark's own row ids are consecutive, which is checked.
     A table that was shuffled has no positions any more and is refused.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        raise ValueError("the rows were shuffled, so their positions are lost; number them where they are read")
+    moved = sorted(set(_plan_nodes(df._jdf.queryExecution().analyzed())) - KEEP_ORDER)
+    if moved:
+        raise ValueError(f"the rows were shuffled, or may have been, by {moved}, so their positions are lost; number them where they are read")
     try:
         marked = df.selectExpr("*", "_metadata.file_path as _file", "_metadata.file_block_start as _start",
                                "monotonically_increasing_id() as _at")

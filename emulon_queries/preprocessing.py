@@ -277,6 +277,17 @@ def array_output_scaling(spark, sf):
     return rounded(scaled.select("vec_id", F.posexplode("embedding").alias("pos", "x")), 6)
 
 
+@query("N5", """WITH cells AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings
+), s AS (SELECT pos, quantile_cont(x, 0.5) AS a, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS b FROM cells GROUP BY pos)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((x - a) / b, 6) AS x FROM cells JOIN s USING (pos)""")
+def array_robust_scaling(spark, sf):
+    """The same by median and quartiles: the exact quantiles of all positions come from the same scans."""
+    rows = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    scaled = fit_array_scaler(rows, "embedding", "robust").transform(rows, "embedding")
+    return rounded(scaled.select("vec_id", F.posexplode("embedding").alias("pos", "x")), 6)
+
+
 @query("N6", f"""WITH {EXPERIMENT_SQL}
 SELECT key, {', '.join(f'round({c}, 6) AS {c}' for c in OUTPUTS)} FROM exp""")
 def inverse_scaling(spark, sf):

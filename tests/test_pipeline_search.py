@@ -165,3 +165,34 @@ def test_first_rows_unlike_the_others(spark):
     a, y = (far.toPandas()[c].to_numpy() for c in "ay")
     want = np.polyval(np.polyfit((a - a.mean()) / a.std(), y, 1), (a - a.mean()) / a.std())
     assert np.allclose(model.transform(far).toPandas()["pred_y"], want, atol=1e-6)
+
+
+# ---- weights of at least nought
+
+
+@pytest.mark.parametrize("n, k, seed", [(30, 8, 0), (500, 200, 1), (40, 60, 2)])
+def test_active_sets_reach_the_lowest_error(n, k, seed):
+    """Optimality: no weight below nought, no slope where a weight is free, none upward at nought."""
+    import time
+
+    from emulon.models.gram import _non_negative
+
+    rng = np.random.default_rng(seed)
+    x, y = rng.standard_normal((n, k)), rng.standard_normal((n, 2)) + 1
+    x[:, 3] = x[:, 2]  # equal columns
+    x[:, 5] = 0.0
+    a, b = x.T @ x, x.T @ y
+    start = time.perf_counter()
+    w = _non_negative(a, b)
+    assert time.perf_counter() - start < 5.0
+    slope = b - a @ w
+    size = np.abs(b).max()
+    assert (w >= 0).all() and (slope < 1e-7 * size).all() and np.abs(slope[w > 0]).max() < 1e-7 * size
+
+
+def test_active_sets_of_a_small_known_problem():
+    from emulon.models.gram import _non_negative
+
+    a = np.array([[2.0, 1.0], [1.0, 2.0]])
+    assert np.allclose(_non_negative(a, np.array([[1.0, -1.0, 3.0], [-1.0, -1.0, 3.0]])), [[0.5, 0.0, 1.0], [0.0, 0.0, 1.0]])
+    assert _non_negative(np.zeros((0, 0)), np.zeros((0, 1))).shape == (0, 1)

@@ -251,8 +251,21 @@ def test_positions_of_shuffled_rows_are_refused(spark, tmp_path):
     spark.range(0, 100, 1, 4).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     assert sorted(r["row_id"] for r in number_rows(df).collect()) == list(range(100))
-    with pytest.raises(ValueError):
-        number_rows(df.repartition(3))
+    for moved in (df.repartition(3), df.orderBy("id"), df.groupBy("id").count(), df.join(df.withColumnRenamed("id", "other").limit(3)), df.limit(5)):
+        with pytest.raises(ValueError, match="shuffled"):
+            number_rows(moved)
+
+
+def test_positions_need_only_the_plan_not_its_names(spark, tmp_path):
+    from emulon.sources.tables import number_rows, pair_by_position
+
+    path = str(tmp_path / "Exchange")
+    spark.range(0, 60, 1, 3).selectExpr("id as ExchangeRate", "id % 7 as b").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert sorted(r["row_id"] for r in number_rows(df).collect()) == list(range(60))
+    kept = df.where("b <> 3").selectExpr("ExchangeRate * 2 as `Sort Exchange`")
+    pair = pair_by_position(df.where("b <> 3"), kept).collect()
+    assert len(pair) == 51 and all(r["Sort Exchange"] == 2 * r["ExchangeRate"] for r in pair)
 
 
 def test_scoring_with_gaps_and_dotted_names(spark):
