@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from emulon.functions.columns import quoted
 from emulon.models.base import Model
-from emulon.operators.impute import MeanImputer
+from emulon.operators.impute import MeanImputer, NeighbourImputer
 from emulon.operators.scale import Scalers
-from emulon.sources.store import read_imputer, read_scalers, write_scalers
+from emulon.sources.store import read_donors, read_imputer, read_scalers, write_donors, write_scalers
 
 
 @dataclass(frozen=True)
@@ -23,13 +23,16 @@ class Scorer:
     model: Model
     input_scalers: Scalers
     output_scalers: Scalers
-    imputer: MeanImputer | None = None
+    imputer: MeanImputer | NeighbourImputer | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """The rows as they came, with ``pred_<output>`` columns in original units.
 
-        With an imputer, missing inputs count as their fill values; without one, they give a missing prediction.
+        With an imputer, missing inputs count as their fill values; without one, they give a missing prediction.  Fill values from
+        neighbours are looked up in the training rows, which a stream cannot do.
         """
+        if df.isStreaming and isinstance(self.imputer, NeighbourImputer):
+            raise ValueError("a stream cannot take fill values from neighbours; score its batches, or fit with the mean")
         inputs = self.model.inputs
         missing = [c for c in inputs if c not in df.columns]
         if missing:
@@ -43,8 +46,11 @@ class Scorer:
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.save(spark, f"{path}/model")
-        write_scalers(spark, f"{path}/scalers", {"input": self.input_scalers, "output": self.output_scalers},
-                      self.imputer)
+        neighbours = isinstance(self.imputer, NeighbourImputer)
+        means = MeanImputer(self.imputer.means) if neighbours else self.imputer
+        write_scalers(spark, f"{path}/scalers", {"input": self.input_scalers, "output": self.output_scalers}, means)
+        if neighbours:
+            write_donors(self.imputer, f"{path}/donors")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Scorer":
@@ -52,7 +58,8 @@ class Scorer:
 
         scalers = read_scalers(spark, f"{path}/scalers")
         imputer = read_imputer(spark, f"{path}/scalers")
-        return cls(load_model(spark, f"{path}/model"), scalers["input"], scalers["output"], imputer if imputer.means else None)
+        filled = read_donors(spark, f"{path}/donors", imputer.means) or (imputer if imputer.means else None)
+        return cls(load_model(spark, f"{path}/model"), scalers["input"], scalers["output"], filled)
 
 
 def score(df: DataFrame, scorer: Scorer) -> DataFrame:

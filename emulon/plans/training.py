@@ -93,7 +93,8 @@ def train_and_evaluate(df: DataFrame, roles: Roles, spec: PipelineSpec = Pipelin
     predictions = model.transform(prepared.part(TEST))
     table = metrics_both_scales(predictions, roles.outputs, prepared.output_scalers, [spec.metric])
     original = prepared.output_scalers.inverse(predictions)
-    imputer = prepared.imputer if isinstance(prepared.imputer, MeanImputer) and not prepared.imputer.flagged else None
+    # marks of missing cells are no inputs of the model, so scoring needs only the fill values
+    imputer = MeanImputer(prepared.imputer.means) if isinstance(prepared.imputer, MeanImputer) else prepared.imputer
     scorer = Scorer(model, prepared.input_scalers, prepared.output_scalers, imputer)
     return TrainingRun(
         prepared, model, scorer, predictions, original, table, mean_errors(original, roles.outputs), losses,

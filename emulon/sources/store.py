@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from emulon.functions.columns import format_number, percent_error, quoted, text
 from emulon.operators.evaluate import mean_errors, residuals
-from emulon.operators.impute import MeanImputer
+from emulon.operators.impute import MeanImputer, NeighbourImputer
 from emulon.operators.scale import ColumnScale, Scalers
 
 PARAMETERS = "position int, column string, role string, scaler string, center double, scale double, impute_value double"
@@ -49,6 +50,25 @@ def read_imputer(spark: SparkSession, path: str) -> MeanImputer:
     return MeanImputer({r["column"]: r["impute_value"] for r in rows})
 
 
+def write_donors(imputer: NeighbourImputer, path: str) -> None:
+    """The training rows that a neighbour imputer looks up, and its settings."""
+    spark = imputer.donors.sparkSession
+    imputer.donors.select(*map(quoted, [imputer.key, *imputer.columns])).write.mode("overwrite").parquet(f"{path}/rows")
+    settings = [(imputer.key, list(imputer.columns), imputer.k)]
+    spark.createDataFrame(settings, "key string, columns array<string>, k int").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def read_donors(spark: SparkSession, path: str, means: dict[str, float]) -> NeighbourImputer | None:
+    """The stored imputer; None where there is none."""
+    try:
+        settings = spark.read.parquet(f"{path}/settings").head()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return NeighbourImputer(spark.read.parquet(f"{path}/rows"), settings["key"], tuple(settings["columns"]), means, settings["k"])
+
+
 def write_predictions(original: DataFrame, key: str, outputs: Sequence[str], path: str) -> tuple[str, str]:
     """Predictions and expected values in original units, each a headered CSV with the key."""
     paths = (f"{path}/predictions", f"{path}/expected")
@@ -100,9 +120,11 @@ def write_error_report(original: DataFrame, key: str, outputs: Sequence[str], pa
 __all__ = [
     "error_report",
     "parameter_table",
+    "read_donors",
     "read_imputer",
     "read_scalers",
     "residuals",
+    "write_donors",
     "write_error_report",
     "write_metrics",
     "write_predictions",

@@ -285,3 +285,29 @@ def test_scoring_with_gaps_and_dotted_names(spark):
     prepared = prepare(df, roles, spec)
     again = prepared.transform(new.selectExpr("`x.1`", "b", "0.0D as y"))
     assert again.where("`x.1` is null").count() == 0
+
+
+@pytest.mark.parametrize("imputer", ["knn", "missing indicator"])
+def test_gaps_are_scored_as_they_were_filled_in_training(spark, tmp_path, imputer):
+    import numpy as np
+
+    from emulon import PipelineSpec, Roles, Scorer, train_and_evaluate
+
+    rng = np.random.default_rng(6)
+    rows = [(i, None if i % 9 == 0 else float(v), float(v + 0.01 * w), float(3 * v + w)) for i, (v, w) in enumerate(rng.random((300, 2)))]
+    df = spark.createDataFrame(rows, "k int, a double, b double, y double")
+    roles = Roles(key="k", inputs=("a", "b"), outputs=("y",))
+    run = train_and_evaluate(df, roles, PipelineSpec(kind="response_surface", params={"degree": 1}, imputer=imputer, filter="iqr"))
+    run.scorer.save(spark, str(tmp_path / "s"))
+    new = spark.createDataFrame([(1, None, 0.25), (2, 0.5, 0.5), (3, None, None)], "id int, a double, b double")
+    filled = run.prepared.imputer.transform(new).select("id", "a", "b")
+    want = {r["id"]: r["pred_y"] for r in run.scorer.transform(filled).collect()}
+    for scorer in (run.scorer, Scorer.load(spark, str(tmp_path / "s"))):
+        got = scorer.transform(new).collect()
+        assert {r["id"]: r["pred_y"] for r in got} == pytest.approx(want) and None not in want.values()
+        assert {r["id"]: r["a"] for r in got} == {1: None, 2: 0.5, 3: None}
+    if imputer == "knn":
+        assert abs(want[1] - 1.25) < 0.5  # from neighbours, not from the mean
+        stream = spark.readStream.schema("id int, a double, b double").parquet(str(tmp_path / "none"))
+        with pytest.raises(ValueError, match="stream"):
+            run.scorer.transform(stream)
