@@ -34,8 +34,9 @@ from emulon.runtime import cut_lineage, opened, share
 def learn_rotation(vectors: np.ndarray, bits: int = 64, turns: int = 40) -> np.ndarray:
     """A (components x bits) map whose signs are the code: principal directions, then the rotation that ITQ finds."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    _, _, directions = np.linalg.svd(unit - unit.mean(axis=0) if len(unit) > 1 else unit, full_matrices=True)
-    directions = directions[: min(bits, vectors.shape[1])].T
+    centred = unit - unit.mean(axis=0) if len(unit) > 1 else unit
+    _, directions = np.linalg.eigh(centred.T @ centred)  # components by components, whatever the sample's size
+    directions = directions[:, ::-1][:, : min(bits, vectors.shape[1])]
     projected = unit @ directions
     rng = np.random.default_rng(8)
     rotation, _ = np.linalg.qr(rng.standard_normal((directions.shape[1],) * 2))

@@ -183,6 +183,31 @@ def test_vector_near_duplicates(spark):
     assert itq.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_links_of_vectors_of_64_components(spark):
+    """Here codes decide who meets: planted copies around the threshold, a group of many, and a crowd of strangers."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((900, 64))
+    v[300:450] = v[:150] + rng.standard_normal((150, 64)) * rng.uniform(0.05, 0.36, (150, 1))
+    v[450:520] = v[200] + 0.15 * rng.standard_normal((70, 64))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = [(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.93, 1)))]
+    root = groups(900, linked)
+    table = spark.createDataFrame([(i, v[i].tolist(), 1) for i in range(900)], "vec_id long, embedding array<double>, label int")
+    got = itq.near_duplicates(table, part=64).collect()
+    assert len(linked) > 2000 and {r["vec_id"]: r["component_id"] for r in got} == dict(enumerate(root))
+    found = {r["vec_id"]: r["n_links"] for r in got}
+    want = np.bincount(np.array(linked).ravel(), minlength=900)
+    assert all(found[i] <= want[i] for i in range(900)) and sum(found.values()) >= 0.99 * want.sum()
+
+
+def test_the_rotation_needs_no_matrix_of_the_samples_size():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    itq.learn_rotation(np.random.default_rng(1).standard_normal((20_000, 64)), turns=2)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kilobytes
+
+
 def test_recall_of_codes():
     rng = np.random.default_rng(7)
     x = rng.standard_normal((4000, 64))
