@@ -1,6 +1,7 @@
 """Isolation forest (Liu et al. 2008): small random trees, each from 256 rows.
 
-Sampling is the method itself: trees are grown from the rows with the lowest hash.
+Sampling is the method itself: trees are grown from the rows with the lowest hash.  Every draw, of rows, inputs and cuts, is a hash of the seed
+and the place in the forest, so the same forest can be grown in SQL, and is for any partitioning.
 All rows are scored, inside Arrow batches, against the broadcast trees (at most
 trees x 511 nodes).
 
@@ -10,6 +11,7 @@ there.  While a tree grows, such rows follow the larger branch.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emulon.functions.columns import as_double, number, quoted, unit_hash
+from emulon.functions.columns import HASH_DIGITS, HASH_RANGE, as_double, number, quoted, unit_hash
 
 TREES = 100
 TREE_ROWS = 256
@@ -42,7 +44,8 @@ def grow_forest(
     pool = min(n, 2 * trees * rows)
     share = 1.0 if pool == n else pool / n
     per_tree = min(1.0, (4 * rows + 64) / max(pool, 1))
-    draw = f"pmod(xxhash64({quoted(key)}, t, {int(seed)}), 2147483648L) / 2147483648D"
+    digest = f"md5(concat('tree', t, '.{int(seed)}:', cast({quoted(key)} as string)))"
+    draw = f"cast(conv(substring({digest}, 1, {HASH_DIGITS}), 16, 10) as double) / {number(HASH_RANGE)}"
     draws = f"transform(sequence(0, {trees - 1}), t -> struct(t as tree, {draw} as draw))"
     picked = df.where(unit_hash(key, seed, "forest") < share).selectExpr(
         f"array({', '.join(map(as_double, columns))}) as x",
@@ -54,17 +57,23 @@ def grow_forest(
         group = group.sort_values("draw").head(rows)
         x = np.array(group["x"].tolist(), dtype=float).reshape(len(group), width)
         tree = int(group["tree"].iloc[0])
-        return _grow_tree(x, tree, np.random.default_rng([seed, tree]), rows)
+        return _grow_tree(x, tree, seed, rows)
 
     return picked.groupBy("tree").applyInPandas(grow, NODES)
 
 
-def _grow_tree(x: np.ndarray, tree: int, rng: np.random.Generator, rows: int) -> pd.DataFrame:
+def draw_at(seed: int, tree: int, path: str, what: str) -> float:
+    """The draw in [0, 1) of a node; ``path`` has a letter, L or R, for each branch on the way to it."""
+    digest = hashlib.md5(f"{what}{seed}:{tree}.{path}".encode()).hexdigest()
+    return int(digest[:HASH_DIGITS], 16) / HASH_RANGE
+
+
+def _grow_tree(x: np.ndarray, tree: int, seed: int, rows: int) -> pd.DataFrame:
     depth_cap = math.ceil(math.log2(max(rows, 2)))
-    nodes, waiting = [], [(x, 0, None, None)]
+    nodes, waiting = [], [(x, "", None, None)]
     while waiting:
-        members, depth, parent, side = waiting.pop()
-        number = len(nodes)
+        members, way, parent, side = waiting.pop()
+        number, depth = len(nodes), len(way)
         if parent is not None:
             nodes[parent][side] = number
         low = np.where(np.isnan(members), np.inf, members).min(axis=0)
@@ -75,8 +84,8 @@ def _grow_tree(x: np.ndarray, tree: int, rng: np.random.Generator, rows: int) ->
             nodes.append({"tree": tree, "node": number, "feature": -1, "cut": 0.0, "left": -1, "right": -1,
                           "path": path, "goes_left": 0.0})
             continue
-        feature = int(rng.choice(splittable))
-        cut = float(rng.uniform(low[feature], high[feature]))
+        feature = int(splittable[int(draw_at(seed, tree, way, "input") * len(splittable))])
+        cut = float(low[feature] + draw_at(seed, tree, way, "cut") * (high[feature] - low[feature]))
         if cut >= high[feature]:  # neighbouring floats: keep a row on the right
             cut = float(low[feature])
         known = ~np.isnan(members[:, feature])
@@ -85,8 +94,8 @@ def _grow_tree(x: np.ndarray, tree: int, rng: np.random.Generator, rows: int) ->
         nodes.append({"tree": tree, "node": number, "feature": feature, "cut": cut, "left": -1, "right": -1,
                       "path": 0.0, "goes_left": share})
         goes_left |= ~known & (share >= 0.5)
-        waiting.append((members[~goes_left], depth + 1, number, "right"))
-        waiting.append((members[goes_left], depth + 1, number, "left"))
+        waiting.append((members[~goes_left], way + "R", number, "right"))
+        waiting.append((members[goes_left], way + "L", number, "left"))
     return pd.DataFrame(nodes)
 
 

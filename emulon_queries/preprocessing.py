@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emulon.operators.impute import fit_imputer
-from emulon.operators.outliers import drop_isolated, fit_fences, lof_scores
+from emulon.operators.outliers import drop_isolated, fit_fences, lof_scores, isolation_scores
 from emulon.operators.profile import boxplot_summary, outlier_points, profile, target_variance
 from emulon.operators.scale import (
     fit_array_scaler, fit_input_scalers, fit_output_scalers, fit_scalers, TCP_ROBUST)
@@ -169,6 +169,47 @@ def quartile_filter_inputs_only(spark, sf):
     return fit_fences(rows, ["value"], factor=2.0, nulls="drop").transform(rows)
 
 
+_TREES, _TREE_ROWS, _DEPTH = 5, 16, 4
+
+
+def _forest_sql() -> str:
+    """The same forest in SQL: rows drawn hy hash, then, level hy level, the split of each node and the way of each row."""
+    def draw(what: str) -> str:
+        return f"(('0x' || substr(md5('{what}42:' || tree || '.' || way), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+    def path_of(n: str) -> str:
+        return f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * ({n} - 1.0::DOUBLE) / {n} END"
+
+    levels = []
+    for d in range(_DEPTH + 1):
+        splits = "FALSE" if d == _DEPTH else "n > 1 AND (hx > lx OR hy > ly)"
+        levels.append(f"""n{d} AS (
+  SELECT *, CASE WHEN f = 0 THEN CASE WHEN cx >= hx THEN lx ELSE cx END ELSE CASE WHEN cy >= hy THEN ly ELSE cy END END AS cut FROM (
+    SELECT *, CASE WHEN hx > lx AND hy > ly THEN floor({draw('input')} * 2) WHEN hx > lx THEN 0 ELSE 1 END AS f,
+           lx + {draw('cut')} * (hx - lx) AS cx, ly + {draw('cut')} * (hy - ly) AS cy, {splits} AS inner_node FROM (
+      SELECT tree, way, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM m{d} GROUP BY tree, way))),
+m{d + 1} AS (SELECT m.tree, m.way || CASE WHEN CASE WHEN f = 0 THEN x ELSE y END <= cut THEN 'L' ELSE 'R' END AS way, x, y FROM m{d} m JOIN n{d} USING (tree, way) WHERE inner_node),
+w{d + 1} AS (SELECT w.tree, w.way || CASE WHEN CASE WHEN f = 0 THEN x ELSE y END <= cut THEN 'L' ELSE 'R' END AS way, x, y, p_partkey FROM w{d} w JOIN n{d} USING (tree, way) WHERE inner_node),
+e{d} AS (SELECT p_partkey, w.tree, {d} + {path_of('n')} AS path FROM w{d} w JOIN n{d} USING (tree, way) WHERE NOT inner_node)""")
+    ends = " UNION ALL ".join(f"SELECT * FROM e{d}" for d in range(_DEPTH + 1))
+    return f"""WITH rows AS (SELECT p_partkey, p_retailprice AS x, p_size::DOUBLE AS y FROM part),
+pool AS (SELECT * FROM rows WHERE {unit_sql('p_partkey', 42, 'forest')} < least(1.0, {2 * _TREES * _TREE_ROWS}.0::DOUBLE / (SELECT count(*) FROM rows))),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY ('0x' || substr(md5('tree' || tree || '.42:' || p_partkey), 1, 13))::BIGINT) AS place
+          FROM pool, (SELECT unnest(range({_TREES})) AS tree)),
+m0 AS (SELECT tree, '' AS way, x, y FROM drawn WHERE place <= {_TREE_ROWS}),
+w0 AS (SELECT tree, '' AS way, x, y, p_partkey FROM rows, (SELECT unnest(range({_TREES})) AS tree)),
+{', '.join(levels)}
+SELECT p_partkey, round(pow(2, -avg(path) / ({path_of(f'{_TREE_ROWS}')})), 9) AS anomaly FROM ({ends}) GROUP BY p_partkey"""
+
+
+@query("O3", _forest_sql())
+def isolation_scores_of_parts(spark, sf):
+    """Scores of all parts by a small forest that SQL grows from the same hashes."""
+    rows = read(spark, sf, "part").selectExpr("p_partkey", "p_retailprice", "cast(p_size as double) as p_size")
+    scored = isolation_scores(rows, "p_partkey", ["p_retailprice", "p_size"], seed=42, trees=_TREES, rows=_TREE_ROWS)
+    return rounded(scored.select("p_partkey", "anomaly"), 9)
+
+
 @query("O3")
 def isolation_forest_filter(spark, sf):
     """The five percent of the rows that are easiest to isolate are dropped."""
