@@ -14,13 +14,15 @@ FENCE = 1.5
 
 
 def profile(df: DataFrame, columns: Sequence[str], exact_distinct: bool = False) -> DataFrame:
-    """Long table ``(column, stat, value)`` of counts, moments, quartiles and extremes."""
+    """Long table ``(column, stat, value)`` of counts, moments, quartiles and extremes.
+
+    Exact distinct counts take a shuffle of the values that differ; without them a sketch does."""
     quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75])
-    distinct = "count(distinct {})" if exact_distinct else "approx_count_distinct({}, 0.02)"
+    different = distinct_counts(df, columns) if exact_distinct else {}
     stats = {
         "count": "count({})",
         "missing": "count_if({} is null)",
-        "distinct": distinct,
+        "distinct": "approx_count_distinct({}, 0.02)",
         "mean": "avg({})",
         "std": "stddev_samp({})",
         "min": "min({})",
@@ -29,17 +31,24 @@ def profile(df: DataFrame, columns: Sequence[str], exact_distinct: bool = False)
         "negatives": "count_if({} < 0)",
     }
     one = df.selectExpr(*[
-        f"cast({sql.format(as_double(c))} as double) as {s}{i}" for i, c in enumerate(columns) for s, sql in stats.items()
+        f"cast({sql.format(as_double(c))} as double) as {s}{i}" for i, c in enumerate(columns) for s, sql in stats.items() if s != "distinct" or not exact_distinct
     ])
     cells = []
     for i, c in enumerate(columns):
-        values = {s: f"{s}{i}" for s in stats}
+        values = {s: number(different[c]) if s == "distinct" and exact_distinct else f"{s}{i}" for s in stats}
         values.update({q: "cast(null as double)" if v is None else number(v)
                        for q, v in zip(("q25", "q50", "q75"), quartiles[c])})
         cells += [f"struct({text(c)} as column, {text(s)} as stat, {v} as value)" for s, v in values.items()]
     return cells_to_rows(one, cells)
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Different values of each column.  Columns are rows of one narrow table, whose copies go on the map side."""
+    cells = cells_to_rows(df, [f"struct({i} as i, {as_double(c)} as x)" for i, c in enumerate(columns)])
+    found = cells.where("x is not null").distinct().groupBy("i").count().collect()
+    return {**dict.fromkeys(columns, 0), **{columns[r["i"]]: r["count"] for r in found}}
+
+
 def boxplot_summary(df: DataFrame, columns: Sequence[str], factor: float = FENCE) -> DataFrame:
     """One row per column: quartiles, whiskers (last values inside the fences) and outlier count."""
     quartiles = {c: q for c, q in column_quantiles(df, columns, [0.25, 0.5, 0.75]).items() if q[0] is not None}
