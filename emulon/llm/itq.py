@@ -25,12 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulon.llm.common import column
+from emulon.llm.common import column, ranges
 from emulon.llm.components import components
 from emulon.llm.vectors import by_length, matrix, sample, usable
 from emulon.runtime import cut_lineage, opened, share
 
 
+STACK = 8  # bits of the buckets that share a group, where they are small
+FEW = 256  # members of a bucket whose pairs are laid out at once
+PAIRS = 1 << 20  # pairs laid out at once, at most
+
+
 def learn_rotation(vectors: np.ndarray, bits: int = 64, turns: int = 40) -> np.ndarray:
     """A (components x bits) map whose signs are the code: principal directions, then the rotation that ITQ finds."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -61,7 +66,6 @@ def _substrings(codes: np.ndarray, tables: int) -> np.ndarray:
 
 def _meet(home: np.ndarray, visit: np.ndarray, bucket: int, table: int, tables: int, far: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs (home, visitor) whose one bucket this is, codes at most ``far`` bits apart."""
-    at_home, visitors = _substrings(home, tables), _substrings(visit, tables)
     rows, columns = [], []
     step = max(1, (1 << 20) // max(1, len(home)))
     for at in range(0, len(visit), step):
@@ -69,20 +73,25 @@ def _meet(home: np.ndarray, visit: np.ndarray, bucket: int, table: int, tables:
         near = np.bitwise_count(home[:, None] ^ visit[None, some]) <= far
         i, j = np.nonzero(near)
         j = j + at
-        for t in range(table):  # an earlier table has them
-            early = np.bitwise_count((at_home[i, t] ^ visitors[j, t]).astype(np.uint64)) > 2
-            i, j = i[early], j[early]
-        a, b = at_home[i, table], visitors[j, table]
-        differ = a ^ b
-        apart = np.bitwise_count(differ.astype(np.uint64))
-        low = differ & -differ
-        first = np.where(apart == 0, a, np.where(apart == 1, np.minimum(a, b), np.minimum(a ^ low, b ^ low)))
-        own = first == bucket
+        own = _theirs(home[i], visit[j], np.int64(bucket), table, tables, far)
         rows.append(i[own])
         columns.append(j[own])
     return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(columns) if columns else np.zeros(0, int)
 
 
+def _theirs(a: np.ndarray, b: np.ndarray, bucket: np.ndarray, table: int, tables: int, far: int) -> np.ndarray:
+    """Which pairs of codes that share a bucket belong to it: near enough, and met nowhere before."""
+    one, other = _substrings(a, tables), _substrings(b, tables)
+    good = np.bitwise_count(a ^ b) <= far
+    for t in range(table):  # an earlier table has them
+        good &= np.bitwise_count((one[:, t] ^ other[:, t]).astype(np.uint64)) > 2
+    x, y = one[:, table], other[:, table]
+    differ = x ^ y
+    apart, low = np.bitwise_count(differ.astype(np.uint64)), differ & -differ
+    first = np.where(apart == 0, x, np.where(apart == 1, np.minimum(x, y), np.minimum(x ^ low, y ^ low)))
+    return good & (first == bucket)
+
+
 def candidate_pairs(points: DataFrame, tables: int, far: int, part: int) -> DataFrame:
     """``a, b`` (a < b) of points ``node, label, size, code`` that meet, each pair once."""
     width = 64 // tables
@@ -106,20 +115,42 @@ def candidate_pairs(points: DataFrame, tables: int, far: int, part: int) -> Data
     dealt = entered.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
         "home", F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part"))
+    # most buckets are small: neighbours among them share a group, a large one has groups of its own
+    dealt = dealt.withColumn("stack", F.when(F.col("parts") > 1, -1 - F.col("bucket")).otherwise(F.shiftright("bucket", STACK)))
 
     def search(group: pa.Table) -> pa.Table:
-        if group.num_rows < 2:
+        bucket = group.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        sizes = np.diff(starts, append=len(order))
+        if not (sizes > 1).any():
             return empty
-        node = group.column("node").to_numpy()
-        code = group.column("code").to_numpy().view(np.uint64)
-        home = group.column("home").to_numpy()
-        i, j = _meet(code[home], code, group.column("bucket")[0].as_py(), group.column("tab")[0].as_py(), tables, far)
-        a, b = node[home][i], node[j]
-        keep = a < b
-        return pa.table({"a": a[keep], "b": b[keep]})
+        node = group.column("node").to_numpy()[order]
+        code = group.column("code").to_numpy()[order].view(np.uint64)
+        home = group.column("home").to_numpy()[order]
+        bucket = bucket[order]
+        table = group.column("tab")[0].as_py()
+        found = []
+        few = (sizes > 1) & (sizes <= FEW) & (group.column("parts")[0].as_py() == 1)
+        rows = ranges(starts[few], sizes[few])
+        after = np.repeat(starts[few] + sizes[few], sizes[few]) - 1 - rows  # partners that come later in the bucket
+        for at in range(0, len(rows), PAIRS // FEW):
+            some, n = rows[at : at + PAIRS // FEW], after[at : at + PAIRS // FEW]
+            i, j = np.repeat(some, n), ranges(some + 1, n)
+            good = _theirs(code[i], code[j], bucket[i], table, tables, far)
+            found.append((i[good], j[good]))
+        for start, size in zip(starts[(sizes > 1) & ~few], sizes[(sizes > 1) & ~few]):
+            run = np.arange(start, start + size)
+            own = run[home[run]]
+            i, j = _meet(code[own], code[run], int(bucket[start]), table, tables, far)
+            ahead = node[own[i]] < node[run[j]]
+            found.append((own[i][ahead], run[j][ahead]))
+        a, b = (np.concatenate([node[f[k]] for f in found]) for k in (0, 1))
+        differ = a != b
+        return pa.table({"a": np.minimum(a, b)[differ], "b": np.maximum(a, b)[differ]})
 
     empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    return dealt.groupBy(*key, "part").applyInArrow(search, "a long, b long")
+    return dealt.groupBy("space", "tab", "stack", "part").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93,
