@@ -158,6 +158,17 @@ def linear_support_vector_errors(spark, sf):
     return _test_errors(prepared, fit("svr", prepared.part(TRAIN), ROLES, epsilon=0.02, kernel="linear"))
 
 
+@query("M5")
+def gaussian_process_ascent(spark, sf):
+    """Length scale and constant after each number of refining scans, from a start far off; the likelihood can only rise."""
+    train = _prepared(spark, sf).part(TRAIN)
+    rows = []
+    for scans in (0, 3):
+        model = fit("gaussian_process", train, ROLES, length_scale=4.0, alpha=1e-2, landmarks=48, refine=scans)
+        rows.append((scans, float(model.params["length_scale"]), float(model.params["constant"]), float(model.log_likelihood)))
+    return rounded(spark.createDataFrame(rows, "scans int, length_scale double, constant double, log_likelihood double"), 4)
+
+
 @query("M6", """WITH x AS (SELECT min(o_totalprice) / 1e5 AS low, max(o_totalprice) / 1e5 AS high FROM orders),
 w AS (SELECT 2 - 0.2 / (high - low) AS slope, 2 * low + 1.1 AS at_low, low FROM x)
 SELECT 'y' AS output, round(slope, 3) AS slope, round(at_low - slope * low, 3) AS intercept, round(0.5 * slope * slope, 3) AS objective,
