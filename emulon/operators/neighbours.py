@@ -2,10 +2,11 @@
 
 Rows with equal coordinates are first collapsed into one location with a number of
 copies, so a point held by a third of the rows is a single location.  Locations are
-dealt to the leaves of a k-d tree whose cuts come from a bounded sample (the sample
-only decides where blocks end, never which neighbours are found).  A query visits the
-nearest blocks first; the distance of its k-th neighbour there is a radius, and every
-other block whose box comes within that radius is visited in a second step.  Blocks
+dealt to the leaves of a k-d tree whose cuts come from a bounded sample, below which
+trees are grown in tasks (samples only decide where blocks end, never which neighbours
+are found).  A query descends a tree of boxes to the nearest blocks; the distance of its k-th neighbour there is a radius, and
+every other block whose box comes within that radius is visited in a second step.  Boxes
+without a point that has the coordinate sought are never visited.  Blocks
 with many queries or many points are cut into parts, so no task holds an unbounded
 group, and a task emits only the neighbours it can contribute, never all pairs.
 
@@ -28,7 +29,11 @@ from emulon.functions.columns import as_double, no_nan, number, quoted
 from emulon.runtime import cut_lineage, opened, share
 
 BLOCK_ROWS = 4096  # locations aimed at per block
-MAX_LEAVES = 16_384
+UPPER_DEPTH = 14  # levels of cuts from a sample on the driver; deeper ones are grown in tasks
+INDEX_NUMBERS = 16_000_000  # numbers in the boxes of all blocks, at most
+FAN = 8  # boxes under one of the next level
+BEAM = 4  # boxes of a level followed for the first radius
+ROUTED = 1024  # queries that descend together
 MAX_PATTERNS = 16  # blocks per leaf, by which coordinates are missing
 SAMPLE_PER_LEAF = 24  # sampled locations that place the cuts
 PART_ROWS = 16_384  # points or queries of one block in one task
@@ -64,32 +69,125 @@ def attach_by_location(rows: DataFrame, table: DataFrame, total: int, on: str =
 
 
 @dataclass
-class BlockIndex:
-    """Boxes of all blocks; at most ``MAX_LEAVES * MAX_PATTERNS`` of them."""
+class Boxes:
+    """Boxes of points, one a row: those of blocks, or of ``FAN`` neighbouring boxes each."""
 
-    blocks: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    always: np.ndarray  # coordinate present in every point of the block
+    always: np.ndarray  # coordinate present in every point of the box
     ever: np.ndarray  # coordinate present in some point
     present: np.ndarray  # points with the coordinate
     rows: np.ndarray
 
-    def nearest_possible(self, x: np.ndarray, scaled: bool) -> np.ndarray:
-        """Lower bound of the distance from each query to any point of each block."""
-        total = np.zeros((len(x), len(self.rows)))
-        shared = np.zeros_like(total)
+    def merged(self) -> Boxes:
+        """Boxes around each ``FAN`` that follow one another."""
+        at = np.arange(0, len(self.rows), FAN)
+        return Boxes(*(how.reduceat(cells, at, axis=0) for how, cells in (
+            (np.minimum, self.low), (np.maximum, self.high), (np.logical_and, self.always), (np.logical_or, self.ever),
+            (np.add, self.present), (np.add, self.rows))))
+
+    def usable(self, target: int | None) -> np.ndarray:
+        """Points that can be found for a target: those that have the coordinate."""
+        return self.rows if target is None else self.present[:, target]
+
+    def bounds(self, x: np.ndarray, q: np.ndarray, box: np.ndarray, scaled: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair of a query and a box, a lower bound of the distance to any of its points (infinite where they share no
+        coordinate), and an upper bound of the distance to all of them (infinite where one may share none)."""
+        near, most, far, shared, sure = (np.zeros(len(q)) for _ in range(5))
         for d in range(x.shape[1]):
-            here = ~np.isnan(x[:, d])[:, None]
-            value = np.where(here, x[:, d][:, None], 0.0)
-            gap = np.maximum(np.maximum(self.low[:, d] - value, value - self.high[:, d]), 0.0)
-            total += np.where(here & self.always[:, d], gap, 0.0) ** 2
-            shared += here & self.ever[:, d]
+            value = x[q, d]
+            here = ~np.isnan(value) & self.ever[box, d]
+            low, high = self.low[box, d], self.high[box, d]
+            always = here & self.always[box, d]
+            with np.errstate(invalid="ignore"):
+                near += np.where(always, np.maximum(np.maximum(low - value, value - high), 0.0), 0.0) ** 2
+                gap = np.where(here, np.maximum(value - low, high - value), 0.0) ** 2
+            far, most = far + gap, np.maximum(most, gap)
+            shared += here
+            sure += always
         if scaled:
-            total *= x.shape[1] / np.maximum(shared, 1.0)
-        bound = np.sqrt(total) * (1 - 1e-9)
-        bound[shared == 0] = np.inf
-        return bound
+            near *= x.shape[1] / np.maximum(shared, 1.0)
+            far = most * x.shape[1]
+        near, far = np.sqrt(near) * (1 - 1e-9), np.sqrt(far) * (1 + 1e-9)
+        return np.where(shared > 0, near, np.inf), np.where(sure > 0, far, np.inf)
+
+
+@dataclass
+class BlockIndex:
+    """A tree over the boxes of all blocks: level 0 has the blocks, each further level boxes around ``FAN`` of the one below."""
+
+    blocks: np.ndarray
+    levels: list[Boxes]
+
+    @staticmethod
+    def over(blocks: np.ndarray, boxes: Boxes) -> BlockIndex:
+        levels = [boxes]
+        while len(levels[-1].rows) > FAN:
+            levels.append(levels[-1].merged())
+        return BlockIndex(blocks, levels)
+
+    def descend(
+        self, x: np.ndarray, scaled: bool, target: int | None, radius: np.ndarray, need: np.ndarray | None = None,
+        beam: int | None = None,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, place of a block, lower bound) within each query's radius, of blocks that hold usable points.
+
+        With ``need``, boxes beyond nearer ones that surely hold as many points are left out on the way; with ``beam``, all but
+        so many of the nearest boxes of a level."""
+        top = len(self.levels[-1].rows)
+        q, box = np.repeat(np.arange(len(x)), top), np.tile(np.arange(top), len(x))
+        for level in range(len(self.levels) - 1, -1, -1):
+            if len(q) > CELLS and len(x) > 1:
+                half = len(x) // 2
+                parts = [self.descend(x[s], scaled, target, radius[s], None if need is None else need[s], beam)
+                         for s in (slice(half), slice(half, None))]
+                return (np.concatenate([parts[0][0], parts[1][0] + half]), *(np.concatenate(c) for c in list(zip(*parts))[1:]))
+            boxes = self.levels[level]
+            usable = boxes.usable(target)
+            some = usable[box] > 0
+            q, box = q[some], box[some]
+            near, far = boxes.bounds(x, q, box, scaled)
+            good = (near <= radius[q]) & np.isfinite(near)
+            if need is not None:
+                good &= near <= _reach_of(q, far, usable[box], need)[q]
+            q, box, near = q[good], box[good], near[good]
+            if beam is not None:
+                order = np.lexsort((near, q))
+                order = order[_running(q[order], np.ones(len(q), np.int64)) <= beam]
+                q, box, near = q[order], box[order], near[order]
+            if level:
+                q, box = np.repeat(q, FAN), (box[:, None] * FAN + np.arange(FAN)).ravel()
+                there = box < len(self.levels[level - 1].rows)
+                q, box = q[there], box[there]
+        return q, box, near
+
+    def home(self, x: np.ndarray, scaled: bool, target: int | None, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest blocks that together hold ``need`` usable points of each query, as pairs."""
+        leaves, anywhere = self.levels[0], np.full(len(x), np.inf)
+        q, box, _ = self.descend(x, scaled, target, anywhere, need, BEAM)  # straight down, for a first radius
+        _, far = leaves.bounds(x, q, box, scaled)
+        q, box, near = self.descend(x, scaled, target, _reach_of(q, far, leaves.usable(target)[box], need), need)
+        order = np.lexsort((box, near, q))
+        q, box = q[order], box[order]
+        usable = leaves.usable(target)[box]
+        home = _running(q, usable) - usable < need[q]
+        return q[home], box[home]
+
+
+def _running(q: np.ndarray, amounts: np.ndarray) -> np.ndarray:
+    """Running sums within each run of equal ``q``."""
+    total = np.cumsum(amounts)
+    starts = np.flatnonzero(np.diff(q, prepend=-1))
+    return total - np.repeat(total[starts] - amounts[starts], np.diff(starts, append=len(q)))
+
+
+def _reach_of(q: np.ndarray, far: np.ndarray, usable: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Per query the smallest upper bound within which boxes surely hold ``need`` points."""
+    order = np.lexsort((far, q))
+    enough = order[_running(q[order], usable[order]) >= need[q[order]]]
+    reach = np.full(len(need), np.inf)
+    np.minimum.at(reach, q[enough], far[enough])
+    return reach
 
 
 def _grow_cuts(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,58 +218,93 @@ def _grow_cuts(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return dims, cuts
 
 
-def _leaf_of(x: np.ndarray, dims: np.ndarray, cuts: np.ndarray, depth: int) -> np.ndarray:
+def _leaf_of(
+    x: np.ndarray, dims: np.ndarray, cuts: np.ndarray, depth: int, tree: np.ndarray | None = None
+) -> np.ndarray:
+    """The leaf of each row, in one tree or in the ``tree`` (row of cuts) of its own."""
     node = np.zeros(len(x), dtype=np.int64)
     rows = np.arange(len(x))
     for _ in range(depth):
-        dim = dims[node]
-        right = (dim >= 0) & (x[rows, np.maximum(dim, 0)] > cuts[node])
+        at = node if tree is None else (tree, node)
+        dim = dims[at]
+        right = (dim >= 0) & (x[rows, np.maximum(dim, 0)] > cuts[at])
         node = 2 * node + 1 + right
     return node - (2**depth - 1)
 
 
+def _subtrees(points: DataFrame, leaf: Column, width: int, depth: int, share: float) -> pd.DataFrame:
+    """Cuts of a tree of ``depth`` below every leaf, each from a sample of its own points, grown where they are."""
+    most = 4 * SAMPLE_PER_LEAF * 2**depth
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        dims, cuts = _grow_cuts(_matrix(rows["x"].iloc[:most], width), depth)
+        return pd.DataFrame({"leaf": [rows["leaf"].iloc[0]], "dims": [dims.astype("int32")], "cuts": [cuts]})
+
+    picked = _sampled(points.select("x"), share).withColumn("leaf", leaf)
+    return picked.groupBy("leaf").applyInPandas(grow, "leaf int, dims array<int>, cuts array<double>").toPandas()
+
+
+def _sampled(points: DataFrame, share: float) -> DataFrame:
+    return points if share >= 1 else points.where(F.pmod(F.xxhash64("x"), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
+
+
 def build_blocks(points: DataFrame, width: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, BlockIndex]:
-    """Deal locations (``id``, ``x``, ``copies``) to blocks and summarise the blocks."""
-    n = points.count()
-    depth = min(max(math.ceil(math.log2(max(n / block_rows, 1))), 0), int(math.log2(MAX_LEAVES)))
-    share = min(1.0, SAMPLE_PER_LEAF * 2**depth / max(n, 1))
-    picked = points.select("x")
-    if share < 1:
-        picked = picked.where(F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = _matrix([r["x"] for r in picked.collect()], width) if depth else np.zeros((0, width))
-    dims, cuts = _grow_cuts(sample, depth)
+    """Deal locations (``id``, ``x``, ``copies``) to blocks and summarise the blocks.
+
+    The upper tree is grown on the driver from a bounded sample; below its leaves, trees are grown in tasks.  Only cuts and boxes
+    come to the driver, ``INDEX_NUMBERS`` at most: beyond that blocks hold more than ``block_rows`` and are searched in parts."""
+    n, gaps = points.agg(F.count(F.lit(1)), F.max(F.exists("x", lambda v: F.isnan(v)).cast("int"))).head()
+    most = max(INDEX_NUMBERS // (3 * width * (MAX_PATTERNS if gaps else 1)), 1)
+    depth = max(min(math.ceil(math.log2(max(n / block_rows, 1))), int(math.log2(most))), 0)
+    upper = min(depth, UPPER_DEPTH)
+    lower = depth - upper
+    share_of = [min(1.0, SAMPLE_PER_LEAF * 2**d / max(n, 1)) for d in (upper, depth)]
+    sample = _matrix([r["x"] for r in _sampled(points.select("x"), share_of[0]).collect()], width) if depth else np.zeros((0, width))
+    dims, cuts = _grow_cuts(sample, upper)
 
     @F.pandas_udf("int")
     def leaf(x: pd.Series) -> pd.Series:
-        return pd.Series(_leaf_of(_matrix(x, width), dims, cuts, depth).astype("int32"))
+        return pd.Series(_leaf_of(_matrix(x, width), dims, cuts, upper).astype("int32"))
+
+    below = None
+    if lower:
+        grown = _subtrees(points, leaf("x"), width, lower, share_of[1])
+        low_dims, low_cuts = np.full((2**upper, 2**lower - 1), -1, dtype=np.int32), np.zeros((2**upper, 2**lower - 1))
+        if len(grown):
+            low_dims[grown["leaf"]], low_cuts[grown["leaf"]] = np.stack(grown["dims"]), np.stack(grown["cuts"])
+        below = share(points.sparkSession, (dims, cuts, low_dims, low_cuts))
+
+    @F.pandas_udf("int")
+    def deep_leaf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        dims, cuts, low_dims, low_cuts = opened(below)
+        for batch in batches:
+            x = _matrix(batch, width)
+            at = _leaf_of(x, dims, cuts, upper)
+            under = _leaf_of(x, low_dims, low_cuts, lower, at)
+            yield pd.Series((at * 2**lower + under).astype("int32"))
 
     missing = F.transform("x", lambda v: F.isnan(v))
     pattern = F.when(F.exists(missing, lambda m: m), 1 + F.pmod(F.xxhash64(missing), F.lit(MAX_PATTERNS - 1)))
-    block = (leaf("x") * MAX_PATTERNS + F.coalesce(pattern, F.lit(0))).cast("int") if depth else (
-        F.coalesce(pattern, F.lit(0)).cast("int"))
-    placed = cut_lineage(points.withColumn("block", block))
+    place = deep_leaf("x") if lower else leaf("x") if depth else F.lit(0)
+    placed = cut_lineage(points.withColumn("block", (place * MAX_PATTERNS + F.coalesce(pattern, F.lit(0))).cast("int")))
 
     per_column = []
     for d in range(width):
         v = no_nan(f"get(x, {d})")
         per_column += [F.expr(f"min({v})").alias(f"lo{d}"), F.expr(f"max({v})").alias(f"hi{d}"),
                        F.expr(f"count({v})").alias(f"n{d}")]
-    summary = placed.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), *per_column).orderBy("block").toPandas()
-    present = np.stack([summary[f"n{d}"].to_numpy() for d in range(width)], axis=1)
-    rows = summary["rows"].to_numpy()
-    boxes = [
-        np.stack([summary[f"{end}{d}"].to_numpy(dtype=float) for d in range(width)], axis=1) for end in ("lo", "hi")
-    ]
-    index = BlockIndex(
-        blocks=summary["block"].to_numpy(),
-        low=np.nan_to_num(boxes[0]),
-        high=np.nan_to_num(boxes[1]),
-        always=present == rows[:, None],
-        ever=present > 0,
-        present=present,
-        rows=rows,
-    )
-    return placed, index
+    # blocks of one pattern follow one another, those of neighbouring leaves next to each other
+    summary = placed.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), *per_column).toPandas()
+    blocks = summary["block"].to_numpy()
+    order = np.lexsort((blocks // MAX_PATTERNS, blocks % MAX_PATTERNS))
+    summary, blocks = summary.iloc[order], blocks[order]
+    present, low, high = (np.stack([summary[f"{kind}{d}"].to_numpy(dtype=float) for d in range(width)], axis=1)
+                          for kind in ("n", "lo", "hi"))
+    present, rows = present.astype(np.int64), summary["rows"].to_numpy()
+    boxes = Boxes(
+        low=np.where(present > 0, low, np.inf), high=np.where(present > 0, high, -np.inf),
+        always=present == rows[:, None], ever=present > 0, present=present, rows=rows)
+    return placed, BlockIndex.over(blocks, boxes)
 
 
 def _matrix(cells, width: int) -> np.ndarray:
@@ -182,45 +315,37 @@ def _matrix(cells, width: int) -> np.ndarray:
 # ----------------------------------------------------------------------------- search
 
 
-def _home_blocks(bound: np.ndarray, usable: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Mask of the nearest blocks that together hold ``need`` usable points per query."""
-    order = np.argsort(bound, axis=1, kind="stable")
-    before = np.cumsum(usable[order], axis=1) - usable[order]
-    home = np.zeros(bound.shape, dtype=bool)
-    np.put_along_axis(home, order, before < need[:, None], axis=1)
-    return home & np.isfinite(bound)
-
-
 def _route(queries: DataFrame, index: BlockIndex, targets: Sequence[int] | None, first: bool) -> DataFrame:
     """Queries with the blocks that they visit, one row per visit."""
-    width = index.low.shape[1]
+    width = index.levels[0].low.shape[1]
     shared = share(queries.sparkSession, index)
     scaled = targets is not None
+    wanted = list(targets) if scaled else [None]
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = opened(shared)
-        step = max(1, CELLS // max(len(index.rows), 1))
         for batch in batches:
-            for start in range(0, len(batch), step):
-                chunk = batch.iloc[start : start + step]
-                x = _matrix(chunk["x"], width)
-                bound = index.nearest_possible(x, scaled)
-                need = chunk["need"].to_numpy()
-                if targets is None:
-                    home = _home_blocks(bound, index.rows, need + 1)
-                else:
-                    home = np.zeros(bound.shape, dtype=bool)
-                    for t in targets:
-                        wanting = np.isnan(x[:, t])
-                        if wanting.any():
-                            home[wanting] |= _home_blocks(bound[wanting], index.present[:, t], need[wanting])
-                if first:
-                    visits = home
-                else:
-                    radius = _matrix(chunk["radius"], len(targets) if targets is not None else 1).max(axis=1)
-                    visits = (bound <= radius[:, None]) & np.isfinite(bound) & ~home
-                q, b = np.nonzero(visits)
-                yield chunk.iloc[q].assign(block=index.blocks[b].astype("int32"))
+            x, need = _matrix(batch["x"], width), batch["need"].to_numpy()
+            radius = _matrix(batch["radius"], len(wanted))
+            for start in range(0, len(batch), ROUTED):
+                rows = slice(start, start + ROUTED)
+                q, b = visits(index, x[rows], need[rows], radius[rows])
+                yield batch.iloc[start + q].assign(block=index.blocks[b].astype("int32"))
+
+    def visits(index: BlockIndex, x: np.ndarray, need: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(index.blocks)
+        home, reached = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, t in enumerate(wanted):
+            asking = np.arange(len(x)) if t is None else np.flatnonzero(np.isnan(x[:, t]))
+            q, b = index.home(x[asking], scaled, t, need[asking] + (t is None))
+            home.append(asking[q] * n + b)
+            if not first:
+                q, b, _ = index.descend(x[asking], scaled, t, radius[asking, i])
+                reached.append(asking[q] * n + b)
+        pairs = np.unique(np.concatenate(home))
+        if not first:  # a block of the first step was searched for all targets
+            pairs = np.setdiff1d(np.concatenate(reached), pairs)
+        return pairs // n, pairs % n
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
     return queries.mapInPandas(visit, f"{types}, block int")
@@ -231,10 +356,10 @@ def _visit_blocks(
 ) -> DataFrame:
     """Candidates ``(id, need, target, other, dist, copies, value)`` found in the visited blocks."""
     spark = placed.sparkSession
-    width = index.low.shape[1]
+    width = index.levels[0].low.shape[1]
     visits = cut_lineage(visits)
     load = {r["block"]: r["count"] for r in visits.groupBy("block").count().collect()}
-    sizes = dict(zip(index.blocks.tolist(), index.rows.tolist()))
+    sizes = dict(zip(index.blocks.tolist(), index.levels[0].rows.tolist()))
     cut = [(b, math.ceil(sizes[b] / PART_ROWS), math.ceil(q / PART_ROWS)) for b, q in load.items()]
     plan = F.broadcast(spark.createDataFrame(cut, "block int, slices int, parts int"))  # one row per block
     queries = (
@@ -332,7 +457,7 @@ def nearest(
     queries = cut_lineage(queries.withColumn("radius", unlimited))
 
     near = _keep_nearest(_visit_blocks(_route(queries, index, targets, True), placed, index, targets))
-    if len(index.rows) == 1:
+    if len(index.blocks) == 1:
         return near
     near = cut_lineage(near)
 

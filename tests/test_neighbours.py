@@ -115,3 +115,80 @@ def test_knn_imputation_of_other_rows(spark):
     new = spark.createDataFrame(pd.DataFrame(rows, columns=["a", "b"]).assign(key=[100, 101]))
     got = fit_imputer(train, ["a", "b"], "knn", key="key", k=2).transform(new).orderBy("key").select("a", "b").toPandas()
     assert np.allclose(got.to_numpy(), brute_impute(rows, donors, 2))
+
+
+def _flat_index(rng, n_blocks, width, missing=0.0):
+    """An index over random boxes with a few points each, in the order of a k-d tree, and those points."""
+    points, centres = [], rng.uniform(0, 100, (n_blocks, width))
+    leaf = neighbours._leaf_of(centres, *neighbours._grow_cuts(centres, 12), 12)
+    for centre in centres[np.argsort(leaf)]:
+        x = centre + rng.normal(size=(5, width))
+        x[rng.random(x.shape) < missing] = np.nan
+        points.append(x)
+    has = [~np.isnan(p) for p in points]
+    boxes = neighbours.Boxes(
+        low=np.stack([np.where(h, p, np.inf).min(axis=0) for p, h in zip(points, has)]),
+        high=np.stack([np.where(h, p, -np.inf).max(axis=0) for p, h in zip(points, has)]),
+        always=np.stack([h.all(axis=0) for h in has]), ever=np.stack([h.any(axis=0) for h in has]),
+        present=np.stack([h.sum(axis=0) for h in has]), rows=np.full(n_blocks, 5))
+    return neighbours.BlockIndex.over(np.arange(n_blocks), boxes), points
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.3])
+def test_descent_equals_all_boxes_and_visits_few(missing, monkeypatch):
+    rng = np.random.default_rng(3)
+    index, points = _flat_index(rng, 3000, 3, missing)
+    x = rng.uniform(0, 100, (12, 3))
+    if missing:
+        x[np.arange(12), rng.integers(0, 3, 12)] = np.nan
+    asked = []
+    bounds = neighbours.Boxes.bounds
+    monkeypatch.setattr(neighbours.Boxes, "bounds", lambda self, x, q, *rest: asked.append(len(q)) or bounds(self, x, q, *rest))
+    scaled, target = bool(missing), (2 if missing else None)
+    need = np.full(12, 7)
+    q, b = index.home(x, scaled, target, need)
+    visited = sum(asked)
+    every = np.repeat(np.arange(12), 3000), np.tile(np.arange(3000), 12)
+    near, far = bounds(index.levels[0], x, *every, scaled)
+    near, far, usable = near.reshape(12, -1), far.reshape(12, -1), index.levels[0].usable(target)
+    for i in range(12):
+        dist = [neighbours._distances(x[i : i + 1], p, scaled)[0] for p in points]
+        assert all((near[i, j] <= d).all() and (np.isinf(far[i, j]) or (far[i, j] >= d).all()) for j, d in enumerate(dist))
+        order = [j for j in np.argsort(near[i], kind="stable") if usable[j] and np.isfinite(near[i, j])]
+        before = np.cumsum(usable[order]) - usable[order]
+        assert set(b[q == i]) == {j for j, n in zip(order, before) if n < 7}
+    radius = np.full(12, 9.0)
+    q, b, _ = index.descend(x, scaled, target, radius)
+    assert set(zip(q, b)) == {(i, j) for i, j in zip(*np.nonzero(near <= 9.0)) if usable[j]}
+    if not missing:
+        assert visited < 0.1 * 12 * 3000
+    monkeypatch.setattr(neighbours, "CELLS", 50)  # queries split on the way
+    assert set(zip(*index.descend(x, scaled, target, radius)[:2])) == set(zip(q, b))
+
+
+def test_a_column_with_few_donors_visits_their_blocks_only(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 100, (4000, 3))
+    x[:, 2] = np.nan
+    donors = [10, 700, 3000]
+    x[donors, 2] = [1.0, 2.0, 4.0]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(key=range(len(x))))
+    points = neighbours.locations(df, "key", ["a", "b", "c"])
+    placed, index = neighbours.build_blocks(points, 3, block_rows=40)
+    assert len(index.blocks) > 60
+    queries = points.where("isnan(x[2])").selectExpr("id", "x", "5 as need", "array(double('inf'), double('inf'), double('inf')) as radius")
+    for first in (True, False):
+        visits = neighbours._route(queries, index, range(3), first).groupBy("id").count().agg({"count": "max"}).head()[0]
+        assert (visits or 0) <= (3 if first else 0)
+    found = neighbours.nearest(queries.select("id", "x", "need"), points, 3, range(3), 40).groupBy("id").count()
+    assert found.where("count <> 3").count() == 0 and found.count() == 3997
+
+
+def test_trees_below_the_upper_one(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "UPPER_DEPTH", 2)
+    x = np.random.default_rng(6).normal(size=(1500, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(key=range(len(x))))
+    _, index = neighbours.build_blocks(neighbours.locations(df, "key", ["a", "b"]), 2, block_rows=20)
+    assert len(index.blocks) > 60 and index.levels[0].rows.sum() == 1500 and index.levels[0].rows.max() < 80
+    got = lof_scores(df, "key", ["a", "b"], neighbours=7, block_rows=20).orderBy("key").toPandas()
+    assert np.allclose(got["lof"], brute_lof(x, 7), rtol=1e-9)
