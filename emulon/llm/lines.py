@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emulon.runtime import cut_lineage
@@ -45,6 +45,8 @@ def _byte_table(buckets: DataFrame, bits: int, level: Column) -> Column:
     return cut_lineage(pieces.agg(F.flatten(F.transform(F.array_sort(F.collect_list("item")), lambda i: i["levels"])).alias("bytes"))).scalar()
 
 
+BITMAP = 2  # longs of a set's bitmap, a power of two
+MORE = 16  # times as many partners are verified in the next round
 PIECE = 12  # bits of the buckets joined in the first step
 
 
@@ -105,8 +107,9 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     lines = _lines(docs, key, text).withColumn("rarity", rarity).select("doc", "whole", "line", numbers.alias("numbers"))
     lines = lines.withColumn("size", F.size("numbers")).where("size > 0")
     least = F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
-    bitmap = F.aggregate("numbers", F.lit(0).cast("long"), lambda a, n: a.bitwiseOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(63).cast("int"))))
+    bitmap = F.transform(F.sequence(F.lit(0), F.lit(BITMAP - 1)), lambda i: F.aggregate(
+        "numbers", F.lit(0).cast("long"), lambda a, n: F.when(F.shiftright(n, 6).bitwiseAND(BITMAP - 1) == i, a.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(63).cast("int")))).otherwise(a)))
     head = F.slice("numbers", F.lit(1), (F.col("size") - least + 1).cast("int"))
     places = cut_lineage(lines.select(
         "doc", "whole", "line", F.xxhash64("numbers").alias("name"), F.hash("numbers").alias("check"), "size",
@@ -114,31 +117,20 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     firsts = places.groupBy("name", "check").agg(F.min(F.struct("doc", "line", "whole", "size", "bitmap", "prefix")).alias("first"))
     firsts = cut_lineage(firsts.select("name", "check", "first.*"))
 
-    # a set too small to be similar to a larger one only matches itself
-    meeting = firsts.where(F.floor(F.col("size") / similarity + 1e-9) > F.col("size")).select(
-        "name", "size", "bitmap", F.posexplode("prefix").alias("place", "word"))
-    a, b = meeting.alias("a"), meeting.alias("b")
-    together = F.col("a.size") + F.col("b.size")
-    overlap = F.ceil(similarity / (1 + similarity) * together - 1e-9)
-    shorter, longer = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    candidates = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.name") < F.col("b.name"))
-                        & (shorter >= F.ceil(F.lit(similarity) * longer - 1e-9))
-                        & (F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= overlap)
-                        & (F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))) <= together - 2 * overlap))
-    differ = F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))).alias("differ")
-    candidates = candidates.select(F.col("a.name").alias("x"), F.col("b.name").alias("y"), differ).distinct()
-    at = {c: firsts.select(F.col("name").alias(c), F.struct("doc", "line").alias(f"at_{c}")) for c in "xy"}
-    pairs = candidates.join(at["x"], "x").join(at["y"], "y").where("at_x <> at_y")
-    pairs = cut_lineage(pairs.select(
-        F.when(F.col("at_x") < F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("earlier"),
-        F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("later"), "differ"))
-
-    # a line goes by one match: the likeliest is verified first, others only where that fails
-    best = pairs.groupBy("later").agg(F.min(F.struct("differ", "earlier")).alias("best")).select("later", "best.earlier")
-    first_round = cut_lineage(_verified(docs, key, text, best, firsts, similarity, bits))
-    rest = pairs.join(best, ["later", "earlier"], "left_anti").join(first_round, "later", "left_anti")
-    second_round = _verified(docs, key, text, cut_lineage(rest.select("later", "earlier")), firsts, similarity, bits)
-    gone = first_round.union(second_round).select(F.col("later").alias("name")).distinct().withColumn("gone", F.lit(True))
+    # a line goes by one match: each line's likeliest partner is verified first, more and more of them where that fails
+    untried = firsts.select(F.col("name").alias("later"), F.lit(None).cast("struct<differ:int,earlier:long>").alias("tried"))
+    gone, asked = None, 1
+    while True:
+        partners = cut_lineage(_partners(firsts, untried if gone is not None else None, similarity, asked))
+        found = cut_lineage(_verified(docs, key, text, partners.select("later", F.col("partner.earlier").alias("earlier")), firsts, similarity, bits))
+        gone = found if gone is None else gone.union(found)
+        # those who had as many partners as asked for may have more
+        last = partners.groupBy("later").agg(F.max("partner").alias("tried"), F.count("*").alias("n")).where(F.col("n") >= asked)
+        untried = cut_lineage(last.drop("n").join(found, "later", "left_anti"))
+        if untried.isEmpty():
+            break
+        asked *= MORE
+    gone = gone.select(F.col("later").alias("name")).withColumn("gone", F.lit(True))
     known = firsts.select("name", "check", "doc", "line").join(gone, "name", "left").select(
         "name", "check", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
     going = places.select("doc", "whole", "line", "name", "check").join(known, ["name", "check"]).where(
@@ -146,6 +138,36 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     return cut_lineage(going.groupBy("doc", "whole").agg(F.collect_set("line").alias("lines")))
 
 
+def _partners(firsts: DataFrame, untried: DataFrame | None, similarity: float, most: int) -> DataFrame:
+    """``later, partner``: of each set the ``most`` likeliest earlier sets that may be similar, each a struct of differing bits and name.
+
+    Of all sets, or of those ``untried`` (``later, tried``) only, beyond what they tried."""
+    # a set too small to be similar to a larger one only matches itself
+    some = firsts.where(F.floor(F.col("size") / similarity + 1e-9) > F.col("size"))
+    parts = ["name", "doc", "line", "size", *[F.get("bitmap", F.lit(i)).alias(f"bits{i}") for i in range(BITMAP)]]
+    earlier = some.select(*parts, F.posexplode("prefix").alias("place", "word")).alias("a")
+    if untried is None:
+        later = some.select(*parts, F.posexplode("prefix").alias("place", "word")).alias("b")
+    else:
+        own = some.join(untried.withColumnRenamed("later", "name"), "name")
+        later = own.select(*parts, "tried", F.posexplode("prefix").alias("place", "word")).alias("b")
+    together = F.col("a.size") + F.col("b.size")
+    overlap = F.ceil(similarity / (1 + similarity) * together - 1e-9)
+    shorter, longer = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.bits{i}").bitwiseXOR(F.col(f"b.bits{i}"))) for i in range(BITMAP)])
+    met = later.join(earlier, (F.col("a.word") == F.col("b.word"))
+                     & ((F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") < F.col("b.line"))))
+                     & (shorter >= F.ceil(F.lit(similarity) * longer - 1e-9))
+                     & (F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= overlap)
+                     & (differ <= together - 2 * overlap))
+    partner = F.struct(differ.cast("int").alias("differ"), F.col("a.name").alias("earlier"))
+    if untried is None:
+        return met.groupBy(F.col("b.name").alias("later")).agg(F.min(partner).alias("partner"))
+    met = met.select(F.col("b.name").alias("later"), partner.alias("partner"), "tried").where("partner > tried")
+    order = Window.partitionBy("later").orderBy("partner")
+    return met.withColumn("at", F.dense_rank().over(order)).where(F.col("at") <= most).select("later", "partner").distinct()
+
+
 def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, firsts: DataFrame, similarity: float, bits: int) -> DataFrame:
     """``later`` of the pairs of sets (later, earlier) that are similar: their texts are fetched from the documents and compared."""
     asked = pairs.select(F.col("later").alias("name")).union(pairs.select("earlier")).distinct()
