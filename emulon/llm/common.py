@@ -19,6 +19,14 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column has, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_fold(key: Column, folds: int) -> Column:
     """``crc32`` of the key as text, modulo ``folds``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emulon.llm.common import column
+from emulon.llm.common import column, spare
 from emulon.runtime import opened, share
 
 BINS = 1 << 13
@@ -199,6 +199,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", prediction
 
     # a filter on the result must not make Spark predict twice
     language = language.asNondeterministic()
-    found = F.col("__language")
-    return docs.withColumn("__language", language(F.col(f"`{text}`").cast("string"))).withColumns(
-        {prediction: found["lang"], score: found["score"]}).drop("__language")
+    name = spare(docs, "__language")
+    found = F.col(name)
+    return docs.withColumn(name, language(F.col(f"`{text}`").cast("string"))).withColumns(
+        {prediction: found["lang"], score: found["score"]}).drop(name)

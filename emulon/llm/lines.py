@@ -28,6 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emulon.llm.common import spare
 from emulon.runtime import cut_lineage
 
 LAST = 2**63 - 1
@@ -182,20 +183,23 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, firsts: Da
     return pairs.join(one, "later").join(other, "earlier").where(enough).select("later").distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """All rows and columns, ``text`` without the lines that go; and the numbers of lines before (``__lines``) and removed (``__gone``).
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8,
+                counts: tuple[str, str] | None = ("__lines", "__gone")) -> DataFrame:
+    """All rows and columns, ``text`` without the lines that go; and the numbers of lines before and removed, under the names of ``counts``.
 
     Documents that may lose lines meet their list in a join; the others pass without a shuffle."""
     going = later_matches(docs, key, text, similarity)
     body = F.col(f"`{text}`")
-    named = docs.withColumns({"__doc": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)), "__whole": F.xxhash64(body)})
-    flagged = _flags(going.select(F.col("doc").alias("__doc"), F.col("whole").alias("__whole")), ["__doc", "__whole"], _table_bits(docs, text))
+    doc, whole, gone = (spare(docs, c) for c in ("__doc", "__whole", "__list"))
+    named = docs.withColumns({doc: F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)), whole: F.xxhash64(body)})
+    flagged = _flags(going.select(F.col("doc").alias(doc), F.col("whole").alias(whole)), [doc, whole], _table_bits(docs, text))
     losing = named.where(flagged).join(
-        going.select(F.col("doc").alias("__doc"), F.col("whole").alias("__whole"), F.col("lines").alias("__list")), ["__doc", "__whole"], "left")
+        going.select(F.col("doc").alias(doc), F.col("whole").alias(whole), F.col("lines").alias(gone)), [doc, whole], "left")
     every = F.split(body, "\n")
-    kept = F.array_join(F.filter(every, lambda _, i: ~F.array_contains("__list", i)), "\n")
-    before = F.when(body.isNotNull(), F.size(every)).alias("__lines")
+    kept = F.array_join(F.filter(every, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    before = F.when(body.isNotNull(), F.size(every))
+    named_counts = (lambda n: [before.alias(counts[0]), n.alias(counts[1])]) if counts else (lambda n: [])
     others = [F.col(f"`{c}`") for c in docs.columns]
-    changed = [F.when(F.col("__list").isNull(), body).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return losing.select(*changed, before, F.when(F.col("__list").isNull(), 0).otherwise(F.size("__list")).alias("__gone")).unionByName(
-        named.where(~flagged).select(*others, before, F.lit(0).alias("__gone")))
+    changed = [F.when(F.col(gone).isNull(), body).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return losing.select(*changed, *named_counts(F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)))).unionByName(
+        named.where(~flagged).select(*others, *named_counts(F.lit(0))))

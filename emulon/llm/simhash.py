@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emulon.llm.common import column, whole
+from emulon.llm.common import column, spare, whole
 from emulon.llm.components import components
 from emulon.runtime import cut_lineage, opened, share
 
@@ -232,11 +232,12 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, key: str = "d
     """The rows and columns of ``docs``, of each group of near copies only the row of the smallest key (null: last).
 
     Of rows that share it, the one read first stays."""
-    rows = docs.withColumns({"__bits": fingerprints(F.col(f"`{text}`"), shingle), "__row": F.monotonically_increasing_id()})
+    bits, number = spare(docs, "__bits"), spare(docs, "__row")
+    rows = docs.withColumns({bits: fingerprints(F.col(f"`{text}`"), shingle), number: F.monotonically_increasing_id()})
     rows = cut_lineage(rows)
-    order = F.struct(F.col(f"`{key}`").isNull().alias("last"), F.col(f"`{key}`").alias("key"), F.col("__row").alias("row"))
-    points = cut_lineage(rows.groupBy(F.col("__bits").alias("bits")).agg(F.min(order).alias("least")))
+    order = F.struct(F.col(f"`{key}`").isNull().alias("last"), F.col(f"`{key}`").alias("key"), F.col(number).alias("row"))
+    points = cut_lineage(rows.groupBy(F.col(bits).alias("bits")).agg(F.min(order).alias("least")))
     linked = link_points(points, max_bits)
     rooted = points.join(linked, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
-    return rows.join(stay, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(number))
+    return rows.join(stay, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

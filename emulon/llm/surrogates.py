@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulon.llm.common import column
+from emulon.llm.common import column, spare
 from emulon.runtime import cut_lineage
 
 #: Titles before names, by gender.
@@ -348,14 +348,15 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[], [], []], (pa.int64(), pa.string(), pa.string()))],
                                              names=["hash", "kind", "value"])
 
-    named = docs.withColumn("__hash", F.xxhash64(body))
+    hashed, mended, done_as = (spare(docs, c) for c in ("__hash", "__fixes", "__done"))
+    named = docs.withColumn(hashed, F.xxhash64(body))
     if others.limit(1).count():  # else no document needs to know of any
         where = docs.select(F.xxhash64(body).alias("hash"), body.alias("text")).mapInArrow(mentions, "hash long, kind string, value string")
         fixes = cut_lineage(where.join(others, ["kind", "value"]).groupBy("hash").agg(
             F.collect_set(F.struct("kind", "value", "settled", "attempt")).alias("fixes")))
-        named = named.join(fixes.select(F.col("hash").alias("__hash"), F.col("fixes").alias("__fixes")), "__hash", "left")
+        named = named.join(fixes.select(F.col("hash").alias(hashed), F.col("fixes").alias(mended)), hashed, "left")
     else:
-        named = named.withColumn("__fixes", F.expr("cast(null as array<struct<kind:string,value:string,settled:string,attempt:int>>)"))
+        named = named.withColumn(mended, F.expr("cast(null as array<struct<kind:string,value:string,settled:string,attempt:int>>)"))
 
     @F.pandas_udf("text string, n int")
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -370,6 +371,6 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str
             yield pd.DataFrame(rows, columns=["text", "n"])
 
     clean = clean.asNondeterministic()  # never evaluated twice
-    done = named.withColumn("__done", clean(body, F.col("__fixes")))
-    kept = [F.col("__done.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*kept, *([F.col("__done.n").alias(count)] if count else []))
+    done = named.withColumn(done_as, clean(body, F.col(mended)))
+    kept = [F.col(f"{done_as}.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return done.select(*kept, *([F.col(f"{done_as}.n").alias(count)] if count else []))

@@ -2,6 +2,8 @@
 
 import shutil
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from emulon.llm import surrogates
 from tests.llm.conftest import SMALL
@@ -69,3 +71,12 @@ def test_without_languages_texts_with_a_letter_stay(spark, odd_docs):
     kept = corpus_pipeline.language(spark, odd_docs, SMALL).collect()
     want = [r for r in odd_docs.collect() if r["text"] and any(map(str.isalpha, r["text"]))]
     assert want and sorted(map(str, kept)) == sorted(map(str, want))
+
+
+def test_helper_columns_do_not_clash(spark, odd_docs):
+    names = ["__doc", "__whole", "__list", "__LINES", "__gone", "__bits", "__row", "__hash", "__fixes", "__done", "__language", "__lang", "__score"]
+    docs = odd_docs.drop("rows").withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, SMALL)
+        rows = docs.collect()
+        assert rows and all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in rows for n in names)
