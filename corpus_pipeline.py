@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulon.llm import langid, lines, packing, simhash, surrogates
+from emulon.llm.common import spare
 from emulon.runtime import cut_lineage
 
 #: The key of surrogates; a real run takes a secret of its own.
@@ -31,13 +32,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if model is None:
         return docs.where(langid.lettered(F.col("text")))
-    predicted = langid.predict(docs, model, prediction="__lang", score="__score")
-    return predicted.where("__lang <> 'und'").withColumn("lang", F.col("__lang")).select(*docs.columns)
+    lang = spare(docs, "__lang")
+    predicted = langid.predict(docs, model, prediction=lang, score=spare(docs, "__score"))
+    return predicted.where(F.col(lang) != "und").withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are similar to an earlier line of any document go; documents stay."""
-    return _measured(lines.dedup_lines(docs), docs.columns)
+    return _measured(lines.dedup_lines(docs, counts=None), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
