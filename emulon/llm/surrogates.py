@@ -1,7 +1,9 @@
 """Personal data and secrets replaced by surrogates: keyed, of the same type and form, distinct, and the same everywhere.
 
-Found are e-mail and IP addresses, phone, payment-card, social-security and IBAN numbers, secrets (a value after a word such as
-token or password, keys of known prefixes, and long hexadecimal strings), and names after a title.  A quoted value after such a word
+Found are e-mail and IP addresses (both versions), phone, payment-card, social-security and IBAN numbers, secrets (a value after a
+word such as token or password, keys of known prefixes, and long hexadecimal strings), and names: after one or more titles, after
+words that introduce them ("my name is"), two capitalised words before a verb said of persons ("called", "was born"), and further
+mentions of a whole name in the same text.  Other names without a title are not found.  A quoted value after such a word
 that has no letter or digit (asterisks, dots) is a mask, not a secret, and stays.  A surrogate keeps the form: letters
 become letters, digits digits, capitals capitals, separators stay, card and IBAN check digits are right where they were, an address
 keeps its top-level domain and a phone number its country code.  Names keep script, capitals and, by title, gender;
@@ -10,7 +12,8 @@ has one surrogate whatever its titles: of the gender that they tell in all docum
 
 The surrogate is a keyed permutation of the values of the same form, so one entity gets one surrogate in all documents
 and different entities get different ones.  Secrets with letters or digits beyond a-z and 0-9 get drawn ones of these instead.
-Names, drawn values, and forms with few values, may meet; and a surrogate may be another's true
+Invented names have so many syllables that there are at least
+32 times as many as entities of the type.  Names, drawn values, and forms with few values, may meet; and a surrogate may be another's true
 value.  So the entities of all documents are gathered, each once; an entity whose surrogate is a true value, or that
 of a smaller entity, takes its next one, until none is left.  From the eighth on, e-mails, phone numbers, secrets and names grow
 longer every eight, so no form is too small; the others have at least a thousand million values, of which the true ones
@@ -23,6 +26,7 @@ table gives an empty result; other columns are kept.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -62,9 +66,25 @@ PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IP = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)")
 CARD = re.compile(r"(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::)(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:])")
+#: Small words inside surnames, words before a name, and verbs after one.
+PARTICLES = "da de del della der den di dos du la le van von bin ibn al y".split()
+INTRODUCED = ("my name is", "mein name ist", "ich heiße", "je m'appelle", "me llamo", "mi nombre es", "il mio nome è", "меня зовут")
+DEEDS = ("called", "phoned", "emailed", "texted", "was born", "lives in", "lived in", "resides", "got married")
+NO_NAMES = "A An And At But For From He Her His If In It My New No Of On Our Saint San She South North The Their They This That To United We West East When You".split()
 _WORD = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]*(?:['’-][^\W\d_]+)*"
-NAME = re.compile(rf"\b({'|'.join(t for ts in TITLES.values() for t in ts)})(\.? )((?:[^\W\d_a-zа-я]\. )?{_WORD}(?: {_WORD})?)")
+_CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][^\W\d_]*(?:['’-][^\W\d_]+)*"
+_INITIAL = r"[^\W\d_a-zа-я]\. "
+_INITIALS = rf"(?:{_INITIAL})*"
+_MORE = rf"(?: {_INITIALS}(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_CAPITAL}){{0,4}}"
+_FULL = rf"{_INITIALS}(?:{_WORD} (?!{_INITIAL}){_WORD}{_MORE}|{_WORD}{_MORE})"
+_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+NAME = re.compile(rf"\b((?:(?:{_TITLE})\.? )+)({_FULL})")
+SMALL_TITLE = re.compile(rf"\b((?:(?:mrs?|ms|dr|prof)\. )+)({_CAPITAL}{_MORE})|\b(mrs?|ms)\. ([a-z]+(?:['’-][a-z]+)*)")
+INTRODUCTION = re.compile(rf"\b(?i:{'|'.join(INTRODUCED)}):? ({_CAPITAL}{_MORE})")
+DEED = re.compile(rf"(?<![\w.'’-])(?<!\bthe )(?<!\bThe )(?!(?:{'|'.join(NO_NAMES)}) )([A-Z][a-z]+(?: [A-Z]\.)? [A-Z][a-z]+)(?= (?:{'|'.join(DEEDS)})\b)")
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+SMALL_GENDER = {t.lower(): g for t, g in GENDER.items()}
 Entity = tuple[str, str]  # type, canonical form
 
 
@@ -133,18 +153,57 @@ def find(text: str) -> list[tuple[int, int, Entity]]:
             add(*m.span(), "ssn", re.sub(r"\D", "", m[0]))
         for m in CARD.finditer(text):
             add(*m.span(), "card", re.sub(r"\D", "", m[0]))
+    if text.count(":") > 1:
+        for m in IP6.finditer(text):
+            if (plain := _address(m[0])) is not None:
+                add(*m.span(), "ip6", plain)
+    wholes: dict[str, str] = {}  # names of several words, and the gender their titles tell
+
+    def add_name(start: int, name: str, gender: str) -> None:
+        words = [w for w in re.finditer(r"\S+", name) if not w[0].endswith(".") and w[0] not in PARTICLES]
+        for i, w in enumerate(words):
+            kind = "surname" if i == len(words) - 1 else f"given-{gender}"
+            add(start + w.start(), start + w.end(), f"{kind}-{script_of(w[0])}", w[0].lower())
+        if len(words) > 1 and wholes.get(name, "n") == "n":
+            wholes[name] = gender
+
+    def told(titles: str) -> str:
+        return next((g for t in titles.split() if (g := SMALL_GENDER[t.rstrip(".").lower()]) != "n"), "n")
+
     if any(t in text for t in GENDER):
         for m in NAME.finditer(text):
-            words = [w for w in re.finditer(r"\S+", m[3]) if not w[0].endswith(".")]
-            for i, w in enumerate(words):
-                kind = "surname" if i == len(words) - 1 else f"given-{GENDER[m[1]]}"
-                add(m.start(3) + w.start(), m.start(3) + w.end(), f"{kind}-{script_of(w[0])}", w[0].lower())
+            add_name(m.start(2), m[2], told(m[1]))
+    if any(t in text for t in ("mr. ", "mrs. ", "ms. ", "dr. ", "prof. ")):
+        for m in SMALL_TITLE.finditer(text):
+            at = 2 if m[2] else 4
+            add_name(m.start(at), m[at], told(m[at - 1]))
+    if any(t in text for t in ("ame is", "ame ist", "heiße", "appelle", "llamo", "ombre es", "ome è", "зовут")):
+        for m in INTRODUCTION.finditer(text):
+            add_name(m.start(1), m[1], "n")
+    if any(t in text for t in DEEDS):
+        for m in DEED.finditer(text):
+            add_name(m.start(1), m[1], "n")
+    if wholes:
+        again = "|".join(map(re.escape, sorted(wholes, key=len, reverse=True)))
+        for m in re.finditer(rf"(?<![\w'’-])(?:{again})(?![\w’-])", text):
+            add_name(m.start(), m[0], wholes[m[0]])
     return sorted(found)
 
 
 _DIGIT = re.compile(r"\d[^a-z]{0,4}\d")
 
 
+def _address(text: str) -> str | None:
+    """The eight groups of an address of version 6; None for other texts, and for those of fewer than three groups."""
+    groups = [g for g in text.split(":") if g]
+    if len(groups) < 3 or not any(c.isdigit() for c in text) or not any(int(g, 16) for g in groups):
+        return None
+    try:
+        return ipaddress.IPv6Address(text).exploded
+    except ValueError:
+        return None
+
+
 def _is_letter_or_digit(c: str) -> bool:
     return unicodedata.category(c)[0] in "LN"
 
@@ -206,8 +265,9 @@ def _draw(key: bytes, label: str, text: str, more: int) -> str:
     return "".join(out)
 
 
-def surrogate(key: bytes, entity: Entity, attempt: int = 0) -> str:
-    """The canonical form of the entity's surrogate; attempts after the first give others."""
+def surrogate(key: bytes, entity: Entity, attempt: int = 0, longer: int = 0) -> str:
+    """The canonical form of the entity's surrogate; attempts after the first give others, ``longer`` is a name's number of
+    syllables beyond two."""
     kind, value = entity
     label = f"{kind}|{attempt}"
     if kind == "email":
@@ -220,6 +280,9 @@ def surrogate(key: bytes, entity: Entity, attempt: int = 0) -> str:
         a, b, c, d = map(int, value.split("."))
         new = _permute(key, label, a << 24 | b << 16 | c << 8 | d, 1 << 32)
         return ".".join(str(new >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ip6":  # groups of nought stay
+        plain = ":".join("----" if g == "0000" else g for g in value.split(":"))
+        return _scramble(key, label, plain, True).replace("-", "0")
     if kind == "phone":
         code, rest = value.split("+")
         if attempt >= 8:
@@ -237,7 +300,7 @@ def surrogate(key: bytes, entity: Entity, attempt: int = 0) -> str:
         ends = endings[gender]
         h = int.from_bytes(hashlib.blake2b(f"{label}|{value}".encode(), key=key, digest_size=16).digest(), "big")
         name = ""
-        for _ in range(2 + attempt // 8):
+        for _ in range(2 + longer + attempt // 8):
             h, i = divmod(h, len(syllables))
             name += syllables[i]
         return name + ends[h % len(ends)]
@@ -250,6 +313,9 @@ def _dress(new: str, kind: str, old: str) -> str:
     """The surrogate in the form of the text it replaces: separators and capitals."""
     if kind == "ip":
         return new
+    if kind == "ip6":
+        new = new if len(old) == len(new) else str(ipaddress.IPv6Address(new))
+        return new.upper() if old.isupper() else new
     if kind in ("phone", "card", "ssn", "iban"):
         plain = iter(new.replace("+", ""))
         return "".join(next(plain) if c.isalnum() else c for c in old) + "".join(plain)
@@ -262,13 +328,14 @@ def _dress(new: str, kind: str, old: str) -> str:
     return new
 
 
-def replace(text: str, key: bytes, fixes: dict[Entity, tuple[str, int]], known: dict[tuple[str, str, int], str]) -> str:
-    """``fixes`` holds the settled type and the attempt of entities that do not keep their first surrogate."""
+def replace(text: str, key: bytes, fixes: dict[Entity, tuple[str, int]], known: dict[tuple[str, str, int], str],
+            longer: dict[str, int] | None = None) -> str:
+    """``fixes`` holds the settled type and the attempt of entities that do not keep their first surrogate; ``longer`` is of ``syllables``."""
     out, at = [], 0
     for start, end, entity in find(text):
         kind, attempt = fixes.get(entity, (entity[0], 0))
         if (new := known.get((kind, entity[1], attempt))) is None:
-            new = known[kind, entity[1], attempt] = surrogate(key, (kind, entity[1]), attempt)
+            new = known[kind, entity[1], attempt] = surrogate(key, (kind, entity[1]), attempt, (longer or {}).get(_split_kind(kind)[0], 0))
         out += [text[at:start], _dress(new, entity[0], text[start:end])]
         at = end
     return "".join(out) + text[at:] if out else text
@@ -306,7 +373,20 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut_lineage(once.select("kind", "value", gender.alias("gender"), "said"))
 
 
-def exceptions(found: DataFrame, key: bytes) -> DataFrame:
+def syllables(found: DataFrame) -> dict[str, int]:
+    """For each type of names, of which there are two a script, by how many syllables they must be longer."""
+    out = {}
+    for r in found.where("kind like 'given-%' or kind like 'surname-%'").groupBy("kind").count().collect():
+        letters, endings = SCRIPTS.get(r["kind"].split("-")[1]) or (letters_of(r["kind"].split("-")[1]), {"n": "-"})
+        size, more = len(letters) ** 2 * len(endings["n"]), 0
+        while size < 32 * r["count"]:
+            size, more = size * len(letters), more + 1
+        if more:
+            out[r["kind"]] = more
+    return out
+
+
+def exceptions(found: DataFrame, key: bytes, longer: dict[str, int]) -> DataFrame:
     """``kind, value, settled, attempt`` of the entities, as ``find`` gives them, that cannot keep their first surrogate (written).
 
     In each round a surrogate belongs to the smallest entity that has it, unless it is a true value; the others try again.
@@ -315,7 +395,7 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame:
 
     @F.pandas_udf("string")
     def propose(kind: pd.Series, gender: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, (_titled(k, g), v), a) for k, g, v, a in zip(kind, gender, value, attempt)], dtype=object)
+        return pd.Series([surrogate(key, (_titled(k, g), v), a, longer.get(k, 0)) for k, g, v, a in zip(kind, gender, value, attempt)], dtype=object)
 
     names = ["kind", "value", "gender", "said"]
     new = propose("kind", "gender", "value", "attempt")
@@ -338,7 +418,9 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
     """All rows and columns, ``text`` with surrogates; ``count`` names a column for the number of entities."""
-    others = exceptions(entities(docs, text), key)
+    found = entities(docs, text)
+    longer = syllables(found)
+    others = exceptions(found, key, longer)
     body = F.col(f"`{text}`")
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +447,7 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text", count: str
             rows = []
             for t, f in zip(texts, fixes):
                 others = {(e["kind"], e["value"]): (e["settled"], e["attempt"]) for e in f} if f is not None else {}
-                rows.append((None, 0) if t is None else (replace(t, key, others, known), len(find(t)) if count else 0))
+                rows.append((None, 0) if t is None else (replace(t, key, others, known, longer), len(find(t)) if count else 0))
             if len(known) > 200_000:
                 known = {}
             yield pd.DataFrame(rows, columns=["text", "n"])

@@ -1,6 +1,7 @@
 """Language identification, surrogates and the language model."""
 
 import collections
+import ipaddress
 import math
 import re
 import zlib
@@ -72,6 +73,39 @@ def test_found_entities():
         assert surrogates.replace(clean, KEY, {}, {}) == clean
 
 
+def test_names_and_addresses_in_all_their_forms():
+    """No true part of a name is left; titles, particles and initials stay."""
+    names = {"Prof. Dr. Hans Meier spoke": "Hans Meier", "Dr. Anna Maria Lopez Garcia spoke": "Anna Maria Lopez Garcia", "ask mr. smith now": "smith",
+             "Yesterday John Smith called us": "John Smith", "My name is Peter Miller.": "Peter Miller", "Frau Dr. Eva von der Heide kam": "Eva Heide",
+             "Mr. John A. Smith left. Then John A. Smith wept.": "John Smith", "see dr. Weber soon": "Weber", "Ich heiße Karl Otto Schulz, ja": "Karl Otto Schulz"}
+    for text, name in names.items():
+        new = surrogates.replace(text, KEY, {}, {})
+        assert not any(re.search(rf"\b{w}\b", new) for w in name.split()), new
+        shape = re.sub("|".join(rf"\b{w}\b" for w in name.split()), r"(\\w+)", re.sub(r"([.])", r"\\.", text))
+        assert re.fullmatch(shape, new), (shape, new)
+    twice = re.fullmatch(r"Mr\. (\w+) A\. (\w+) left\. Then (\w+) A\. (\w+) wept\.", surrogates.replace(
+        "Mr. John A. Smith left. Then John A. Smith wept.", KEY, {}, {}))
+    assert twice[1] == twice[3] and twice[2] == twice[4]
+    for address in ("2001:db8::8a2e:370:7334", "2001:0db8:0000:0000:0000:8a2e:0370:7334", "FE80::1:2A"):
+        new = surrogates.replace(f"from {address}, then", KEY, {}, {})[5:-6]
+        assert new != address and ipaddress.ip_address(new).version == 6 and new.isupper() == address.isupper()
+        assert [int(g, 16) == 0 for g in ipaddress.ip_address(new).exploded.split(":")] == [
+            int(g, 16) == 0 for g in ipaddress.ip_address(address).exploded.split(":")]
+    for clean in ("at 12:30:45 or a::b, std::vector::size", "The Committee called for", "In London was born", "the Red Cross called", "12:34:56:78", "::", "0::0:0"):
+        assert surrogates.replace(clean, KEY, {}, {}) == clean
+
+
+def test_names_have_room(spark):
+    """Of 20,000 surnames under a twentieth cannot keep the first surrogate, and all come out distinct."""
+    text = F.concat(F.lit("Mr. X"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("son"))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    found = surrogates.entities(docs)
+    longer = surrogates.syllables(found)
+    assert set(longer) == {"surname-latin"} and surrogates.exceptions(found, KEY, longer).count() < 1000
+    new = surrogates.replace_entities(docs, KEY)
+    assert new.select("text").distinct().count() == 20_000 and new.join(docs, "text").count() == 0
+
+
 def test_permutations_are_one_to_one():
     for label, size in (("a", 10), ("b", 1000), ("c", 4097)):
         assert sorted(surrogates._permute(KEY, label, i, size) for i in range(size)) == list(range(size))
