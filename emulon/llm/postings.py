@@ -3,10 +3,14 @@
 Centroids come from a bounded sample (``fit_on`` vectors) by k-means with a charge on large clusters. They are held in a graph:
 each centroid knows its nearest ones and a few far ones, and a best-first search finds the centroids near a vector. Every
 vector is listed at its nearest centroid, and, if it lies near a boundary, at others: those at most ``(1 + border)`` times as far, unless
-a centroid already chosen is nearer to them than the vector is.  Lists longer than ``part`` rows are dealt in parts, so none
-is read whole by one task.  A query reads the lists whose centroids are at most ``ratio`` times as far as the nearest;
-the ratio is the smallest that finds ``recall`` of the true neighbours within the sample.  A query that so gets fewer neighbours than
-asked for reads its next lists, four times as many in each turn, until it has them or has read all lists.
+a centroid already chosen is nearer to them than the vector is.  A query reads the lists whose centroids are at most ``ratio``
+times as far as the nearest; the ratio is the smallest that finds ``recall`` of the true neighbours within the sample.  The search for
+them holds 64 centroids, and four times as many as long as all it holds lie within the ratio.  A query that so gets fewer neighbours
+than asked for reads its next lists, four times as many in each turn, until it has them or has read all lists.
+
+Lists near each other make a zone of ``part`` rows; a longer list is dealt over several zones, so none is read whole by one task.
+A query goes to a zone once, with the names of the lists that it reads there, and its k nearest in the zone come back.  Zones
+serve queries in lanes, so no group holds all queries.
 
 Distances are Euclidean, in double precision, on the original vectors.
 
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emulon.llm.common import column
+from emulon.llm.common import column, ranges
 from emulon.llm.vectors import matrix, sample, usable
 from emulon.runtime import cut_lineage, opened, share
 
@@ -45,6 +49,10 @@ class Index(NamedTuple):
         n, k = len(vectors), len(self.centroids)
         beam = min(beam, k)
         norms = (self.centroids**2).sum(axis=1)
+        if 2 * beam >= k:  # a walk would see nearly all
+            far = norms - 2 * vectors @ self.centroids.T + (vectors**2).sum(axis=1, keepdims=True)
+            names = np.argsort(far, axis=1, kind="stable")
+            return names[:, :beam], np.sqrt(np.maximum(0, np.take_along_axis(far, names, 1)))[:, :beam]
         rows = np.arange(n)
         start = np.unique(np.linspace(0, k - 1, min(k, beam, 8)).astype(int))
         held = np.full((n, beam), np.inf)
@@ -94,13 +102,24 @@ class Index(NamedTuple):
             chosen.append(np.where(ok, names[:, j], -1))
         return np.concatenate(rows), np.concatenate(where)
 
-    def probes(self, vectors: np.ndarray, ratio: float | None = None, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, vectors: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Vector and list of each visit: those within the ratio, or, in a further turn, only those not read in the turns before."""
+        if not turn:
+            rows, lists, beam, left = [], [], 64, np.arange(len(vectors))
+            while len(left):
+                names, distance = self.near(vectors[left], beam)
+                inside = (names >= 0) & (distance <= self.ratio * distance[:, :1])
+                more = inside.all(axis=1) & (beam < len(self.centroids))
+                who, places = np.nonzero(inside & ~more[:, None])
+                rows.append(left[who])
+                lists.append(names[who, places])
+                left, beam = left[more], 4 * beam
+            return np.concatenate(rows), np.concatenate(lists)
         names, distance = self.near(vectors, len(self.centroids))
-        first = (distance <= (ratio or self.ratio) * distance[:, :1]).sum(axis=1, keepdims=True)  # they are sorted
+        first = (distance <= self.ratio * distance[:, :1]).sum(axis=1, keepdims=True)  # they are sorted
         place = np.arange(names.shape[1])
-        start, end = (np.maximum(4, first) * 4**t if t else first for t in (max(0, turn - 1), turn))
-        rows, places = np.nonzero((place >= (start if turn else 0)) & (place < end) & (names >= 0))
+        start, end = (np.maximum(4, first) * 4**t if t else first for t in (turn - 1, turn))
+        rows, places = np.nonzero((place >= start) & (place < end) & (names >= 0))
         return rows, names[rows, places]
 
     def unread(self, turn: int) -> bool:
@@ -135,25 +154,52 @@ def build(vectors: np.ndarray, n: int, list_rows: int, k: int, recall: float, bo
     ring = (np.arange(lists)[:, None] + np.array([1, max(1, lists // 3), max(1, lists // 2)])) % lists  # keeps the graph in one piece
     index = Index(centroids, np.concatenate([nearest, ring], axis=1), border, 1.0, copies)
     asked = vectors[:: max(1, len(vectors) // 200)]
-    listed_rows, listed = index.lists(vectors)
-    truth = []
-    for q in asked:
-        d = ((vectors - q) ** 2).sum(axis=1)
-        truth.append(np.argsort(d, kind="stable")[1 : k + 1])
-    for ratio in [1 + 0.02 * i for i in range(100)]:
-        rows, where = index.probes(asked, ratio)
-        hit = total = 0
-        for i, want in enumerate(truth):
-            reached = np.zeros(len(vectors), dtype=bool)
-            reached[listed_rows[np.isin(listed, where[rows == i])]] = True
-            hit, total = hit + reached[want].sum(), total + len(want)
-        if total == 0 or hit >= recall * total:
-            break
-    return index._replace(ratio=ratio)
+    entry, where = index.lists(vectors)
+    order = np.argsort(entry, kind="stable")
+    starts, entry, where = np.searchsorted(entry[order], np.arange(len(vectors) + 1)), entry[order], where[order]
+    needs = []  # the ratio at which each true neighbour is first reached
+    names, distance = index.near(asked, lists)
+    for q, near, far in zip(asked, names, distance):
+        wanted = np.argsort(((vectors - q) ** 2).sum(axis=1), kind="stable")[1 : k + 1]
+        of = np.empty(lists)
+        of[near] = far / far[0] if far[0] > 0 else np.where(far > 0, 1e9, 1.0)
+        needs += [of[where[starts[w] : starts[w + 1]]].min() for w in wanted]
+    needs.sort()
+    ratio = needs[max(0, int(np.ceil(recall * len(needs))) - 1)] if needs else 1.0
+    return index._replace(ratio=ratio * (1 + 1e-9))
+
+
+def neighbourly(centroids: np.ndarray) -> np.ndarray:
+    """An order of the centroids in which near ones are near: halves along the direction of the largest spread, again and again."""
+    done, open_ = [], [np.arange(len(centroids))]
+    while open_:
+        own = open_.pop()
+        if len(own) < 3:
+            done.append(own)
+            continue
+        x = centroids[own]
+        along = own[np.argsort(x[:, x.var(axis=0).argmax()], kind="stable")]
+        open_ += [along[len(own) // 2 :], along[: len(own) // 2]]
+    return np.concatenate(done)
+
+
+def zones_of(sizes: np.ndarray, order: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """First zone and number of zones of each list; several lists share a zone, or a list has several for itself."""
+    first, count = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64)
+    zone, held = 0, 0
+    for i in order:
+        if held and held + sizes[i] > part:
+            zone, held = zone + 1, 0
+        first[i], held = zone, held + sizes[i]
+        if held > part:
+            count[i] = -(-held // part)
+            zone, held = zone + count[i], 0
+    return first, count
 
 
 def search(table: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", fit_on: int = 8_000,
-           list_rows: int = 256, recall: float = 0.97, border: float = 0.1, copies: int = 4, links: int = 24, part: int = 4096) -> DataFrame:
+           list_rows: int = 256, recall: float = 0.97, border: float = 0.1, copies: int = 4, links: int = 24, part: int = 16_384,
+           lane: int = 200_000) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows of each row where ``queries`` holds."""
     rows = table.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"),
                         F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -165,49 +211,81 @@ def search(table: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
     index = build(sample(rows, "v", fit_on), sizes[0]["count"], list_rows, k, recall, border, copies, links)
     shared = share(table.sparkSession, index)
 
-    def route(method: str, **how: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own: Index = opened(shared)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    piece = batch.slice(at, 1024)
-                    who, where = getattr(own, method)(matrix(column(piece, "v")), **how)
-                    take = pa.array(who)
-                    yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), column(piece, "vec_id").take(take), column(piece, "v").take(take)],
-                                                     names=["list", "vec_id", "v"])
-        return run
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                yield (piece := batch.slice(at, 1024)), matrix(column(piece, "v"))
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Index = opened(shared)
+        for piece, x in pieces(batches):
+            who, where = own.lists(x)
+            take = pa.array(who)
+            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), column(piece, "vec_id").take(take), column(piece, "v").take(take)],
+                                             names=["list", "vec_id", "v"])
 
-    listing = "list int, vec_id long, v array<double>"
-    postings = cut_lineage(rows.select("vec_id", "v").mapInArrow(route("lists"), listing))
+    postings = cut_lineage(rows.select("vec_id", "v").mapInArrow(enter, "list int, vec_id long, v array<double>"))
     asking = rows.where("asks").select("vec_id", "v")
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    dealt = postings.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
+    lanes = max(1, -(-asking.count() // lane))
+    counted = np.zeros(len(index.centroids), dtype=np.int64)
+    for r in postings.groupBy("list").count().collect():  # at most one row a centroid
+        counted[r["list"]] = r["count"]
+    first, count = zones_of(counted, neighbourly(index.centroids), part)
+    shared_zones = share(table.sparkSession, (first, count))
+    dealt = table.sparkSession.createDataFrame([(i, int(f), int(c)) for i, (f, c) in enumerate(zip(first, count))], "list int, first int, zones int")
+    homes = postings.join(F.broadcast(dealt), "list").select(
+        (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("zones"))).cast("int").alias("zone"),
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "list", "vec_id", "v").groupBy("zone", "lane")
 
     def nearest(listed: pa.Table, visiting: pa.Table) -> pa.Table:
-        """The k nearest keys of this part of a list for each visiting query."""
-        ids, queries_ = listed.column("vec_id").to_numpy(), visiting.column("vec_id").to_numpy()
-        x, q = matrix(listed.column("v")), matrix(visiting.column("v"))
-        by_key = np.argsort(ids, kind="stable")
-        keys, starts = np.unique(ids[by_key], return_index=True)  # rows that share a key are one candidate
+        """The k nearest keys in this zone for each visiting query, from the lists that it reads."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(len(q) if len(ids) else 0):
-            d = np.minimum.reduceat(np.sqrt(((x - q[i]) ** 2).sum(axis=1))[by_key], starts)
-            d[keys == queries_[i]] = np.inf
-            best = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-            best = best[np.isfinite(d[best])]
-            best = best[np.lexsort((keys[best], d[best]))][:k]
-            out.append((np.full(len(best), queries_[i]), keys[best], d[best]))
+        if listed.num_rows and visiting.num_rows:
+            order = np.argsort(listed.column("vec_id").to_numpy(), kind="stable")
+            ids, x = listed.column("vec_id").to_numpy()[order], matrix(listed.column("v"))[order]
+            list_names, list_of = np.unique(listed.column("list").to_numpy()[order], return_inverse=True)
+            keys, starts = np.unique(ids, return_index=True)  # rows that share a key are one candidate
+            norms, askers = (x**2).sum(axis=1), visiting.column("vec_id").to_numpy()
+            for at in range(0, len(askers), 128):
+                some = visiting.slice(at, 128)
+                q, lists_read = matrix(some.column("v")), some.column("lists").to_pylist()
+                square = (q**2).sum(axis=1)
+                rough = norms - 2 * q @ x.T + square[:, None]
+                for i, asker in enumerate(askers[at : at + 128]):
+                    far = np.where(np.isin(list_names, lists_read[i])[list_of] & (ids != asker), rough[i], np.inf)
+                    of_key = np.minimum.reduceat(far, starts)
+                    least = np.partition(of_key, min(k, len(keys)) - 1)[min(k, len(keys)) - 1]
+                    near = np.flatnonzero((far <= least + 1e-9 * (norms.max() + square[i])) & np.isfinite(far))
+                    d = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
+                    near, d = near[by := np.lexsort((d, ids[near]))], d[by]
+                    once = np.unique(ids[near], return_index=True)[1]
+                    once = once[np.lexsort((ids[near[once]], d[once]))][:k]
+                    out.append((np.full(len(once), asker), ids[near[once]], d[once]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
-    homes = dealt.select("list", "part", "vec_id", "v").groupBy("list", "part")
+    def visit(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: Index = opened(shared)
+            first, count = opened(shared_zones)
+            for piece, x in pieces(batches):
+                who, where = own.probes(x, turn)
+                times = count[where]
+                zone, who, where = ranges(first[where], times), np.repeat(who, times), np.repeat(where, times)
+                order = np.lexsort((where, zone, who))
+                zone, who, where = zone[order], who[order], where[order]
+                starts = np.flatnonzero(np.diff(zone, prepend=-1) | np.diff(who, prepend=-1))
+                take = pa.array(who[starts])
+                lists_read = pa.ListArray.from_arrays(pa.array(np.append(starts, len(who)).astype(np.int32)), pa.array(where.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(zone[starts].astype(np.int32)), column(piece, "vec_id").take(take),
+                                                  column(piece, "v").take(take), lists_read], names=["zone", "vec_id", "v", "lists"])
+        return run
 
     def read(who: DataFrame, turn: int) -> DataFrame:
         """query_id, vec_id, score: the neighbours in the lists of a turn."""
-        visits = who.mapInArrow(route("probes", turn=turn), listing).join(parts, "list").withColumn(
-            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return homes.cogroup(visits.select("list", "part", "vec_id", "v").groupBy("list", "part")).applyInArrow(
-            nearest, "query_id long, vec_id long, score double")
+        visits = who.mapInArrow(visit(turn), "zone int, vec_id long, v array<double>, lists array<int>").withColumn(
+            "lane", F.pmod(F.xxhash64("vec_id"), F.lit(lanes)).cast("int"))
+        return homes.cogroup(visits.groupBy("zone", "lane")).applyInArrow(nearest, "query_id long, vec_id long, score double")
 
     def best(near: DataFrame) -> DataFrame:
         once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # a vector may stand in several lists

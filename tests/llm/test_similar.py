@@ -268,3 +268,32 @@ def test_neighbours_behind_copies_and_in_small_lists(spark):
 def test_sample_counts_distinct_vectors(spark):
     table = spark.createDataFrame([([float(i % 50 + 1), 1.0],) for i in range(5000)], "v array<double>")
     assert len(vectors.sample(table, "v", 50)) == 50
+
+
+def test_few_lists_are_read_where_the_vectors_allow_it(spark):
+    """Clusters: a small share of the lists for a recall of 0.95; lanes and zones of any size give the same rows."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((60, 24)), 50, axis=0) + 0.15 * rng.standard_normal((3000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = postings.build(x, len(x), 40, 10, 0.97, 0.1, 4, 8)
+    who, read = index.probes(x[::20])
+    assert len(index.centroids) == 75 and len(who) < 0.15 * 75 * 150 and len(set(zip(who, read))) == len(who)
+    got = [sorted(map(tuple, postings.search(table, F.col("vec_id") % 20 == 0, list_rows=40, **how).collect()))
+           for how in ({}, {"lane": 7, "part": 30}, {"part": 200})]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 1500
+    d = ((x[::20, None, :] - x[None]) ** 2).sum(axis=2)
+    d[np.arange(150), np.arange(0, 3000, 20)] = np.inf
+    want = {(20 * q, int(i)) for q, row in enumerate(d) for i in np.argsort(row)[:10]}
+    assert len(want & {(r[0], r[2]) for r in got[0]}) >= 0.95 * 1500
+    first, count = postings.zones_of(np.array([5, 90, 3, 4, 30, 31]), np.array([0, 2, 3, 1, 4, 5]), 40)
+    assert first.tolist() == [0, 1, 0, 0, 4, 5] and count.tolist() == [1, 3, 1, 1, 1, 1]
+
+
+def test_a_walk_in_the_graph_finds_the_near_centroids():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 6))
+    index = postings.build(x, len(x), 16, 10, 0.9, 0.1, 4, 24)
+    names, distance = index.near(x[:200], 16)
+    true = np.sqrt(((x[:200, None, :] - index.centroids[None]) ** 2).sum(axis=2))
+    assert len(index.centroids) == 250 and np.allclose(np.take_along_axis(true, names, 1), distance, atol=1e-6)
+    assert np.mean([len(set(a) & set(b)) / 16 for a, b in zip(names, np.argsort(true, axis=1)[:, :16])]) > 0.98
