@@ -219,6 +219,26 @@ def brute_model(texts, learn, share):
     return out
 
 
+def test_levels_are_searched_in_place():
+    rng = np.random.default_rng(6)
+    for n, top in ((0, 1), (1, 1), (1, 1 << 50), (300, 40), (70_000, 10**6), (70_000, 10**12), (5000, 5000)):
+        values = np.sort(rng.integers(0, top, n))
+        own = lm.EliasFano(b"x" * 3 + lm.EliasFano.encode(values), 3)
+        assert own.n == n and np.array_equal(own.get(np.arange(n)), values)
+        asked = np.concatenate([values[:2000], rng.integers(0, 2 * top, 2000), [0, top, 1 << 55]])
+        first = np.searchsorted(values, asked)
+        want = np.where((first < n) & (np.append(values, -1)[first] == asked), first, -1)
+        assert np.array_equal(own.find(asked), want)
+
+
+def test_answers_do_not_grow_with_shards():
+    """A shard answers about the documents that it was asked about only."""
+    touched = np.array([3, 70_000])
+    raw = lm._pack_sums(touched, np.arange(6.0).reshape(3, 2))
+    got, sums = lm._unpack_sums(raw)
+    assert len(raw) == 4 + 2 * (4 + 3 * 8) and got.tolist() == touched.tolist() and sums.tolist() == [[0, 1], [2, 3], [4, 5]]
+
+
 @pytest.mark.parametrize("which", ["small_docs", "odd_docs", "no_docs"])
 def test_language_model(request, which):
     docs = request.getfixturevalue(which).select("doc_id", "text")
