@@ -4,7 +4,7 @@ Centroids come from a bounded sample (``fit_on`` vectors) by k-means with a char
 each centroid knows its nearest ones and a few far ones, and a best-first search finds the centroids near a vector. Every
 vector is listed at its nearest centroid, and, if it lies near a boundary, at others: those at most ``(1 + border)`` times as far, unless
 a centroid already chosen is nearer to them than the vector is.  A query reads the lists whose centroids are at most ``ratio``
-times as far as the nearest; the ratio is the smallest that finds ``recall`` of the true neighbours within the sample.  The search for
+times as far as the nearest, which counts as the median such distance at least (a group of copies is its own centroid); the ratio is the smallest that finds ``recall`` of the true neighbours within the sample.  The search for
 them holds 64 centroids, and four times as many as long as all it holds lie within the ratio.  A query that so gets fewer neighbours
 than asked for reads its next lists, four times as many in each turn, until it has them or has read all lists.
 
@@ -41,6 +41,7 @@ class Index(NamedTuple):
     border: float
     ratio: float
     copies: int
+    scale: float = 0.0  # a nearest centroid counts as this far at least
 
     def near(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` centroids that best-first search in the graph finds for each vector, and their distances, nearest first.
@@ -108,7 +109,7 @@ class Index(NamedTuple):
             rows, lists, beam, left = [], [], 64, np.arange(len(vectors))
             while len(left):
                 names, distance = self.near(vectors[left], beam)
-                inside = (names >= 0) & (distance <= self.ratio * distance[:, :1])
+                inside = (names >= 0) & (distance <= self.ratio * np.maximum(self.scale, distance[:, :1]))
                 more = inside.all(axis=1) & (beam < len(self.centroids))
                 who, places = np.nonzero(inside & ~more[:, None])
                 rows.append(left[who])
@@ -116,7 +117,7 @@ class Index(NamedTuple):
                 left, beam = left[more], 4 * beam
             return np.concatenate(rows), np.concatenate(lists)
         names, distance = self.near(vectors, len(self.centroids))
-        first = (distance <= self.ratio * distance[:, :1]).sum(axis=1, keepdims=True)  # they are sorted
+        first = (distance <= self.ratio * np.maximum(self.scale, distance[:, :1])).sum(axis=1, keepdims=True)  # they are sorted
         place = np.arange(names.shape[1])
         start, end = (np.maximum(4, first) * 4**t if t else first for t in (turn - 1, turn))
         rows, places = np.nonzero((place >= start) & (place < end) & (names >= 0))
@@ -159,14 +160,16 @@ def build(vectors: np.ndarray, n: int, list_rows: int, k: int, recall: float, bo
     starts, entry, where = np.searchsorted(entry[order], np.arange(len(vectors) + 1)), entry[order], where[order]
     needs = []  # the ratio at which each true neighbour is first reached
     names, distance = index.near(asked, lists)
+    scale = float(np.median(distance[:, 0])) if len(asked) else 0.0
     for q, near, far in zip(asked, names, distance):
         wanted = np.argsort(((vectors - q) ** 2).sum(axis=1), kind="stable")[1 : k + 1]
         of = np.empty(lists)
-        of[near] = far / far[0] if far[0] > 0 else np.where(far > 0, 1e9, 1.0)
+        least = max(scale, far[0])
+        of[near] = far / least if least > 0 else np.where(far > 0, 1e9, 1.0)
         needs += [of[where[starts[w] : starts[w + 1]]].min() for w in wanted]
     needs.sort()
     ratio = needs[max(0, int(np.ceil(recall * len(needs))) - 1)] if needs else 1.0
-    return index._replace(ratio=ratio * (1 + 1e-9))
+    return index._replace(ratio=max(1.0, ratio) * (1 + 1e-9), scale=scale)
 
 
 def neighbourly(centroids: np.ndarray) -> np.ndarray:
