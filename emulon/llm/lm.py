@@ -5,6 +5,12 @@ training tokens is at least ``share`` are the vocabulary of the trie, so it has
 broadcast.  All other words, known or not, are one class in the trie; inside the class a word has its own
 probability, from the counts of all words.  Nothing is cut off: every token of every training text is counted.
 
+With ``rare_pairs`` (the query's way) the class is no context and no successor: pairs of rare words are counted word by word too, in
+levels of their own (``RareLevel``), and nothing is merged. A rare word's level lies in the shard of its hash.  It holds the word's count,
+what came before it, and the frequent words that came after it, so every pair with a rare word is in exactly one shard.  T(h) is h's
+own for frequent contexts, and for rare ones the mean over all rare contexts, so P(w | h) falls into a sum of what the shard of w and the
+shard of h know.  A rare neighbour is known by 40 bits of its hash below the word's own 62.
+
 P(w | h) mixes the counts after the word h with the unigram shares by Witten-Bell: (c(h, w) + T(h) P(w)) / (c(h) + T(h)),
 T(h) being the number of different successors.  In the class of rare words, a word of count c has c / (n + t), and
 all new words together have t / (n + t), n and t being the tokens and the different words of the class.
@@ -83,6 +89,12 @@ class EliasFano:
         own = EliasFano(buffer, at)
         return own.get(np.arange(own.n)), own.end
 
+    def values(self) -> np.ndarray:
+        """All values, in one pass."""
+        high = np.flatnonzero(np.unpackbits(self.marks.reshape(-1), bitorder="little")) - np.arange(self.n)
+        low = [self._low(np.arange(at, min(at + 65536, self.n))) for at in range(0, self.n, 65536)]
+        return high << self.low_bits | (np.concatenate(low) if low else np.zeros(0, np.int64))
+
     def _select(self, before: np.ndarray, i: np.ndarray, flip: int) -> np.ndarray:
         """The place of the i-th mark (with ``flip`` 255: nought) if ``before`` counts those before each word."""
         out = np.empty(len(i), dtype=np.int64)
@@ -177,6 +189,75 @@ class Trie:
         return out
 
 
+class RareLevel(NamedTuple):
+    """The rare words of one shard, by rank, and their neighbours; keys are ascending."""
+
+    words: np.ndarray  # upper 62 bits of the hashes
+    count: np.ndarray
+    before: tuple[np.ndarray, np.ndarray]  # rank x frequent word before it, times
+    rare_before: tuple[np.ndarray, np.ndarray]  # rank and 40 bits of the rare word before it, times
+    after: tuple[np.ndarray, np.ndarray]  # rank x frequent word after it, times
+
+    @staticmethod
+    def build(postings: list[bytes], size: int) -> bytes:
+        """From the tokens of all blocks; ``size``: numbers of the vocabulary."""
+        hashes, held, _, prev, prev_hash, after = zip(*map(_unpack_tokens, postings))
+        words, rank = np.unique(np.concatenate([np.repeat(h >> np.uint64(2), n) for h, n in zip(hashes, held)]).astype(np.int64), return_inverse=True)
+        prev, prev_hash, after = map(np.concatenate, (prev, prev_hash, after))
+        rare = prev == RARE
+        levels = [np.unique(keys, return_counts=True) for keys in (
+            rank[~rare] * size + prev[~rare], rank[rare] << 40 | prev_hash, rank[after != RARE] * size + after[after != RARE])]
+        coded = [EliasFano.encode(v) for v in (words, *(keys for keys, _ in levels))]
+        return b"".join(coded) + _pack(np.bincount(rank, minlength=len(words)), *(n for _, n in levels))
+
+    @classmethod
+    def open(cls, raw: bytes | None) -> RareLevel:
+        if raw is None:
+            nothing = np.zeros(0, np.int64)
+            return cls(nothing, nothing, *3 * [(nothing, nothing)])
+        at, keys = 0, []
+        for _ in range(4):
+            coded = EliasFano(raw, at)
+            keys.append(coded.values())
+            at = coded.end
+        times = _unpack(raw[at:])
+        return cls(keys[0], times[0], *zip(keys[1:], times[1:]))
+
+    def successors(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts, and how many different pairs of theirs the level holds; rare contexts together."""
+        context, n = np.unique(self.before[0] % max(1, size), return_counts=True)
+        return np.append(context, RARE), np.append(n, len(self.rare_before[0]) + len(self.after[0]))
+
+    def sums(self, raw: bytes, model: Model) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of each token of a block: document, known words, sum for the base score, log10 probability; the frequent words after rare
+        ones are counted with these."""
+        hashes, held, docs, prev, prev_hash, after = _unpack_tokens(raw)
+        size, tied = len(model.totals), model.tied
+        count, rank = _times(self.words, self.count, (hashes >> np.uint64(2)).astype(np.int64), ranks=True)
+        unigram = model.unigram[RARE] * np.where(count > 0, count, model.rare_types) / (model.rare_tokens + model.rare_types)
+        rank, count, unigram = (np.repeat(a, held) for a in (rank, count, unigram))
+        rare, follows = prev == RARE, after != RARE
+        different = np.where(rare, tied, np.maximum(1, model.successors[prev]))
+        pair = np.zeros(len(docs))
+        pair[~rare] = _times(*self.before, rank[~rare] * size + prev[~rare])
+        pair[rare] = _times(*self.rare_before, np.where(rank[rare] >= 0, rank[rare] << 40 | prev_hash, -1))
+        next_pair = _times(*self.after, rank * size + after)
+        log = np.log10(pair + different * unigram) - np.log10(count + tied)
+        log -= np.where(rare, 0.0, np.log10(model.totals[prev] + different))
+        log += np.where(follows, np.log10(next_pair + tied * model.unigram[after]), 0.0)
+        known = (count > 0) + (follows & (model.totals[after] > 0)).astype(float)
+        return docs, [known, np.log10(count + 0.5) + np.where(follows, model.log_counts[after], 0.0), log]
+
+
+def _times(keys: np.ndarray, times: np.ndarray, asked: np.ndarray, ranks: bool = False):
+    """How often each key asked for was counted; with ``ranks`` also its place, or -1."""
+    at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+    there = keys[at] == asked if len(keys) else np.zeros(len(asked), dtype=bool)
+    found = np.zeros(len(asked), dtype=np.int64)
+    found[there] = times[at[there]]
+    return (found, np.where(there, at, -1)) if ranks else found
+
+
 class Model(NamedTuple):
     """What every task needs to know; its size is bounded by 1/share words."""
 
@@ -190,6 +271,12 @@ class Model(NamedTuple):
     rare_tokens: int
     rare_types: int
     shards: int
+    rare_pairs: bool = False  # rare words are contexts and successors of their own
+
+    @property
+    def tied(self) -> float:
+        """Different successors of a rare context, on the average."""
+        return max(1.0, self.successors[RARE] / self.rare_types)
 
 
 def _words(text: str) -> list[bytes]:
@@ -306,9 +393,37 @@ def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]
     return ((s, order[cuts[s] : cuts[s + 1]]) for s in np.flatnonzero(np.diff(cuts)).tolist())
 
 
+def _rare_tokens(sizes: np.ndarray, ids: np.ndarray, hashes: np.ndarray, numbers: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """The rare tokens of a block, packed by the shard of their word: the words with their times; document, word before, word after of each."""
+    docs, context, word = _pairs(sizes, numbers[ids])
+    local = np.zeros(len(docs), dtype=np.int64)
+    local[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    at = np.flatnonzero(word == RARE)
+    shard = (hashes % np.uint64(shards)).astype(np.int64)
+    place = np.empty(len(hashes), dtype=np.int64)
+    by_place = np.lexsort((hashes, shard))
+    place[by_place] = np.arange(len(hashes))
+    at = at[np.argsort(place[local[at]], kind="stable")]
+    cuts = np.searchsorted(shard[local[at]], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        mine = at[cuts[s] : cuts[s + 1]]
+        names, held = np.unique(place[local[mine]], return_counts=True)
+        prev = context[mine]
+        prev_hash = hashes[local[mine[prev == RARE] - 1]] >> np.uint64(24)
+        yield s, _pack(hashes[by_place[names]], held, docs[mine], prev & 0xFFFF, prev >> 16, prev_hash & np.uint64(0xFFFFFFFF),
+                       prev_hash >> np.uint64(32), word[mine + 1] & 0xFFFF, word[mine + 1] >> 16)
+
+
+def _unpack_tokens(raw: bytes) -> tuple[np.ndarray, ...]:
+    hashes, held, docs, *halves = _unpack(raw)
+    prev, prev_hash, after = (low.astype(np.int64) | high.astype(np.int64) << bits for low, high, bits in zip(halves[::2], halves[1::2], (16, 32, 16)))
+    return hashes.astype(np.uint64), held, docs, prev, prev_hash, after
+
+
 def train(texts: DataFrame, share_of: float = 1e-5, words_per_shard: int = 100_000,
-          tokens_per_shard: int = 4_000_000) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, its trie shards (``shard, payload``, written) and the counts of rare words (``word, n``).
+          tokens_per_shard: int = 4_000_000, rare_pairs: bool = False) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, its trie shards (``shard, payload``, written) and the counts of rare words (``word, n``); with ``rare_pairs`` all pairs
+    of rare words are learned too, and levels (``shard, level``) come instead of the counts.
 
     ``texts`` has a column text.  Shards are so many that each has ``words_per_shard`` different words and ``tokens_per_shard``
     training tokens at most, 8 at least."""
@@ -327,31 +442,41 @@ def train(texts: DataFrame, share_of: float = 1e-5, words_per_shard: int = 100_0
     totals = np.concatenate([[n_docs, rare_tokens], c]).astype(np.int64)
     model = Model(vocabulary, weights / weights.sum(), totals, np.zeros(len(totals), np.int64), np.log10(totals + 0.5),
                   int(n + n_docs), int(v + (n_docs > 0)), rare_tokens, rare_types,
-                  max(8, -(-v // words_per_shard), -(-n // tokens_per_shard)))
+                  max(8, -(-v // words_per_shard), -(-n // tokens_per_shard)), rare_pairs)
     shared = share(spark, model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = opened(shared)
         for _, sizes, ids, hashes in _blocks(batches):
-            _, context, word = _pairs(sizes, _numbers(hashes, own.vocabulary)[ids])
+            numbers = _numbers(hashes, own.vocabulary)
+            _, context, word = _pairs(sizes, numbers[ids])
+            if own.rare_pairs:
+                both = (context != RARE) & (word != RARE)
+                context, word = context[both], word[both]
+                for s, tokens in _rare_tokens(sizes, ids, hashes, numbers, own.shards):
+                    yield _row(PAIR_TYPES, s, None, tokens)
             keys, n = np.unique(context << 32 | word, return_counts=True)
             for s, mine in _by_shard(_pair_shard(keys, own.shards), own.shards):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_pack_pairs(keys[mine], n[mine])], pa.binary())],
-                                                 names=["shard", "pairs"])
+                yield _row(PAIR_TYPES, s, _pack_pairs(keys[mine], n[mine]), None)
 
     def add(group: pa.Table) -> pa.Table:
-        """The pairs of one shard, each once."""
-        keys, n = zip(*(_unpack_pairs(raw) for raw in group.column("pairs").to_pylist()))
+        """The pairs of one shard, each once, and the level of its rare words."""
+        keys, n = zip((np.zeros(0, np.int64),) * 2, *(_unpack_pairs(raw) for raw in group.column("pairs").drop_null().to_pylist()))
         keys, where = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(where, np.concatenate(n)).astype(np.int64)
-        return pa.table({"shard": group.column("shard").slice(0, 1), "pairs": pa.array([_pack_pairs(keys, n)], pa.binary())})
+        tokens = group.column("level").drop_null().to_pylist()
+        level = RareLevel.build(tokens, size) if tokens else None
+        return pa.Table.from_batches([_row(PAIR_TYPES, group.column("shard")[0].as_py(), _pack_pairs(keys, n), level)])
 
     def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in column(batch, "pairs").to_pylist():
+            for raw, level in zip(column(batch, "pairs").to_pylist(), column(batch, "level").to_pylist()):
                 context, n = np.unique(_unpack_pairs(raw)[0] >> 32, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(n)], names=["context", "n"])
+                if level is not None:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, RareLevel.open(level).successors(size))), names=["context", "n"])
 
+    size = len(totals)
     pairs = cut_lineage(texts.mapInArrow(count, PAIRS).groupBy("shard").applyInArrow(add, PAIRS))
     found = pairs.mapInArrow(different, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).toPandas()
     model.successors[found["context"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)  # one row a context
@@ -365,13 +490,19 @@ def train(texts: DataFrame, share_of: float = 1e-5, words_per_shard: int = 100_0
                 payload = Trie.build(keys >> 32, keys & 0xFFFFFFFF, n, own)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([payload], pa.binary())], names=["shard", "payload"])
 
-    return model, cut_lineage(pairs.mapInArrow(build, "shard int, payload binary")), words.where(F.col("n") < limit)
+    rare = pairs.where("level is not null").select("shard", "level") if rare_pairs else words.where(F.col("n") < limit)
+    return model, cut_lineage(pairs.select("shard", "pairs").mapInArrow(build, "shard int, payload binary")), rare
 
 
-PAIRS = "shard int, pairs binary"
+PAIRS = "shard int, pairs binary, level binary"
+PAIR_TYPES = {"shard": pa.int32(), "pairs": pa.binary(), "level": pa.binary()}
 SUMS = "task int, block int, doc_ids array<long>, sizes array<long>, sums binary"
 
 
+def _row(types: dict[str, pa.DataType], *cells) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types.values())], names=list(types))
+
+
 def _pack_pairs(keys: np.ndarray, n: np.ndarray) -> bytes:
     context, sizes = np.unique(keys >> 32, return_counts=True)
     return _pack(context, sizes, keys & 0xFFFFFFFF, n)
@@ -401,18 +532,22 @@ def score(docs: DataFrame, model: Model, tries: DataFrame, rare: DataFrame, task
             numbers = _numbers(hashes, own.vocabulary)
             docs_of, context, word = _pairs(sizes, numbers[ids])
             n = len(sizes)
-            pairs = _postings(context << 32 | word, docs_of, n)
-            is_rare = (numbers == RARE)[ids]
+            own_words = dict(_rare_tokens(sizes, ids, hashes, numbers, own.shards)) if own.rare_pairs else {}
+            both = (context != RARE) & (word != RARE) if own.rare_pairs else slice(None)
+            pairs = _postings((context << 32 | word)[both], docs_of[both], n)
+            is_rare = (numbers == RARE)[ids] & (not own.rare_pairs)
             words = _postings(ids[is_rare], np.repeat(np.arange(n), sizes)[is_rare], n)
             words = (hashes[words[0]], *words[1:])
             of_pair = dict(_by_shard(_pair_shard(pairs[0], own.shards), own.shards))
             of_word = dict(_by_shard((words[0] % np.uint64(own.shards)).astype(np.int64), own.shards))
             nothing = np.zeros(0, np.int64)
-            for i, s in enumerate(sorted(of_pair.keys() | of_word.keys())):
+            for i, s in enumerate(sorted(of_pair.keys() | of_word.keys() | own_words.keys())):
                 parts = []
                 for (names, held, docs_in, times), mine in ((words, of_word.get(s, nothing)), (pairs, of_pair.get(s, nothing))):
                     at = ranges((np.cumsum(held) - held)[mine], held[mine])
                     parts.append(_pack(names[mine], held[mine], docs_in[at], times[at]))
+                if own.rare_pairs:
+                    parts[0] = own_words.get(s)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s], pa.int32()), pa.array([task // tasks_per_lane], pa.int32()), pa.array([task], pa.int32()),
                     pa.array([number], pa.int32()), pa.array([doc_ids if i == 0 else None], pa.list_(pa.int64())),
@@ -426,15 +561,18 @@ def score(docs: DataFrame, model: Model, tries: DataFrame, rare: DataFrame, task
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         own: Model = opened(shared)
-        row = known.to_pylist()[0] if known.num_rows else {"payload": None, "counts": None}
+        row = {c: next(iter(known.column(c).drop_null().to_pylist()), None) for c in ("payload", "counts", "level")}
         empty = np.zeros(0, np.int64)
         trie = Trie.open(row["payload"] or 3 * EliasFano.encode(empty))
+        level = RareLevel.open(row["level"])
         words, counts = _unpack(row["counts"]) if row["counts"] else (np.zeros(0, np.uint64), empty)
         words = words.astype(np.uint64)
         class_total = own.rare_tokens + own.rare_types
         out = []
         for i in range(asked.num_rows):
-            hashes, held, word_docs, word_times = _unpack(asked.column("words")[i].as_py())
+            raw = asked.column("words")[i].as_py()
+            rare_docs, of_rare = level.sums(raw, own) if own.rare_pairs and raw else (empty, 3 * [np.zeros(0)])
+            hashes, held, word_docs, word_times = 4 * [empty] if own.rare_pairs else _unpack(raw)
             c = np.zeros(len(hashes), dtype=np.int64)
             if len(words):
                 at = np.minimum(np.searchsorted(words, hashes.astype(np.uint64)), len(words) - 1)
@@ -444,7 +582,7 @@ def score(docs: DataFrame, model: Model, tries: DataFrame, rare: DataFrame, task
             keys = keys.astype(np.int64)
             context, word = keys >> 32, keys & 0xFFFFFFFF
             frequent = (word != RARE) & (own.totals[word] > 0)
-            touched = np.union1d(word_docs, pair_docs)
+            touched = np.union1d(np.union1d(word_docs, pair_docs), rare_docs)
             n = len(touched)
             of_word, of_pair = np.searchsorted(touched, word_docs), np.searchsorted(touched, pair_docs)
 
@@ -454,6 +592,7 @@ def score(docs: DataFrame, model: Model, tries: DataFrame, rare: DataFrame, task
 
             sums = [total(c > 0, frequent), total(np.log10(c + 0.5), np.where(word != RARE, own.log_counts[word], 0.0)),
                     total(in_class, trie.log10(context, word, own))]
+            sums = [a + np.bincount(np.searchsorted(touched, rare_docs), b, n) for a, b in zip(sums, of_rare)]
             out.append(_pack_sums(touched, np.array(sums)))
         return asked.select(["task", "block", "doc_ids", "sizes"]).append_column("sums", pa.array(out, pa.binary()))
 
@@ -470,12 +609,16 @@ def score(docs: DataFrame, model: Model, tries: DataFrame, rare: DataFrame, task
                          "n_known": sums[0].astype(np.int64), "base_score": base, "score": sums[2]})
 
     unsigned = F.expr(f"cast(pmod(cast(word as decimal(20,0)) + if(word < 0, 18446744073709551616, 0), {model.shards}) as int)")
-    counts = rare.withColumn("shard", unsigned).groupBy("shard").applyInArrow(pack_rare, "shard int, counts binary")
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text")).mapInArrow(
         ask, "shard int, lane int, task int, block int, doc_ids array<long>, sizes array<long>, words binary, pairs binary")
     lanes = -(-docs.rdd.getNumPartitions() // tasks_per_lane)
-    known = tries.join(counts, "shard", "full").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(max(1, lanes) - 1))).alias("lane"), "payload", "counts")
+    if model.rare_pairs:
+        known = tries.unionByName(rare, allowMissingColumns=True).withColumn("counts", F.lit(None).cast("binary"))
+    else:
+        counts = rare.withColumn("shard", unsigned).groupBy("shard").applyInArrow(pack_rare, "shard int, counts binary")
+        known = tries.join(counts, "shard", "full").withColumn("level", F.lit(None).cast("binary"))
+    known = known.select(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(max(1, lanes) - 1))).alias("lane"), "payload", "counts", "level")
     answers = asked.groupBy("shard", "lane").cogroup(known.groupBy("shard", "lane")).applyInArrow(_if_asked(answer), SUMS)
     return answers.groupBy("task", "block").applyInArrow(
         finish, "doc_id long, n_tokens long, n_known long, base_score double, score double").withColumn(

@@ -119,7 +119,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = crc_fold(F.col("doc_id"), 5) == 1
-    model, tries, rare = lm.train(docs.where(~held_out))
+    model, tries, rare = lm.train(docs.where(~held_out), rare_pairs=True)
     return lm.score(docs, model, tries, rare).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

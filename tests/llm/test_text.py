@@ -265,3 +265,59 @@ def test_language_model_without_training(odd_docs):
     rows = lm.score(odd_docs, model, tries, rare).collect()
     assert len(rows) == odd_docs.count()
     assert all(abs(r["base_score"]) < 1e-9 and r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in rows)
+
+
+def brute_whole_model(texts, learn, share):
+    """Every word its own context and successor; rare contexts share their mean number of successors."""
+    words = [[w.lower() for w in (t or "").encode().split()] + [None] for t in texts]
+    count = collections.Counter(w for ws, ok in zip(words, learn) if ok for w in ws)
+    docs, n = count[None], sum(count.values())
+    frequent = {w for w, c in count.items() if w is None or c >= max(1.0, share * (n - docs))} | {None}
+    rare_types = max(1, len(count.keys() - frequent))
+    pairs = collections.Counter(p for ws, ok in zip(words, learn) if ok for p in zip([None, *ws], ws))
+    different = collections.Counter(a for a, _ in pairs)
+    tied = max(1.0, sum(d for w, d in different.items() if w not in frequent) / rare_types)
+    weight = sum(count.values()) + 0.5 + rare_types
+
+    def log10(a, w):
+        unigram = ((count[w] or rare_types) if w not in frequent else count[w] + 0.5 * (w is None)) / weight
+        t = max(1, different[a]) if a in frequent else tied
+        return math.log10((pairs[a, w] + t * unigram) / (count[a] + t))
+
+    return [(len(ws), sum(count[w] > 0 for w in ws), sum(log10(a, w) for a, w in zip([None, *ws], ws))) for ws in words]
+
+
+@pytest.mark.parametrize("which", ["small_docs", "odd_docs", "no_docs", "planted"])
+def test_pairs_of_rare_words_are_learned(spark, request, which):
+    """Two texts of the same rare words in another order differ; merged into one class they would not."""
+    if which == "planted":
+        turned = [(i, "the cat and the dog and the cow " * 9) for i in range(40)] + [(100, "zq xj vk wy")]
+        docs = spark.createDataFrame([*turned, (200, "zq xj vk wy"), (201, "wy vk xj zq"), (202, None)], "doc_id long, text string")
+        learn, share = docs.where("doc_id < 200"), 1e-2
+    else:
+        docs = request.getfixturevalue(which).select("doc_id", "text")
+        learn, share = docs.where(crc_fold(F.col("doc_id"), 5) != 1), 1e-3
+    rows = docs.collect()
+    learned = [r["doc_id"] < 200 if which == "planted" else zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 != 1 for r in rows]
+    want = sorted(((r["doc_id"], *w) for r, w in zip(rows, brute_whole_model([r["text"] for r in rows], learned, share))), key=str)
+    model, tries, rare = lm.train(learn, share_of=share, words_per_shard=500, rare_pairs=True)
+    got = lm.score(docs, model, tries, rare).select("doc_id", "n_tokens", "n_known", "score", "base_score").collect()
+    order = lambda r: (str(r[0]), r[1], r[2], r[3])
+    want, got = sorted(want, key=order), sorted(map(tuple, got), key=order)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:3] == w[:3]
+        assert abs(g[3] - w[3]) <= w[1] / 8000
+    if which == "planted":
+        scores = {r[0]: r[3] for r in got}
+        assert scores[200] > scores[201] + 1
+    if which == "small_docs":
+        merged = lm.score(docs, *lm.train(learn, share_of=share, words_per_shard=500)).select("doc_id", "base_score").collect()
+        assert sorted((r[0], round(r[1], 6)) for r in merged) == sorted((r[0], round(r[4], 6)) for r in got)
+
+
+def test_values_come_in_one_pass():
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 1), (1, 1 << 61), (70_000, 1 << 61), (5000, 300)):
+        values = np.sort(rng.integers(0, top, n))
+        assert np.array_equal(lm.EliasFano(lm.EliasFano.encode(values)).values(), values)
