@@ -70,3 +70,24 @@ def test_scaled_gamma_far_from_nought(spark):
     df = spark.createDataFrame(on_a_line(shift=1e8))
     want = 1 / on_a_line(shift=1e8)["x"].to_numpy().var()
     assert support_vector._scale_gammas(df, ["x"], None)[None] == pytest.approx(want, rel=1e-6)
+
+
+@pytest.mark.parametrize("keys", ["own", "null"])
+def test_descents_on_shares_leave_few_scans_of_all_rows(spark, monkeypatch, keys):
+    """A large table is searched from where its shares ended; the certificate is still about all rows."""
+    pdf = on_a_line(n=6000, noise=0.3)
+    rows = spark.createDataFrame(pdf).repartition(3)
+    if keys == "null":  # no hash, so no share: the descent begins on all rows
+        rows = rows.selectExpr("cast(null as bigint) as key", "x", "y")
+    params = {"kernel": "rbf", "landmarks": 20, "epsilon": 0.1} if keys == "own" else {"kernel": "linear"}
+    scans, seen = [], support_vector._scan
+    monkeypatch.setattr(support_vector, "_scan", lambda table, *a: (scans.append(table.count()), seen(table, *a))[1])
+    whole = fit("svr", rows, LINE, **params)
+    before, scans[:] = len(scans), []
+    monkeypatch.setattr(support_vector, "FIRST_ROWS", 300)
+    model = fit("svr", rows, LINE, **params)
+    last = scans.count(6000)
+    assert 0 < last < before if keys == "own" else last == before == len(scans)
+    z = support_vector._design(model.map, pdf[["x"]].to_numpy(), 1)
+    assert np.allclose(svr_objective(model.weights, z, pdf[["y"]].to_numpy(), 1.0, 0.1), model.objective, rtol=1e-9)
+    assert model.certificate(spark).head()["converged"] and model.bound[0] <= whole.objective[0] and whole.bound[0] <= model.objective[0]
