@@ -311,3 +311,22 @@ def test_gaps_are_scored_as_they_were_filled_in_training(spark, tmp_path, impute
         stream = spark.readStream.schema("id int, a double, b double").parquet(str(tmp_path / "none"))
         with pytest.raises(ValueError, match="stream"):
             run.scorer.transform(stream)
+
+
+def test_pairing_by_text_keys_shuffles_hashes(spark, monkeypatch):
+    """Clean keys are told by their hashes; anything amiss is looked at key by key."""
+    reports, exact = [], tables.pair_report
+    monkeypatch.setattr(tables, "pair_report", lambda *a: (reports.append(a), exact(*a))[1])
+    rows = [(f"a long key number {i}", float(i)) for i in range(50)]
+    x = spark.createDataFrame(rows, "k string, a double")
+    y = spark.createDataFrame(rows[::-1], "k string, b double")
+    assert tables.align(x, y, "k").count() == 50 and not reports
+    assert tables.align(x, y.limit(40), "k", "drop").count() == 40 and not reports
+    assert tables.align(x.union(spark.createDataFrame([(None, 1.0)] * 2, x.schema)), y, "k", "drop").count() == 50 and not reports
+    odd = {"twice": x.union(x.limit(1)), "orphan": x.limit(49), "null": x.union(spark.createDataFrame([(None, 1.0)], x.schema))}
+    for n, left in enumerate(odd.values(), 1):
+        with pytest.raises(ValueError):
+            tables.align(left, y, "k")
+        assert len(reports) == n
+    numbers = spark.range(5).selectExpr("cast(id as int) as k")
+    assert tables.align(numbers, spark.range(5).selectExpr("id as k"), "k").count() == 5 and len(reports) == 3
