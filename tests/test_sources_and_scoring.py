@@ -308,6 +308,7 @@ def test_gaps_are_scored_as_they_were_filled_in_training(spark, tmp_path, impute
         assert {r["id"]: r["a"] for r in got} == {1: None, 2: 0.5, 3: None}
     if imputer == "knn":
         assert abs(want[1] - 1.25) < 0.5  # from neighbours, not from the mean
+        (tmp_path / "none").mkdir()  # a stream's folder must be there
         stream = spark.readStream.schema("id int, a double, b double").parquet(str(tmp_path / "none"))
         with pytest.raises(ValueError, match="stream"):
             run.scorer.transform(stream)
