@@ -117,7 +117,7 @@ class RankEncoder(Encoder):
             out.append(b"".join(ids))
         return out
 
-    def _new_ids(self, chunks: list[str]) -> list[bytes]:
+    def _new_ids(self, chunks: list[str], raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         find = self.pattern.findall
         plain = [c.removeprefix(" ").isalpha() for c in chunks]  # one match of the pattern
         words = [[c.encode()] if p else [w.encode() for w in find(c)] for c, p in zip(chunks, plain)]

@@ -62,14 +62,16 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, first_rule: int, min_count
             break
         keys = (seq[:-1] << np.uint64(32)) | seq[1:]
         slot = ((keys * _MIX) >> np.uint64(64 - _SLOTS)).astype(np.int32)
-        counts = np.bincount(slot[~last[:-1]], minlength=1 << _SLOTS)
+        inner = ~last[:-1]
+        counts = np.bincount(slot[inner], minlength=1 << _SLOTS)
         limit = max(min_count, int(counts.max()) // 8)
         likely = (counts >= limit)[slot]
-        likely &= ~last[:-1]
+        likely &= inner
         where = np.flatnonzero(likely)
         if not len(where):
             break
-        pairs, exact = np.unique(keys[where], return_counts=True)
+        near = keys[where]
+        pairs, exact = np.unique(near, return_counts=True)
         keep = exact >= limit if (exact >= limit).any() else exact >= min_count
         pairs, exact = pairs[keep], exact[keep]
         if not len(pairs):
@@ -80,19 +82,18 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, first_rule: int, min_count
         home = ((pairs * _MIX) >> np.uint64(64 - _SLOTS)).astype(np.int32)
         owner[home[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
         which = owner[slot[where]]
-        hit = which >= 0
-        where, which = where[hit], which[hit]
-        hit = pairs[which] == keys[where]
+        hit = (which >= 0) & (pairs[which] == near)
         where, which = where[hit], which[hit]
         priority = np.zeros(len(seq) + 1, dtype=np.int32)  # at position + 1; larger is more frequent
         priority[where + 1] = len(pairs) - which
-        beside = np.maximum(priority[where], np.append(priority, 0)[where + 2])
+        beside = np.maximum(priority[where], priority[where + 2])
         free = beside <= priority[where + 1]  # a more frequent pair beside it goes first
         where, which = where[free], which[free]
         run = np.flatnonzero(np.diff(where, prepend=-2) > 1)  # what still touches is one pair repeated: every other one
         even = (np.arange(len(where)) - np.repeat(run, np.diff(run, append=len(where)))) % 2 == 0
         where, which = where[even], which[even]
-        used, which = np.unique(which, return_inverse=True)
+        taken = np.bincount(which, minlength=len(pairs)) > 0
+        used, which = np.flatnonzero(taken), (np.cumsum(taken) - 1)[which]
         rules.append(pairs[used])
         seq[where] = (first_rule + n_rules + which).astype(np.uint64)
         n_rules += len(used)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from emulon.llm import bpe, packing, repair
+from emulon.llm import bpe, packing, repair, tokens
 from emulon.runtime import scratch_path
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -124,3 +124,13 @@ def test_long_words_and_broken_bytes():
     assert [encoder.merge_long(w.encode()) for w in words] == encoder.merge_words([w.encode() for w in words])
     broken = np.array([int(encoder.of_byte[b]) for b in b"a\xe2\x82b\xff\xf0\x9f"], dtype="<u4")
     assert encoder.decode(broken.tobytes()) == Tokenizer.from_file(BYTES).decode(broken.tolist(), skip_special_tokens=False)
+
+
+def test_text_is_hashed_where_it_lies(monkeypatch):
+    listed, ranges = [], tokens.ranges
+    monkeypatch.setattr(tokens, "ranges", lambda starts, lengths: listed.append(int(lengths.sum())) or ranges(starts, lengths))
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["\u00e9t\u00e9", "word", "12,", "a\n\tb", "x" * 1200, "\x7f", "end\u00a0"], 900)) for _ in range(20)]
+    got = tokens.Encoder(BYTES, tokens.before_words).encode(texts)
+    assert got == [i.tobytes() for i in library(BYTES, texts)]
+    assert sum(listed) < 2 * sum(len(t.encode()) for t in texts)  # once to compare equal chunks, then the ids
