@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -192,3 +194,14 @@ def test_trees_below_the_upper_one(spark, monkeypatch):
     assert len(index.blocks) > 60 and index.levels[0].rows.sum() == 1500 and index.levels[0].rows.max() < 80
     got = lof_scores(df, "key", ["a", "b"], neighbours=7, block_rows=20).orderBy("key").toPandas()
     assert np.allclose(got["lof"], brute_lof(x, 7), rtol=1e-9)
+
+
+def test_a_task_holds_few_distances():
+    rng = np.random.default_rng(9)
+    x, at = rng.random((max(1, neighbours.CELLS // neighbours.BLOCK_ROWS), 2)), rng.random((neighbours.BLOCK_ROWS, 2))
+    tracemalloc.start()
+    try:
+        neighbours._distances(x, at, scaled=False)
+        assert tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
