@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emulon.llm.common import spare
-from emulon.runtime import cut_lineage
+from emulon.runtime import cut_lineage, passing_steps
 
 LAST = 2**63 - 1
 
@@ -47,6 +47,7 @@ def _byte_table(buckets: DataFrame, bits: int, level: Column) -> Column:
 
 
 BITMAP = 2  # longs of a set's bitmap, a power of two
+RUN = 3  # prefix words in a row by which sets first look for the earliest set that has them too
 MORE = 16  # times as many partners are verified in the next round
 PIECE = 12  # bits of the buckets joined in the first step
 
@@ -91,7 +92,15 @@ def _flags(places: DataFrame, keys: list[str], bits: int) -> Column:
 
 
 def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """doc, whole, lines: per document the numbers of the lines that go (written)."""
+    """doc, whole, lines: per document the numbers of the lines that go (written; the steps on the way are deleted)."""
+    with passing_steps(docs.sparkSession) as passing:
+        going = cut_lineage(_going(docs, key, text, similarity))
+        if passing:
+            passing.pop()  # the result, written last
+    return going
+
+
+def _going(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     bits = _table_bits(docs, text)
     words = docs.select(F.explode(_split(F.col(f"`{text}`"))).alias("word"))
     rarity = _byte_table(words.select(_bucket(F.xxhash64("word"), bits).alias("bucket")), bits, _rarity())
@@ -118,13 +127,14 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     firsts = places.groupBy("name", "check").agg(F.min(F.struct("doc", "line", "whole", "size", "bitmap", "prefix")).alias("first"))
     firsts = cut_lineage(firsts.select("name", "check", "first.*"))
 
-    # a line goes by one match: each line's likeliest partner is verified first, more and more of them where that fails
-    untried = firsts.select(F.col("name").alias("later"), F.lit(None).cast("struct<differ:int,earlier:long>").alias("tried"))
-    gone, asked = None, 1
+    # a line goes by one match: copies of an earlier line mostly find it by a run of words, without meeting one another
+    gone = cut_lineage(_verified(docs, key, text, cut_lineage(_earliest(firsts, similarity)), firsts, similarity, bits))
+    # of the others, each line's likeliest partners are verified first, more and more of them where that fails
+    untried, asked = None, MORE
     while True:
-        partners = cut_lineage(_partners(firsts, untried if gone is not None else None, similarity, asked))
+        partners = cut_lineage(_partners(firsts, gone, untried, similarity, asked))
         found = cut_lineage(_verified(docs, key, text, partners.select("later", F.col("partner.earlier").alias("earlier")), firsts, similarity, bits))
-        gone = found if gone is None else gone.union(found)
+        gone = gone.union(found)
         # those who had as many partners as asked for may have more
         last = partners.groupBy("later").agg(F.max("partner").alias("tried"), F.count("*").alias("n")).where(F.col("n") >= asked)
         untried = cut_lineage(last.drop("n").join(found, "later", "left_anti"))
@@ -136,35 +146,67 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
         "name", "check", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
     going = places.select("doc", "whole", "line", "name", "check").join(known, ["name", "check"]).where(
         F.col("gone").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    return cut_lineage(going.groupBy("doc", "whole").agg(F.collect_set("line").alias("lines")))
+    return going.groupBy("doc", "whole").agg(F.collect_set("line").alias("lines"))
+
+
+def _larger(firsts: DataFrame, similarity: float) -> DataFrame:
+    """Without the sets too small to be similar to a larger one: these only match themselves."""
+    return firsts.where(F.floor(F.col("size") / similarity + 1e-9) > F.col("size"))
+
+
+def _bits(bitmap: str) -> list[Column]:
+    return [F.get(bitmap, F.lit(i)).alias(f"bits{i}") for i in range(BITMAP)]
+
+
+def _differ() -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.bits{i}").bitwiseXOR(F.col(f"b.bits{i}"))) for i in range(BITMAP)])
+
+
+def _before() -> Column:
+    return (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") < F.col("b.line")))
+
 
+def _fits(similarity: float) -> tuple[Column, Column]:
+    """Whether sizes and bitmaps of two sets allow it that they are similar; and how many words they must share."""
+    together = F.col("a.size") + F.col("b.size")
+    overlap = F.ceil(similarity / (1 + similarity) * together - 1e-9)
+    shorter, longer = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    return (shorter >= F.ceil(F.lit(similarity) * longer - 1e-9)) & (_differ() <= together - 2 * overlap), overlap
+
+
+def _earliest(firsts: DataFrame, similarity: float) -> DataFrame:
+    """``later, earlier``: one partner for each set that has a fitting one among the earliest sets with ``RUN`` words in a row of its prefix.
+
+    One row a run, however many sets share it."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("prefix") - RUN + 1, F.lit(1)))
+    runs = _larger(firsts, similarity).select("name", "doc", "line", "size", *_bits("bitmap"), F.explode(
+        F.transform(starts, lambda i: F.xxhash64(F.slice("prefix", i, F.lit(RUN))))).alias("run"))
+    heads = runs.groupBy("run").agg(F.min(F.struct("doc", "line", "name", "size", *[f"bits{i}" for i in range(BITMAP)])).alias("head"),
+                                    F.count("*").alias("n")).where("n > 1").select("run", "head.*")
+    fits, _ = _fits(similarity)
+    met = runs.alias("b").join(heads.alias("a"), (F.col("a.run") == F.col("b.run")) & _before() & fits)
+    nearest = met.groupBy(F.col("b.name").alias("later")).agg(F.min(F.struct(_differ().alias("differ"), F.col("a.name").alias("earlier"))).alias("partner"))
+    return nearest.select("later", "partner.earlier")
 
-def _partners(firsts: DataFrame, untried: DataFrame | None, similarity: float, most: int) -> DataFrame:
+
+def _partners(firsts: DataFrame, gone: DataFrame, untried: DataFrame | None, similarity: float, most: int) -> DataFrame:
     """``later, partner``: of each set the ``most`` likeliest earlier sets that may be similar, each a struct of differing bits and name.
 
-    Of all sets, or of those ``untried`` (``later, tried``) only, beyond what they tried."""
-    # a set too small to be similar to a larger one only matches itself
-    some = firsts.where(F.floor(F.col("size") / similarity + 1e-9) > F.col("size"))
-    parts = ["name", "doc", "line", "size", *[F.get("bitmap", F.lit(i)).alias(f"bits{i}") for i in range(BITMAP)]]
+    Of all sets that are not ``gone`` (``later``), or of those ``untried`` (``later, tried``) only, beyond what they tried."""
+    some = _larger(firsts, similarity)
+    parts = ["name", "doc", "line", "size", *_bits("bitmap")]
     earlier = some.select(*parts, F.posexplode("prefix").alias("place", "word")).alias("a")
     if untried is None:
-        later = some.select(*parts, F.posexplode("prefix").alias("place", "word")).alias("b")
+        own = some.join(gone.withColumnRenamed("later", "name"), "name", "left_anti").withColumn(
+            "tried", F.lit(None).cast("struct<differ:int,earlier:bigint>"))
     else:
         own = some.join(untried.withColumnRenamed("later", "name"), "name")
-        later = own.select(*parts, "tried", F.posexplode("prefix").alias("place", "word")).alias("b")
-    together = F.col("a.size") + F.col("b.size")
-    overlap = F.ceil(similarity / (1 + similarity) * together - 1e-9)
-    shorter, longer = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.bits{i}").bitwiseXOR(F.col(f"b.bits{i}"))) for i in range(BITMAP)])
-    met = later.join(earlier, (F.col("a.word") == F.col("b.word"))
-                     & ((F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") < F.col("b.line"))))
-                     & (shorter >= F.ceil(F.lit(similarity) * longer - 1e-9))
-                     & (F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= overlap)
-                     & (differ <= together - 2 * overlap))
-    partner = F.struct(differ.cast("int").alias("differ"), F.col("a.name").alias("earlier"))
-    if untried is None:
-        return met.groupBy(F.col("b.name").alias("later")).agg(F.min(partner).alias("partner"))
-    met = met.select(F.col("b.name").alias("later"), partner.alias("partner"), "tried").where("partner > tried")
+    later = own.select(*parts, "tried", F.posexplode("prefix").alias("place", "word")).alias("b")
+    fits, overlap = _fits(similarity)
+    met = later.join(earlier, (F.col("a.word") == F.col("b.word")) & _before() & fits
+                     & (F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= overlap))
+    partner = F.struct(_differ().cast("int").alias("differ"), F.col("a.name").alias("earlier"))
+    met = met.select(F.col("b.name").alias("later"), partner.alias("partner"), "tried").where("tried is null or partner > tried")
     order = Window.partitionBy("later").orderBy("partner")
     return met.withColumn("at", F.dense_rank().over(order)).where(F.col("at") <= most).select("later", "partner").distinct()
 
