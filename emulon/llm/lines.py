@@ -4,10 +4,12 @@ A line is the set of its lower-cased words. A line goes if an earlier one has a
 ``similarity`` with it; earlier means a smaller key, or the same key and a smaller line number.  Lines
 without words stay.
 
-Equal sets are one set at their first place. Of each set, words are ordered from rare to frequent; two similar sets
-share a word within the first ``size - ceil(similarity * size) + 1`` (the prefix).  Sets meet on prefix words if
-their sizes allow (length filter), enough words are left after the shared one (positional filter), and few bits
-of their word bitmaps differ (each differing bit is a differing word).  What remains is verified on the words.
+Equal sets are one set at their first place. Of each set, words are ordered from rare to frequent; two neighbours in
+this order are a run.  Where few words differ, few runs do, so two similar sets share a run within the first
+``0.4 * size + 1`` (the prefix, for a similarity of 0.8).  Sets with a common run meet first with the earliest of those that have it:
+one candidate a run, however many near copies there are.  Sets that find no match so meet the others of their runs, if
+sizes (length filter), words before and after the run (positional filter) and the number of common runs allow a match; the
+likeliest come first.  What remains is verified on the words.
 
 Rarity need only be roughly known, as any order is exact: words are counted in buckets by hash, and the logarithms of the
 counts, one byte a bucket, travel with the plan.  There are 2**12 to 2**26 buckets, after the size of the text,
@@ -46,7 +48,6 @@ def _byte_table(buckets: DataFrame, bits: int, level: Column) -> Column:
     return cut_lineage(pieces.agg(F.flatten(F.transform(F.array_sort(F.collect_list("item")), lambda i: i["levels"])).alias("bytes"))).scalar()
 
 
-BITMAP = 2  # longs of a set's bitmap, a power of two
 MORE = 16  # times as many partners are verified in the next round
 PIECE = 12  # bits of the buckets joined in the first step
 
@@ -109,86 +110,118 @@ def _going(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame
         level = F.get("rarity", _bucket(h, bits).cast("int"))
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    # each line with its set's name, size, bitmap and prefix, from rare words to frequent ones
-    hashes = F.array_remove(F.transform(_split(F.col("content")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    numbers = F.sort_array(F.array_distinct(F.transform(hashes, rank)))
+    # each line with its set's name, size and prefix, from rare words to frequent ones
+    hashes = F.array_remove(F.transform(F.array_distinct(_split(F.col("content"))), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    numbers = F.array_sort(F.transform(hashes, rank))
     # content and table are used once, so Spark puts the subquery into the expression and no row holds the table
     lines = _lines(docs, key, text).withColumn("rarity", rarity).select("doc", "whole", "line", numbers.alias("numbers"))
-    lines = lines.withColumn("size", F.size("numbers")).where("size > 0")
-    least = F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
-    bitmap = F.transform(F.sequence(F.lit(0), F.lit(BITMAP - 1)), lambda i: F.aggregate(
-        "numbers", F.lit(0).cast("long"), lambda a, n: F.when(F.shiftright(n, 6).bitwiseAND(BITMAP - 1) == i, a.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(63).cast("int")))).otherwise(a)))
-    head = F.slice("numbers", F.lit(1), (F.col("size") - least + 1).cast("int"))
+    head = F.slice("numbers", F.lit(1), _runs(F.size("numbers"), similarity) + _run(similarity) - 1)
+    # a filter on the size would have the numbers made twice: lines without words go when this is read
     places = cut_lineage(lines.select(
-        "doc", "whole", "line", F.xxhash64("numbers").alias("name"), F.hash("numbers").alias("check"), "size",
-        bitmap.alias("bitmap"), F.transform(head, lambda n: n.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix")))
-    firsts = places.groupBy("name", "check").agg(F.min(F.struct("doc", "line", "whole", "size", "bitmap", "prefix")).alias("first"))
-    firsts = cut_lineage(firsts.select("name", "check", "first.*"))
-
-    # a line goes by one match: each line's likeliest partner is verified first, more and more of them where that fails
-    untried = firsts.select(F.col("name").alias("later"), F.lit(None).cast("struct<differ:int,earlier:long>").alias("tried"))
-    gone, asked = None, 1
+        "doc", "whole", "line", F.xxhash64("numbers").alias("name"), F.hash("numbers").alias("check"), F.size("numbers").alias("size"),
+        F.transform(head, lambda n: n.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"))).where("size > 0")
+    firsts = places.groupBy("name", "check").agg(F.min(F.struct("doc", "line", "whole", "size", "prefix")).alias("first"))
+    # ids are in the order of places
+    firsts = cut_lineage(firsts.select("name", "check", "first.*").orderBy("doc", "line").withColumn("id", F.monotonically_increasing_id()))
+
+    met = cut_lineage(_meetings(firsts, similarity))
+    # a line goes by one match: each line meets the first of all that share a run first, others where that fails
+    pairs = cut_lineage(_leaders(met, similarity))
+    gone, tried, asked = None, pairs, MORE * MORE
     while True:
-        partners = cut_lineage(_partners(firsts, untried if gone is not None else None, similarity, asked))
-        found = cut_lineage(_verified(docs, key, text, partners.select("later", F.col("partner.earlier").alias("earlier")), firsts, similarity, bits))
-        gone = found if gone is None else gone.union(found)
-        # those who had as many partners as asked for may have more
-        last = partners.groupBy("later").agg(F.max("partner").alias("tried"), F.count("*").alias("n")).where(F.col("n") >= asked)
-        untried = cut_lineage(last.drop("n").join(found, "later", "left_anti"))
-        if untried.isEmpty():
+        found = cut_lineage(_verified(docs, key, text, pairs, firsts, similarity, bits))
+        gone = found if gone is None else gone.unionByName(found)
+        pairs = cut_lineage(_partners(met, gone, tried, similarity, asked))
+        if pairs.isEmpty():
             break
+        tried = tried.unionByName(pairs)
         asked *= MORE
-    gone = gone.select(F.col("later").alias("name")).withColumn("gone", F.lit(True))
-    known = firsts.select("name", "check", "doc", "line").join(gone, "name", "left").select(
+    gone = gone.select(F.col("later").alias("id")).withColumn("gone", F.lit(True))
+    known = firsts.select("id", "name", "check", "doc", "line").join(gone, "id", "left").select(
         "name", "check", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
     going = places.select("doc", "whole", "line", "name", "check").join(known, ["name", "check"]).where(
         F.col("gone").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
     return going.groupBy("doc", "whole").agg(F.collect_set("line").alias("lines"))
 
 
-def _partners(firsts: DataFrame, untried: DataFrame | None, similarity: float, most: int) -> DataFrame:
-    """``later, partner``: of each set the ``most`` likeliest earlier sets that may be similar, each a struct of differing bits and name.
+def _run(similarity: float) -> int:
+    """Words of a run: two neighbours, or one where a small similarity could leave no two neighbours together."""
+    return 2 if similarity >= 0.7 else 1
 
-    Of all sets, or of those ``untried`` (``later, tried``) only, beyond what they tried."""
+
+def _runs(size: Column, similarity: float) -> Column:
+    """How many runs of a set are looked at: one more than can be missing in a similar set.
+
+    If ``d`` of ``size`` words are missing there and ``i`` others come in, ``d + similarity * i <= (1 - similarity) * size``.  A missing word
+    breaks as many runs as have it, a new one between two words one run of two: with ``similarity >= 0.5`` missing words break the most."""
+    return (F.floor((1 - similarity) * _run(similarity) * size + 1e-9) + 1).cast("int")
+
+
+def _meetings(firsts: DataFrame, similarity: float) -> DataFrame:
+    """``word, id, size, place, leader``: the runs that several sets share, their place in the set, and the first of these sets."""
     # a set too small to be similar to a larger one only matches itself
     some = firsts.where(F.floor(F.col("size") / similarity + 1e-9) > F.col("size"))
-    parts = ["name", "doc", "line", "size", *[F.get("bitmap", F.lit(i)).alias(f"bits{i}") for i in range(BITMAP)]]
-    earlier = some.select(*parts, F.posexplode("prefix").alias("place", "word")).alias("a")
-    if untried is None:
-        later = some.select(*parts, F.posexplode("prefix").alias("place", "word")).alias("b")
+    prefix, own = F.col("prefix"), ["id", "size"]
+    if _run(similarity) == 1:
+        runs = some.select(*own, F.posexplode(prefix).alias("place", "word")).withColumn("word", F.col("word").cast("long"))
     else:
-        own = some.join(untried.withColumnRenamed("later", "name"), "name")
-        later = own.select(*parts, "tried", F.posexplode("prefix").alias("place", "word")).alias("b")
-    together = F.col("a.size") + F.col("b.size")
-    overlap = F.ceil(similarity / (1 + similarity) * together - 1e-9)
-    shorter, longer = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.bits{i}").bitwiseXOR(F.col(f"b.bits{i}"))) for i in range(BITMAP)])
-    met = later.join(earlier, (F.col("a.word") == F.col("b.word"))
-                     & ((F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") < F.col("b.line"))))
-                     & (shorter >= F.ceil(F.lit(similarity) * longer - 1e-9))
-                     & (F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= overlap)
-                     & (differ <= together - 2 * overlap))
-    partner = F.struct(differ.cast("int").alias("differ"), F.col("a.name").alias("earlier"))
-    if untried is None:
-        return met.groupBy(F.col("b.name").alias("later")).agg(F.min(partner).alias("partner"))
-    met = met.select(F.col("b.name").alias("later"), partner.alias("partner"), "tried").where("partner > tried")
-    order = Window.partitionBy("later").orderBy("partner")
-    return met.withColumn("at", F.dense_rank().over(order)).where(F.col("at") <= most).select("later", "partner").distinct()
+        short = F.size(prefix) - 1
+        both = F.arrays_zip(F.slice(prefix, F.lit(1), short).alias("a"), F.slice(prefix, F.lit(2), short).alias("b"))
+        runs = some.select(*own, F.posexplode(both).alias("place", "run")).withColumn("word", F.call_function(
+            "shiftleft", F.col("run.a").cast("long"), F.lit(31)).bitwiseOR(F.col("run.b").cast("long"))).drop("run")
+    sharing = Window.partitionBy("word")
+    met = runs.withColumns({"leader": F.min(F.struct("id", "size", "place")).over(sharing), "last": F.max("id").over(sharing)})
+    return met.where("leader.id < last").drop("last")
+
+
+def _overlap(one: str, other: str, similarity: float) -> Column:
+    """The words that sets of these sizes share at least, if they are similar."""
+    return F.ceil(similarity / (1 + similarity) * (F.col(f"{one}.size") + F.col(f"{other}.size")) - 1e-9)
+
+
+def _fits(one: str, other: str, similarity: float) -> Column:
+    """Whether two different sets that share a run may be similar, by their sizes and the number of words before and after its start."""
+    a, b = (lambda c: F.col(f"{one}.{c}")), (lambda c: F.col(f"{other}.{c}"))
+    differ = a("size") + b("size") - 2 * _overlap(one, other, similarity)
+    before, after = F.abs(a("place") - b("place")), F.abs(a("size") - a("place") - b("size") + b("place"))
+    return (differ >= 1) & (before + after <= differ)
+
+
+def _leaders(met: DataFrame, similarity: float) -> DataFrame:
+    """``later, earlier``: sets with the first of those that share a run, if the two may be similar."""
+    both = met.select(F.struct("id", "size", "place").alias("b"), F.col("leader").alias("a")).where("a.id < b.id")
+    return both.where(_fits("a", "b", similarity)).select(F.col("b.id").alias("later"), F.col("a.id").alias("earlier")).distinct()
+
+
+def _partners(met: DataFrame, gone: DataFrame, tried: DataFrame, similarity: float, most: int) -> DataFrame:
+    """``later, earlier``: of each set that is left the ``most`` likeliest sets not yet tried, those that share the most runs with it."""
+    rest = met.join(gone.select(F.col("later").alias("id")), "id", "left_anti")
+    shared = rest.alias("b").join(met.alias("a"), (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & _fits("a", "b", similarity))
+    pair = shared.groupBy(F.col("b.id").alias("later"), F.col("a.id").alias("earlier"))
+    # similar sets share more than one of the runs looked at, unless their sizes are far apart
+    least = F.least(*[_runs(F.col(f"{x}.size"), similarity) + _run(similarity) * _overlap("a", "b", similarity) - _run(similarity) * F.col(f"{x}.size")
+                      - (_run(similarity) - 1) * (F.col(f"{y}.size") - _overlap("a", "b", similarity)) for x, y in (("a", "b"), ("b", "a"))])
+    likely = pair.agg(F.count("*").alias("n"), F.max(least).alias("least")).where("n >= least").select("later", "earlier", "n")
+    untried = likely.join(tried, ["later", "earlier"], "left_anti")
+    order = Window.partitionBy("later").orderBy(F.desc("n"), "earlier")
+    return untried.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).select("later", "earlier")
 
 
 def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, firsts: DataFrame, similarity: float, bits: int) -> DataFrame:
     """``later`` of the pairs of sets (later, earlier) that are similar: their texts are fetched from the documents and compared."""
-    asked = pairs.select(F.col("later").alias("name")).union(pairs.select("earlier")).distinct()
-    asked = cut_lineage(asked.join(firsts.select("name", "doc", "line", "whole", "size"), "name"))
+    asked = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
+    asked = cut_lineage(asked.join(firsts.select("id", "doc", "line", "whole", "size"), "id"))
+    bits = min(bits, max(PIECE, (16 * asked.count()).bit_length()))  # few places need a small table
     at = ["doc", "line", "whole"]
-    found = _lines(docs, key, text).where(_flags(asked, at, bits)).join(asked, at).select("name", "size", "content")
-    one, other = (found.select(F.col("name").alias(c), F.col("size").alias(f"{c}_size"), F.col("content").alias(f"{c}_content"))
+    found = _lines(docs, key, text).where(_flags(asked, at, bits)).join(asked, at).dropDuplicates(["id"])
+    one, other = (found.select(F.col("id").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in ("doc", "line", "size", "content")])
                   for c in ("later", "earlier"))
+    # ids of sets at one place have an order, the sets have none
+    apart = (F.col("later_doc") != F.col("earlier_doc")) | (F.col("later_line") != F.col("earlier_line"))
     # sizes are known and each text is used once, so each is split once
     shared = F.size(F.array_intersect(F.array_remove(_split(F.col("later_content")), ""), _split(F.col("earlier_content"))))
     enough = shared * (1 + similarity) >= similarity * (F.col("later_size") + F.col("earlier_size")) - 1e-9
-    return pairs.join(one, "later").join(other, "earlier").where(enough).select("later").distinct()
+    return pairs.join(one, "later").join(other, "earlier").where(apart & enough).select("later").distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8,

@@ -310,3 +310,50 @@ def test_a_walk_in_the_graph_finds_the_near_centroids():
     true = np.sqrt(((x[:200, None, :] - index.centroids[None]) ** 2).sum(axis=2))
     assert len(index.centroids) == 250 and np.allclose(np.take_along_axis(true, names, 1), distance, atol=1e-6)
     assert np.mean([len(set(a) & set(b)) / 16 for a, b in zip(names, np.argsort(true, axis=1)[:, :16])]) > 0.98
+
+
+def join_rows(plan):
+    """Rows that each join of an executed plan made."""
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        return join_rows(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return join_rows(plan.plan())
+    own = [plan.metrics().get("numOutputRows").get().value()] if "Join" in plan.nodeName() else []
+    return own + [n for i in range(plan.children().size()) for n in join_rows(plan.children().apply(i))]
+
+
+def test_near_copies_do_not_meet_one_another(spark, monkeypatch):
+    common = [f"word{i}" for i in range(30)]
+    rows = [(i, " ".join([*common[: i % 30], f"own{i}", *common[i % 30 + 1 :]]) if i else " ".join(common)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, write = [], lines.cut_lineage
+
+    def counted(df):
+        df.collect()
+        made.extend(join_rows(df._jdf.queryExecution().executedPlan()))
+        return write(df)
+
+    monkeypatch.setattr(lines, "cut_lineage", counted)
+    kept = lines.dedup_lines(docs).where("text <> ''").collect()
+    assert [r["doc_id"] for r in kept] == [0]
+    assert made and max(made) < 10 * len(rows)  # all pairs are 79,800
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.8, 0.9])
+def test_lines_of_many_sizes_and_similarities(spark, similarity):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(250):
+        if rows and rng.random() < 0.7:
+            words = rows[int(rng.integers(len(rows)))][1].split(" ")
+            for _ in range(int(rng.integers(0, 4))):
+                at = int(rng.integers(len(words) + 1))
+                words = [words[:at] + words[at + 1 :] or words, words[:at] + [f"n{rng.integers(30)}"] + words[at:]][int(rng.integers(2))]
+        else:
+            words = [f"n{w}" for w in rng.integers(0, 30, int(rng.integers(1, 30)))]
+        rows.append((i, " ".join(words)))
+    sets = [line_words(t) for _, t in rows]
+    close = lambda a, b: len(a & b) >= similarity * len(a | b) - 1e-9
+    want = {i for i in range(len(sets)) if any(close(sets[j], sets[i]) for j in range(i))}
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity)
+    assert {r["doc_id"] for r in got.collect() if r["__gone"]} == want
