@@ -339,6 +339,37 @@ def test_near_copies_do_not_meet_one_another(spark, monkeypatch):
     assert made and max(made) < 10 * len(rows)  # all pairs are 79,800
 
 
+def test_copies_unlike_the_first_do_not_list_all_pairs(spark, monkeypatch):
+    rng, rows = np.random.default_rng(9), []
+    for i in range(400):
+        words = [f"word{j}" for j in range(60)]
+        for j in rng.choice(60, int(rng.integers(0, 12)) if i else 7, replace=False):
+            words[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, write = [], lines.cut_lineage
+
+    def counted(df):
+        df.collect()
+        made.extend(join_rows(df._jdf.queryExecution().executedPlan()))
+        return write(df)
+
+    monkeypatch.setattr(lines, "cut_lineage", counted)
+    kept = lines.dedup_lines(docs).where("text <> ''").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(r for r in brute_lines(rows) if r[1])
+    assert made and max(made) < 50 * len(rows)  # before: 489,362
+
+
+def test_what_the_line_join_no_longer_needs_goes_early(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine word{i}") for i in range(20)], "doc_id long, text string")
+    steps = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "emulon"
+    before, seen, meetings = set(steps.glob("step-*")), [], lines._meetings
+    monkeypatch.setattr(lines, "_meetings", lambda sets, *a: seen.extend(
+        c for p in set(steps.glob("step-*")) - before for c in spark.read.parquet(f"file:{p}").columns) or meetings(sets, *a))
+    assert lines.later_matches(docs).count() == 19
+    assert seen.count("prefix") == 1  # of sets, no longer of lines
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.7, 0.8, 0.9])
 def test_lines_of_many_sizes_and_similarities(spark, similarity):
     rng = np.random.default_rng(8)
